@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from .chat import op5_chat_formatting
+from .language import op7_language_id
 from .linededup import OP1_SQL, op1_line_dedup
 from .mixing import OP4_SQL, op4_source_mixing
 from .packing import op2_best_fit_packing
+from .prefixhash import op8_document_fingerprints
 from .quality import op9_quality_rules
 from .secrets import op3_secret_scans
 from .simhash import op6_simhash_near_dedup
+from .tokencounts import op10_token_counts
 
 QUERIES = {
     f.__name__: f
@@ -19,7 +22,10 @@ QUERIES = {
         op4_source_mixing,
         op5_chat_formatting,
         op6_simhash_near_dedup,
+        op7_language_id,
+        op8_document_fingerprints,
         op9_quality_rules,
+        op10_token_counts,
     )
 }
 SQL = {"op1_line_dedup": OP1_SQL, "op4_source_mixing": OP4_SQL}
