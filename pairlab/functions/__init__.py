@@ -1,0 +1 @@
+"""Column functions: keys, numbers, JSON, vectors, scores, geometry, digests."""

@@ -1,0 +1 @@
+"""Relational operators: records, pairs, cohorts, aggregates, screening, matching, contracts, parity."""

@@ -1,0 +1 @@
+"""Sources and sinks: file scans, strict readers, validated and idempotent publishing."""
