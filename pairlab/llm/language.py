@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -142,7 +143,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     keep = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(text_col).cast("string").alias("_text"))
-    return rows.mapInArrow(work, f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double")
+    schema = T.StructType([rows.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(work, schema)
 
 
 def held_out(doc_id) -> F.col:
