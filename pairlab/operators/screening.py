@@ -20,7 +20,7 @@ def score_histogram(rows: DataFrame, groups: list[str], score: str, genuine: Col
 
 
 def range_prefix(hist: DataFrame, groups: list[str], parts: int, descending: bool = True) -> DataFrame:
-    """Adds G, I (sums of g, i up to and including each score, in descending order) for histograms of any length.
+    """Adds g_sum, i_sum (sums of g, i up to and including each score, in descending order) for histograms of any length.
 
     Scores are dealt into ranges; ranges are summed (one row a group and range),
     and each range's prefix is added to the sums inside it.
@@ -32,8 +32,8 @@ def range_prefix(hist: DataFrame, groups: list[str], parts: int, descending: boo
     before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy(*groups, "_p").agg(F.sum("g").alias("_g"), F.sum("i").alias("_i"))
     sums = sums.select(*groups, "_p", F.coalesce(F.sum("_g").over(before), F.lit(0)).alias("_g0"), F.coalesce(F.sum("_i").over(before), F.lit(0)).alias("_i0"))
-    out = dealt.withColumns({"_G": F.sum("g").over(inside), "_I": F.sum("i").over(inside)}).join(sums, [*groups, "_p"])
-    return out.select(*groups, "score", "g", "i", (F.col("_G") + F.col("_g0")).alias("G"), (F.col("_I") + F.col("_i0")).alias("I"))
+    out = dealt.withColumns({"_gs": F.sum("g").over(inside), "_is": F.sum("i").over(inside)}).join(sums, [*groups, "_p"])
+    return out.select(*groups, "score", "g", "i", (F.col("_gs") + F.col("_g0")).alias("g_sum"), (F.col("_is") + F.col("_i0")).alias("i_sum"))
 
 
 def _totals(hist: DataFrame, groups: list[str]) -> DataFrame:
@@ -44,9 +44,9 @@ def _totals(hist: DataFrame, groups: list[str]) -> DataFrame:
 def roc(hist: DataFrame, groups: list[str]) -> DataFrame:
     """(threshold, far, tar) at each distinct score, and one point above the largest."""
     down = Window.partitionBy(*groups).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    sums = hist.withColumns({"G": F.sum("g").over(down), "I": F.sum("i").over(down)})
+    sums = hist.withColumns({"g_sum": F.sum("g").over(down), "i_sum": F.sum("i").over(down)})
     totals_ = _totals(hist, groups)
-    points = sums.join(totals_, groups).select(*groups, F.col("score").alias("threshold"), (F.col("I") / F.col("ni")).alias("far"), (F.col("G") / F.col("ng")).alias("tar"))
+    points = sums.join(totals_, groups).select(*groups, F.col("score").alias("threshold"), (F.col("i_sum") / F.col("ni")).alias("far"), (F.col("g_sum") / F.col("ng")).alias("tar"))
     above = totals_.select(*groups, F.expr("reflect('java.lang.Math', 'nextUp', top)").cast("double").alias("threshold"), F.lit(0.0).alias("far"), F.lit(0.0).alias("tar"))
     return points.unionByName(above)
 

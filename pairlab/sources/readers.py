@@ -19,10 +19,13 @@ def strict_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def tolerant_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """S3: like `strict_csv` with cells that do not parse kept as text in `_corrupt`, so that bad rows stay rows."""
-    fields = T.StructType.fromDDL(schema).add("_corrupt", T.StringType())
-    reader = spark.read.schema(fields).option("header", True).option("enforceSchema", False).option("nullValue", "")
-    return reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").csv(path)
+    """S3: like `strict_csv`, but a cell that does not parse becomes null and stays, as text, in `_corrupt`."""
+    fields = T.StructType.fromDDL(schema).fields
+    text = strict_csv(spark, path, ", ".join(f"`{f.name}` string" for f in fields))
+    typed = {f.name: F.trim(f.name).try_cast(f.dataType) for f in fields}
+    bad = [F.when(F.col(n).isNotNull() & c.isNull(), F.concat_ws("=", F.lit(n), F.col(n))) for n, c in typed.items()]
+    corrupt = F.array_join(F.filter(F.array(*bad), lambda x: x.isNotNull()), ";")
+    return text.select(*[c.alias(n) for n, c in typed.items()], F.nullif(corrupt, F.lit("")).alias("_corrupt"))
 
 
 def text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
