@@ -21,7 +21,8 @@ radius-1 balls of the other bits, and keeps fingerprints that share a bucket.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
+from math import acos, pi
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,24 @@ SHINGLE, RADIUS = 3, 3
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
 
+def _lanes() -> np.ndarray:
+    """byte → eight 8-bit counters, one a bit, in a 64-bit word."""
+    return np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").copy().view("<u8").reshape(-1)
+
+
+LANES = _lanes()
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Column-wise SimHash of (n, k) 64-bit hashes: a bit is 1 if more than half of the rows have it."""
+    n, k = hashes.shape
+    octets = np.ascontiguousarray(hashes.astype("<u8", copy=False)).view(np.uint8).reshape(n, 8 * k)
+    ones = np.zeros(64 * k, dtype=np.int64)
+    for i in range(0, n, 255):  # a counter holds up to 255
+        ones += LANES[octets[i : i + 255]].sum(axis=0).view(np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """64-bit SimHash, unsigned: bit i is set in more than half of the shingle hashes."""
     words = text.lower().split()  # bytes: A-Z only, and exactly the ASCII white space
@@ -45,9 +64,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     hashed = partial(xxhash.xxh64_intdigest, seed=42)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     h = np.array(list(map(hashed, shingles)), dtype=np.uint64)
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8), bitorder="little").reshape(-1, 64)
-    ones = bits.sum(axis=0, dtype=np.int64) * 2 > len(h)
-    return int.from_bytes(np.packbits(ones, bitorder="little").tobytes(), "little")
+    return int(majority(h.reshape(-1, 1))[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,6 +130,82 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
     return docs_fp.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---- similarity joins: fingerprints of more bits, for thresholds beyond a few bits of 64
+
+#: 64-bit words of the fingerprint that is compared, and of the one that finds candidates (bands of 32 bits).
+WIDE, PROBES = 16, 2
+_STREAMS = np.random.default_rng(20240601).integers(1, 1 << 63, size=WIDE, dtype=np.uint64)
+
+
+def most_bits(similarity: float, words: int = WIDE) -> int:
+    """Differing bits that sets of this Jaccard similarity have at most: the mean, by cosine 2J / (1 + J), and one deviation."""
+    p = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
+    return int(64 * words * p + (64 * words * p * (1 - p)) ** 0.5)
+
+
+def _streams(h: np.ndarray, k: int) -> np.ndarray:
+    x = h.reshape(-1, 1) ^ _STREAMS[:k]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, list[int]]:
+    """(key of the shingle set, PROBES words over the set of words and WIDE words over the set of shingles)."""
+    words = text.lower().split()
+    if not words:
+        return 0, [0] * (PROBES + WIDE)
+    hashed = partial(xxhash.xxh64_intdigest, seed=42)
+    grams = {hashed(g) for g in map(b" ".join, zip(*(words[i:] for i in range(shingle))))} if len(words) >= shingle else {hashed(b" ".join(words))}
+    sets = [np.array(list(s), dtype=np.uint64) for s in ({hashed(w) for w in set(words)}, grams)]
+    key = int(np.add.reduce(_streams(sets[1], 1)[:, 0])) ^ len(grams)
+    bits = np.concatenate([majority(_streams(s, k)) for s, k in zip(sets, (PROBES, WIDE))])
+    return key - (1 << 64) if key >> 63 else key, bits.view(np.int64).tolist()
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every row; links are texts whose word shingles are that similar.
+
+    The method is the operator's, for a similarity that no few bits of 64
+    express: candidates come from a 128-bit SimHash of the set of words, whose
+    four 32-bit bands emit their balls of radius 1, so bands up to 2 bits apart
+    meet in a variant; colliding pairs are verified by the Hamming distance of
+    1024-bit SimHashes of the shingles, whose deviation is 0.02 in similarity;
+    the limit is set one deviation wide, so that few pairs at it are lost.  Texts of equal shingle sets are one
+    node.  Inside a variant's bucket each member pairs with the bucket's first
+    and last members by a hash, so pairs grow with members and not their square.
+    Null and blank texts form one component.
+    """
+
+    def work(batches):
+        for b in batches:
+            found = [wide_fingerprint(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            keys, sigs = ([f[i] for f in found] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "k", "sig"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    rows = staged(rows.mapInArrow(work, "doc_id bigint, k bigint, sig array<bigint>"))
+    nodes = staged(rows.groupBy("k").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")))
+    flips = "concat(array(0L), transform(sequence(0, 31), i -> shiftleft(1L, i)))"
+    masks = nodes.sparkSession.range(1).selectExpr(f"{flips} AS m").first()["m"]  # 33 constants
+    bands = F.array(*[F.struct(F.lit(b).alias("b"), F.expr(f"shiftrightunsigned(sig[{b // 2}], {32 * (b % 2)}) & 4294967295L").alias("v")) for b in range(2 * PROBES)])
+    tagged = nodes.select("k", F.explode(bands).alias("band")).select("k", "band.b", "band.v", F.explode(F.array(*map(F.lit, masks))).alias("m"))
+    members = tagged.select("k", (F.shiftleft(F.col("b").cast("bigint"), 32).bitwiseOR(F.col("v").bitwiseXOR(F.col("m")))).alias("v"))
+    order = F.struct(F.xxhash64("k").alias("h"), F.col("k").alias("k"))
+    bucket = Window.partitionBy("v")
+    ends = members.select("k", F.min(order).over(bucket).alias("lo"), F.max(order).over(bucket).alias("hi"))
+    met = ends.filter(F.col("lo.k") != F.col("hi.k")).select("k", F.explode(F.array("lo.k", "hi.k")).alias("c")).filter("k <> c")
+    pairs = met.select(F.least("k", "c").alias("a"), F.greatest("k", "c").alias("b")).distinct()
+    side = lambda n: nodes.select(F.col("k").alias(n), F.slice("sig", PROBES + 1, WIDE).alias(f"s{n}"))
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(WIDE)])
+    verified = pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= most_bits(similarity)).select("a", "b")
+    roots = components(verified)
+    named = nodes.select("k", "least").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_key = staged(named.select("k", "root").join(least, "root").select("k", "component_id"))
+    return rows.select("doc_id", "k").join(of_key, "k").select("doc_id", "component_id")
+
+
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
