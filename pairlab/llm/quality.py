@@ -84,15 +84,15 @@ def _distance(a: str, b: str, bins: int) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Columns of `docs` in `_row`, then n_words … kept and the two distances, for every row.
+def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """Columns of `docs` (or those of `keep`) in `_row`, then n_words … kept and the two distances, for every row.
 
     A null text has no words and fails the base rules.  Documents of a null
     `lang` share one reference.  Repeated rows are judged alike; an empty table
     gives no rows; other columns may have any names.
     """
     lang = F.col(lang_col)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).cast("string").alias("_text"), F.coalesce(lang, F.lit("")).alias("_lk"), lang.isNull().alias("_ln"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("_row"), F.col(text_col).cast("string").alias("_text"), F.coalesce(lang, F.lit("")).alias("_lk"), lang.isNull().alias("_ln"))
     counted = staged(_counts(rows, "_text").select("_row", "_lk", "_ln", "_classes", "_hits", "_n_chars", "_n_words", "_n_dup_lines", "_n_repeat_words"))
     nc, nw = len(CLASSES) + 1, len(WORDS) + 1
     pooled = counted.groupBy("_lk", "_ln").agg(
@@ -119,5 +119,5 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    judged = judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("js_class", 6).alias("js_class"), F.round("js_words", 6).alias("js_words"))
