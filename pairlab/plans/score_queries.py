@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import digests, geometry, jsonmaps, numbers, scores, vectors
 from ..operators import affine, aggregates, contract, matching, orientation, parity, sampling, scoring, screening
+from .jobs import screening_report
 from .records_queries import t
 
 QUERIES, SQL = {}, {}
@@ -551,3 +552,60 @@ def file_summaries(spark: SparkSession, sf: str) -> DataFrame:
     li = t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("file"), F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("raw_score"), "l_quantity", "l_discount")
     out = aggregates.file_summary(li, "file", ["l_quantity", "l_discount"], ["F", "O"])
     return out.withColumns({c: F.round(c, 6) for c in ("score_mean", "score_median", "l_discount_median")})
+
+
+# ---- the whole report over result rows made from scored documents: two views, two kinds
+
+REPORT_SQL = """
+r AS (SELECT lang AS method, CASE WHEN v = 0 THEN 'va' ELSE 'vb' END AS dataset, CASE WHEN quality = 1 THEN 'genuine' ELSE 'impostor' END AS pair_kind, doc_id,
+             CASE WHEN (doc_id + v) % 29 = 0 THEN 'prepare_a_failure' ELSE 'ok' END AS status, CASE WHEN (doc_id + v) % 29 <> 0 THEN (n_chars + v * (doc_id % 5))::double END AS s, doc_id % 40 AS m
+      FROM documents JOIN labels USING (doc_id), range(2) x(v)),
+j AS (SELECT method, pair_kind, a.status AS sa, b.status AS sb, a.s AS x, b.s AS y, a.status = 'ok' AND b.status = 'ok' AS ok FROM (SELECT * FROM r WHERE dataset = 'va') a JOIN (SELECT * FROM r WHERE dataset = 'vb') b USING (method, pair_kind, doc_id)),
+t AS (SELECT method, pair_kind, string_agg(k || ':' || n, ',' ORDER BY k) AS transitions FROM (SELECT method, pair_kind, sa || '->' || sb AS k, count(*) AS n FROM j GROUP BY ALL) GROUP BY ALL)
+"""
+
+
+def report_rows(spark: SparkSession, sf: str) -> DataFrame:
+    d = t(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(t(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    d = d.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
+    ok = (F.col("doc_id") + F.col("v")) % 29 != 0
+    dataset = F.when(F.col("v") == 0, "va").otherwise("vb")
+    shape = lambda c: F.when(ok, c)
+    return d.select(
+        F.col("lang").alias("method"), dataset.alias("dataset"), F.when(F.col("quality") == 1, "genuine").otherwise("impostor").alias("pair_kind"),
+        F.concat_ws("_", dataset, F.col("doc_id").cast("string")).alias("pair_id"), F.when(ok, "ok").otherwise("prepare_a_failure").alias("status"),
+        shape((F.col("n_chars") + F.col("v") * (F.col("doc_id") % 5)).cast("double")).alias("raw_score"), F.when(~ok, "unreadable").alias("error_code"),
+        F.lit(1.0).alias("prepare_a_ms"), shape(F.lit(2.0)).alias("prepare_b_ms"), shape(F.lit(3.0)).alias("compare_ms"),
+        F.format_string('{"detector_point_count": %d, "representation_descriptor_count": 7}', F.col("doc_id") % 40).alias("prepare_a_diagnostics"),
+        shape(F.format_string('{"detector_point_count": %d}', F.col("doc_id") % 40)).alias("prepare_b_diagnostics"),
+        shape(F.format_string('{"mutual_match_count": %d, "score_components": {"inliers_over_min_keypoints": 0.5}}', F.col("doc_id") % 40)).alias("compare_diagnostics"),
+    )
+
+
+@query(f"""
+WITH {REPORT_SQL}
+SELECT method, dataset, pair_kind, count(*) AS requested_rows, count(*) FILTER (WHERE status = 'ok') AS successful_rows, count(*) FILTER (WHERE status <> 'ok') AS prepare_failures,
+       count(s) AS raw_score_n, quantile_cont(s, 0.25) AS raw_score_p25, quantile_cont(s, 0.5) AS raw_score_p50, 2 * count(s) AS detector_point_count_n, quantile_cont(m, 0.5) FILTER (WHERE s IS NOT NULL) AS detector_point_count_p50,
+       count(s) AS descriptor_count_n, quantile_cont(m, 0.75) FILTER (WHERE s IS NOT NULL) AS mutual_matches_p75, count(s) AS inliers_over_minimum_keypoint_count_n,
+       CASE WHEN count(*) > count(s) THEN 'unreadable:' || (count(*) - count(s)) END AS failure_codes
+FROM r GROUP BY ALL
+""")
+def report_group_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A part of the summary's columns."""
+    s = screening_report(report_rows(spark, sf))["group_summary"]
+    names = ["requested_rows", "successful_rows", "prepare_failures", "raw_score_n", "raw_score_p25", "raw_score_p50", "detector_point_count_n", "detector_point_count_p50", "descriptor_count_n", "mutual_matches_p75", "inliers_over_minimum_keypoint_count_n", "failure_codes"]
+    return s.select("method", "dataset", "pair_kind", *names)
+
+
+@query(f"""
+WITH {REPORT_SQL}
+SELECT j.method, j.pair_kind, count(*) AS logical_pairs, 0::bigint AS one_sided, count(*) FILTER (WHERE ok) AS paired_success, count(y - x) FILTER (WHERE ok) AS score_n,
+       median(y - x) FILTER (WHERE ok) AS score_median_delta, median(abs(y - x)) FILTER (WHERE ok) AS score_median_abs_delta, round(avg(y - x) FILTER (WHERE ok), 6) AS score_mean_delta,
+       0.0::double AS point_count_median_delta, any_value(transitions) AS transitions, round(CASE WHEN count(*) FILTER (WHERE ok) >= 2 THEN corr(x, y) FILTER (WHERE ok) END, 6) AS pearson
+FROM j JOIN t ON j.method = t.method AND j.pair_kind = t.pair_kind GROUP BY ALL
+""")
+def report_paired(spark: SparkSession, sf: str) -> DataFrame:
+    """View against view on the logical id."""
+    p = screening_report(report_rows(spark, sf), view_a="va", view_b="vb")["paired"]
+    names = ["logical_pairs", "one_sided", "paired_success", "score_n", "score_median_delta", "score_median_abs_delta"]
+    return p.select("method", "pair_kind", *names, F.round("score_mean_delta", 6).alias("score_mean_delta"), "point_count_median_delta", "transitions", F.round("pearson", 6).alias("pearson"))
