@@ -14,8 +14,6 @@ numbers a row); references are partial aggregates of them, one row a language.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,13 +73,20 @@ def _counts(docs: DataFrame, text_col: str) -> DataFrame:
     })
 
 
-def _distance(a: str, b: str, bins: int) -> Column:
-    """Jensen-Shannon distance of two count arrays; null if either is empty."""
-    total = lambda c: reduce(lambda x, y: x + y, [F.col(c)[i] for i in range(bins)]).cast("double")
-    share = lambda c, i: F.col(c)[i].cast("double") / F.nullif(total(c), F.lit(0.0))
+def _sum(counts: str) -> Column:
+    return F.aggregate(F.col(counts), F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double")
+
+
+def _distance(a: str, b: str, sum_a: str, sum_b: str) -> Column:
+    """Jensen-Shannon distance of two count arrays with their sums as columns; null if either is empty."""
     part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
-    terms = F.transform(F.array(*[F.struct(share(a, i).alias("p"), share(b, i).alias("q")) for i in range(bins)]), lambda x: part(x["p"], (x["p"] + x["q"]) / 2) + part(x["q"], (x["p"] + x["q"]) / 2))
-    return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
+
+    def term(x: Column, y: Column) -> Column:
+        p, q = x / F.nullif(F.col(sum_a), F.lit(0.0)), y / F.nullif(F.col(sum_b), F.lit(0.0))
+        return part(p, (p + q) / 2) + part(q, (p + q) / 2)
+
+    total = F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda s, x: s + x)
+    return F.when((F.col(sum_a) > 0) & (F.col(sum_b) > 0), F.sqrt(F.greatest(total / 2, F.lit(0.0))))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
@@ -99,11 +104,15 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
         F.array(*[F.sum(F.col("_classes")[i]) for i in range(nc)]).alias("_ref_classes"),
         F.array(*[F.sum(F.col("_hits")[i]) for i in range(nw)]).alias("_ref_hits"),
     )
-    met = counted.join(pooled, ["_lk", "_ln"])
+    sums = {f"_sum{c}": _sum(c) for c in ("_classes", "_hits", "_ref_classes", "_ref_hits")}
+    met = counted.join(pooled, ["_lk", "_ln"]).withColumns(sums)
     space, symbol = 1, len(CLASSES) - 1
     failed = (F.col("_n_words") < MIN_WORDS) | (100 * F.col("_n_repeat_words") > MOST_REPEATED * F.col("_n_words"))
     strange = ((F.col("_n_chars") >= LEAST_CHARS) & (F.col("js_class") > MOST_CLASS)) | ((F.col("_n_words") >= LEAST_WORDS) & (F.col("js_words") > MOST_WORDS))
-    scored = met.withColumns({"js_class": _distance("_classes", "_ref_classes", nc), "js_words": _distance("_hits", "_ref_hits", nw)})
+    scored = met.withColumns({
+        "js_class": _distance("_classes", "_ref_classes", "_sum_classes", "_sum_ref_classes"),
+        "js_words": _distance("_hits", "_ref_hits", "_sum_hits", "_sum_ref_hits"),
+    })
     return scored.select(
         "_row",
         F.col("_n_words").alias("n_words"),
@@ -121,3 +130,41 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("js_class", 6).alias("js_class"), F.round("js_words", 6).alias("js_words"))
+
+
+def _sql() -> str:
+    replaced = "t0"
+    steps = []
+    for i, (_, pattern) in enumerate(CLASSES):
+        steps.append(f"c{i + 1} AS (SELECT *, regexp_replace(t{i}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g') AS t{i + 1} FROM c{i})")
+        replaced = f"t{i + 1}"
+    n = len(CLASSES)
+    classes = ", ".join(f"length(t{i}) - length(t{i + 1})" for i in range(n)) + f", length({replaced})"
+    listed = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
+    pooled = lambda name, bins: "[" + ", ".join(f"sum({name}[{i + 1}])::double" for i in range(bins)) + "]"
+    part = lambda p, m: f"CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0 END"
+
+    def distance(a: str, b: str) -> str:
+        p, q = f"(z[1] / list_sum({a}))", f"(z[2] / list_sum({b}))"
+        m = f"(({p} + {q}) / 2)"
+        return f"round(CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest(list_sum(list_transform(list_zip({a}, {b}), lambda z: {part(p, m)} + {part(q, m)})) / 2, 0)) END, 6)"
+
+    return rf"""
+WITH c0 AS (SELECT doc_id, lang, coalesce(text, '') AS t0, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+{", ".join(steps)},
+k AS (SELECT doc_id, lang, w, lines, t0, [{classes}]::double[] AS cl,
+      list_append(list_transform({listed}, lambda x: len(list_filter(w, lambda y: y = x))), len(list_filter(w, lambda y: NOT list_contains({listed}, y))))::double[] AS hits FROM c{n}),
+r AS (SELECT lang, {pooled("cl", n + 1)} AS rc, {pooled("hits", len(WORDS) + 1)} AS rh FROM k GROUP BY lang),
+x AS (SELECT doc_id, i, w[i:i + {NGRAM - 1}]::varchar AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {NGRAM - 2})) AS i FROM k)),
+y AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {NGRAM})) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM x) WHERE c > 1) GROUP BY doc_id),
+b AS (SELECT k.doc_id, len(w)::bigint AS n_words, (length(t0) - cl[2])::bigint AS word_chars, cl[{n}]::bigint AS n_symbols, (len(lines) - len(list_distinct(lines)))::bigint AS n_dup_lines,
+      coalesce(y.n, 0)::bigint AS n_repeat_words, length(t0) AS n_chars, {distance("cl", "rc")} AS js_class, {distance("hits", "rh")} AS js_words
+      FROM k JOIN r ON k.lang IS NOT DISTINCT FROM r.lang LEFT JOIN y ON k.doc_id = y.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce((n_chars >= {LEAST_CHARS} AND js_class > {MOST_CLASS}) OR (n_words >= {LEAST_WORDS} AND js_words > {MOST_WORDS}), FALSE) AS kept, js_class, js_words
+FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM b)
+"""
+
+
+OP9_SQL = _sql()

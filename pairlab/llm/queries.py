@@ -8,7 +8,7 @@ from .linededup import OP1_SQL, op1_line_dedup
 from .mixing import OP4_SQL, op4_source_mixing
 from .packing import op2_best_fit_packing
 from .prefixhash import op8_document_fingerprints
-from .quality import op9_quality_rules
+from .quality import OP9_SQL, op9_quality_rules
 from .secrets import op3_secret_scans
 from .simhash import op6_simhash_near_dedup
 from .tokencounts import op10_token_counts
@@ -28,4 +28,4 @@ QUERIES = {
         op10_token_counts,
     )
 }
-SQL = {"op1_line_dedup": OP1_SQL, "op4_source_mixing": OP4_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_source_mixing": OP4_SQL, "op9_quality_rules": OP9_SQL}
