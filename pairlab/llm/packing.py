@@ -7,10 +7,11 @@ one salt of one length.  Pieces of one length are interchangeable, and so are
 sequences with one gap: the state of a superstep is therefore run-length coded
 (at most `capacity` document classes; gap runs named by a first sequence and a
 count), its size bounded by `capacity` and never by the number of documents.
-Each superstep sweeps the sizes downwards; a document class takes its successor
-(the smallest gap that holds it), conflicts go by rank (the k-th piece of a
-class takes the k-th sequence of the run, later ranks wait or take the next
-run), gaps are updated, and the sweep repeats until no piece waits.  Pieces
+A superstep matches one length, longest first: its documents take their
+successor (the smallest gap that holds them), conflicts go by rank (the k-th
+piece of a class takes the k-th sequence of the run, later ranks the next run),
+gaps are updated, and the sweep goes on to the next length, so the sequences
+are as many as sequential best-fit decreasing makes.  Pieces
 then find their run by binary search inside their own tasks.
 """
 
@@ -58,45 +59,39 @@ def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END
 
 
 def plan(classes: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int, int]:
-    """Run-length supersteps: rows (length, first rank, count, first sequence, offset), sequences, supersteps."""
-    left = {s: n for s, n in classes.items() if n and s < capacity}
-    rank = defaultdict(int)
-    full = classes.get(capacity, 0)
-    runs = [(capacity, 0, full, 0, 0)] if full else []
-    sequences, steps = full, 0
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    while left:
-        steps += 1
-        stack: list[tuple[int, int, int]] = []  # (gap, first sequence, count), the smallest gap on top
-        after: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        taken = 0
-        for size in range(capacity, 0, -1):
-            stack += [(size, first, n) for first, n in gaps.get(size, ())]
-            while left.get(size) and stack:
-                gap, first, n = stack.pop()
-                each = max(1, min(gap // size, left[size] // n))
-                m = min(n, left[size])
-                if m < n:
-                    stack.append((gap, first + m, n - m))
-                for k in range(each):
-                    runs.append((size, rank[size], m, first, capacity - gap + k * size))
-                    rank[size] += m
-                left[size] -= m * each
-                taken += m * each
-                if gap > each * size:
-                    after[gap - each * size].append((first, m))
-            if not left.get(size, 1):
-                del left[size]
-        for gap, first, n in stack:
-            after[gap].append((first, n))
-        gaps = after
-        if not taken and left:
-            own = sum(n for s, n in left.items() if 2 * s > capacity)  # no two of these share a sequence
-            new = own or -(-sum(s * n for s, n in left.items()) // capacity)
-            gaps[capacity].append((sequences, new))
-            sequences += new
-    if gaps.get(capacity):  # never filled: only the last runs can be, so numbers stay unique, not gapless
-        sequences -= sum(n for _, n in gaps[capacity])
+    """Run-length supersteps over length → pieces: rows (length, first rank, count, first sequence, offset), sequences, supersteps.
+
+    The sweep is at one length a superstep, longest first.  `open_` holds the
+    gap runs that are large enough, the smallest, the successor, on top.  A
+    gap takes as many pieces of the length as fit, since its rest stays the
+    best fit for the next one, as in sequential best-fit decreasing.
+    """
+    runs, sequences, steps = [], 0, 0
+    waiting: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap → (first sequence, count), under the sweep
+    open_: list[tuple[int, int, int]] = []
+    for size in range(capacity, 0, -1):
+        open_ += [(size, first, n) for first, n in waiting.pop(size, ())]
+        left, rank = classes.get(size, 0), 0
+        steps += left > 0
+        while left:
+            if not open_:
+                new = -(-left // (capacity // size))
+                open_.append((capacity, sequences, new))
+                sequences += new
+            gap, first, n = open_.pop()
+            each = min(gap // size, left)
+            m = min(n, left // each)  # sequences of the run that take `each` pieces; later ranks wait for the next run
+            if m < n:
+                open_.append((gap, first + m, n - m))
+            for k in range(each):
+                runs.append((size, rank, m, first, capacity - gap + k * size))
+                rank += m
+            left -= m * each
+            rest = gap - each * size
+            if rest >= size:
+                open_.append((rest, first, m))
+            elif rest:
+                waiting[rest].append((first, m))
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5), sequences, steps
 
 
