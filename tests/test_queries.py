@@ -2,12 +2,12 @@
 
 import pytest
 
-from pairlab.plans import records_queries, score_queries
+from pairlab.plans import contract_queries, records_queries, score_queries
 
 from .helpers import rows_of, rows_of_sql
 
-QUERIES = records_queries.QUERIES | score_queries.QUERIES
-SQL = records_queries.SQL | score_queries.SQL
+QUERIES = records_queries.QUERIES | score_queries.QUERIES | contract_queries.QUERIES
+SQL = records_queries.SQL | score_queries.SQL | contract_queries.SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
