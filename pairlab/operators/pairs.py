@@ -91,3 +91,9 @@ def matrix_gaps(dimensions: list[DataFrame], actual: DataFrame) -> DataFrame:
     """Combinations of the dimensions' values that the table lacks; the dimensions are small vocabularies."""
     wanted = reduce(lambda a, b: a.crossJoin(b), dimensions)
     return wanted.join(actual.select(*wanted.columns).distinct(), wanted.columns, "left_anti")
+
+
+def rederived_pairs(captures: DataFrame, side_a: Column, side_b: Column, keys: list[str], columns: list[str]) -> DataFrame:
+    """The genuine pairs that a fresh table of captures implies, to hold a stored manifest against."""
+    usable = captures.filter("slot IS NOT NULL") if "slot" in captures.columns else captures
+    return genuine_pairs(once_only(usable.filter(side_a), keys, columns), once_only(usable.filter(side_b), keys, columns), keys, columns)

@@ -96,3 +96,8 @@ def error_digest(df: DataFrame, groups: list[str], message: str, order: str, k:
     shown = shown.groupBy(*groups).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", message))), lambda s: s[message]), "; ").alias("shown"))
     counts = df.groupBy(*groups).agg(F.count("*").alias("n_errors"))
     return counts.join(shown, groups).withColumn("n_more", F.greatest(F.col("n_errors") - k, F.lit(0)))
+
+
+def declared(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The declared columns in their order, nothing else; a missing one fails analysis."""
+    return df.select(*columns)

@@ -79,3 +79,13 @@ def capped(df: DataFrame, rank: str, n: int) -> DataFrame:
 def refused_over(df: DataFrame, groups: list[str], n: int) -> DataFrame:
     """Groups with more than n rows, as failures; no silent subset."""
     return df.groupBy(*groups).agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") > n).withColumn("error", F.lit("too_many_points"))
+
+
+def ranked_points(df: DataFrame, groups: list[str], keys: tuple[str, ...] = ("y", "x", "type", "direction", "idx"), name: str = "rank") -> DataFrame:
+    """O2: 0-based ranks of a group's points by several keys."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*keys)) - 1)
+
+
+def first_rows(df: DataFrame, order: list[str], k: int) -> DataFrame:
+    """The first k rows by order; every task keeps k before they meet."""
+    return df.orderBy(*order).limit(k)

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import numbers
-from ..operators import cohort, contract, records, sampling, scoring
-from ..sources import publish, readers
-from .records_queries import HASH_SQL, SEED, STRATA, VERSION, genuine, t
+from ..functions import digests, keys, numbers
+from ..operators import cohort, contract, pairs, parity, records, sampling, scoring
+from ..sources import publish, readers, scan
+from .jobs import build_protocol, score_features
+from .records_queries import A_SQL, B_SQL, GENUINE_SQL, HASH_SQL, K, SEED, STRATA, VERSION, genuine, side, t
 from .score_queries import PAIRS_SQL, scored
 
 QUERIES, SQL = {}, {}
@@ -216,3 +217,109 @@ def detector_points(spark: SparkSession, sf: str) -> DataFrame:
 
     e = t(spark, sf, "embeddings").select(F.col("vec_id").alias("capture"), F.col("embedding").alias("content"))
     return scoring.detect(e, detect, "capture bigint, rank int, x int, response double").withColumn("response", F.round("response", 6))
+
+
+@query()
+def table_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of two tables and a missing folder; names and digests depend on the store, so there is no SQL."""
+    found = scan.scan_all(spark, {"d": {"documents": f"{sf}/documents.parquet", "orders": f"{sf}/orders.parquet", "absent": f"{sf}/no_such_table"}}, "*.parquet")
+    sums = digests.file_digests(spark, f"{sf}/supplier.parquet").agg(F.count_if(~digests.is_sha256(F.col("sha256"))).alias("bad_digests"))
+    n = found.groupBy("dataset", "side").agg(F.count_if(F.col("error_message").isNull()).alias("files"), F.max("error_message").alias("error_message"))
+    return n.crossJoin(sums)
+
+
+@query("SELECT event_id::varchar AS event_id, props, event_type || chr(10) || 'x' AS note FROM events")
+def text_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells as text, with quotes and newlines inside."""
+    e = t(spark, sf, "events").select(F.col("event_id").cast("string").alias("event_id"), "props", F.concat("event_type", F.lit("\n"), F.lit("x")).alias("note"))
+    path = scratch(spark)
+    publish.write_csv(records.declared(e, ["event_id", "props", "note"]), path, ["event_id"])
+    return readers.text_csv(spark, path, ["event_id", "props", "note"])
+
+
+@query("SELECT s_suppkey AS id, s_nationkey AS n, 'supplier' AS tag FROM supplier UNION ALL SELECT c_custkey, c_nationkey, 'customer' FROM customer")
+def tagged_manifests(spark: SparkSession, sf: str) -> DataFrame:
+    """Several manifests in one read, each row with its file's tag."""
+    base = scratch(spark)
+    for name, key, nation in (("supplier", "s_suppkey", "s_nationkey"), ("customer", "c_custkey", "c_nationkey")):
+        publish.write_csv(t(spark, sf, name).select(F.col(key).alias("id"), F.col(nation).alias("n")), f"{base}/{name}", ["id"])
+    return scan.load_tagged(spark, [f"{base}/supplier", f"{base}/customer"], "id bigint, n int", "/([a-z]+)/[^/]*$").select("id", "n", "tag")
+
+
+@query("""
+SELECT event_id, 'value' AS field, value::varchar AS expected, (value + 1)::varchar AS actual FROM events WHERE event_id % 31 = 0
+UNION ALL SELECT event_id, 'props', '{"k":"' || json_extract_string(props, '$.k') || '"}', '{"k":"' || (json_extract_string(props, '$.k')::bigint + 1)::varchar || '"}' FROM events WHERE event_id % 37 = 0
+""")
+def outcome_parity(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of two runs whose JSON also differs in volatile fields."""
+    e = t(spark, sf, "events").select("event_id", "event_type", "value", "props")
+    i = F.col("event_id")
+    k = F.from_json("props", "map<string,bigint>")["k"]
+    k = F.when(i % 37 == 0, k + 1).otherwise(k)
+    again = e.withColumns({"value": F.when(i % 31 == 0, F.col("value") + 1).otherwise(F.col("value")), "props": F.format_string('{"compare_ms": 3.5, "k": %d, "pid": 7}', k)})
+    one, two = (parity.outcome(x, ["event_id"], ["event_type", "value"], ["props"]) for x in (e, again))
+    return parity.row_diff(one, two, ["event_id"], ["event_type", "value", "props"])
+
+
+@query("""
+SELECT p_partkey AS id, CASE WHEN p_partkey % 29 = 0 THEN 'missing_id' WHEN p_partkey % 31 = 0 THEN 'repeated_id' WHEN p_partkey % 37 = 0 THEN 'wrong_order' END AS rule
+FROM part WHERE p_partkey % 29 = 0 OR p_partkey % 31 = 0 OR p_partkey % 37 = 0
+UNION ALL SELECT -p_partkey - 1, 'extra_id' FROM part WHERE p_partkey % 41 = 0
+""")
+def order_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A result table against its manifest's ids and order, with planted faults."""
+    k = F.col("p_partkey")
+    m = t(spark, sf, "part").select(k.alias("id"), k.alias("o"))
+    r = m.filter("id % 29 <> 0")
+    r = r.withColumn("o", F.when((F.col("id") % 31 != 0) & (F.col("id") % 37 == 0), F.col("o") + 1).otherwise(F.col("o")))
+    r = r.unionByName(r.filter("id % 31 = 0")).unionByName(m.filter("id % 41 = 0").select((-F.col("id") - 1).alias("id"), "o"))
+    return contract.order_faults(r, m, "id", "o")
+
+
+@query(f"""
+WITH {A_SQL}, {B_SQL}, {GENUINE_SQL}
+SELECT subject, stratum, 'a' AS side FROM g WHERE capture_a % 53 = 0 UNION ALL SELECT subject + 1000000000, stratum, 'b' FROM g WHERE capture_a % 53 = 0
+""")
+def manifest_rederived(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored manifest's identities against those that the captures imply."""
+    both = side(spark, sf, "F").withColumn("s", F.lit("F")).unionByName(side(spark, sf, "O").withColumn("s", F.lit("O")))
+    fresh = pairs.rederived_pairs(both, F.col("s") == "F", F.col("s") == "O", ["subject", "stratum"], ["capture"])
+    moved = F.when(F.col("capture_a") % 53 == 0, F.col("subject") + 1000000000).otherwise(F.col("subject"))
+    stored = genuine(spark, sf).select(moved.alias("subject"), "stratum")
+    return pairs.set_differences(fresh.select("subject", "stratum"), stored)
+
+
+@query("""
+SELECT o_orderkey, lpad(o_custkey::varchar, 8, '0') AS subject_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'high' WHEN '2-HIGH' THEN 'high' WHEN '5-LOW' THEN 'low' END AS level FROM orders
+""")
+def code_names(spark: SparkSession, sf: str) -> DataFrame:
+    """padded ids and canonical names of aliases."""
+    o = t(spark, sf, "orders")
+    return o.select("o_orderkey", keys.zero_padded(F.col("o_custkey"), 8).alias("subject_id"), keys.alias_of(F.col("o_orderpriority"), {"1-urgent": "high", "2-high": "high", "5-low": "low"}).alias("level"))
+
+
+@query("SELECT c.check, 0::bigint AS violations, TRUE AS holds FROM (VALUES ('bijection'), ('ranks'), ('same_identities'), ('unique_ids'), ('self_sides')) c(check)".replace("check", '"check"'))
+def protocol_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """The checks of a whole protocol."""
+    sources = {s: side(spark, sf, s).select("subject", "stratum", "capture") for s in "FOP"}
+    return build_protocol(sources, "F", "O", STRATA, K, VERSION, SEED, "tpch")["checks"]
+
+
+@query("""
+SELECT label, vec_id, rank::int AS rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY floor(embedding[1] * 4), floor(embedding[2] * 4), vec_id % 2, vec_id % 3, vec_id) - 1 AS rank FROM embeddings) WHERE vec_id <= 99
+ORDER BY vec_id LIMIT 100
+""")
+def ordered_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks by five keys, and the first hundred rows."""
+    e = t(spark, sf, "embeddings")
+    part = lambda i: F.floor(F.col("embedding")[i] * 4)
+    p = e.select("label", "vec_id", part(0).alias("y"), part(1).alias("x"), (F.col("vec_id") % 2).alias("type"), (F.col("vec_id") % 3).alias("direction"), F.col("vec_id").alias("idx"))
+    return sampling.first_rows(sampling.ranked_points(p, ["label"]).select("label", "vec_id", "rank"), ["vec_id"], 100)
+
+
+@query()
+def feature_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """K8: even against odd vectors of a label as features; the fit is iterative, so there is no SQL."""
+    v = t(spark, sf, "embeddings").select("label", F.col("vec_id").alias("idx"), F.col("embedding").alias("v"), (F.col("embedding")[0] * 100.0).alias("x"), (F.col("embedding")[1] * 100.0).alias("y"))
+    out = score_features(v.filter("idx % 2 = 0"), v.filter("idx % 2 = 1"), "label", 0.98)
+    return out.withColumn("raw_score", F.round("raw_score", 6))

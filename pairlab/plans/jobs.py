@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import digests, numbers
+from ..functions import digests, numbers, scores
 from ..functions.keys import logical_key, pair_id
-from ..operators import aggregates, cohort, contract, pairs, records, screening
+from ..operators import affine, aggregates, cohort, contract, matching, pairs, records, screening
 
 SIDES = ["capture"]
 
@@ -133,3 +133,23 @@ def paired_report(results: DataFrame, method: str, dataset: str, kind: str, view
     moves = joined.withColumn("_move", F.concat_ws("->", F.coalesce("status_a", F.lit("absent")), F.coalesce("status_b", F.lit("absent"))))
     out = out.join(aggregates.histogram_text(moves, keys, "_move", "transitions"), keys)
     return out.join(aggregates.pearson(joined.filter(ok), "score_a", "score_b", keys), keys, "left")
+
+
+def score_features(a: DataFrame, b: DataFrame, pair: str, ratio: float, matching_mode: str = "mutual", score_mode: str = scores.COMPOSITE, model: str = "partial", threshold: float = 3.0) -> DataFrame:
+    """K8: scores of pairs from prepared features (pair, idx, v, x, y) of both sides: match, fit, components, chosen score.
+
+    A pair without enough matches is a valid zero with a reason (K5).
+    """
+    dist = matching.distances(a, b, [pair])
+    matches = matching.match(dist, [pair], ratio).filter(F.col("mode") == matching_mode)
+    placed = (
+        matches.join(a.select(pair, F.col("idx").alias("ia"), "x", "y"), [pair, "ia"])
+        .join(b.select(pair, F.col("idx").alias("ib"), F.col("x").alias("u"), F.col("y").alias("v")), [pair, "ib"])
+        .select(pair, F.col("ia").alias("idx"), "x", "y", "u", "v")
+    )
+    fits = affine.robust_affine(placed, pair, model, threshold).select(pair, "matches", "inliers", "reason")
+    points = a.groupBy(pair).agg(F.count("*").alias("points_a")).join(b.groupBy(pair).agg(F.count("*").alias("points_b")), pair)
+    out = points.join(fits, pair, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("matches", "inliers")})
+    out = out.withColumn("reason", F.when(F.col("matches") == 0, "insufficient_geometry_matches").otherwise(F.col("reason")))
+    parts = scores.score_components(F.col("inliers"), F.col("matches"), F.col("points_a"), F.col("points_b"))
+    return out.withColumn("_s", scores.score_of_mode(parts, F.lit(score_mode))).select(pair, "points_a", "points_b", "matches", "inliers", "reason", F.col("_s.score").alias("raw_score"))
