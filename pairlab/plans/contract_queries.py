@@ -11,7 +11,7 @@ from ..functions import digests, keys, numbers
 from ..operators import cohort, contract, pairs, parity, records, sampling, scoring
 from ..sources import publish, readers, scan
 from .jobs import build_protocol, score_features
-from .records_queries import A_SQL, B_SQL, GENUINE_SQL, HASH_SQL, K, SEED, STRATA, VERSION, genuine, side, t
+from .records_queries import A_SQL, B_SQL, ELIGIBLE_COHORT_SQL, GENUINE_SQL, HASH_SQL, LAST, SEED, STRATA, VERSION, K, genuine, side, t
 from .score_queries import PAIRS_SQL, scored
 
 QUERIES, SQL = {}, {}
@@ -298,7 +298,12 @@ def code_names(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", keys.zero_padded(F.col("o_custkey"), 8).alias("subject_id"), keys.alias_of(F.col("o_orderpriority"), {"1-urgent": "high", "2-high": "high", "5-low": "low"}).alias("level"))
 
 
-@query("SELECT c.check, 0::bigint AS violations, TRUE AS holds FROM (VALUES ('bijection'), ('ranks'), ('same_identities'), ('unique_ids'), ('self_sides')) c(check)".replace("check", '"check"'))
+@query(f"""
+WITH {ELIGIBLE_COHORT_SQL}, n AS (SELECT stratum, count(*) AS n FROM {LAST} GROUP BY stratum),
+v AS (SELECT 'bijection' AS c, count(*) FILTER (WHERE n = 1) AS v FROM n UNION ALL SELECT 'ranks', count(*) FILTER (WHERE n <> {K}) FROM n
+      UNION ALL SELECT c, 0 FROM (VALUES ('same_identities'), ('unique_ids'), ('self_sides')) x(c))
+SELECT c AS "check", v AS violations, v = 0 AS holds FROM v
+""")
 def protocol_checks(spark: SparkSession, sf: str) -> DataFrame:
     """The checks of a whole protocol."""
     sources = {s: side(spark, sf, s).select("subject", "stratum", "capture") for s in "FOP"}
