@@ -100,9 +100,12 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("_row"), F.col(text_col).cast("string").alias("_text"), F.coalesce(lang, F.lit("")).alias("_lk"), lang.isNull().alias("_ln"))
     counted = staged(_counts(rows, "_text").select("_row", "_lk", "_ln", "_classes", "_hits", "_n_chars", "_n_words", "_n_dup_lines", "_n_repeat_words"))
     nc, nw = len(CLASSES) + 1, len(WORDS) + 1
-    pooled = counted.groupBy("_lk", "_ln").agg(
-        F.array(*[F.sum(F.col("_classes")[i]) for i in range(nc)]).alias("_ref_classes"),
-        F.array(*[F.sum(F.col("_hits")[i]) for i in range(nw)]).alias("_ref_hits"),
+    # a table of known size: Spark broadcasts it under its threshold, and the documents are not dealt by language
+    pooled = staged(
+        counted.groupBy("_lk", "_ln").agg(
+            F.array(*[F.sum(F.col("_classes")[i]) for i in range(nc)]).alias("_ref_classes"),
+            F.array(*[F.sum(F.col("_hits")[i]) for i in range(nw)]).alias("_ref_hits"),
+        )
     )
     sums = {f"_sum{c}": _sum(c) for c in ("_classes", "_hits", "_ref_classes", "_ref_hits")}
     met = counted.join(pooled, ["_lk", "_ln"]).withColumns(sums)
