@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder."""
-    return f"{publish.shared_dir(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{publish.staging_dir(spark)}/{uuid.uuid4().hex}"
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")

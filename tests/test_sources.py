@@ -65,3 +65,11 @@ def test_exports(spark, tmp_path):
     found = spark.createDataFrame([("a",), ("a",), ("z",), ("b",)], "k string")
     allowed = spark.createDataFrame([("a",), ("b",)], "k string")
     assert sorted(tuple(r) for r in publish.partition_faults(found, allowed, ["k"]).collect()) == [("a", "duplicate_partition"), ("z", "unknown_partition")]
+
+
+def test_staged_tables_can_be_cleared(spark):
+    table = publish.staged(spark.range(4))
+    assert table.count() == 4
+    publish.clear_staged(spark)
+    with pytest.raises(Exception):
+        spark.read.parquet(table.inputFiles()[0]).count()
