@@ -113,7 +113,8 @@ class Model:
 def fit(labelled: DataFrame, per_lang: int = PER_LANG, total: int = TOTAL) -> Model:
     """Fit on (doc_id, text, lang); rows with a null text or lang are left out."""
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    known = labelled.select("lang").filter(F.col("lang").isNotNull())  # counted without reading texts
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
     each = max(1, min(per_lang, total // max(len(counts), 1)))
     ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     chosen = F.lit(False)
