@@ -111,7 +111,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> Dat
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = (
         salted.withColumn("inside", F.row_number().over(inside) - 1)
-        .join(counts.select("length", "salt", "before"), ["length", "salt"])  # the pieces are already dealt by these keys
+        .join(counts.select("length", "salt", "before").hint("merge"), ["length", "salt"])  # the pieces are already dealt by these keys
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inside")).alias("rank"))
     )
     shift = 44
