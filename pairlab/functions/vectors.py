@@ -31,18 +31,19 @@ def vector_fault(v: Column, length: int) -> Column:
 def root_normalised(v: Column) -> Column:
     """F16: L1-normalise, then square roots; zeros for a zero norm."""
     norm = total(F.transform(doubles(v), F.abs))
-    return F.when(norm > 0, F.transform(doubles(v), lambda x: F.sqrt(F.abs(x) / norm))).otherwise(F.transform(doubles(v), lambda x: F.lit(0.0)))
+    scaled = F.transform(F.array(norm), lambda n: F.transform(doubles(v), lambda x: F.sqrt(F.abs(x) / n)))[0]  # the norm is summed once
+    return F.when(norm > 0, scaled).otherwise(F.transform(doubles(v), lambda x: F.lit(0.0)))
 
 
-def unit(v: Column) -> Column:
-    norm = F.sqrt(total(F.transform(doubles(v), lambda x: x * x)))
-    return F.transform(doubles(v), lambda x: F.try_divide(x, norm))
+def cosine(a: Column, b: Column) -> Column:
+    """Dot product of the two vectors at unit length; null for a zero vector."""
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def two_branch_score(a: Column, b: Column, half: int) -> Column:
     """dot product of vectors whose two halves are each brought to unit length; 2 for itself."""
-    part = lambda v, i: unit(F.slice(v, 1 + i * half, half))
-    return dot(part(a, 0), part(b, 0)) + dot(part(a, 1), part(b, 1))
+    part = lambda v, i: F.slice(v, 1 + i * half, half)
+    return cosine(part(a, 0), part(b, 0)) + cosine(part(a, 1), part(b, 1))
 
 
 def array_digest(named: dict[str, Column]) -> Column:
