@@ -57,7 +57,7 @@ def robust_affine(matches: DataFrame, pair: str = "pair", model: str = "partial"
     counts = numbered.groupBy("pair").agg(F.count("*").alias("n"))
     enough = counts.filter(F.col("n") >= least).select("pair", "n")
     points = numbered.join(enough.select("pair"), "pair")
-    # a point's partners are the next ones by index and hash-chosen strides: about `hypotheses` samples a pair, whatever its size
+    # samples are drawn by hash, up to `hypotheses` a pair whatever its size; pairs of few matches try every sample
     ranked = points.withColumn("k", F.row_number().over(Window.partitionBy("pair").orderBy("idx")) - 1)
     tries = enough.select("pair", "n", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))).alias("h"))
     draw = lambda i: F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("pair").cast("string"), F.col("h").cast("string"), F.lit(str(i))), 256), 1, 12), 16, 10).cast("bigint"), F.col("n")).cast("int")
