@@ -21,8 +21,8 @@ radius-1 balls of the other bits, and keeps fingerprints that share a bucket.
 
 from __future__ import annotations
 
-from functools import partial, reduce
-from math import acos, pi
+from functools import partial
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -130,77 +130,115 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
     return docs_fp.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-# ---- similarity joins: fingerprints of more bits, for thresholds beyond a few bits of 64
+# ---- similarity joins: exact sets of shingle hashes, for thresholds beyond a few bits of 64
 
-#: 64-bit words of the fingerprint that is compared, and of the one that finds candidates (bands of 32 bits).
-WIDE, PROBES = 16, 2
-_STREAMS = np.random.default_rng(20240601).integers(1, 1 << 63, size=WIDE, dtype=np.uint64)
+#: Documents whose shingles are counted for the order of the prefixes, and the count from which one is common.
+SAMPLE, COMMON = 10_000, 8
 
 
-def most_bits(similarity: float, words: int = WIDE) -> int:
-    """Differing bits that sets of this Jaccard similarity have at most: the mean, by cosine 2J / (1 + J), and one deviation."""
-    p = acos(min(1.0, 2 * similarity / (1 + similarity))) / pi
-    return int(64 * words * p + (64 * words * p * (1 - p)) ** 0.5)
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's word shingles, ascending; a shorter text is one shingle."""
+    words = text.lower().split()
+    if not words:
+        return np.array([], dtype=np.uint64)
+    hashed = partial(xxhash.xxh64_intdigest, seed=42)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.array(list(map(hashed, grams)), dtype=np.uint64))
 
 
-def _streams(h: np.ndarray, k: int) -> np.ndarray:
-    x = h.reshape(-1, 1) ^ _STREAMS[:k]
+def set_key(grams: np.ndarray) -> int:
+    """Key of a shingle set, signed; zero for the empty set."""
+    x = grams ^ np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    key = (int(np.add.reduce(x ^ (x >> np.uint64(31)))) & ((1 << 64) - 1)) ^ len(grams)
+    return key - (1 << 64) if key >> 63 else key
 
 
-def wide_fingerprint(text: bytes, shingle: int) -> tuple[int, list[int]]:
-    """(key of the shingle set, PROBES words over the set of words and WIDE words over the set of shingles)."""
-    words = text.lower().split()
-    if not words:
-        return 0, [0] * (PROBES + WIDE)
-    hashed = partial(xxhash.xxh64_intdigest, seed=42)
-    grams = {hashed(g) for g in map(b" ".join, zip(*(words[i:] for i in range(shingle))))} if len(words) >= shingle else {hashed(b" ".join(words))}
-    sets = [np.array(list(s), dtype=np.uint64) for s in ({hashed(w) for w in set(words)}, grams)]
-    key = int(np.add.reduce(_streams(sets[1], 1)[:, 0])) ^ len(grams)
-    bits = np.concatenate([majority(_streams(s, k)) for s, k in zip(sets, (PROBES, WIDE))])
-    return key - (1 << 64) if key >> 63 else key, bits.view(np.int64).tolist()
+def prefix(grams: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, common ones last: two sets this similar share one of them.
+
+    Similar sets share at least similarity * n of a set's n shingles, so all but
+    that many less one are enough, whatever the order, if all sets keep to it.
+    """
+    at = np.minimum(np.searchsorted(common, grams), max(len(common) - 1, 0))
+    late = common[at] == grams if len(common) else np.zeros(len(grams), dtype=bool)
+    return np.concatenate([grams[~late], grams[late]])[: len(grams) - ceil(similarity * len(grams) - 1e-9) + 1]
+
+
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of many texts, by a sample of bounded size; they only set the order of prefixes, never what is found."""
+
+    def work(batches):
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t or b"", shingle).view(np.int64))], ["v"])
+
+    total = texts.count()
+    some = texts.sample(min(1.0, SAMPLE / total), seed=1) if total > SAMPLE else texts
+    often = some.select("t").mapInArrow(work, "v bigint").groupBy("v").count().filter(F.col("count") >= COMMON)
+    return np.sort(np.array([r["v"] for r in often.select("v").toLocalIterator()], dtype=np.int64).view(np.uint64))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have that Jaccard similarity, by the sets themselves."""
+    side = lambda n: sets.select(F.col("k").alias(n), F.col("s").alias(f"s{n}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("m"), (F.size("sa") + F.size("sb")).alias("n"))
+    return met.filter(F.col("m") / (F.col("n") - F.col("m")) >= similarity).select("a", "b")
+
+
+def _may_link(met: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b) of bucket members x and y that their sizes and places let be similar."""
+    least = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    # past the first shingle of both prefixes in common, the shorter rest bounds the others
+    rest = lambda s: F.col(f"{s}.n") - F.col(f"{s}.i")
+    most = F.least("x.n", "y.n")
+    fits = met.filter((F.col("x.k") != F.col("y.k")) & (most >= least))
+    return fits.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"), (F.least(rest("x"), rest("y")) >= least).alias("f")).filter("f").select("a", "b").distinct()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row; links are texts whose word shingles are that similar.
-
-    The method is the operator's, for a similarity that no few bits of 64
-    express: candidates come from a 128-bit SimHash of the set of words, whose
-    four 32-bit bands emit their balls of radius 1, so bands up to 2 bits apart
-    meet in a variant; colliding pairs are verified by the Hamming distance of
-    1024-bit SimHashes of the shingles, whose deviation is 0.02 in similarity;
-    the limit is set one deviation wide, so that few pairs at it are lost.  Texts of equal shingle sets are one
-    node.  Inside a variant's bucket each member pairs with the bucket's first
-    and last members by a hash, so pairs grow with members and not their square.
+    """(doc_id, component_id) of every row; links are all pairs of texts whose word shingles are that similar.
+
+    No few bits of a SimHash express such a similarity, so candidates are texts
+    that share a shingle of their prefixes, which no similar pair fails to do,
+    and every candidate is verified by the exact Jaccard similarity of its sets
+    of (64-bit hashes of) shingles.  Texts of equal sets are one node.
+    Each member of a prefix shingle's bucket meets the bucket's first member by a hash.
     Null and blank texts form one component.
     """
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    common = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
 
     def work(batches):
         for b in batches:
-            found = [wide_fingerprint(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            keys, sigs = ([f[i] for f in found] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], ["doc_id", "k", "sig"])
-
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    rows = staged(rows.mapInArrow(work, "doc_id bigint, k bigint, sig array<bigint>"))
-    nodes = staged(rows.groupBy("k").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")))
-    flips = "concat(array(0L), transform(sequence(0, 31), i -> shiftleft(1L, i)))"
-    masks = nodes.sparkSession.range(1).selectExpr(f"{flips} AS m").first()["m"]  # 33 constants
-    bands = F.array(*[F.struct(F.lit(b).alias("b"), F.expr(f"shiftrightunsigned(sig[{b // 2}], {32 * (b % 2)}) & 4294967295L").alias("v")) for b in range(2 * PROBES)])
-    tagged = nodes.select("k", F.explode(bands).alias("band")).select("k", "band.b", "band.v", F.explode(F.array(*map(F.lit, masks))).alias("m"))
-    members = tagged.select("k", (F.shiftleft(F.col("b").cast("bigint"), 32).bitwiseOR(F.col("v").bitwiseXOR(F.col("m")))).alias("v"))
-    order = F.struct(F.xxhash64("k").alias("h"), F.col("k").alias("k"))
+            found = [shingle_set(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            firsts = [prefix(g, similarity, common.value).view(np.int64) for g in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(list(map(set_key, found)), pa.int64()), pa.array(list(map(len, found)), pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
+                ["doc_id", "k", "n", "vs"],
+            )
+
+    def resets(batches):
+        for b in batches:
+            found = [shingle_set(t or b"", shingle) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(set_key, found)), pa.int64()), pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))], ["k", "s"])
+
+    rows = staged(texts.mapInArrow(work, "doc_id bigint, k bigint, n int, vs array<bigint>"))
+    nodes = rows.groupBy("k").agg(F.min("doc_id").alias("least"))
+    members = rows.groupBy("k").agg(F.first("n").alias("n"), F.first("vs").alias("vs")).select("k", "n", F.posexplode("vs").alias("i", "v"))
     bucket = Window.partitionBy("v")
-    ends = members.select("k", F.min(order).over(bucket).alias("lo"), F.max(order).over(bucket).alias("hi"))
-    met = ends.filter(F.col("lo.k") != F.col("hi.k")).select("k", F.explode(F.array("lo.k", "hi.k")).alias("c")).filter("k <> c")
-    pairs = met.select(F.least("k", "c").alias("a"), F.greatest("k", "c").alias("b")).distinct()
-    side = lambda n: nodes.select(F.col("k").alias(n), F.slice("sig", PROBES + 1, WIDE).alias(f"s{n}"))
-    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(WIDE)])
-    verified = pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= most_bits(similarity)).select("a", "b")
-    roots = components(verified)
-    named = nodes.select("k", "least").join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    order = F.struct(F.xxhash64("k").alias("h"), "k", "n", "i")
+    shared = staged(members.select("*", F.count("*").over(bucket).alias("c"), F.min(order).over(bucket).alias("o")).filter("c > 1").drop("c"))
+    met = shared.select(F.struct("k", "n", "i").alias("x"), F.struct("o.k", "o.n", "o.i").alias("y"))
+    pairs = staged(_may_link(met, similarity))
+    ids = shared.select("k").distinct().join(nodes, "k").select(F.col("least").alias("doc_id")).distinct()
+    again = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("t")
+    sets = staged(again.mapInArrow(resets, "k bigint, s array<bigint>").groupBy("k").agg(F.first("s").alias("s")))
+    linked = staged(_alike(pairs, sets, similarity))
+    roots = components(linked)
+    named = nodes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_key = staged(named.select("k", "root").join(least, "root").select("k", "component_id"))
     return rows.select("doc_id", "k").join(of_key, "k").select("doc_id", "component_id")
