@@ -198,6 +198,16 @@ def _may_link(met: DataFrame, similarity: float) -> DataFrame:
     return fits.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"), (F.least(rest("x"), rest("y")) >= least).alias("f")).filter("f").select("a", "b").distinct()
 
 
+def _open_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs inside buckets whose members are not in one component yet."""
+    labelled = shared.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+    bucket = Window.partitionBy("v")
+    split = labelled.select("v", "k", "n", "i", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).filter("lo <> hi")
+    member = staged(split.select("v", "root", F.struct("k", "n", "i").alias("x")))
+    other = member.select("v", F.col("root").alias("other"), F.col("x").alias("y"))
+    return _may_link(member.join(other, "v").filter("root <> other AND x.k < y.k").select("x", "y"), similarity)
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row; links are all pairs of texts whose word shingles are that similar.
 
@@ -205,7 +215,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     that share a shingle of their prefixes, which no similar pair fails to do,
     and every candidate is verified by the exact Jaccard similarity of its sets
     of (64-bit hashes of) shingles.  Texts of equal sets are one node.
-    Each member of a prefix shingle's bucket meets the bucket's first member by a hash.
+
+    Each member of a prefix shingle's bucket first meets the bucket's first
+    member by a hash; then all members that the links found do not join yet meet
+    each other, so a family of near copies costs its size and nothing is left out.
     Null and blank texts form one component.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
@@ -238,6 +251,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     sets = staged(again.mapInArrow(resets, "k bigint, s array<bigint>").groupBy("k").agg(F.first("s").alias("s")))
     linked = staged(_alike(pairs, sets, similarity))
     roots = components(linked)
+    rest = _open_pairs(shared, roots, similarity).join(pairs, ["a", "b"], "left_anti")
+    more = staged(_alike(rest, sets, similarity))
+    if not more.isEmpty():
+        roots = components(linked.union(more))
     named = nodes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_key = staged(named.select("k", "root").join(least, "root").select("k", "component_id"))

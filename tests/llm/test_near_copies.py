@@ -51,3 +51,16 @@ def test_appended_and_truncated_copies_are_found(spark, share):
         texts[4 * k + 2] = " ".join(w[: int(n * share) + 5])
     assert found(spark, texts) == brute_components(texts)
     assert all(brute_components(texts)[4 * k + 1] == brute_components(texts)[4 * k + 2] == 4 * k for k in range(40))
+
+
+def test_templated_pages_link_all_near_copies(spark):
+    """A family of one boilerplate, 0.6 alike across pages, with near copies inside."""
+    rng, texts = random.Random(3), {}
+    common = words(rng, 300, "c")
+    for k in range(150):
+        own = words(rng, 100, "w")
+        near = own[:-10] + words(rng, 10, "x")
+        texts[2 * k], texts[2 * k + 1] = " ".join(common + own), " ".join(common + near)
+    want = brute_components(texts)
+    assert len(set(want.values())) == 150
+    assert found(spark, texts) == want
