@@ -53,6 +53,17 @@ def test_appended_and_truncated_copies_are_found(spark, share):
     assert all(brute_components(texts)[4 * k + 1] == brute_components(texts)[4 * k + 2] == 4 * k for k in range(40))
 
 
+def test_pages_below_the_limit_stay_apart(spark):
+    rng, texts = random.Random(2), {}
+    for k in range(40):
+        w = words(rng, 400, "w")
+        n = len(w) - 4
+        for m, share in enumerate((0.74, 0.76, 0.78, 0.795)):
+            texts[10 * k + 2 * m] = " ".join(y := [f"{m}{x}" for x in w])
+            texts[10 * k + 2 * m + 1] = " ".join(y[: int(n * share) + 4])
+    assert brute_components(texts) == {i: i for i in texts} == found(spark, texts)
+
+
 def test_templated_pages_link_all_near_copies(spark):
     """A family of one boilerplate, 0.6 alike across pages, with near copies inside."""
     rng, texts = random.Random(3), {}
@@ -64,3 +75,18 @@ def test_templated_pages_link_all_near_copies(spark):
     want = brute_components(texts)
     assert len(set(want.values())) == 150
     assert found(spark, texts) == want
+
+
+def test_real_texts(spark, documents):
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    assert found(spark, texts) == brute_components(texts)
+
+
+def test_small_sets(spark):
+    rng, texts = random.Random(5), {}
+    for i in range(150):
+        w = list("abcdefghijkl"[: rng.randrange(1, 13)])
+        if rng.random() < 0.5:
+            w[rng.randrange(len(w))] = "z"
+        texts[i] = " ".join(w)
+    assert found(spark, texts) == brute_components(texts)
