@@ -62,28 +62,31 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """All columns of `docs` with recurring lines taken out of the text, plus _n_lines and _n_dropped.
 
     Rows that share a doc_id count as one document (their lines never recur
-    because of each other), rows without a doc_id as one more.  A null text
-    stays null and has no lines; a text whose lines all go becomes empty.
-    Other columns may have any names.
+    because of each other), but lines are dropped from the row they stand in.
+    A row without a doc_id is a document of its own, before all others, unless
+    its text equals another such row's.  A null text stays null and has no
+    lines; a text whose lines all go becomes empty.  Other columns may have
+    any names.
     """
-    lines = docs.select(F.col(id_col).alias("d"), F.posexplode(F.split(text_col, "\n")).alias("p", "line"))
-    keyed = staged(lines.select("d", "p", F.explode(template_keys(F.col("line"))).alias("k")))
+    lines = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("h"), F.posexplode(F.split(text_col, "\n")).alias("p", "line"))
+    keyed = staged(lines.select("d", "h", "p", F.explode(template_keys(F.col("line"))).alias("k")))
     least = F.coalesce("d", F.lit(-(2**63)))
+    unnamed = F.when(F.col("d").isNull(), F.col("h"))  # tells documents without an id apart
     templates = (
         keyed.groupBy("k")
-        .agg(F.min(F.struct(least.alias("d"), "p")).alias("first"), F.max(least).alias("last"))
-        .filter(F.col("first.d") != F.col("last"))
-        .select("k", F.col("first.d").alias("fd"), F.col("first.p").alias("fp"))
+        .agg(F.min(F.struct(least.alias("d"), "p", unnamed.alias("h"))).alias("first"), F.max(least).alias("last"), F.min(unnamed).alias("lo"), F.max(unnamed).alias("hi"))
+        .filter((F.col("first.d") != F.col("last")) | (F.col("lo") != F.col("hi")))
+        .select("k", F.col("first.d").alias("fd"), F.col("first.p").alias("fp"), F.col("first.h").alias("fh"))
     )
-    dropped = keyed.join(templates, "k").filter((least != F.col("fd")) | (F.col("p") != F.col("fp")))
+    dropped = keyed.join(templates, "k").filter((least != F.col("fd")) | (F.col("p") != F.col("fp")) | ~unnamed.eqNullSafe(F.col("fh")))
     masks = (
-        dropped.groupBy(least.alias("_ld_id"), F.floor(F.col("p") / _BLOCK).cast("int").alias("b"))
+        dropped.groupBy(least.alias("_ld_id"), F.col("h").alias("_ld_hash"), F.floor(F.col("p") / _BLOCK).cast("int").alias("b"))
         .agg(F.bit_or(F.expr(f"shiftleft(1L, p % {_BLOCK})")).alias("m"))
-        .groupBy("_ld_id")
+        .groupBy("_ld_id", "_ld_hash")
         .agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("_ld_masks"))
     )
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_ld_row"), F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("_ld_id"))
-    joined = rows.join(masks, "_ld_id", "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_ld_row"), F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("_ld_id"), F.xxhash64(text_col).alias("_ld_hash"))
+    joined = rows.join(masks, ["_ld_id", "_ld_hash"], "left")
     split = F.split(F.col(f"_ld_row.{text_col}"), "\n")
     kept = F.expr(f"filter(split(_ld_row.`{text_col}`, '\\n'), (x, i) -> (coalesce(_ld_masks[cast(floor(i / {_BLOCK}) as int)], 0L) & shiftleft(1L, i % {_BLOCK})) = 0)")
     lines_in = F.when(F.col(f"_ld_row.{text_col}").isNull(), 0).otherwise(F.size(split))
