@@ -1,13 +1,12 @@
 """Operator 2: best-fit packing of documents into fixed-length token sequences.
 
-Bulk-synchronous best fit.  Documents are cut into pieces of at most `capacity`
-tokens; pieces are range-sorted by length and ranked within their length by a
-two-level count (length × salt, then rows inside), so no task sees more than
+Best fit, planned on the driver.  Documents are cut into pieces of at most
+`capacity` tokens; pieces are counted by length and ranked within it by a two-level count (length × salt, then rows inside), so no task sees more than
 one salt of one length.  Pieces of one length are interchangeable, and so are
-sequences with one gap: the state of a superstep is therefore run-length coded
+sequences with one gap: the state of the plan is therefore run-length coded
 (at most `capacity` document classes; gap runs named by a first sequence and a
 count), its size bounded by `capacity` and never by the number of documents.
-A superstep matches one length, longest first: its documents take their
+One sequential loop matches a length a step, longest first: its documents take their
 successor (the smallest gap that holds them), conflicts go by rank (the k-th
 piece of a class takes the k-th sequence of the run, later ranks the next run),
 gaps are updated, and the sweep goes on to the next length, so the sequences
