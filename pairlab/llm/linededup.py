@@ -1,61 +1,86 @@
 """Operator 1: line dedup over a fixed-depth log-template tree (DataFrame functions only).
 
-A line goes down a tree of fixed depth: its token count, its leading tokens
-(tokens with a digit are variable fields), then which part of the remaining
-tokens is constant.  A leaf is a template: the named part fixed, everything
-else a wildcard.  Besides the whole line (wildcards only for digits) there are
-four parts of the rest: first half, second half, even and odd places, so lines
-that differ in one variable field, or in neighbouring ones, share a template.
-A template that occurs in two or more documents recurs; its first occurrence
+A line goes down a tree of fixed depth: its token count, then its leading
+tokens.  Tokens with a digit or without a letter are variable fields; the other
+tokens are words.  The leaf learns its template from its distinct lines: a word
+that more than half of them have at a place is constant there, every other
+place is a variable field.  A line belongs to the template if most of its words
+are the leaf's, so whichever fields vary, lines that differ only there meet.
+
+Lines also recur on their own: lines made mostly of words with their variable
+fields as wildcards, all others (short lines, numbers, rows of a table) by
+their exact text, so that no template consists of wildcards.  Lines without a
+letter or digit have no template.
+
+A template that stands in two or more documents recurs; its first occurrence
 (smallest doc_id, then line number) is kept, all later ones are dropped.
 
-Templates are counted by partial aggregation on their hash, so a line that a
-third of all documents share is one row per task before the shuffle, and they
-are joined back on the hash, where Spark may split a hot key.
+Lines are counted by partial aggregation on their hash, so a line that a third
+of all documents share is one row per task before the shuffle.  Most leaves
+hold one distinct line and are given up after that; tokens are read only for
+lines of the others, from their first occurrence.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, TRIMMED, staged, table
 
-LEADING, MIN_TOKENS, MIN_TOKENS_WILD = 3, 4, 8
+LEADING = 3
+#: Constant words that a template has at least: a number, a share (numerator, denominator) of the tokens, and of the words.
+LEAST_WORDS, OF_TOKENS, OF_WORDS = 3, (1, 2), (3, 4)
+_MASK = "<*>"
 _BLOCK = 60  # line numbers of one bit mask
+_FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*|(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"
+
+
+def masked(line: Column) -> Column:
+    """The line's tokens between single blanks, variable fields masked; most lines pass the quick tests and need no replacement."""
+    blank = F.lit(" ")
+    quick = [line.rlike(r"[0-9\x09-\x0D]"), line.rlike(r" [^\p{L}]"), line.rlike(r"^\P{L}"), F.endswith(line, blank)]
+    even = F.regexp_replace(F.btrim(F.regexp_replace(line, _FIELD, _MASK), F.lit(TRIMMED)), SPACE + "+", " ")
+    return F.when(reduce(or_, quick), even).otherwise(line)
+
+
+def line_keys(lines: DataFrame, leading: int = LEADING) -> DataFrame:
+    """Adds k (hash of the line's own template) and node (hash of its leaf, null for few words) to lines that have a template."""
+    step = lines.filter(F.col("line").rlike(r"[\p{L}\p{N}]")).withColumn("m", masked(F.col("line")))
+    blanks = F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit("")))
+    fields = F.when(F.contains("m", F.lit(_MASK)), F.size(F.split("m", " ")) - F.size(F.array_remove(F.split("m", " "), _MASK))).otherwise(0)
+    step = step.withColumn("n", blanks + 1).withColumn("words", F.col("n") - fields)
+    wordy = (F.col("words") >= LEAST_WORDS) & (OF_TOKENS[1] * F.col("words") >= OF_TOKENS[0] * F.col("n"))
+    return step.withColumn("wordy", wordy).select(
+        *[c for c in lines.columns if c != "line"],
+        F.when(F.col("wordy"), F.xxhash64(F.lit(1), "m")).otherwise(F.xxhash64(F.lit(0), F.btrim("line", F.lit(TRIMMED)))).alias("k"),
+        F.when(F.col("wordy"), F.xxhash64("n", F.substring_index("m", " ", leading))).alias("node"),
+    )
 
 
-def template_keys(line: Column, leading: int = LEADING, min_tokens: int = MIN_TOKENS, min_wild: int = MIN_TOKENS_WILD) -> Column:
-    """Hashes of a line's templates; none for lines under `min_tokens` tokens."""
-
-    def keys(masked: Column) -> Column:
-        words = F.split(masked, SPACE + "+")
-        n = F.size(words)
-
-        def leaves(w: Column) -> Column:
-            rest = F.slice(w, leading + 1, F.greatest(F.size(w) - leading, F.lit(0)))
-            return F.transform(F.array(F.struct(w.alias("w"), rest.alias("r"))), lambda x: leaf(x["w"], x["r"]))[0]
-
-        def leaf(w: Column, rest: Column) -> Column:
-            half = F.floor(F.size(rest) / 2).cast("int")
-            lead = F.slice(w, 1, leading)
-            return F.array(
-                F.xxhash64(F.lit(0), F.size(w), w),
-                F.xxhash64(F.lit(1), F.size(w), lead, F.slice(rest, 1, half)),
-                F.xxhash64(F.lit(2), F.size(w), lead, F.slice(rest, half + 1, F.size(rest))),
-                F.xxhash64(F.lit(3), F.size(w), lead, F.filter(rest, lambda x, i: i % 2 == 0)),
-                F.xxhash64(F.lit(4), F.size(w), lead, F.filter(rest, lambda x, i: i % 2 == 1)),
-            )
-
-        return (
-            F.when(n < min_tokens, F.array().cast("array<bigint>"))
-            .when(n < min_wild, F.array(F.xxhash64(F.lit(0), n, words)))
-            .otherwise(leaves(words))
-        )
+def learned_templates(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """(k, node) of the lines that belong to their leaf's template, for leaves of several lines in several documents.
 
-    trimmed = F.btrim(line, F.lit(TRIMMED))
-    masked = F.when(trimmed.rlike("[0-9]"), F.regexp_replace(trimmed, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(trimmed)
-    return F.transform(F.array(masked), keys)[0]
+    `rows` are the documents as (a, d, h, text), `own` has a row per distinct
+    line: k, node, the place of its first occurrence, and whether it stands in
+    several documents.
+    """
+    doc = F.struct("first.a", "first.d", "first.u")
+    several = own.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("lines"), F.max("many").alias("many"), F.min(doc).alias("lo"), F.max(doc).alias("hi"))
+    leaves = several.filter("lines > 1 AND (many OR lo < hi)").select("node", "lines")
+    wanted = staged(own.join(leaves, "node").select("k", "node", "lines", "first.a", "first.d", "first.h", "first.p"))
+    of_doc = wanted.groupBy("a", "d", "h").agg(F.collect_list(F.struct("p", "k", "node", "lines")).alias("at"))
+    found = rows.dropDuplicates(["a", "d", "h"]).join(of_doc, ["a", "d", "h"]).select(F.split("text", "\n").alias("all"), F.explode("at").alias("x"))
+    words = F.split(masked(F.get("all", F.col("x.p"))), " ")
+    members = staged(found.select("x.k", "x.node", "x.lines", F.transform(words, lambda w: F.when(w != _MASK, w)).alias("t")))
+    seen = members.select("node", "lines", F.posexplode("t").alias("p", "w")).filter("w IS NOT NULL").groupBy("node", "p", "w").agg(F.count("*").alias("c"), F.first("lines").alias("lines"))
+    constant = seen.filter(2 * F.col("c") > F.col("lines")).groupBy("node").agg(F.collect_list(F.struct("p", "w")).alias("words"))
+    met = members.join(constant, "node").withColumn("c", F.expr("size(filter(words, s -> get(t, s.p) = s.w))"))
+    enough = (F.col("c") >= LEAST_WORDS) & (OF_TOKENS[1] * F.col("c") >= OF_TOKENS[0] * F.size("t")) & (OF_WORDS[1] * F.col("c") >= OF_WORDS[0] * F.size(F.array_compact("t")))
+    return met.filter(enough).select("k", "node")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,35 +90,41 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     because of each other), but lines are dropped from the row they stand in.
     A row without a doc_id is a document of its own, before all others, unless
     its text equals another such row's.  A null text stays null and has no
-    lines; a text whose lines all go becomes empty.  Other columns may have
-    any names.
+    lines; a text whose lines all go becomes empty; a very long text is one row
+    per line while it is parsed.  An empty table gives no rows; repeated rows
+    stay.  Other columns may have any names.
     """
-    lines = docs.select(F.col(id_col).alias("d"), F.xxhash64(text_col).alias("h"), F.posexplode(F.split(text_col, "\n")).alias("p", "line"))
-    keyed = staged(lines.select("d", "h", "p", F.explode(template_keys(F.col("line"))).alias("k")))
-    least = F.coalesce("d", F.lit(-(2**63)))
-    unnamed = F.when(F.col("d").isNull(), F.col("h"))  # tells documents without an id apart
-    templates = (
-        keyed.groupBy("k")
-        .agg(F.min(F.struct(least.alias("d"), "p", unnamed.alias("h"))).alias("first"), F.max(least).alias("last"), F.min(unnamed).alias("lo"), F.max(unnamed).alias("hi"))
-        .filter((F.col("first.d") != F.col("last")) | (F.col("lo") != F.col("hi")))
-        .select("k", F.col("first.d").alias("fd"), F.col("first.p").alias("fp"), F.col("first.h").alias("fh"))
-    )
-    dropped = keyed.join(templates, "k").filter((least != F.col("fd")) | (F.col("p") != F.col("fp")) | ~unnamed.eqNullSafe(F.col("fh")))
+    named = F.col(id_col).isNotNull()
+    place = (named.alias("a"), F.coalesce(F.col(id_col), F.lit(0)).cast("bigint").alias("d"), F.xxhash64(text_col).alias("h"))
+    texts = docs.select(*place, F.col(text_col).alias("text"))
+    lines = texts.select("a", "d", "h", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    keyed = staged(line_keys(lines))
+    unnamed = F.when(~F.col("a"), F.col("h"))  # tells documents without an id apart
+    at = F.struct("a", "d", "p", unnamed.alias("u"), "h")
+    doc = F.xxhash64("a", "d", unnamed)
+    own = keyed.groupBy("k").agg(F.min(at).alias("first"), F.first("node").alias("node"), F.min(doc).alias("lo"), F.max(doc).alias("hi"))
+    own = staged(own.select("k", "first", "node", (F.col("lo") != F.col("hi")).alias("many")))
+    learned = staged(learned_templates(texts, own))
+    who = F.struct("first.a", "first.d", "first.u")
+    leaf = own.drop("node").join(learned, "k").groupBy("node").agg(F.min("first").alias("first"), F.max("many").alias("many"), F.min(who).alias("lo"), F.max(who).alias("hi"))
+    recurring = own.filter("many").select("k", "first").union(leaf.filter("many OR lo < hi").select("node", "first").join(learned, "node").select("k", "first"))
+    same = (F.col("a") == F.col("first.a")) & (F.col("d") == F.col("first.d")) & (F.col("p") == F.col("first.p")) & unnamed.eqNullSafe(F.col("first.u"))
+    dropped = keyed.drop("node").join(recurring, "k").filter(~same)
     masks = (
-        dropped.groupBy(least.alias("_ld_id"), F.col("h").alias("_ld_hash"), F.floor(F.col("p") / _BLOCK).cast("int").alias("b"))
+        dropped.groupBy("a", "d", "h", F.floor(F.col("p") / _BLOCK).cast("int").alias("b"))
         .agg(F.bit_or(F.expr(f"shiftleft(1L, p % {_BLOCK})")).alias("m"))
-        .groupBy("_ld_id", "_ld_hash")
+        .groupBy(F.col("a").alias("_ld_a"), F.col("d").alias("_ld_d"), F.col("h").alias("_ld_h"))
         .agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("_ld_masks"))
     )
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_ld_row"), F.coalesce(F.col(id_col), F.lit(-(2**63))).alias("_ld_id"), F.xxhash64(text_col).alias("_ld_hash"))
-    joined = rows.join(masks, ["_ld_id", "_ld_hash"], "left")
-    split = F.split(F.col(f"_ld_row.{text_col}"), "\n")
-    kept = F.expr(f"filter(split(_ld_row.`{text_col}`, '\\n'), (x, i) -> (coalesce(_ld_masks[cast(floor(i / {_BLOCK}) as int)], 0L) & shiftleft(1L, i % {_BLOCK})) = 0)")
-    lines_in = F.when(F.col(f"_ld_row.{text_col}").isNull(), 0).otherwise(F.size(split))
-    out = joined.select("_ld_row", "_ld_masks", lines_in.cast("bigint").alias("_ld_lines"), F.when(F.col("_ld_masks").isNotNull(), kept).alias("_ld_kept"))
-    text = F.when(F.col("_ld_kept").isNull(), F.col(f"_ld_row.{text_col}")).otherwise(F.array_join("_ld_kept", "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(f"_ld_row.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*columns, F.col("_ld_lines").alias("_n_lines"), F.when(F.col("_ld_kept").isNull(), 0).otherwise(F.col("_ld_lines") - F.size("_ld_kept")).cast("bigint").alias("_n_dropped"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_ld_row"), *[c.alias(n) for c, n in zip(place, ("_ld_a", "_ld_d", "_ld_h"))])
+    joined = rows.join(masks, ["_ld_a", "_ld_d", "_ld_h"], "left")
+    text = F.col(f"_ld_row.`{text_col}`")
+    stay = F.expr(f"filter(split(_ld_row.`{text_col}`, '\\n'), (x, i) -> (coalesce(_ld_masks[cast(floor(i / {_BLOCK}) as int)], 0L) & shiftleft(1L, i % {_BLOCK})) = 0)")
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("bigint")
+    out = joined.select("_ld_row", n_lines.alias("_n_lines"), F.when(F.col("_ld_masks").isNotNull(), stay).alias("_ld_kept"))
+    new = F.when(F.col("_ld_kept").isNull(), text).otherwise(F.array_join("_ld_kept", "\n"))
+    columns = [new.alias(c) if c == text_col else F.col(f"_ld_row.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*columns, "_n_lines", F.when(F.col("_ld_kept").isNull(), 0).otherwise(F.col("_n_lines") - F.size("_ld_kept")).cast("bigint").alias("_n_dropped"))
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -104,21 +135,33 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS p, unnest(string_split(text, chr(10))) AS line FROM documents
-), words AS (
-  SELECT doc_id, p, string_split_regex(regexp_replace(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
-         '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+') AS w FROM lines
-), parts AS (
-  SELECT doc_id, p, w, len(w) AS n, w[1:3] AS l, w[4:] AS r FROM words WHERE len(w) >= 4
-), keys AS (
-  SELECT doc_id, p, '0' || w::varchar AS k FROM parts
-  UNION ALL SELECT doc_id, p, '1 ' || n || l::varchar || r[1:(n - 3) // 2]::varchar FROM parts WHERE n >= 8
-  UNION ALL SELECT doc_id, p, '2 ' || n || l::varchar || r[(n - 3) // 2 + 1:]::varchar FROM parts WHERE n >= 8
-  UNION ALL SELECT doc_id, p, '3 ' || n || l::varchar || list_filter(r, lambda x, i: i % 2 = 1)::varchar FROM parts WHERE n >= 8
-  UNION ALL SELECT doc_id, p, '4 ' || n || l::varchar || list_filter(r, lambda x, i: i % 2 = 0)::varchar FROM parts WHERE n >= 8
+), tokens AS (
+  SELECT doc_id, p, line, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') OR NOT regexp_matches(x, '\p{L}') THEN '<*>' ELSE x END) AS w
+  FROM lines WHERE regexp_matches(line, '[\p{L}\p{N}]')
+), counted AS (
+  SELECT *, len(w) AS n, len(list_filter(w, lambda x: x <> '<*>')) AS words FROM tokens
+), keyed AS (
+  SELECT doc_id, p, w, n, words, words >= 3 AND 2 * words >= n AS wordy,
+         CASE WHEN words >= 3 AND 2 * words >= n THEN '1' || w::varchar ELSE '0' || trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS k FROM counted
+), own AS (
+  SELECT k, any_value(wordy) AS wordy, any_value(w) AS w, any_value(n) AS n, any_value(words) AS words, min({'d': doc_id, 'p': p}) AS first, min(doc_id) AS lo, max(doc_id) AS hi FROM keyed GROUP BY k
+), leaves AS (
+  SELECT n, w[1:3] AS l, count(*) AS lines FROM own WHERE wordy GROUP BY n, w[1:3] HAVING count(*) > 1 AND min(lo) < max(hi)
+), members AS (
+  SELECT k, o.n, leaves.l, lines, w, words, first, lo, hi FROM own o JOIN leaves ON o.wordy AND o.n = leaves.n AND o.w[1:3] = leaves.l
+), places AS (
+  SELECT k, n, l, lines, unnest(range(1, n + 1)) AS p, unnest(w) AS x FROM members
+), constant AS (
+  SELECT n, l, p, x FROM places WHERE x <> '<*>' GROUP BY n, l, p, x HAVING 2 * count(*) > any_value(lines)
+), met AS (
+  SELECT k, count(*) AS c FROM places JOIN constant USING (n, l, p, x) GROUP BY k
+), learned AS (
+  SELECT m.k, n, l, first, lo, hi FROM members m JOIN met USING (k) WHERE c >= 3 AND 2 * c >= n AND 4 * c >= 3 * words
 ), templates AS (
-  SELECT k, min({'d': doc_id, 'p': p}) AS first FROM keys GROUP BY k HAVING min(doc_id) <> max(doc_id)
+  SELECT k, first FROM own WHERE lo < hi
+  UNION ALL SELECT k, f FROM learned JOIN (SELECT n, l, min(first) AS f FROM learned GROUP BY n, l HAVING min(lo) < max(hi)) USING (n, l)
 ), dropped AS (
-  SELECT DISTINCT doc_id, p FROM keys JOIN templates USING (k) WHERE doc_id <> first.d OR p <> first.p
+  SELECT DISTINCT doc_id, keyed.p FROM keyed JOIN templates USING (k) WHERE doc_id <> first.d OR keyed.p <> first.p
 ), kept AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS text FROM lines ANTI JOIN dropped USING (doc_id, p) GROUP BY doc_id
 )

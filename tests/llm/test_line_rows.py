@@ -20,3 +20,9 @@ def test_lines_recur_among_rows_without_id(spark):
     rows = [(None, f"{COMMON}\n{unique(i)}") for i in range(4)]
     got = [r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
     assert sum(COMMON in t for t in got) == 1 and all(any(unique(i) in t for t in got) for i in range(4))
+
+
+def test_a_null_id_is_not_the_least_id(spark):
+    rows = [(-(2**63), COMMON), (None, f"{unique(0)}\n{COMMON}"), (0, f"{unique(1)}\n{COMMON}")]
+    got = sorted(r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == sorted([f"{unique(0)}\n{COMMON}", "", unique(1)])

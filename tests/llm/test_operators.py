@@ -30,19 +30,43 @@ def test_sql(name, spark, sf, duck):
 # ---- 1
 
 
+def lines_of(spark, rows):
+    return {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id int, text string").repartition(3)).collect()}
+
+
 def test_line_dedup_generalises_variable_fields(spark):
     rows = [
         (1, "User logged in by alice from the north gate today\nunique prose line number one here"),
         (2, "User logged in by bob from the north gate today\nanother quite different line of prose"),
-        (3, "Request 17 took 250 ms\nshort one"),
-        (4, "Request 99 took 3 ms\nshort one"),
-        (5, "User logged in by carol from the north gate today"),
+        (3, "Request 17 took about 250 ms\nshort one"),
+        (4, "Request 99 took about 3 ms\nshort one\nlast words"),
+        (5, "User logged in by carol from the south gate today"),
     ]
-    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
-    assert got[1] == rows[0][1] and got[2] == "another quite different line of prose" and got[3] == rows[2][1] and got[4] == "short one"
+    got = lines_of(spark, rows)
+    assert got[1] == rows[0][1] and got[2] == "another quite different line of prose" and got[3] == rows[2][1] and got[4] == "last words"
     assert got[5] == ""
 
 
+def test_two_variable_fields_in_different_halves(spark):
+    names = ["alice", "bob", "carol", "dave", "erin", "frank"]
+    rows = [(i, f"User logged in {a} to the main hall by the {b} gate of the yard\nbody{a} of{b} a{a}text that{b} stays") for i, (a, b) in enumerate(zip(names, names[::-1]))]
+    got = lines_of(spark, rows)
+    assert got[0] == rows[0][1] and all(got[i] == rows[i][1].split("\n")[1] for i in range(1, 6))
+
+
+def test_templates_need_constant_words(spark):
+    """Bars, numbers and wildcards alone make no template; lines of one to three tokens recur by their exact text."""
+    rows = [
+        (1, "Was | one | two | three | four | five | six\n10 20 30 40\nAll rights reserved.\n---\nPage 3\nx1"),
+        (2, "Was | uno | due | tre | quattro | cinque | sei\n11 21 31 41\nAll rights reserved.\n---\nPage 4\nx1"),
+        (3, "Was | ein | zwei | drei | vier | funf | sechs\n10 20 30 40\nAll rights reserved.\n---\nPage 3\nx2"),
+    ]
+    got = lines_of(spark, rows)
+    assert got[1] == rows[0][1]
+    assert got[2].split("\n") == ["Was | uno | due | tre | quattro | cinque | sei", "11 21 31 41", "---", "Page 4"]
+    assert got[3].split("\n") == ["Was | ein | zwei | drei | vier | funf | sechs", "---", "x2"]
+
+
 def test_line_dedup_odd(odd, empty):
     out = linededup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "_n_lines", "_n_dropped"] and out.count() == len(odd_rows())

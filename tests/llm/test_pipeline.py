@@ -1,7 +1,7 @@
 """The pipeline against a brute-force version of its stages on the smallest tables."""
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,24 +15,29 @@ from .test_operators import check_packing
 
 
 def brute_lines(docs):
-    """Recurring templates of (doc_id → text), as plain loops."""
-    seen = defaultdict(set)
-    keys = {}
+    """Texts without recurring lines of (doc_id → text), as plain loops over a template tree."""
+    keys, leaves, tokens = {}, defaultdict(set), {}
     for i, text in docs.items():
         for p, line in enumerate(text.split("\n")):
-            w = [re.sub(r"^.*[0-9].*$", "<*>", x, flags=re.S) for x in re.findall(r"[^\x20\x09-\x0D]+", line)]
-            ks = []
-            if len(w) >= 4:
-                ks.append((0, *w))
-            if len(w) >= 8:
-                lead, rest = (len(w), *w[:3]), w[3:]
-                h = len(rest) // 2
-                ks += [(1, lead, *rest[:h]), (2, lead, *rest[h:]), (3, lead, *rest[::2]), (4, lead, *rest[1::2])]
-            keys[i, p] = ks
-            for k in ks:
-                seen[k].add((i, p))
-    recurring = {k: min(v) for k, v in seen.items() if len({i for i, _ in v}) > 1}
-    gone = {at for at, ks in keys.items() if any(k in recurring and recurring[k] != at for k in ks)}
+            w = tuple("<*>" if re.search("[0-9]", x) or not any(c.isalpha() for c in x) else x for x in re.findall(r"[^\x20\x09-\x0D]+", line))
+            words = sum(x != "<*>" for x in w)
+            if words >= 3 and 2 * words >= len(w):
+                keys[i, p] = w
+                leaves[len(w), w[:3]].add(w)
+            elif any(c.isalnum() for c in line):
+                keys[i, p] = line.strip(" \t\n\x0b\f\r")
+    where = defaultdict(set)
+    for at, k in keys.items():
+        where[k].add(at)
+    groups = list(where.values())
+    for lines in leaves.values():
+        if len(lines) > 1 and len({i for k in lines for i, _ in where[k]}) > 1:
+            n = len(min(lines))
+            common = [Counter(k[p] for k in lines).most_common(1)[0] for p in range(n)]
+            constant = [x if x != "<*>" and 2 * c > len(lines) else None for x, c in common]
+            c_of = {k: sum(x == y for x, y in zip(k, constant)) for k in lines}
+            groups.append(set().union(*(where[k] for k, c in c_of.items() if c >= 3 and 2 * c >= n and 4 * c >= 3 * sum(x != "<*>" for x in k))))
+    gone = set().union(*(g - {min(g)} for g in groups if len({i for i, _ in g}) > 1))
     return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in docs.items()}
 
 
