@@ -1,36 +1,46 @@
 """Operator 2: best-fit packing of documents into fixed-length token sequences.
 
-Best fit, planned on the driver.  Documents are cut into pieces of at most
-`capacity` tokens; pieces are counted by length and ranked within it by a two-level count (length × salt, then rows inside), so no task sees more than
-one salt of one length.  Pieces of one length are interchangeable, and so are
-sequences with one gap: the state of the plan is therefore run-length coded
-(at most `capacity` document classes; gap runs named by a first sequence and a
-count), its size bounded by `capacity` and never by the number of documents.
-One sequential loop matches a length a step, longest first: its documents take their
-successor (the smallest gap that holds them), conflicts go by rank (the k-th
-piece of a class takes the k-th sequence of the run, later ranks the next run),
-gaps are updated, and the sweep goes on to the next length, so the sequences
-are as many as sequential best-fit decreasing makes.  Pieces
-then find their run by binary search inside their own tasks.
+Bulk-synchronous best fit.  Documents are cut into pieces of at most `capacity`
+tokens.  Pieces over half of it open a sequence each.  Then every superstep
+
+1. sorts the waiting pieces and the open gaps by size, largest first, gaps
+   before pieces of their size, and matches each piece with its successor, the
+   smallest gap that holds it and is left by larger pieces.  Gaps push and
+   pieces pop in that order, so with the depth as a prefix sum, pieces and gaps
+   of one depth alternate and a piece's gap is the row before it at its depth.
+   Conflicts among equal sizes go by rank;
+2. gives the largest band of pieces that found no gap of their own the places
+   that the remaining gaps still have for such pieces, tightest gaps first, and
+   opens sequences for the rest, filled with pieces of one size;
+3. updates the gaps.
+
+A superstep finishes its band, and bands shrink by at least an eighth, below an
+eighth of the capacity by half, so there are at most some fifteen supersteps
+whatever the number of documents; the driver sees only whether rows are left,
+the largest size, and counts.
+
+Sizes are at most `capacity` different numbers, so prefix sums are sums over a
+table of that many classes plus ranks inside a class.  Ranks are two-level: a
+class is dealt over as many salts as its count asks for, so no task sorts a
+third of all rows.  A depth holds at most two rows a size.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
-from .tokens import packed_ids
+from .tokens import contract_ids
 
 CAPACITY, END_ID = 1024, 2
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: Salts of one length class: pieces of a hot length are ranked by that many tasks.
-SALTS = 256
+#: Rows of one size that one task ranks.
+RANKED = 1 << 16
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -46,7 +56,7 @@ def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = packed_ids(text or "")
+                ids = contract_ids(text or "")
                 ids.append(end_id)
                 raw = memoryview(ids.tobytes())
                 rows += [(doc_id, i, s, k, zlib.crc32(raw[4 * s : 4 * (s + k)])) for i, (s, k) in enumerate(cut(len(ids), capacity))]
@@ -57,76 +67,98 @@ def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(work, PIECES)
 
 
-def plan(classes: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int, int]:
-    """Run-length supersteps over length → pieces: rows (length, first rank, count, first sequence, offset), sequences, supersteps.
-
-    The sweep is at one length a superstep, longest first.  `open_` holds the
-    gap runs that are large enough, the smallest, the successor, on top.  A
-    gap takes as many pieces of the length as fit, since its rest stays the
-    best fit for the next one, as in sequential best-fit decreasing.
-    """
-    runs, sequences, steps = [], 0, 0
-    waiting: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap → (first sequence, count), under the sweep
-    open_: list[tuple[int, int, int]] = []
-    for size in range(capacity, 0, -1):
-        open_ += [(size, first, n) for first, n in waiting.pop(size, ())]
-        left, rank = classes.get(size, 0), 0
-        steps += left > 0
-        while left:
-            if not open_:
-                new = -(-left // (capacity // size))
-                open_.append((capacity, sequences, new))
-                sequences += new
-            gap, first, n = open_.pop()
-            each = min(gap // size, left)
-            m = min(n, left // each)  # sequences of the run that take `each` pieces; later ranks wait for the next run
-            if m < n:
-                open_.append((gap, first + m, n - m))
-            for k in range(each):
-                runs.append((size, rank, m, first, capacity - gap + k * size))
-                rank += m
-            left -= m * each
-            rest = gap - each * size
-            if rest >= size:
-                open_.append((rest, first, m))
-            elif rest:
-                waiting[rest].append((first, m))
-    return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5), sequences, steps
+def _ranked(rows: DataFrame, by: list[str], n: int) -> DataFrame:
+    """`rows`, `n` at most, with r, their rank from 0 among those that agree in `by` (few classes), by id."""
+    if n <= RANKED:
+        return rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id")) - 1)
+    salts = rows.groupBy(*by).agg((F.floor(F.count("*") / RANKED) + 1).alias("salts"))  # one row a class
+    salted = rows.join(F.broadcast(salts), by).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).drop("salts")
+    before = Window.partitionBy(*by).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = salted.groupBy(*by, "salt").agg(F.count("*").alias("n")).select(*by, "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "salt").orderBy("id")) - 1
+    return salted.withColumn("r", inside).join(starts.hint("merge"), [*by, "salt"]).withColumn("r", F.col("r") + F.col("before")).drop("salt", "before")
+
+
+def _before(value, *order):
+    """Sum of `value` over the classes before; class tables have at most two rows a size."""
+    return F.coalesce(F.sum(value).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def sweep(pieces: DataFrame, gaps: DataFrame, n: int) -> DataFrame:
+    """Successor sweep: (kind 0 gap or 1 piece, size, id, prev) with prev the gap that a piece takes, and next = 1 for taken gaps."""
+    rows = gaps.select("size", F.lit(0).alias("kind"), "id").union(pieces.select("size", F.lit(1).alias("kind"), "id"))
+    order = (F.col("size").desc(), F.col("kind"))
+    depths = rows.groupBy("size", "kind").count().select("size", "kind", _before(F.when(F.col("kind") == 0, F.col("count")).otherwise(-F.col("count")), *order).alias("depth"))
+    level = F.when(F.col("kind") == 0, F.col("depth") + F.col("r") + 1).otherwise(F.col("depth") - F.col("r"))
+    at = Window.partitionBy("level").orderBy(*order)
+    placed = _ranked(rows, ["size", "kind"], n).join(F.broadcast(depths), ["size", "kind"]).withColumn("level", level)
+    return placed.select("kind", "size", "id", F.lag(F.struct("size", "id")).over(at).alias("prev"), F.lead("kind").over(at).alias("next"))
+
+
+def fill(pieces: DataFrame, gaps: DataFrame, capacity: int, opened: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Place the largest band of pieces: (id, seq, offset, size, gap) of it, gaps left as they are, pieces left, sequences opened."""
+    top, n = pieces.agg(F.max("size"), F.count("*")).first()
+    each = capacity // top
+    low = capacity // (each + 1) if each < 8 else top // 2
+    band, rest = pieces.filter(F.col("size") > low), pieces.filter(F.col("size") <= low)
+    slots = F.floor(F.col("size") / top)
+    hosts = gaps.filter(F.col("size") >= top)
+    held, n_hosts = hosts.agg(F.coalesce(F.sum(slots), F.lit(0)), F.count("*")).first()
+    # classes of the band: their pieces' places, those after the hosted ones, and the new sequences of one size
+    classes = band.groupBy("size").agg(F.count("*").alias("n")).withColumn("first", _before("n", F.col("size").desc()))
+    classes = classes.withColumn("own", F.greatest("first", F.lit(held))).withColumn("m", F.greatest(F.col("first") + F.col("n") - F.col("own"), F.lit(0)))
+    classes = classes.withColumn("k", F.floor(F.lit(capacity) / F.col("size"))).withColumn("q", F.floor(F.col("m") / F.col("k")))
+    odd = F.col("m") - F.col("q") * F.col("k")
+    classes = classes.withColumns({"seqs": _before("q", F.col("size").desc()), "odds": _before(odd, F.col("size").desc())})
+    total = classes.agg(F.sum("q").alias("q"), F.sum(odd).alias("odd"), F.sum("n").alias("n")).first()
+    ranked = _ranked(band, ["size"], n).join(F.broadcast(classes), "size").withColumn("place", F.col("first") + F.col("r")).withColumn("j", F.col("place") - F.col("own"))
+    number = F.when(F.col("j") < F.col("q") * F.col("k"), F.col("seqs") + F.floor(F.col("j") / F.col("k"))).otherwise(
+        total["q"] + F.floor((F.col("odds") + F.col("j") - F.col("q") * F.col("k")) / each)
+    )
+    new = ranked.filter(F.col("place") >= held).select("id", "size", "place", (-1 - opened - number).cast("bigint").alias("seq"), F.lit(capacity).cast("bigint").alias("gap"))
+    untouched = gaps.select("id", "size")
+    if held:
+        starts = hosts.groupBy("size").count().select("size", _before(F.col("count") * slots, "size").alias("start"))
+        hosts = _ranked(hosts, ["size"], n_hosts).join(F.broadcast(starts), "size").select("id", "size", (F.col("start") + F.col("r") * slots).alias("start"), slots.alias("slots"))
+        taken = hosts.filter(F.col("start") < total["n"]).select(F.col("id").alias("seq"), F.col("size").alias("gap"), F.explode(F.expr("sequence(start, start + slots - 1)")).alias("place"))
+        new = new.union(ranked.filter(F.col("place") < held).select("id", "size", "place").join(taken, "place").select("id", "size", "place", "seq", "gap"))
+        untouched = untouched.filter(F.col("size") < top).union(hosts.filter(F.col("start") >= total["n"]).select("id", "size"))
+    inside = Window.partitionBy("seq").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # at most `capacity` rows
+    used = F.coalesce(F.sum("size").over(inside), F.lit(0))
+    placed = new.select("id", "seq", (F.lit(capacity) - F.col("gap") + used).alias("offset"), "size", "gap")
+    return placed, untouched, rest, opened + total["q"] + -(-total["odd"] // each)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Pack every document; one row per piece with its sequence and its place there.
 
     Nulls: a null text is empty; a null doc_id stays null.  Repeated rows are
-    packed once each.  An empty table gives no rows.  Extra columns are ignored.
+    packed once each.  An empty table gives no rows.  A very long text is
+    encoded whole and cut into full pieces.  Extra columns are ignored.
     """
-    pieces = staged(tokenize_pieces(docs, capacity, end_id))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").count()
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = staged(counts.select("length", "salt", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before")))
-    classes = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
-    runs, _, _ = plan(classes, capacity)
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = (
-        salted.withColumn("inside", F.row_number().over(inside) - 1)
-        .join(counts.select("length", "salt", "before").hint("merge"), ["length", "salt"])  # the pieces are already dealt by these keys
-        .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("inside")).alias("rank"))
-    )
-    shift = 44
-    keys = (runs[:, 0] << shift) + runs[:, 1]
-
-    def place(batches):
-        for b in batches:
-            length, rank = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 5))
-            at = np.searchsorted(keys, (length << shift) + rank, side="right") - 1
-            run = runs[at]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:5], pa.array(run[:, 3] + rank - run[:, 1]), pa.array(run[:, 4])],
-                ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
-
-    return ranked.mapInArrow(place, PIECES + ", sequence_id bigint, offset bigint")
+    pieces = staged(tokenize_pieces(docs, capacity, end_id).withColumn("id", F.monotonically_increasing_id()))
+    large = 2 * F.col("length") > capacity
+    parts = [pieces.filter(large).select("id", F.col("id").alias("seq"), F.lit(0).cast("bigint").alias("offset"))]
+    gaps = pieces.filter(large & (F.col("length") < capacity)).select("id", (F.lit(capacity) - F.col("length")).alias("size"))
+    waiting, opened = pieces.filter(~large).select("id", F.col("length").alias("size")), 0
+    while True:
+        n = waiting.count()
+        if not n:
+            break
+        met = staged(sweep(waiting, gaps, n + gaps.count()))
+        matched = met.filter("kind = 1 AND prev IS NOT NULL")
+        parts.append(matched.select("id", F.col("prev.id").alias("seq"), (F.lit(capacity) - F.col("prev.size")).alias("offset")))
+        shrunk = matched.select(F.col("prev.id").alias("id"), (F.col("prev.size") - F.col("size")).alias("size")).filter("size > 0")
+        gaps = met.filter("kind = 0 AND next IS NULL").select("id", "size").union(shrunk)
+        waiting = met.filter("kind = 1 AND prev IS NULL").select("id", "size")
+        if waiting.isEmpty():
+            break
+        placed, gaps, waiting, opened = fill(waiting, gaps, capacity, opened)
+        placed = staged(placed)
+        parts.append(placed.select("id", "seq", "offset"))
+        gaps = gaps.union(placed.groupBy("seq").agg((F.first("gap") - F.sum("size")).alias("size")).filter("size > 0").select(F.col("seq").alias("id"), "size"))
+    placed = reduce(DataFrame.union, parts)
+    return pieces.join(placed, "id").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
