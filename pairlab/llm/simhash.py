@@ -132,29 +132,54 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
 
 # ---- similarity joins: exact sets of shingle hashes, for thresholds beyond a few bits of 64
 
-#: Documents whose shingles are counted for the order of the prefixes, and the count from which one is common.
-SAMPLE, COMMON = 10_000, 8
+#: Share of the hash space whose shingles are counted, the count from which one is common, and how many of the commonest are told to the tasks.
+COUNTED, COMMON, MOST_COMMON = 0.3, 8, 1 << 17
+_VOCABULARY = 1 << 20
+#: Size of the filter that keeps sets of unlinked texts out of the verification, as a power of two.
+_BITS = 23
 
 
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """Distinct 64-bit hashes of a text's word shingles, ascending; a shorter text is one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.array([], dtype=np.uint64)
-    hashed = partial(xxhash.xxh64_intdigest, seed=42)
-    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    return np.unique(np.array(list(map(hashed, grams)), dtype=np.uint64))
+class _Words(dict):
+    """word → 64-bit hash; the memo starts anew when it is full."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _VOCABULARY:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, seed=42)
+        return h
+
+
+_words = _Words()
 
 
-def set_key(grams: np.ndarray) -> int:
-    """Key of a shingle set, signed; zero for the empty set."""
-    x = grams ^ np.uint64(0x9E3779B97F4A7C15)
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    key = (int(np.add.reduce(x ^ (x >> np.uint64(31)))) & ((1 << 64) - 1)) ^ len(grams)
+    return x ^ (x >> np.uint64(31))
+
+
+def words_in(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def text_key(words: list[bytes]) -> int:
+    """Key of a text's words, signed."""
+    key = xxhash.xxh64_intdigest(b" ".join(words), seed=42)
     return key - (1 << 64) if key >> 63 else key
 
 
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's word shingles, ascending; a shorter text is one shingle."""
+    if not words:
+        return np.array([], dtype=np.uint64)
+    w = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words))
+    n = max(len(w) - shingle + 1, 1)
+    h = np.full(n, min(len(w), shingle), dtype=np.uint64)
+    for i in range(min(len(w), shingle)):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n]
+    return np.unique(_mixed(h))
+
+
 def prefix(grams: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
     """The first shingles of a set, common ones last: two sets this similar share one of them.
 
@@ -166,95 +191,145 @@ def prefix(grams: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarr
     return np.concatenate([grams[~late], grams[late]])[: len(grams) - ceil(similarity * len(grams) - 1e-9) + 1]
 
 
-def _common(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles of many texts, by a sample of bounded size; they only set the order of prefixes, never what is found."""
+def parities(grams: np.ndarray) -> np.ndarray:
+    """One bit per residue class of hashes: whether it holds an odd number of them.
+
+    Sets that differ in d shingles differ in at most d bits, so the bits rule
+    pairs out for certain.  There are two to four bits a shingle, a power of two.
+    """
+    m = 64 << max(0, (max(2 * len(grams), 1) - 1).bit_length() - 6)
+    odd = np.bincount((grams & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _each_text(texts: DataFrame, columns: str, make):
+    """mapInArrow of make(doc_ids, words of each text) → list of arrays, over (doc_id, t)."""
+    names = [c.split()[0] for c in columns.split(", ")]
 
     def work(batches):
         for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t or b"", shingle).view(np.int64))], ["v"])
+            yield pa.RecordBatch.from_arrays(make(b.column(0), [words_in(t) for t in b.column(1).cast(pa.binary()).to_pylist()]), names)
 
-    total = texts.count()
-    some = texts.sample(min(1.0, SAMPLE / total), seed=1) if total > SAMPLE else texts
-    often = some.select("t").mapInArrow(work, "v bigint").groupBy("v").count().filter(F.col("count") >= COMMON)
-    return np.sort(np.array([r["v"] for r in often.select("v").toLocalIterator()], dtype=np.int64).view(np.uint64))
+    return texts.mapInArrow(work, columns)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have that Jaccard similarity, by the sets themselves."""
-    side = lambda n: sets.select(F.col("k").alias(n), F.col("s").alias(f"s{n}"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", both.alias("m"), (F.size("sa") + F.size("sb")).alias("n"))
-    return met.filter(F.col("m") / (F.col("n") - F.col("m")) >= similarity).select("a", "b")
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(arrays).view(np.int64) if arrays else np.array([], dtype=np.int64)
 
 
-def _may_link(met: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (a, b) of bucket members x and y that their sizes and places let be similar."""
-    least = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
-    # past the first shingle of both prefixes in common, the shorter rest bounds the others
-    rest = lambda s: F.col(f"{s}.n") - F.col(f"{s}.i")
-    most = F.least("x.n", "y.n")
-    fits = met.filter((F.col("x.k") != F.col("y.k")) & (most >= least))
-    return fits.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"), (F.least(rest("x"), rest("y")) >= least).alias("f")).filter("f").select("a", "b").distinct()
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(_joined(arrays)))
 
 
-def _open_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs inside buckets whose members are not in one component yet."""
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    """The commonest shingles of all texts, a bounded number; they only set the order of prefixes, never what is found.
+
+    Prefixes begin with the least hashes, so only those are counted.
+    """
+    limit = np.uint64(int(COUNTED * 2**64))
+
+    def low(ids, texts):
+        sets = [shingle_set(w, shingle) for w in texts]
+        return [pa.array(_joined([g[: np.searchsorted(g, limit)] for g in sets]))]
+
+    counts = _each_text(texts, "v bigint", low).repartition("v").groupBy("v").count().filter(F.col("count") >= COMMON)
+    counts = staged(counts)
+    sizes = counts.groupBy(F.floor(F.log2("count")).alias("power")).agg(F.count("*").alias("n")).orderBy(F.col("power").desc()).collect()  # one row a power of two
+    least, n = 64, 0
+    for r in sizes:
+        n += r["n"]
+        if n > MOST_COMMON:
+            break
+        least = r["power"]
+    often = counts.filter(F.col("count") >= F.lit(2.0) ** least).select("v").collect()  # MOST_COMMON rows at most
+    return np.sort(np.array([r["v"] for r in often], dtype=np.int64).view(np.uint64))
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that sizes and parities do not rule out."""
+    side = lambda x: nodes.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
+    most = f"{(1 - similarity) / (1 + similarity) + 1e-9} * (na + nb)"  # shingles in which similar sets may differ
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"abs(na - nb) <= {most}")
+    folded = lambda x, y: F.expr(f"CASE WHEN size({x}) > size({y}) THEN zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q) ELSE {x} END")
+    bits = sized.withColumns({"fa": folded("sa", "sb"), "fb": folded("sb", "sa")})
+    differ = F.expr("aggregate(zip_with(fa, fb, (p, q) -> bit_count(p ^ q)), 0, (s, x) -> s + x)")
+    return bits.filter((F.size("fa") == F.size("fb")) & (differ <= F.expr(most))).select("a", "b")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose sets have that Jaccard similarity, by the sets themselves.
+
+    Texts are read again for the sets that the pairs name; a bounded filter of
+    their ids spares most others the work, a join on the key the rest.
+    """
+    wanted = staged(pairs.select(F.col("b").alias("k"), "a", "b").union(pairs.select(F.col("a").alias("k"), "a", F.lit(None).cast("bigint").alias("b")).distinct()))
+    named = wanted.select("k").distinct().join(nodes, "k").select(F.coalesce("least", F.lit(0)).bitwiseAND(F.lit((1 << _BITS) - 1)).alias("x"))
+    bits = named.groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("m"))
+    words = np.zeros(1 << (_BITS - 6), dtype=np.int64)
+    for r in bits.collect():  # 2^17 rows at most
+        words[r["w"]] = r["m"]
+    known = texts.sparkSession.sparkContext.broadcast(words)
+
+    def some(ids, texts):
+        x = ids.fill_null(0).to_numpy(zero_copy_only=False) & ((1 << _BITS) - 1)
+        keep = [texts[i] for i in np.flatnonzero((known.value[x >> 6] >> (x & 63)) & 1).tolist()]
+        return [pa.array(list(map(text_key, keep)), pa.int64()), _lists([shingle_set(w, shingle) for w in keep])]
+
+    sets = _each_text(texts, "k bigint, s array<bigint>", some).join(wanted.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("s").alias("s"))
+    sides = staged(sets.join(wanted, "k").select("a", "b", "s"))
+    met = sides.filter("b IS NOT NULL").withColumnRenamed("s", "sb").join(sides.filter("b IS NULL").select("a", F.col("s").alias("sa")), "a")
+    sized = met.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("m"), (F.size("sa") + F.size("sb")).alias("n"))
+    return sized.filter(F.col("m") / (F.col("n") - F.col("m")) >= similarity).select("a", "b")
+
+
+def _open_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs inside buckets whose members are not in one component yet."""
     labelled = shared.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     bucket = Window.partitionBy("v")
-    split = labelled.select("v", "k", "n", "i", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).filter("lo <> hi")
-    member = staged(split.select("v", "root", F.struct("k", "n", "i").alias("x")))
-    other = member.select("v", F.col("root").alias("other"), F.col("x").alias("y"))
-    return _may_link(member.join(other, "v").filter("root <> other AND x.k < y.k").select("x", "y"), similarity)
+    split = staged(labelled.select("v", "k", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).filter("lo <> hi").select("v", "k", "root"))
+    other = split.select("v", F.col("k").alias("b"), F.col("root").alias("other"))
+    return split.join(other, "v").filter("k < b AND root <> other").select(F.col("k").alias("a"), "b").distinct()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row; links are all pairs of texts whose word shingles are that similar.
 
     No few bits of a SimHash express such a similarity, so candidates are texts
-    that share a shingle of their prefixes, which no similar pair fails to do,
-    and every candidate is verified by the exact Jaccard similarity of its sets
-    of (64-bit hashes of) shingles.  Texts of equal sets are one node.
+    that share a shingle of their prefixes, which no similar pair fails to do.
+    Candidates are held against a parity sketch of their sets, which rules out
+    no similar pair, and then verified by the exact Jaccard similarity of their
+    sets of (64-bit hashes of) shingles.  Texts of equal words are one node.
 
     Each member of a prefix shingle's bucket first meets the bucket's first
     member by a hash; then all members that the links found do not join yet meet
     each other, so a family of near copies costs its size and nothing is left out.
-    Null and blank texts form one component.
+    Null and blank texts form one component; null ids never name one unless all
+    its ids are null.  Repeated rows are one node; an empty table gives no rows;
+    very long texts are sets as others are; extra columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     common = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
 
-    def work(batches):
-        for b in batches:
-            found = [shingle_set(t or b"", shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            firsts = [prefix(g, similarity, common.value).view(np.int64) for g in found]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(list(map(set_key, found)), pa.int64()), pa.array(list(map(len, found)), pa.int32()), pa.array(firsts, pa.list_(pa.int64()))],
-                ["doc_id", "k", "n", "vs"],
-            )
-
-    def resets(batches):
-        for b in batches:
-            found = [shingle_set(t or b"", shingle) for t in b.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(set_key, found)), pa.int64()), pa.array([g.view(np.int64) for g in found], pa.list_(pa.int64()))], ["k", "s"])
+    def described(ids, texts):
+        sets = [shingle_set(w, shingle) for w in texts]
+        heads = [prefix(g, similarity, common.value) for g in sets]
+        return [ids, pa.array(list(map(text_key, texts)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), _lists([parities(g) for g in sets]), _lists(heads)]
 
-    rows = staged(texts.mapInArrow(work, "doc_id bigint, k bigint, n int, vs array<bigint>"))
-    nodes = rows.groupBy("k").agg(F.min("doc_id").alias("least"))
-    members = rows.groupBy("k").agg(F.first("n").alias("n"), F.first("vs").alias("vs")).select("k", "n", F.posexplode("vs").alias("i", "v"))
+    rows = staged(_each_text(texts, "doc_id bigint, k bigint", lambda ids, texts: [ids, pa.array(list(map(text_key, texts)), pa.int64())]))
+    told = _each_text(texts, "doc_id bigint, k bigint, n int, bits array<bigint>, vs array<bigint>", described)
+    nodes = staged(told.groupBy("k").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("vs").alias("vs")))
+    members, nodes = nodes.select("k", F.explode("vs").alias("v")), nodes.drop("vs")
     bucket = Window.partitionBy("v")
-    order = F.struct(F.xxhash64("k").alias("h"), "k", "n", "i")
-    shared = staged(members.select("*", F.count("*").over(bucket).alias("c"), F.min(order).over(bucket).alias("o")).filter("c > 1").drop("c"))
-    met = shared.select(F.struct("k", "n", "i").alias("x"), F.struct("o.k", "o.n", "o.i").alias("y"))
-    pairs = staged(_may_link(met, similarity))
-    ids = shared.select("k").distinct().join(nodes, "k").select(F.col("least").alias("doc_id")).distinct()
-    again = texts.join(ids, texts["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select("t")
-    sets = staged(again.mapInArrow(resets, "k bigint, s array<bigint>").groupBy("k").agg(F.first("s").alias("s")))
-    linked = staged(_alike(pairs, sets, similarity))
+    centre = F.min(F.struct(F.xxhash64("k").alias("h"), "k")).over(bucket)["k"]
+    shared = staged(members.withColumns({"o": centre, "c": F.count("*").over(bucket)}).filter("c > 1").select("v", "k", "o"))
+    star = shared.filter("k <> o").select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
+    likely = staged(_likely(star, nodes, similarity))
+    linked = staged(_alike(likely, texts, nodes, similarity, shingle))
     roots = components(linked)
-    rest = _open_pairs(shared, roots, similarity).join(pairs, ["a", "b"], "left_anti")
-    more = staged(_alike(rest, sets, similarity))
-    if not more.isEmpty():
-        roots = components(linked.union(more))
+    rest = staged(_likely(_open_pairs(shared.select("v", "k"), roots), nodes, similarity).join(likely, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        roots = components(linked.union(staged(_alike(rest, texts, nodes, similarity, shingle))))
     named = nodes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_key = staged(named.select("k", "root").join(least, "root").select("k", "component_id"))
