@@ -47,9 +47,9 @@ BASE = (
 MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url_login", r"[a-z]{2,10}://[A-Za-z0-9._-]{1,64}:[^\s:@/]{3,64}@[A-Za-z0-9.-]+"),
+    Rule("url_login", r"(?<![a-z])[a-z]{2,}://[A-Za-z0-9._-]+:[^\s:@/]{3,}@[A-Za-z0-9.-]+"),
 )
 #: Literal sets of a regex part larger than this are cut into trigrams and not extended.
 MOST_STRINGS = 64
@@ -123,7 +123,8 @@ class Postings:
         codes = np.array([int.from_bytes(t.encode(), "big") for t in trigrams], dtype=np.int64)
         starts = np.zeros(1 << 16, dtype=bool)
         starts[codes >> 8] = True
-        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        texts = texts.cast(pa.large_string())  # Spark may send either width of offsets
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2], dtype=np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
         found: list[np.ndarray] = []
         first, end = (int(offsets[0]), int(offsets[-1])) if len(texts) else (0, 0)
@@ -165,7 +166,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: str = "
     """(doc_id, spans array<struct<kind, start, end, base>>) of every row, in code points, end exclusive.
 
     Spans are ordered by start, then rule.  Null texts count as empty, null ids
-    stay; repeated rows are scanned once each; extra columns are ignored.
+    stay; repeated rows are scanned once each; an empty table gives no rows; a
+    very long text is scanned whole; extra columns are ignored.
     """
     queries = [trigram_query(r) for r in rules]
     trigrams = sorted(set().union(*map(trigrams_in, queries)))
