@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -32,38 +33,58 @@ FIRST_CONTROL = 50257
 BOS, EOS, OPEN, CLOSE, OPEN_LOSS, CLOSE_LOSS = range(FIRST_CONTROL, FIRST_CONTROL + len(CONTROLS))
 _CONTROL = re.compile("|".join([r"\\", *map(re.escape, CONTROLS)]))
 TRAINED = "assistant"
+#: Characters of finished conversations that a worker holds before it hands them on.
+BATCH_CHARS = 1 << 21
 
 
 def escape(text: str) -> str:
     return _CONTROL.sub(lambda m: "\\\\" if m[0] == "\\" else m[0][0] + "\\" + m[0][1:], text)
 
 
+def escape_role(role: str) -> str:
+    """A role ends with its line, so a newline inside it is written as backslash and n."""
+    return escape(role).replace("\n", "\\n")
+
+
 def unescape(text: str) -> str:
-    return re.sub(r"\\(\\?)", r"\1", text)
+    return re.sub(r"\\(\\?)", r"\1", text) if "\\" in text else text
+
+
+def unescape_role(role: str) -> str:
+    return re.sub(r"\\([\\n]?)", lambda m: "\n" if m[1] == "n" else m[1], role) if "\\" in role else role
+
+
+@lru_cache(maxsize=256)
+def _header(role: str) -> tuple[str, list[int]]:
+    text = escape_role(role) + "\n"
+    return text, encoding().encode_ordinary(text)
 
 
-def assemble(turns: list[tuple[str, str]], trained: str = TRAINED) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, loss mask) of one conversation."""
+def assemble(turns: list[tuple[str, str]], trained: str = TRAINED) -> tuple[np.ndarray, np.ndarray, str]:
+    """(ids, loss mask, text form) of one conversation; both forms are put together from the same segments."""
     encode = encoding().encode_ordinary
-    ids, steps = [BOS], []
+    ids, steps, said = [BOS], [], [CONTROLS[0]]
     for role, text in turns:
-        loss = role == trained
+        loss, content = role == trained, escape(text)
+        header, header_ids = _header(role)
         ids.append(OPEN_LOSS if loss else OPEN)
-        ids += encode(escape(role) + "\n")
+        ids += header_ids
         begin = len(ids)
-        ids += encode(escape(text))
+        ids += encode(content)
         if loss:
             steps += [(begin, 1), (len(ids), -1)]
         ids.append(CLOSE_LOSS if loss else CLOSE)
+        said += [CONTROLS[4 if loss else 2], header, content, CONTROLS[5 if loss else 3]]
     ids.append(EOS)
+    said.append(CONTROLS[1])
     change = np.zeros(len(ids) + 1, dtype=np.int8)
     for at, by in steps:
         change[at] += by
-    return np.array(ids, dtype=np.uint32), np.cumsum(change[:-1]).astype(bool)
+    return np.array(ids, dtype=np.int32), np.cumsum(change[:-1]).astype(bool), "".join(said)
 
 
 def text_of(ids: np.ndarray) -> str:
-    """The text form; content never contains a control string unescaped."""
+    """The text form of ids; content never contains a control string unescaped."""
     enc, out = encoding(), []
     for control, run in groupby(ids.tolist(), key=lambda i: i >= FIRST_CONTROL):
         out.append("".join(CONTROLS[i - FIRST_CONTROL] for i in run) if control else enc.decode_bytes(list(run)).decode())
@@ -78,7 +99,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     found = []
     for m in _TURN.finditer(formatted):
         role, _, text = m[2].partition("\n")
-        found.append((unescape(role), unescape(text)))
+        found.append((unescape_role(role), unescape(text)))
     return found
 
 
@@ -95,36 +116,41 @@ def format_chats(rows: DataFrame, trained: str = TRAINED) -> DataFrame:
     """One row per conversation: conv_id, formatted, ids, loss_mask.
 
     Rows are dealt by conversation, sorted by turn, role and text in their
-    partition and streamed, one conversation in memory at a time.  Null roles
-    and texts are empty; null turns come first; a role's newline becomes a
-    space; rows of a null conv_id form one conversation; repeated rows stay.
+    partition and streamed; memory holds one conversation, which is one row of
+    the result, however long, and a batch of finished ones bounded by its size.
+    Null roles and texts are empty; null turns come first; rows of a null
+    conv_id form one conversation; repeated rows stay; an empty table gives no
+    rows; extra columns are ignored.
     """
-    schema = "conv_id bigint, formatted string, ids array<bigint>, loss_mask array<boolean>"
+    schema = "conv_id bigint, formatted string, ids array<int>, loss_mask array<boolean>"
 
     def turns(batches):
         for b in batches:
             yield from zip(*(c.to_pylist() for c in b.columns))
 
     def work(batches):
-        out = []
+        out, held = [], 0
 
         def flush():
-            c = list(zip(*out)) if out else [()] * 4
-            types = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
-            batch = pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(c, types)], ["conv_id", "formatted", "ids", "loss_mask"])
+            conv, said, ids, masks = zip(*out) if out else [()] * 4
+            ends = pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32))
+            lists = lambda parts, none: pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts) if parts else none))
+            columns = [pa.array(conv, pa.int64()), pa.array(said, pa.string()), lists(ids, np.array([], np.int32)), lists(masks, np.array([], bool))]
             out.clear()
-            return batch
+            return pa.RecordBatch.from_arrays(columns, ["conv_id", "formatted", "ids", "loss_mask"])
 
         for conv, group in groupby(turns(batches), key=lambda r: r[0]):
-            ids, mask = assemble([(role, text) for _, role, text in group], trained)
-            out.append((conv, text_of(ids), ids.tolist(), mask.tolist()))
-            if len(out) >= 256:
+            ids, mask, said = assemble([(role, text) for _, role, text in group], trained)
+            out.append((conv, said, ids, mask))
+            held += len(said)
+            if held >= BATCH_CHARS:
                 yield flush()
+                held = 0
         yield flush()
 
     keyed = rows.select(
         F.col("conv_id").cast("bigint"),
-        F.translate(F.coalesce("role", F.lit("")), "\n", " ").alias("role"),
+        F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.col("turn").cast("bigint").alias("turn"),
     )
@@ -139,12 +165,15 @@ def read_chats(chats: DataFrame) -> DataFrame:
     def work(batches):
         for b in batches:
             rows = []
-            for conv, formatted, ids, mask in zip(*(c.to_pylist() for c in b.columns)):
+            ids, masks = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+            ends = np.cumsum([0, *b.column(2).value_lengths().to_pylist()])
+            for i, (conv, formatted) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 turns = read_back(formatted)
                 said = "".join(f"{role}\n{text}\n" for role, text in turns)
-                loss = masked_text(np.array(ids, dtype=np.uint32), np.array(mask, dtype=bool))
+                mask = masks[ends[i] : ends[i + 1]]
+                loss = masked_text(ids[ends[i] : ends[i + 1]], mask)
                 digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
-                rows.append((conv, len(turns), digest(said), len(loss), digest(loss), len(formatted), len(ids), sum(mask)))
+                rows.append((conv, len(turns), digest(said), len(loss), digest(loss), len(formatted), len(mask), int(mask.sum())))
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens", "loss_tokens"]
             types = [pa.string() if n.endswith("sha256") else pa.int64() for n in names]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [()] * 8, types)], names)
