@@ -2,31 +2,28 @@
 
 A text becomes a hashed histogram of letter 1- to 3-grams (case folded, other
 characters as one blank, square roots, unit length).  A linear SVM per family
-decides the family first; inside it one-versus-one linear SVMs vote.  Training
-data are a bounded sample: about `per_lang` labelled documents of a language
-(hash of the id under a threshold), at most `total` over all languages; only
-their feature vectors reach the driver.  Prediction runs over whole texts.
+decides the family first; inside it one-versus-one linear SVMs vote.  Families
+are learned too: languages with the nearest mean vectors are joined until about
+the square root of their number is left.  Training data are a bounded sample:
+at most `per_lang` labelled documents of a language (those of the least hashes
+of id and text) and `total` over all, from at most `total` languages, the most
+frequent ones; only their feature vectors reach the driver.  Prediction runs
+over whole texts.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
 
-# Families of common languages; any other language is a family of its own.
-FAMILIES = {
-    "germanic": ("en", "de", "nl", "sv", "da", "no"),
-    "romance": ("fr", "es", "it", "pt", "ro", "ca"),
-    "slavic": ("ru", "pl", "cs", "uk", "bg", "sr"),
-}
-FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 DIM = 1 << 12
 #: Bound of the training sample: documents of a language, and of all languages.
 PER_LANG, TOTAL = 300, 2400
@@ -71,15 +68,30 @@ def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 100)
     return w
 
 
+def families(means: dict[str, np.ndarray]) -> list[list[str]]:
+    """Languages in about √n groups: the two groups of the nearest means (by their average cosine) join first."""
+    groups = [[s] for s in sorted(means)]
+    unit = {s: v / (np.linalg.norm(v) or 1.0) for s, v in means.items()}
+    while len(groups) > ceil(len(means) ** 0.5):
+        centre = np.array([np.mean([unit[s] for s in g], axis=0) for g in groups])
+        near = centre @ centre.T
+        np.fill_diagonal(near, -2.0)
+        i, j = sorted(np.unravel_index(int(np.argmax(near)), near.shape))
+        groups[i] += groups.pop(j)
+    return groups
+
+
 class Model:
     """families[i] ↔ column i of `top`; `pairs[family]`: (language, language, weights)."""
 
     def __init__(self, x: np.ndarray, langs: list[str]):
         y = np.array(langs, dtype=object)
-        family = np.array([FAMILY.get(s, s) for s in langs], dtype=object)
         self.languages = sorted(set(langs))
-        self.families = sorted(set(family))
-        self.members = {f: sorted(set(y[family == f])) for f in self.families}
+        groups = families({s: x[y == s].mean(axis=0) for s in self.languages})
+        self.members = {"+".join(sorted(g)): sorted(g) for g in groups}
+        self.families = sorted(self.members)
+        named = {s: f for f, g in self.members.items() for s in g}
+        family = np.array([named[s] for s in langs], dtype=object)
         sign = lambda m: np.where(m, 1.0, -1.0).astype(np.float32)
         self.top = [svm(x, sign(family == f)) for f in self.families] if len(self.families) > 1 else [np.zeros(DIM + 1, np.float32)] * len(self.families)
         self.pairs = {
@@ -111,15 +123,22 @@ class Model:
 
 
 def fit(labelled: DataFrame, per_lang: int = PER_LANG, total: int = TOTAL) -> Model:
-    """Fit on (doc_id, text, lang); rows with a null text or lang are left out."""
+    """Fit on (doc_id, text, lang); rows with a null text or lang are left out.
+
+    Repeated rows may all be in the sample, up to its bounds; an empty table
+    gives a model that knows no language; very long texts are read whole; extra
+    columns are ignored.
+    """
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     known = labelled.select("lang").filter(F.col("lang").isNotNull())  # counted without reading texts
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    counts = known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(total).collect()
     each = max(1, min(per_lang, total // max(len(counts), 1)))
-    ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (ticket < int((1 << 20) * min(1.0, each / n))))
+    # about twice as many as needed by a threshold on the ticket, then the least tickets of each language
+    top = labelled.sparkSession.createDataFrame([(r["lang"], float(min(1 << 30, (1 << 30) * 2 * each / r["count"] + (1 << 15)))) for r in counts], "lang string, below double")
+    ticket = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 34)
+    few = rows.select("text", "lang", ticket.alias("ticket")).join(top, "lang").filter(F.col("ticket") <= F.col("below"))
+    least = Window.partitionBy("lang").orderBy("ticket", "text")  # cut to `each` in every task before the shuffle
+    chosen = few.withColumn("_r", F.row_number().over(least)).filter(F.col("_r") <= each)
 
     def work(batches):
         for b in batches:
@@ -127,14 +146,18 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, total: int = TOTAL) -> Mo
             values = pa.array([v.astype("<f4").tobytes() for v, _ in found], pa.binary())
             yield pa.RecordBatch.from_arrays([values, pa.array([s for _, s in found], pa.string())], ["x", "lang"])
 
-    got = rows.filter(chosen).select("text", "lang").mapInArrow(work, "x binary, lang string").collect() if counts else []
+    got = chosen.select("text", "lang").mapInArrow(work, "x binary, lang string").collect() if counts else []
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), "<f4").reshape(-1, DIM)
     return Model(x, [r["lang"] for r in got])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(_row struct, lang_pred, score) of every row, from the text alone; `und` and 0 for no letter or a null text."""
+    """(_row struct, lang_pred, score) of every row, from the text alone; `und` and 0 for no letter or a null text.
+
+    Repeated rows are predicted alike; an empty table gives no rows; a very long
+    text is read whole; the other columns, of any names, are in `_row`.
+    """
 
     def work(batches):
         for b in batches:
