@@ -4,13 +4,15 @@ A text's code points c get H[i] = Σ_{j<i} (c_j + 1)·B^j modulo two primes, by
 array operations.  Any span's hash follows from two prefixes, so spans are
 compared without touching the text, and longest common extensions are found by
 binary search.  The fingerprint is the hash of the whole text and a one-
-permutation MinHash of all its 24-code-point spans; likeness is the share of
-agreeing bins, an estimate of the spans' Jaccard similarity.
+permutation MinHash of its spans, for each code point the 24 that end there (at
+the text's begin those that there are); likeness is the share of agreeing bins,
+an estimate of the spans' Jaccard similarity, for texts of any length.
 
 The query's "next document" is the neighbour in descending id order.  Rows are
-dealt once into id ranges (bounds are approximate percentiles of the ids), with
-a copy of each range's first row sent to the range before it, and streamed in
-order: no global sort in one task, no text shuffled twice.
+dealt once into id ranges (bounds are approximate percentiles of the ids; an id
+that fills several ranges is dealt over them by its texts' hashes), with a copy
+of each range's first row sent to the range before it, and streamed in order:
+no global sort in one task, no text shuffled twice.
 """
 
 from __future__ import annotations
@@ -70,13 +72,15 @@ class PrefixHash:
         return low
 
     def spans(self, length: int = SPAN) -> np.ndarray:
-        """Mixed 64-bit hashes of all spans of that length, or of a quarter of a text under four times that."""
+        """Mixed 64-bit hashes of the `length` code points that end at each one; before the text stand zeros."""
         if not self.n:
             return np.zeros(0, np.uint64)
-        length = min(length, max(1, self.n // 4))
-        h, prime = self.prefix[0], PRIMES[0]
-        inverse = _powers(pow(BASES[0], -1, prime), prime, self.n - length + 1)
-        x = ((h[length:] - h[:-length]) % prime * inverse % prime).astype(np.uint64) + np.uint64(length << 32)
+        h, prime, m = self.prefix[0], PRIMES[0], min(length, self.n)
+        ahead = _powers(BASES[0], prime, length)[length - m : length][::-1]  # of spans that begin before the text, or with it
+        behind = _powers(pow(BASES[0], -1, prime), prime, self.n - m + 1)[1:]
+        begun = h[1:].copy()
+        begun[m:] -= h[1 : self.n - m + 1]
+        x = (begun % prime * np.concatenate([ahead, behind]) % prime).astype(np.uint64)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(29))
@@ -120,30 +124,37 @@ def edited(text: str, following: str) -> str:
 def with_next(docs: DataFrame, work, schema: str, parts: int | None = None) -> DataFrame:
     """mapInArrow of `work` over (id, text, next text) for every row, in descending id order, the first after the last.
 
-    Rows of one id are ordered by text; null ids come last.
+    Rows of one id are ordered by a hash of their text; null ids come last.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     none = F.lit(-(2**63))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("id"), text.alias("text"), F.xxhash64(text).alias("g"))
     key = F.coalesce(F.col("id"), none)
     shares = F.array(*[F.lit((i + 1) / parts) for i in range(parts - 1)]) if parts > 1 else F.array(F.lit(0.5))
     found = rows.agg(F.percentile_approx(key, shares, F.lit(max(10000, 20 * parts))).alias("b")).first()["b"] or []
-    bounds = sorted(set(found), reverse=True)
+    bounds = sorted(found, reverse=True)
     step = max(1, isqrt(len(bounds)))
     literal = lambda xs: "array(" + ", ".join(f"{x}L" if x > -(2**63) else "-9223372036854775807L - 1L" for x in xs) + ")" if xs else "array(0L)"
     coarse, fine = literal(bounds[::step]), literal(bounds)
-    # bounds run downwards; a row's range is the number of bounds above its key
+    # bounds run downwards; a row's range is the number of bounds above its key, and its hash's share of those that equal it
     ranged = rows.withColumn("key", key).withColumn("c", F.expr(f"greatest(size(filter({coarse}, x -> x > key)) - 1, 0)") if bounds else F.lit(0))
     ranged = ranged.withColumn("range", F.expr(f"c * {step} + size(filter(slice({fine}, c * {step} + 1, {step}), x -> x > key))") if bounds else F.lit(0)).drop("c")
-    heads = {r["range"]: r["h"] for r in ranged.groupBy("range").agg(F.max("key").alias("h")).collect()}  # one row a range
+    if several := sorted({b for b in bounds if bounds.count(b) > 1}):  # ids that fill ranges of their own
+        same = F.expr(f"coalesce(get(array({', '.join(str(bounds.count(b)) for b in several)}), cast(array_position({literal(several)}, key) - 1 as int)), 1)")
+        share = F.shiftrightunsigned(F.col("g"), 33) * same / F.lit(float(1 << 31))
+        ranged = ranged.withColumn("range", F.when(F.col("key").isin(several), F.col("range") + F.floor(share).cast("int")).otherwise(F.col("range")))
+    ranged = ranged.withColumn("g", F.bitwise_not(F.shiftrightunsigned(F.col("g"), 1)))  # descending, as ids are
+    heads = {r["range"]: r["h"] for r in ranged.groupBy("range").agg(F.max(F.struct("key", "g")).alias("h")).collect()}  # one row a range
     used = sorted(heads)
     before = {r: used[i - 1] for i, r in enumerate(used)}  # the first range's head goes to the last one
     n = max(used, default=0) + 1
-    head_of, sent_to = literal([heads.get(r, 0) for r in range(n)]), "array(" + ", ".join(str(before.get(r, 0)) for r in range(n)) + ")"
-    copies = F.expr(f"CASE WHEN key = {head_of}[range] THEN array(struct(range AS r, false AS ghost), struct({sent_to}[range] AS r, true AS ghost)) ELSE array(struct(range AS r, false AS ghost)) END")
-    dealt = ranged.withColumn("to", F.explode(copies)).select("to.r", "to.ghost", "key", "id", "text")
-    placed = dealt.repartitionById(n, F.col("r")).sortWithinPartitions("r", "ghost", F.col("key").desc(), "text")
+    head_of = [literal([heads[r][i] if r in heads else 0 for r in range(n)]) for i in (0, 1)]
+    sent_to = "array(" + ", ".join(str(before.get(r, 0)) for r in range(n)) + ")"
+    copies = F.expr(f"CASE WHEN key = {head_of[0]}[range] AND g = {head_of[1]}[range] THEN array(struct(range AS r, false AS ghost), struct({sent_to}[range] AS r, true AS ghost)) ELSE array(struct(range AS r, false AS ghost)) END")
+    dealt = ranged.withColumn("to", F.explode(copies)).select("to.r", "to.ghost", "key", "id", "text", "g")
+    placed = dealt.repartitionById(n, F.col("r")).sortWithinPartitions("r", "ghost", F.col("key").desc(), F.col("g").desc(), "text")
 
     def stream(batches):
         def walk():
@@ -162,8 +173,9 @@ def with_next(docs: DataFrame, work, schema: str, parts: int | None = None) -> D
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """One row per document: its and its edited text's fingerprints, likenesses, longest common extensions.
 
-    A null text is empty; an only document is its own next one; an empty table
-    gives no rows; extra columns are ignored.
+    A null text is empty; an only document is its own next one; repeated rows
+    follow each other; an empty table gives no rows; a very long text is hashed
+    whole; extra columns are ignored.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "same_edited", "same_next"]
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_edited bigint, same_next bigint"

@@ -188,6 +188,8 @@ SECRETS = [
     "ſecret: abcdefgh toKen: abcdefgh",
     "ghp_" + "a1B2" * 10,
     "token" + " " * 500 + "=abcdefgh1",
+    "see https://me:" + "p" * 70 + "@host.org and ftp://u:pw@x, x://a:bcd@y, xoxb-1234567890-abcdef",
+    "-----BEGIN " + "VERY " * 20 + "PRIVATE KEY----- eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.c2lnbmF0dXJl",
 ]
 
 
@@ -196,7 +198,10 @@ def test_secret_scan(spark, documents, odd, empty):
     got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
     for i, t in texts:
         assert [(s["kind"], s["start"], s["end"]) for s in got[i] if s["base"]] == brute_spans(t)
-    assert any(s["kind"] == "github" for s in got[10**6 + 4])
+        want = {(r.kind, *m.span()) for r in secrets.MORE for m in re.finditer(r.pattern, t or "", r.flags)}
+        assert {(s["kind"], s["start"], s["end"]) for s in got[i] if not s["base"]} == want
+    kinds = lambda i: {s["kind"] for s in got[10**6 + i] if not s["base"]}
+    assert kinds(4) == {"github"} and kinds(6) == {"url_login", "slack"} and kinds(7) == {"private_key", "jwt"}
     assert secrets.scan(odd).count() == len(odd_rows()) and secrets.scan(empty).count() == 0
 
 
@@ -211,6 +216,15 @@ def test_trigram_queries():
         assert (len(p.meet(q)) == 1) is hit
 
 
+def test_postings_read_either_width_of_offsets():
+    import pyarrow as pa
+
+    texts, grams = ["no", "akia", "x", "AKIA kia"], ["aki", "kia"]
+    for kind in (pa.string(), pa.large_string()):
+        p = secrets.Postings(pa.array(["cut off", *texts], kind)[1:], grams)
+        assert [p.rows[g].tolist() for g in grams] == [[1, 3], [1, 3]]
+
+
 def test_op3_digests(spark, sf):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in queries.QUERIES["op3_secret_scans"](spark, sf).collect():
@@ -258,6 +272,7 @@ def test_chat_round_trip(spark):
     said = lambda: "".join(random.choice(alphabet) for _ in range(random.randint(0, 12)))
     rows = [(c, t, random.choice(["user", "assistant", "system"]), said()) for c in range(60) for t in range(random.randint(1, 6))]
     rows += [(100, 0, None, None), (100, None, "assistant", "first"), (None, 0, "user", "x"), (101, 0, "assistant", "a"), (101, 0, "assistant", "a")]
+    rows += [(102, 0, "us\ner\\n", "one\ntwo"), (103, 0, "user", "very long " * 200_000), (103, 1, "assistant", "[/INST]" * 50_000)]
     df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("ids", F.lit("clash")).repartition(3)
     got = {r["conv_id"]: r for r in chat.read_chats(chat.format_chats(df)).collect()}
     groups = defaultdict(list)
@@ -275,7 +290,7 @@ def test_chat_round_trip(spark):
 
 
 def test_content_never_makes_a_control_id(spark):
-    ids, mask = chat.assemble([("user", chat.HOSTILE), ("assistant", chat.HOSTILE)])
+    ids, mask, _ = chat.assemble([("user", chat.HOSTILE), ("assistant", chat.HOSTILE)])
     assert (ids >= chat.FIRST_CONTROL).sum() == 6 and not (mask & (ids >= chat.FIRST_CONTROL)).any()
     assert chat.read_back(chat.text_of(ids)) == [("user", chat.HOSTILE), ("assistant", chat.HOSTILE)]
 
@@ -373,6 +388,9 @@ def test_language_id(spark, sf, documents, odd, empty):
     by = {r["_row"]["doc_id"]: r["lang_pred"] for r in found}
     assert by[2] == by[3] == by[6] == "und" and by[1] == "en"
     assert language.identify(empty, model).count() == 0
+    one_id = documents.withColumn("doc_id", F.lit(1)).unionByName(documents.withColumn("doc_id", F.lit(None).cast("bigint")))
+    few = language.fit(one_id, per_lang=20, total=60)
+    assert 1 <= len(few.languages) <= 4
     nothing = language.fit(documents.limit(0))
     assert {r["lang_pred"] for r in language.identify(odd, nothing).collect()} == {"und"}
 
@@ -380,8 +398,10 @@ def test_language_id(spark, sf, documents, odd, empty):
 # ---- 8
 
 
-def neighbours(rows):
-    rows = sorted(((i is not None, i or 0, i, t or "") for i, t in rows), key=lambda r: (not r[0], -r[1], r[3]))
+def neighbours(spark, rows):
+    """Descending ids, null last, rows of one id by a hash of their text."""
+    hashed = spark.createDataFrame([(i, t or "") for i, t in rows], "i bigint, t string").withColumn("g", F.xxhash64("t")).collect()
+    rows = sorted(((i is not None, i or 0, i, t, g % (1 << 64) >> 1) for i, t, g in hashed), key=lambda r: (not r[0], -r[1], r[4], r[3]))
     return [(a[2], a[3], rows[(k + 1) % len(rows)][3]) for k, a in enumerate(rows)]
 
 
@@ -390,9 +410,10 @@ def test_next_documents_and_edits(spark, documents, odd, parts):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
-        for df in (documents, odd):
+        hot = documents.select(F.when(F.col("doc_id") % 3 > 0, 7).when(F.col("doc_id") % 2 > 0, F.col("doc_id")).alias("doc_id"), "text")
+        for df in (documents, odd, hot):
             got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in prefixhash.document_fingerprints(df).collect())
-            want = Counter((i, len(t), hashlib.sha256(prefixhash.edited(t, n).encode()).hexdigest()) for i, t, n in neighbours([(r["doc_id"], r["text"]) for r in df.collect()]))
+            want = Counter((i, len(t), hashlib.sha256(prefixhash.edited(t, n).encode()).hexdigest()) for i, t, n in neighbours(spark, [(r["doc_id"], r["text"]) for r in df.collect()]))
             assert got == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
@@ -410,6 +431,18 @@ def test_fingerprint_likeness(documents, empty):
     assert prefixhash.document_fingerprints(empty).count() == 0
 
 
+def test_likeness_does_not_depend_on_length():
+    text = "".join(random.Random(3).choices("abcdefgh ", k=400))
+    print_ = lambda s: prefixhash.PrefixHash(prefixhash.codes_of(s)).fingerprint()
+    for n in (80, 95, 96, 97, 400):
+        assert all(prefixhash.likeness(print_(text[:n]), print_(text[: n - k])) > 0.8 for k in (1, 2, 3, 4))
+        assert prefixhash.likeness(print_(text[:n]), print_("z" + text[1:n])) > 0.4 and prefixhash.likeness(print_(text[:n]), print_("x" * n)) == 0.0
+    assert prefixhash.likeness(print_("abc"), print_("abcd")) > 0.4 and prefixhash.likeness(print_(""), print_("")) == 1.0
+    for s in (text, "ab", "x"):
+        x, padded = prefixhash.PrefixHash(prefixhash.codes_of(s)).spans(), "\0" * 23 + s
+        assert len(set(x.tolist())) == len({padded[i : i + 24] for i in range(len(s))})
+
+
 def test_longest_common_extension():
     random.seed(8)
     for _ in range(200):

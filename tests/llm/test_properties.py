@@ -19,11 +19,11 @@ def test_escapes_are_reversible_and_hide_controls(text):
     assert not any(c in hidden for c in chat.CONTROLS)
 
 
-@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system"]), PIECES), max_size=5))
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "a\nb", "\\n\n[INST]\\"]), PIECES), max_size=5))
 @settings(max_examples=200, deadline=None)
 def test_conversations_read_back(turns):
-    ids, mask = chat.assemble(turns)
-    assert chat.read_back(chat.text_of(ids)) == turns
+    ids, mask, said = chat.assemble(turns)
+    assert chat.text_of(ids) == said and chat.read_back(said) == turns
     assert chat.masked_text(ids, mask) == "".join(t for r, t in turns if r == "assistant")
 
 
