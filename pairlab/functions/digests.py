@@ -29,20 +29,25 @@ def config_digest(fields: dict[str, Column]) -> Column:
 def ordered_digest(df: DataFrame, ordinal: str, columns: list[str], groups: list[str] | None = None, bucket_rows: int = 10000) -> DataFrame:
     """Digest of rows in ordinal order per group, over the named columns only.
 
-    Rows are hashed, hashes are joined in order inside buckets of consecutive
-    ordinals, and bucket digests are joined in order: the widest gather is one
-    bucket, and the result does not depend on the partitioning.
+    Rows are hashed, hashes are joined in order inside buckets of `bucket_rows`
+    consecutive ordinals, and so are the buckets' digests, three times over: no
+    gather is wider than a bucket up to its fourth power of rows, and the result
+    does not depend on the partitioning.
     """
     groups = groups or []
     rows = df.select(*groups, ordinal, F.sha2(row_text([F.col(c) for c in columns]), 256).alias("h"))
     rows = rows.withColumn("bucket", F.floor(F.col(ordinal) / bucket_rows))
     ordered = lambda key: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda s: s["h"]), "\n")
     buckets = rows.groupBy(*groups, "bucket").agg(F.sha2(ordered(ordinal), 256).alias("h"), F.count("*").alias("n"))
-    return buckets.groupBy(*groups).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_buckets"), F.sha2(ordered("bucket"), 256).alias("digest"))
+    buckets = buckets.withColumn("b", F.lit(1).cast("bigint"))
+    for _ in range(2):
+        up = F.floor(F.col("bucket") / bucket_rows).alias("up")
+        buckets = buckets.groupBy(*groups, up).agg(F.sha2(ordered("bucket"), 256).alias("h"), F.sum("n").alias("n"), F.sum("b").alias("b")).withColumnRenamed("up", "bucket")
+    return buckets.groupBy(*groups).agg(F.sum("n").alias("n_rows"), F.sum("b").alias("n_buckets"), F.sha2(ordered("bucket"), 256).alias("digest"))
 
 
 def list_digest(df: DataFrame, groups: list[str], key: str, sha: str) -> DataFrame:
-    """Digest of a list of (path, sha) ordered by path, per group; lists are short (files of one artifact)."""
+    """Digest of a list of (path, sha) ordered by path, per group; one list is one JSON text (files of one artifact), long ones go to `ordered_digest`."""
     listed = F.to_json(F.array_sort(F.collect_list(F.struct(F.col(key).alias("path"), F.col(sha).alias("sha256")))))
     return df.groupBy(*groups).agg(F.sha2(listed, 256).alias("digest"), F.count("*").alias("n_files"))
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Keys that differ between equal runs.
 VOLATILE_SUFFIX, VOLATILE_KEYS = "_ms", ("timestamp", "created_at_utc", "temporary_path", "pid", "process_id")
@@ -18,21 +20,37 @@ def stable_map(text: Column, suffix: str = VOLATILE_SUFFIX, keys: tuple[str, ...
     return F.map_filter(flat_map(text), lambda k, v: ~F.endswith(k, F.lit(suffix)) & ~k.isin(*keys))
 
 
+def _leaves():
+    """The walk as an Arrow-batched function: column functions have no recursion.  All its parts are nested, so workers need no import of this package."""
+
+    def walk(node, path, out):
+        if isinstance(node, dict | list):
+            for name, child in node.items() if isinstance(node, dict) else enumerate(node):
+                walk(child, f"{path}.{name}" if path else str(name), out)
+        else:
+            out.append((path, node if node is None or isinstance(node, str) else str(node).lower()))
+
+    def one(text):
+        import json
+
+        out: list[tuple[str, str | None]] = []
+        try:
+            walk(json.loads(text, parse_float=str, parse_int=str), "", out)
+        except (TypeError, ValueError, RecursionError):
+            return None
+        return [{"path": p, "value": v} for p, v in sorted(out, key=lambda x: x[0])]
+
+    leaf = T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])
+
+    def leaves(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return F.pandas_udf(leaves, T.ArrayType(leaf))
+
+
 def leaf_paths(text: Column) -> Column:
-    """array<struct<path, value>> of every scalar leaf of nested objects, to a depth of three, in path order."""
-    level = F.transform(F.map_entries(flat_map(text)), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))
-    for _ in range(2):
-        nested = lambda e: F.startswith(F.ltrim(e["value"]), F.lit("{"))
-        level = F.flatten(
-            F.transform(
-                level,
-                lambda e: F.when(
-                    nested(e),
-                    F.transform(F.map_entries(flat_map(e["value"])), lambda c: F.struct(F.concat(e["path"], F.lit("."), c["key"]).alias("path"), c["value"].alias("value"))),
-                ).otherwise(F.array(e)),
-            )
-        )
-    return F.array_sort(level)
+    """array<struct<path, value>> of every scalar leaf of nested objects and arrays at any depth, in path order; null for no JSON."""
+    return _leaves()(text)
 
 
 def stable_leaves(text: Column, suffix: str = VOLATILE_SUFFIX, keys: tuple[str, ...] = VOLATILE_KEYS) -> Column:

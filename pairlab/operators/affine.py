@@ -1,8 +1,9 @@
 """Robust affine fits per pair as joins and aggregations.
 
 Hypotheses are 2-point (partial, four degrees of freedom) or 3-point (full)
-samples of a pair's matches.  Samples are the smallest by a hash of the match
-indices, so runs agree for any partitioning; degenerate ones are dropped.
+samples of a pair's matches.  Samples are drawn by a hash of the pair and the
+draw's number, as many distinct ones as are asked for or there are, so runs
+agree for any partitioning; degenerate ones are dropped.
 Every hypothesis is joined to its pair's matches, inliers are counted, the best
 hypothesis (most inliers, then least residual sum) is refined by least squares
 over its inliers from sums alone.
@@ -57,23 +58,27 @@ def robust_affine(matches: DataFrame, pair: str = "pair", model: str = "partial"
     counts = numbered.groupBy("pair").agg(F.count("*").alias("n"))
     enough = counts.filter(F.col("n") >= least).select("pair", "n")
     points = numbered.join(enough.select("pair"), "pair")
-    # samples are drawn by hash, up to `hypotheses` a pair whatever its size; pairs of few matches try every sample
+    # the j-th draw of a pair names one of its C(n, size) samples: a start by the pair's hash, then equal strides coprime to
+    # their number, so draws never repeat before all samples are used; ranks turn into ascending indices by the combinatorial number system
     ranked = points.withColumn("k", F.row_number().over(Window.partitionBy("pair").orderBy("idx")) - 1)
-    tries = enough.select("pair", "n", F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))).alias("h"))
-    draw = lambda i: F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("pair").cast("string"), F.col("h").cast("string"), F.lit(str(i))), 256), 1, 12), 16, 10).cast("bigint"), F.col("n")).cast("int")
-    sampled = tries.select("pair", "h", *[draw(i).alias(f"k{i}") for i in range(size)])
-    if size == 2:
-        sampled = sampled.filter("k0 < k1")
-    else:
-        sampled = sampled.filter("k0 < k1 AND k1 < k2")
-    every = enough.filter(F.col("n") <= 24)  # few matches: every sample instead of drawn ones
-    grid = every.select("pair", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k0"))
-    for i in range(1, size):
-        grid = grid.select("pair", "n", *[f"k{j}" for j in range(i)], F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias(f"k{i}")).filter(f"k{i} > k{i - 1}")
-    rank = Window.partitionBy("pair").orderBy(F.sha2(F.concat_ws("|", F.col("pair").cast("string"), *[F.col(f"k{i}").cast("string") for i in range(size)]), 256))
-    grid = grid.withColumn("_r", F.row_number().over(rank)).filter(F.col("_r") <= hypotheses)
-    ks = [F.col(f"k{i}").cast("int").alias(f"k{i}") for i in range(size)]
-    samples = grid.select("pair", *ks).unionByName(sampled.join(every.select("pair"), "pair", "left_anti").select("pair", *ks).distinct())
+    n = F.col("n").cast("bigint")
+    every = F.floor(n * (n - 1) / 2) if size == 2 else F.floor(n * (n - 1) * (n - 2) / 6)
+    hashed = lambda salt: F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("pair").cast("string"), F.lit(salt)), 256), 1, 7), 16, 10).cast("bigint")
+    tries = enough.withColumn("all", every.cast("bigint")).withColumns({"start": F.pmod(hashed("start"), F.col("all")), "stride": F.pmod(hashed("stride"), F.col("all"))})
+    gcd = "aggregate(sequence(1, 48), struct({a} AS a, {b} AS b), (s, _) -> if(s.b = 0, s, struct(s.b AS a, s.a % s.b AS b)), s -> s.a)"
+    prime = F.expr(f"filter(transform(sequence(0, 63), i -> stride + i), x -> x > 0 AND {gcd.format(a='`all`', b='x')} = 1)[0]")
+    tries = tries.withColumn("stride", F.coalesce(prime, F.lit(1)))
+    drawn = tries.select("pair", "all", "start", "stride", F.explode(F.expr(f"sequence(0L, least(`all`, {hypotheses}L) - 1)")).alias("h"))
+    rank = F.pmod(F.col("start") + F.pmod(F.col("h") * F.col("stride"), F.col("all")), F.col("all")).alias("s")
+    samples = drawn.select("pair", rank)
+    if size == 3:  # the largest k2 with C(k2, 3) <= s; the root is off by one at most
+        root = F.floor(F.cbrt(6.0 * F.col("s")) + 1).cast("bigint")
+        third = F.expr("filter(array(r + 2, r + 1, r, r - 1, r - 2, r - 3), x -> x >= 2 AND x * (x - 1) * (x - 2) div 6 <= s)[0]")
+        samples = samples.withColumn("r", root).withColumn("k2", third).withColumn("s", F.expr("s - k2 * (k2 - 1) * (k2 - 2) div 6")).drop("r")
+    root = F.floor(F.sqrt(2.0 * F.col("s")) + 1).cast("bigint")
+    second = F.expr("filter(array(r + 1, r, r - 1, r - 2), x -> x >= 1 AND x * (x - 1) div 2 <= s)[0]")
+    samples = samples.withColumn("r", root).withColumn("k1", second).withColumn("k0", F.expr("s - k1 * (k1 - 1) div 2"))
+    samples = samples.select("pair", *[F.col(f"k{i}").cast("int").alias(f"k{i}") for i in range(size)])
     for i in range(size):
         side = ranked.select("pair", F.col("k").alias(f"k{i}"), *[F.col(c).alias(f"{c}{i}") for c in "xyuv"])
         samples = samples.join(side, ["pair", f"k{i}"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.digests import joined_sha256
 from ..sources.publish import staged
+from .sampling import ranked_in_groups
 
 
 def selection_hash(version: str, seed: str, stratum: Column, subject: Column) -> Column:
@@ -17,17 +18,20 @@ def selection_hash(version: str, seed: str, stratum: Column, subject: Column) ->
 def hash_ranked(candidates: DataFrame, version: str, seed: str, stratum: str = "stratum", subject: str = "subject", k: int | None = None) -> DataFrame:
     """Rank inside each stratum by hash, then subject. With k, Spark cuts every task's candidates to k before the shuffle."""
     hashed = candidates.withColumn("selection_hash", selection_hash(version, seed, F.col(stratum), F.col(subject)))
+    if k is None:  # all ranks: strata are few, so ranges of hashes are ranked and their counts added
+        return ranked_in_groups(hashed, [stratum], ["selection_hash", subject], "selection_rank", 1)
     ranked = hashed.withColumn("selection_rank", F.row_number().over(Window.partitionBy(stratum).orderBy("selection_hash", subject)).cast("bigint"))
-    return ranked if k is None else ranked.filter(F.col("selection_rank") <= k)
+    return ranked.filter(F.col("selection_rank") <= k)
 
 
-def select_cohort(candidates: DataFrame, strata: list[str], k: int, version: str, seed: str, stratum: str = "stratum", subject: str = "subject") -> DataFrame:
+def select_cohort(candidates: DataFrame, strata: list[str], k: int, version: str, seed: str, stratum: str = "stratum", subject: str = "subject", whole: bool = False) -> DataFrame:
     """The first k of each stratum in turn, a subject chosen once being excluded later.
 
     `strata` is the short, ordered list of strata.  A stratum's choice only
     needs its k + (subjects chosen before) best candidates, so one ranked pass
     keeps at most k × strata rows of each, and the sequential part runs on that
-    bounded table.  Too few candidates leave a stratum short; see `cohort_faults`.
+    bounded table.  With `whole`, a stratum of fewer than k is refused (W2's
+    failure); without, it is left short and `cohort_faults` names it.
     """
     best = hash_ranked(candidates, version, seed, stratum, subject, k * len(strata)).select(stratum, subject, "selection_hash")
     best = staged(best)
@@ -39,6 +43,8 @@ def select_cohort(candidates: DataFrame, strata: list[str], k: int, version: str
         rank = F.row_number().over(Window.partitionBy(stratum).orderBy("selection_hash", subject)).cast("bigint")
         now = left.withColumn("selection_rank", rank).filter(F.col("selection_rank") <= k).select(stratum, subject, "selection_hash", "selection_rank")
         chosen = staged(now if chosen is None else chosen.unionByName(now))
+        if whole and (found := chosen.filter(F.col(stratum) == name).count()) < k:
+            raise ValueError(f"stratum {name} has {found} of {k} candidates")
     return chosen
 
 

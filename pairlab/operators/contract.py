@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.digests import is_sha256
 from ..functions.numbers import finite, json_object
+from .records import under_root
 from .scoring import FAIL_A, FAIL_COMPARE, OK, STATUSES
 
 TOLERANCE_MS = 0.001
@@ -66,15 +68,55 @@ def header_faults(columns: list[str], expected: list[str]) -> list[str]:
     return faults or ["column_order"]
 
 
-def bundle_faults(results: DataFrame, metadata: DataFrame, key: list[str]) -> DataFrame:
-    """Row count and status counts of a bundle against its metadata row (key, n_rows, n_ok, digest)."""
-    actual = results.groupBy(*key).agg(F.count("*").alias("_rows"), F.count_if(F.col("status") == OK).alias("_ok"))
+def bundle_faults(results: DataFrame, metadata: DataFrame, key: list[str], constants: tuple[str, ...] = (), current: DataFrame | None = None) -> DataFrame:
+    """(key, rule) of bundles whose metadata row does not hold.
+
+    `metadata` has n_rows and n_ok, the run constants (versions, hashes) that
+    every result row must repeat, and the columns of `current`: what holds now
+    by key, such as the digest of the rows, the manifest's path, digest and
+    number of rows, or the digest of a stored preflight.
+    """
+    varies = [F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("\0"))).alias(f"_v_{c}") for c in constants]
+    shown = [F.max(c).alias(f"_c_{c}") for c in constants]
+    actual = results.groupBy(*key).agg(F.count("*").alias("_rows"), F.count_if(F.col("status") == OK).alias("_ok"), *varies, *shown)
     j = metadata.join(actual, key, "full_outer")
-    rule = (
-        F.when(F.col("_rows").isNull(), "no_results").when(F.col("n_rows").isNull(), "no_metadata")
-        .when(F.col("n_rows") != F.col("_rows"), "row_count").when(F.col("n_ok") != F.col("_ok"), "status_count")
-    )
-    return j.select(*key, rule.alias("rule")).filter("rule IS NOT NULL")
+    named = [c for c in (current.columns if current is not None else []) if c not in key]
+    if current is not None:
+        j = j.join(current.select(*key, *[F.col(c).alias(f"_n_{c}") for c in named]), key, "left")
+    both = F.col("_rows").isNotNull() & F.col("n_rows").isNotNull()
+    rules = {"no_results": F.col("_rows").isNull(), "no_metadata": F.col("n_rows").isNull(), "row_count": both & (F.col("n_rows") != F.col("_rows")), "status_count": both & (F.col("n_ok") != F.col("_ok"))}
+    for c in constants:
+        rules[f"{c}_varies"] = both & (F.col(f"_v_{c}") > 1)
+        rules[f"{c}_differs"] = both & (F.col(f"_v_{c}") == 1) & ~F.col(f"_c_{c}").eqNullSafe(F.col(c))
+    for c in named:
+        rules[f"stale_{c}"] = both & ~F.col(f"_n_{c}").eqNullSafe(F.col(c))
+    flags = [F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items()]
+    return j.select(*key, F.explode(F.filter(F.array(*flags), lambda x: x.isNotNull())).alias("rule"))
+
+
+def preflight_faults(stored: DataFrame, rebuilt: DataFrame, root: Column | None = None) -> DataFrame:
+    """(artifact, rule) of a stored preflight (artifact, sha256, path) against a rebuild (artifact, sha256).
+
+    Artifacts may be missing, additional, of another digest, without a proper
+    digest, or lie outside the root.
+    """
+    s = stored.select("artifact", F.col("sha256").alias("_s"), F.col("path").alias("_p"), F.lit(True).alias("_in"))
+    j = s.join(rebuilt.select("artifact", F.col("sha256").alias("_r"), F.lit(True).alias("_new")), "artifact", "full_outer")
+    there = F.col("_in").isNotNull() & F.col("_new").isNotNull()
+    rules = {
+        "missing_artifact": F.col("_in").isNull(), "extra_artifact": F.col("_new").isNull(),
+        "malformed_digest": F.col("_in").isNotNull() & ~is_sha256(F.col("_s")), "digest_mismatch": there & is_sha256(F.col("_s")) & (F.col("_s") != F.col("_r")),
+        "outside_root": F.lit(False) if root is None else F.col("_in").isNotNull() & ~F.coalesce(under_root(F.col("_p"), root), F.lit(False)),
+    }
+    flags = [F.when(bad, F.lit(name)) for name, bad in rules.items()]
+    return j.select("artifact", F.explode(F.filter(F.array(*flags), lambda x: x.isNotNull())).alias("rule"))
+
+
+def binding_faults(requested: DataFrame, preflight: DataFrame) -> DataFrame:
+    """(run, rule) of requested runs (run, artifact, sha256) that the stored preflight (artifact, sha256) does not bind."""
+    p = preflight.select("artifact", F.col("sha256").alias("_p"))
+    rule = F.when(F.col("_p").isNull(), "not_in_preflight").when(~F.col("_p").eqNullSafe(F.col("sha256")), "changed_after_preflight")
+    return requested.join(p, "artifact", "left").select("run", rule.alias("rule")).filter("rule IS NOT NULL")
 
 
 def unpivoted(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
@@ -99,7 +141,7 @@ def rederived_faults(stored: DataFrame, derived: DataFrame, key: list[str], colu
 
 def allowed_values(rows: DataFrame, allowed: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key combination is not in the (small) rule table."""
-    return rows.join(F.broadcast(allowed), keys, "left_anti")
+    return rows.join(allowed, keys, "left_anti")
 
 
 def document_faults(items: DataFrame, key: str, exact: list[str], types: dict[str, str], truths: dict[str, Column], document: str = "document") -> DataFrame:

@@ -1,9 +1,10 @@
 """Nearest-neighbour matching inside groups.
 
-Points are joined on their group only, and the two nearest are kept by a
-partial aggregation (two smallest structs), so a group's distances are never
-sorted in one task.  Groups are the point sets of an image pair, a few hundred
-points a side, whatever the number of pairs.
+Points are joined on their group only, and the two nearest of each point are
+kept by a ranked window, which Spark cuts to two rows in every task before the
+shuffle.  Groups are the point sets of an image pair, a few hundred points a
+side, whatever the number of pairs; larger groups are refused (`refused_over`)
+or cut by their rank before.
 """
 
 from __future__ import annotations

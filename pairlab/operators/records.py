@@ -21,15 +21,15 @@ def with_failure(df: DataFrame, rules: list[tuple[Column, str]], name: str = "er
 
 
 def coded(df: DataFrame, dimension: DataFrame, keys: list[str], label: str, default: Column | None = None) -> DataFrame:
-    """Label of a code from a small dimension (fixed vocabulary, so broadcast); unknown codes get `default`."""
-    out = df.join(F.broadcast(dimension), keys, "left")
+    """Label of a code from a small dimension (a fixed vocabulary, which Spark broadcasts by its size); unknown codes get `default`."""
+    out = df.join(dimension, keys, "left")
     return out if default is None else out.withColumn(label, F.coalesce(F.col(label), default))
 
 
 def slotted(df: DataFrame, dimension: DataFrame, keys: list[str]) -> DataFrame:
     """Three-valued slots. `dimension` has keys, nullable slot; adds is_valid, slot, is_single, is_multi."""
     known = dimension.withColumn("_known", F.lit(True))
-    out = df.join(F.broadcast(known), keys, "left").withColumn("is_valid", F.coalesce("_known", F.lit(False))).drop("_known")
+    out = df.join(known, keys, "left").withColumn("is_valid", F.coalesce("_known", F.lit(False))).drop("_known")
     return out.withColumns({"is_single": F.col("is_valid") & F.col("slot").isNotNull(), "is_multi": F.col("is_valid") & F.col("slot").isNull()})
 
 

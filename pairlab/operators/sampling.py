@@ -11,13 +11,24 @@ from ..sources.publish import staged
 
 
 def with_ordinals(df: DataFrame, key: str, name: str = "ordinal", parts: int | None = None) -> DataFrame:
-    """O1: 0-based ordinals in key order, independent of the partitioning; ranges are counted, no task sees all rows."""
+    """O1: 0-based ordinals in key order, ties by the whole row, independent of the partitioning; ranges are counted, no task sees all rows."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = staged(df.repartitionByRange(n, key).withColumn("_p", F.spark_partition_id()))
+    whole = F.xxhash64(*[F.to_json(F.struct(F.col(c).alias("x"))) for c in df.columns])  # equal rows may take each other's ordinals
+    dealt = staged(df.withColumn("_t", whole).repartitionByRange(n, key, "_t").withColumn("_p", F.spark_partition_id()))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     offsets = dealt.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
-    return dealt.withColumn("_r", inside).join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_r") + F.col("_o")).cast("bigint")).drop("_p", "_r", "_o")
+    inside = F.row_number().over(Window.partitionBy("_p").orderBy(key, "_t")) - 1
+    return dealt.withColumn("_r", inside).join(offsets, "_p").withColumn(name, (F.col("_r") + F.col("_o")).cast("bigint")).drop("_p", "_r", "_o", "_t")
+
+
+def ranked_in_groups(df: DataFrame, groups: list[str], order: list[str], name: str, first: int = 0) -> DataFrame:
+    """Ranks by `order` (a total order) in each of a few large groups; ranges are counted, no task sees a whole group."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(df.repartitionByRange(n, *groups, *order).withColumn("_p", F.spark_partition_id()))
+    before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a group and partition
+    offsets = dealt.groupBy(*groups, "_p").agg(F.count("*").alias("_n")).select(*groups, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    inside = F.row_number().over(Window.partitionBy(*groups, "_p").orderBy(*order)) - 1 + first
+    return dealt.withColumn("_r", inside).join(offsets, [*groups, "_p"]).withColumn(name, (F.col("_r") + F.col("_o")).cast("bigint")).drop("_p", "_r", "_o")
 
 
 def stride_ordinals(rows: DataFrame, count: int = 10) -> DataFrame:
@@ -45,7 +56,7 @@ def all_reasons(*samples: DataFrame) -> DataFrame:
 
 def missed_classes(rows: DataFrame, strides: DataFrame, classes: dict[str, Column], ordinal: str = "ordinal") -> DataFrame:
     """Like `first_of_classes`, but only for classes that no stride row belongs to; the first reason wins."""
-    covered = rows.join(F.broadcast(strides.select("ordinal").distinct()), F.col(ordinal) == F.col("ordinal") if ordinal != "ordinal" else "ordinal", "left_semi")
+    covered = rows.join(strides.select("ordinal").distinct(), F.col(ordinal) == F.col("ordinal") if ordinal != "ordinal" else "ordinal", "left_semi")
     flags = covered.agg(*[F.coalesce(F.bool_or(p), F.lit(False)).alias(c) for c, p in classes.items()])
     seen = flags.select(F.explode(F.array(*[F.struct(F.lit(c).alias("reason"), F.col(c).alias("seen")) for c in classes])).alias("x")).select("x.*").filter("seen").select("reason")
     return first_of_classes(rows, classes, ordinal).join(seen, "reason", "left_anti")

@@ -9,6 +9,7 @@ they stand in; failures are rows with a stage, never exceptions.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -37,11 +38,12 @@ class Method(Protocol):
 
 @dataclass(frozen=True)
 class DotProduct:
-    """Cosine-like score of equal-length vectors; `refuse` marks captures that fail to prepare."""
+    """Cosine-like score of equal-length vectors; `refuse` marks captures that fail to prepare, `first` keeps the score to leading dimensions."""
 
     length: int
     refuse: Column | None = None
     halves: bool = False
+    first: int | None = None
     name: str = "dot"
     version: str = "1"
     payload_format: str = "vector"
@@ -53,6 +55,8 @@ class DotProduct:
         return captures.select("capture", F.when(fault.isNull(), F.col("vector")).alias("payload"), fault.alias("error"))
 
     def compare(self, a: Column, b: Column) -> Column:
+        if self.first:
+            a, b = F.slice(a, 1, self.first), F.slice(b, 1, self.first)
         s = two_branch_score(a, b, self.length // 2) if self.halves else dot(a, b)
         return F.struct(F.when(finite(s), s).alias("score"), F.when(~finite(s), "non_finite_score").alias("error"))
 
@@ -64,23 +68,73 @@ def authorised(prepared: DataFrame, method: Method) -> DataFrame:
     return prepared.select("capture", F.when(error.isNull(), F.col("payload")).alias("payload"), error.alias("error"))
 
 
+def _timed(ms: Column) -> Column:
+    """A reported time that is not finite or is negative is an error of its stage."""
+    return F.when(ms.isNotNull() & (~F.coalesce(finite(ms), F.lit(False)) | (ms < 0)), "bad_timing")
+
+
 def run_pairs(pairs: DataFrame, captures: DataFrame, method: Method, constants: dict[str, str] | None = None) -> DataFrame:
-    """Pairs (…, capture_a, capture_b) → status, raw_score, error_code, and the run constants."""
+    """Pairs (…, capture_a, capture_b) → status, raw_score, error_code, times, and the run constants.
+
+    Times are those that the method reports (a column `ms` of `prepare`, a field
+    `ms` of `compare`), null for stages that did not run; total_ms is their sum.
+    """
     prepared = method.prepare(captures)
-    side = lambda s: prepared.select(F.col("capture").alias(f"capture_{s}"), F.col("payload").alias(f"_p{s}"), F.col("error").alias(f"_e{s}"), F.lit(True).alias(f"_k{s}"))
+    if "ms" not in prepared.columns:
+        prepared = prepared.withColumn("ms", F.lit(None).cast("double"))
+    side = lambda s: prepared.select(F.col("capture").alias(f"capture_{s}"), F.col("payload").alias(f"_p{s}"), F.coalesce("error", _timed(F.col("ms"))).alias(f"_e{s}"), F.col("ms").alias(f"prepare_{s}_ms"), F.lit(True).alias(f"_k{s}"))
     joined = pairs.join(side("a"), "capture_a", "left").join(side("b"), "capture_b", "left")
     for s in "ab":
         joined = joined.withColumn(f"_e{s}", F.when(F.col(f"_k{s}").isNull(), "missing_capture").otherwise(F.col(f"_e{s}")))
     both = F.col("_ea").isNull() & F.col("_eb").isNull()
     compared = joined.withColumn("_c", F.when(both, method.compare(F.col("_pa"), F.col("_pb"))))
+    times = "ms" in compared.schema["_c"].dataType.names
+    ms = F.col("_c.ms") if times else F.lit(None).cast("double")
+    compared = compared.withColumn("_c", F.when(both, F.struct("_c.score", F.coalesce("_c.error", _timed(ms)).alias("error"), ms.alias("ms"))))
     status = F.when(F.col("_ea").isNotNull(), FAIL_A).when(F.col("_eb").isNotNull(), FAIL_B).when(F.col("_c.error").isNotNull() | F.col("_c.score").isNull(), FAIL_COMPARE).otherwise(OK)
     out = compared.withColumn("status", status).withColumns({
         "raw_score": F.when(F.col("status") == OK, F.col("_c.score")),
         "error_code": F.coalesce("_ea", "_eb", "_c.error"),
+        "prepare_b_ms": F.when(F.col("status") != FAIL_A, F.col("prepare_b_ms")),
+        "compare_ms": F.when(both, F.col("_c.ms")),
+        "total_ms": reduce(lambda x, y: x + F.coalesce(y, F.lit(0.0)), [F.col("prepare_a_ms"), F.when(F.col("status") != FAIL_A, F.col("prepare_b_ms")), F.when(both, F.col("_c.ms"))], F.lit(0.0)),
     }).drop("_pa", "_pb", "_ea", "_eb", "_ka", "_kb", "_c")
     return out.withColumns({k: F.lit(v) for k, v in (constants or {}).items()})
 
 
+@dataclass(frozen=True)
+class Timed:
+    """A method whose stages report times: `prepare_ms` over a capture's columns, `compare_ms` a constant or expression."""
+
+    method: Method
+    prepare_ms: Column
+    compare_ms: Column
+
+    def prepare(self, captures: DataFrame) -> DataFrame:
+        return self.method.prepare(captures).join(captures.select("capture", self.prepare_ms.cast("double").alias("ms")), "capture")
+
+    def compare(self, a: Column, b: Column) -> Column:
+        c = self.method.compare(a, b)
+        return F.struct(c["score"].alias("score"), c["error"].alias("error"), self.compare_ms.cast("double").alias("ms"))
+
+
+def run_filtered(pairs: DataFrame, captures: DataFrame, methods: dict[str, Method], wanted: DataFrame, manifest_faults: DataFrame, group: str) -> DataFrame:
+    """The runs of `wanted` (method, `group`) over one table of pairs that is checked once for all of them.
+
+    `manifest_faults` has a row per broken rule of the pairs' manifests; any row
+    refuses every run.  Methods are a small vocabulary and one job a method.
+    """
+    if manifest_faults.limit(1).count():
+        raise ValueError("the shared manifest broke rules; no run was started")
+    names = F.lit(None).cast("string")
+    out = None
+    for name, method in methods.items():
+        runs = wanted.filter(F.col("method") == name).select(group)
+        now = run_pairs(pairs.join(runs, group, "left_semi"), captures, method, {"method": name})
+        out = now if out is None else out.unionByName(now)
+    return out if out is not None else pairs.withColumn("method", names).limit(0)
+
+
 def run_matrix(dimensions: list[DataFrame], wanted: Column | None = None) -> DataFrame:
     """All combinations of the run dimensions, or those wanted; dimensions are small vocabularies."""
     out = dimensions[0]

@@ -1,9 +1,8 @@
 """Verification curves.
 
 Scores are first reduced to a histogram per group and distinct score; all
-curve points then come from one ordered window over the histogram.  Where one
-group has very many distinct scores, `range_prefix` sums it in range partitions
-instead of one task.
+curve points then come from prefix sums of the histogram, which are taken in
+range partitions, so a group with very many distinct scores is not one task.
 """
 
 from __future__ import annotations
@@ -19,21 +18,22 @@ def score_histogram(rows: DataFrame, groups: list[str], score: str, genuine: Col
     return rows.groupBy(*groups, F.col(score).alias("score")).agg(F.count_if(genuine).alias("g"), F.count_if(~genuine).alias("i"))
 
 
-def range_prefix(hist: DataFrame, groups: list[str], parts: int, descending: bool = True) -> DataFrame:
-    """Adds g_sum, i_sum (sums of g, i up to and including each score, in descending order) for histograms of any length.
+def range_prefix(hist: DataFrame, groups: list[str], parts: int | None = None, descending: bool = True, key: str = "score", counts: tuple[str, ...] = ("g", "i")) -> DataFrame:
+    """Adds g_sum, i_sum (sums of `counts` up to and including each key, in descending order) for histograms of any length.
 
-    Scores are dealt into ranges; ranges are summed (one row a group and range),
+    Keys are dealt into ranges; ranges are summed (one row a group and range),
     and each range's prefix is added to the sums inside it.
     """
-    order = F.col("score").desc() if descending else F.col("score").asc()
+    parts = parts or int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col(key).desc() if descending else F.col(key).asc()
     dealt = hist.repartitionByRange(parts, *groups, order).withColumn("_p", F.spark_partition_id())
     dealt = staged(dealt)
     inside = Window.partitionBy(*groups, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*groups).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(*groups, "_p").agg(F.sum("g").alias("_g"), F.sum("i").alias("_i"))
-    sums = sums.select(*groups, "_p", F.coalesce(F.sum("_g").over(before), F.lit(0)).alias("_g0"), F.coalesce(F.sum("_i").over(before), F.lit(0)).alias("_i0"))
-    out = dealt.withColumns({"_gs": F.sum("g").over(inside), "_is": F.sum("i").over(inside)}).join(sums, [*groups, "_p"])
-    return out.select(*groups, "score", "g", "i", (F.col("_gs") + F.col("_g0")).alias("g_sum"), (F.col("_is") + F.col("_i0")).alias("i_sum"))
+    sums = dealt.groupBy(*groups, "_p").agg(*[F.sum(c).alias(f"_{c}") for c in counts])
+    sums = sums.select(*groups, "_p", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_0{c}") for c in counts])
+    out = dealt.withColumns({f"_s{c}": F.sum(c).over(inside) for c in counts}).join(sums, [*groups, "_p"])
+    return out.select(*hist.columns, *[(F.col(f"_s{c}") + F.col(f"_0{c}")).alias(f"{c}_sum") for c in counts])
 
 
 def _totals(hist: DataFrame, groups: list[str]) -> DataFrame:
@@ -43,8 +43,7 @@ def _totals(hist: DataFrame, groups: list[str]) -> DataFrame:
 
 def roc(hist: DataFrame, groups: list[str]) -> DataFrame:
     """(threshold, far, tar) at each distinct score, and one point above the largest."""
-    down = Window.partitionBy(*groups).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    sums = hist.withColumns({"g_sum": F.sum("g").over(down), "i_sum": F.sum("i").over(down)})
+    sums = range_prefix(hist, groups)
     totals_ = _totals(hist, groups)
     points = sums.join(totals_, groups).select(*groups, F.col("score").alias("threshold"), (F.col("i_sum") / F.col("ni")).alias("far"), (F.col("g_sum") / F.col("ng")).alias("tar"))
     above = totals_.select(*groups, F.expr("reflect('java.lang.Math', 'nextUp', top)").cast("double").alias("threshold"), F.lit(0.0).alias("far"), F.lit(0.0).alias("tar"))
@@ -53,11 +52,10 @@ def roc(hist: DataFrame, groups: list[str]) -> DataFrame:
 
 def auc(hist: DataFrame, groups: list[str]) -> DataFrame:
     """P(genuine > impostor) + half the ties, exact, from prefix sums of impostors."""
-    below = Window.partitionBy(*groups).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    lower = F.coalesce(F.sum("i").over(below), F.lit(0))
-    terms = hist.withColumn("_t", F.col("g") * (lower + 0.5 * F.col("i")))
-    sums = terms.groupBy(*groups).agg(F.sum("_t").alias("_t"), F.sum("g").alias("_g"), F.sum("i").alias("_i"))
-    return sums.filter("_g > 0 AND _i > 0").select(*groups, (F.col("_t") / (F.col("_g") * F.col("_i"))).alias("auc"))
+    sums = range_prefix(hist, groups).join(_totals(hist, groups), groups)
+    lower = F.col("ni") - F.col("i_sum")  # impostors below the score
+    terms = sums.withColumn("_t", F.col("g") * (lower + 0.5 * F.col("i")))
+    return terms.groupBy(*groups).agg((F.sum("_t") / (F.first("ng") * F.first("ni"))).alias("auc"))
 
 
 def operating_points(curve: DataFrame, groups: list[str], most_far: float = 0.01) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import digests, keys, numbers
 from ..operators import cohort, contract, pairs, parity, records, sampling, scoring
 from ..sources import publish, readers, scan
-from .jobs import build_protocol, score_features
-from .records_queries import A_SQL, B_SQL, ELIGIBLE_COHORT_SQL, GENUINE_SQL, HASH_SQL, LAST, SEED, STRATA, VERSION, K, genuine, side, t
-from .score_queries import PAIRS_SQL, scored
+from .jobs import build_joint_protocol, build_protocol, score_features
+from .jobs import protocol_checks as protocol_checks_of
+from .records_queries import A_SQL, B_SQL, ELIGIBLE_COHORT_SQL, GENUINE_SQL, HASH_SQL, LAST, PROTOCOL_SQL, SEED, STRATA, VERSION, K, genuine, side, t
+from .score_queries import PAIRS_SQL, next_pairs, point_set, scored
 
 QUERIES, SQL = {}, {}
 
@@ -51,16 +52,20 @@ def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("p_partkey", "p_brand", "p_size", F.size(F.from_json("tags", "array<string>")).alias("n_tags"))
 
 
-@query("SELECT o_orderstatus, count(*) AS rows, count(*) AS rebuilt, 0::bigint AS differences FROM orders GROUP BY o_orderstatus")
+@query("""
+SELECT o_orderstatus, count(*) AS rows, count(*) FILTER (WHERE o_orderkey % 89 <> 0) AS rebuilt,
+       count(*) FILTER (WHERE o_orderkey % 89 = 0) + 2 * count(*) FILTER (WHERE o_orderkey % 89 <> 0 AND o_orderkey % 97 = 0) AS differences FROM orders GROUP BY o_orderstatus
+""")
 def published_partitions(spark: SparkSession, sf: str) -> DataFrame:
-    """Validate, publish in partitions, reuse, compare with a rebuild."""
+    """Validate, publish in partitions, reuse, compare with a rebuild that lacks rows and has others changed."""
     o = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     path = scratch(spark)
     checks = lambda df: records.duplicate_values(df, ["o_orderkey"]).select("o_orderkey")
     publish.publish(o, path, checks, ["o_orderstatus"])
     stored = publish.publish_or_reuse(o, path, checks)
-    differences = publish.build_differences(o, stored).groupBy("o_orderstatus").agg(F.count("*").alias("differences"))
-    rebuilt = o.groupBy("o_orderstatus").agg(F.count("*").alias("rebuilt"))
+    again = o.filter("o_orderkey % 89 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    differences = publish.build_differences(again, stored).groupBy("o_orderstatus").agg(F.count("*").alias("differences"))
+    rebuilt = again.groupBy("o_orderstatus").agg(F.count("*").alias("rebuilt"))
     out = stored.groupBy("o_orderstatus").agg(F.count("*").alias("rows")).join(rebuilt, "o_orderstatus").join(differences, "o_orderstatus", "left")
     return out.select("o_orderstatus", "rows", "rebuilt", F.coalesce("differences", F.lit(0)).alias("differences"))
 
@@ -108,14 +113,126 @@ WITH {PAIRS_SQL}, a AS (SELECT label, count(*) AS n, count(*) FILTER (WHERE stat
 m AS (SELECT label, CASE WHEN label = 3 THEN n + 1 ELSE n END AS n_rows, CASE WHEN label = 5 THEN ok - 1 ELSE ok END AS n_ok FROM a WHERE label <> 7 UNION ALL SELECT 99, 1, 1)
 SELECT coalesce(m.label, a.label)::int AS label, CASE WHEN a.n IS NULL THEN 'no_results' WHEN m.n_rows IS NULL THEN 'no_metadata' WHEN n_rows <> n THEN 'row_count' WHEN n_ok <> ok THEN 'status_count' END AS rule
 FROM m FULL JOIN a ON m.label = a.label WHERE a.n IS NULL OR m.n_rows IS NULL OR n_rows <> n OR n_ok <> ok
+UNION ALL SELECT label, 'method_version_differs' FROM a WHERE label = 2
+UNION ALL SELECT label, 'method_version_varies' FROM s WHERE label = 4 GROUP BY label HAVING count(DISTINCT capture_a % 2) > 1
+UNION ALL SELECT label, 'method_version_differs' FROM s WHERE label = 4 GROUP BY label HAVING count(DISTINCT capture_a % 2) = 1 AND min(capture_a % 2) = 1
+UNION ALL SELECT label, 'stale_manifest_sha256' FROM a WHERE label = 6 UNION ALL SELECT label, 'stale_manifest_path' FROM a WHERE label = 8 UNION ALL SELECT label, 'stale_preflight_sha256' FROM a WHERE label = 1
+UNION ALL SELECT label, 'stale_digest' FROM s WHERE label = 9 GROUP BY label HAVING count(*) FILTER (WHERE capture_a % 3 = 0) > 0
 """)
 def bundle_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """Bundles against their metadata, with planted faults."""
-    s = scored(spark, sf)
+    """Bundles against their metadata (counts, versions, digest, manifest, preflight), with a planted fault of each kind."""
+    s, label = scored(spark, sf), F.col("label")
+    s = s.withColumn("method_version", F.when((label == 4) & (F.col("capture_a") % 2 == 1), "1b").otherwise(F.col("method_version")))
+    digest = lambda df, name: digests.ordered_digest(sampling.ranked_in_groups(df.select("label", "capture_a", "status"), ["label"], ["capture_a"], "o"), "o", ["capture_a", "status"], ["label"]).select("label", F.col("digest").alias(name))
+    shown = lambda fault, c: F.when(label == fault, F.concat(c, F.lit("~"))).otherwise(c)
+    path, sha, pre = F.format_string("manifests/%d.csv", label), F.sha2(label.cast("string"), 256), F.sha2(F.concat(F.lit("p"), label.cast("string")), 256)
+    current = s.select("label").distinct().select("label", path.alias("manifest_path"), sha.alias("manifest_sha256"), pre.alias("preflight_sha256")).join(digest(s, "digest"), "label")
     meta = s.groupBy("label").agg(F.count("*").alias("n_rows"), F.count_if(F.col("status") == "ok").alias("n_ok")).filter("label <> 7")
     meta = meta.withColumns({"n_rows": F.when(F.col("label") == 3, F.col("n_rows") + 1).otherwise(F.col("n_rows")), "n_ok": F.when(F.col("label") == 5, F.col("n_ok") - 1).otherwise(F.col("n_ok"))})
     meta = meta.unionByName(spark.createDataFrame([(99, 1, 1)], "label int, n_rows bigint, n_ok bigint"))
-    return contract.bundle_faults(s, meta, ["label"])
+    meta = meta.withColumns({"method_version": F.when(label == 2, "2").otherwise("1"), "manifest_path": shown(8, path), "manifest_sha256": shown(6, sha), "preflight_sha256": shown(1, pre)})
+    meta = meta.join(digest(s.filter(~((label == 9) & (F.col("capture_a") % 3 == 0))), "digest"), "label", "left")
+    return contract.bundle_faults(s, meta, ["label"], ("method_version",), current)
+
+
+@query("""
+WITH d AS (SELECT DISTINCT o_orderstatus AS s, substring(o_orderpriority, 1, 1) AS k, 'm' || (o_custkey % 2) AS m, CASE WHEN substring(o_orderpriority, 1, 1) = '5' AND o_orderkey % 2 = 0 THEN 'c2' ELSE 'c1' END AS c FROM orders),
+f AS (SELECT *, 'dataset=' || s || '/kind=' || k || '/method=' || m || '/contract=v1/config=' || c AS folder, count(*) OVER (PARTITION BY s, k, m) AS n FROM d)
+SELECT folder, 'unknown_dataset' AS rule FROM f WHERE s = 'P' UNION ALL SELECT folder, 'unknown_kind' FROM f WHERE k = '4' UNION ALL SELECT folder, 'duplicate' FROM f WHERE n > 1 UNION ALL SELECT 'dataset=F/kind=1', 'misplaced'
+""")
+def bundle_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Bundles in a tree of five levels, and a walk of it that names misplaced, unknown and duplicate ones."""
+    levels = ["dataset", "kind", "method", "contract", "config"]
+    kind = F.substring("o_orderpriority", 1, 1)
+    config = F.when((kind == "5") & (F.col("o_orderkey") % 2 == 0), "c2").otherwise("c1")
+    o = t(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("dataset"), kind.alias("kind"), F.concat(F.lit("m"), (F.col("o_custkey") % 2).cast("string")).alias("method"), F.lit("v1").alias("contract"), config.alias("config"))
+    path = scratch(spark)
+    publish.publish(o.repartition(*levels), path, lambda df: records.duplicate_values(df, ["o_orderkey"]), levels)
+    o.filter("dataset = 'F'").limit(1).select("o_orderkey").write.parquet(f"{path}/dataset=F/kind=1/stray")
+    spark.range(1).write.parquet(f"{path}/dataset=F/kind=1", mode="append")
+    folders = publish.bundle_folders(scan.scan_files(spark, path, "*.parquet"), path, levels).filter("folder <> 'dataset=F/kind=1/stray'")
+    return publish.bundle_folder_faults(folders, levels, {"dataset": ["F", "O"], "kind": ["1", "2", "3", "5"]}, levels[:3])
+
+
+@query("""
+WITH a AS (SELECT s_suppkey AS i, 'a' || s_suppkey AS artifact FROM supplier)
+SELECT artifact, 'missing_artifact' AS rule FROM a WHERE i % 11 = 0
+UNION ALL SELECT artifact, 'extra_artifact' FROM a WHERE i % 11 <> 0 AND i % 10 = 9
+UNION ALL SELECT artifact, 'malformed_digest' FROM a WHERE i % 11 <> 0 AND i % 13 = 0
+UNION ALL SELECT artifact, 'digest_mismatch' FROM a WHERE i % 11 <> 0 AND i % 10 <> 9 AND i % 13 <> 0 AND i % 7 = 0
+UNION ALL SELECT artifact, 'outside_root' FROM a WHERE i % 11 <> 0 AND i % 17 = 0
+UNION ALL SELECT 'run_' || artifact, 'not_in_preflight' FROM a WHERE i % 11 = 0
+UNION ALL SELECT 'run_' || artifact, 'changed_after_preflight' FROM a WHERE i % 11 <> 0 AND i % 19 = 0
+""")
+def preflight_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored preflight against a rebuild of its artifacts, and runs bound to it, with planted faults."""
+    i = F.col("s_suppkey")
+    name, sha = F.concat(F.lit("a"), i.cast("string")), F.sha2("s_name", 256)
+    s = t(spark, sf, "supplier").select(i, name.alias("artifact"), sha.alias("sha256"))
+    rebuilt = s.filter(i % 10 != 9).select("artifact", "sha256")
+    kept = s.filter(i % 11 != 0)
+    stored_sha = F.when(i % 13 == 0, F.upper("sha256")).when(i % 7 == 0, F.sha2(F.reverse("sha256"), 256)).otherwise(F.col("sha256"))
+    path = F.concat(F.when(i % 17 == 0, "/protocol/../").otherwise("/protocol/"), "artifact")
+    stored = kept.select("artifact", stored_sha.alias("sha256"), path.alias("path"))
+    faults = contract.preflight_faults(stored, rebuilt, F.lit("/protocol"))
+    now = s.join(stored.select("artifact", F.col("sha256").alias("_s")), "artifact", "left")
+    wanted = now.select(F.concat(F.lit("run_"), "artifact").alias("run"), "artifact", F.when(i % 19 == 0, "changed").otherwise(F.coalesce("_s", "sha256")).alias("sha256"))
+    return faults.unionByName(contract.binding_faults(wanted, stored).select(F.col("run").alias("artifact"), "rule"))
+
+
+_MS = "CASE WHEN {0} % 61 = 7 THEN -1.0 ELSE ({0} % 7) * 0.5 END::double"
+
+
+@query(f"""
+WITH {PAIRS_SQL}, x AS (SELECT capture_a, capture_b, {_MS.format('capture_a')} AS ma, {_MS.format('capture_b')} AS mb FROM s),
+y AS (SELECT *, CASE WHEN ma < 0 THEN 'prepare_a_failure' WHEN mb < 0 THEN 'prepare_b_failure' WHEN capture_a % 41 = 3 THEN 'comparison_failure' ELSE 'ok' END AS status FROM x)
+SELECT capture_a, capture_b, status, CASE WHEN status <> 'ok' THEN 'bad_timing' END AS error_code, ma AS prepare_a_ms, CASE WHEN status <> 'prepare_a_failure' THEN mb END AS prepare_b_ms,
+       CASE WHEN status IN ('ok', 'comparison_failure') THEN CASE WHEN capture_a % 41 = 3 THEN 'infinity'::double ELSE 2.0 END END AS compare_ms,
+       ma + CASE WHEN status <> 'prepare_a_failure' THEN mb ELSE 0 END + CASE status WHEN 'ok' THEN 2.0 WHEN 'comparison_failure' THEN 'infinity'::double ELSE 0 END AS total_ms FROM y
+""")
+def timed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Times of stages, null where a stage did not run; times that are not finite or negative fail their stage."""
+    v = t(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    captures = v.select(F.col("vec_id").alias("capture"), F.col("embedding").alias("vector"))
+    c = F.col("capture")
+    ms = F.when(c % 61 == 7, -1.0).otherwise((c % 7) * 0.5)
+    slow = F.when(F.col("capture_a") % 41 == 3, float("inf")).otherwise(2.0)
+    out = scoring.run_pairs(next_pairs(v), captures, scoring.Timed(scoring.DotProduct(64), ms, slow))
+    return out.select("capture_a", "capture_b", "status", "error_code", "prepare_a_ms", "prepare_b_ms", "compare_ms", "total_ms")
+
+
+@query(f"""
+WITH {PAIRS_SQL}, m AS (SELECT a.label, a.vec_id AS capture_a, a.e AS x, b.e AS y FROM v a JOIN v b ON a.nxt = b.vec_id)
+SELECT 'dot' AS method, label, capture_a, round(list_dot_product(x, y), 6) AS raw_score FROM m WHERE label < 5
+UNION ALL SELECT 'first_half', label, capture_a, round(list_dot_product(x[1:32], y[1:32]), 6) FROM m WHERE label % 2 = 0 AND label >= 5
+""")
+def filtered_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The wanted part of a run matrix over one checked table of pairs."""
+    v = t(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    pairs_ = next_pairs(v)
+    methods = spark.createDataFrame([("dot",), ("first_half",)], "method string")
+    wanted = scoring.run_matrix([methods, v.select("label").distinct()], F.when(F.col("method") == "dot", F.col("label") < 5).otherwise((F.col("label") % 2 == 0) & (F.col("label") >= 5)))
+    captures = v.select(F.col("vec_id").alias("capture"), F.col("embedding").alias("vector"))
+    known = {"dot": scoring.DotProduct(64), "first_half": scoring.DotProduct(64, first=32)}
+    faults = records.duplicate_values(pairs_, ["capture_a"])
+    out = scoring.run_filtered(pairs_, captures, known, wanted, faults, "label")
+    return out.select("method", "label", "capture_a", F.round("raw_score", 6).alias("raw_score"))
+
+
+def _joint_sql() -> str:
+    """The manifests of one view, and of one with the sides exchanged."""
+    one = PROTOCOL_SQL.replace("'tpch_", "'one_")
+    two = PROTOCOL_SQL.replace("'tpch_", "'two_").replace("a.capture AS ca, b.capture AS cb", "b.capture AS ca, a.capture AS cb").replace("rank_probe, a.capture, b.capture FROM q JOIN a ON a.subject = probe AND a.stratum = q.stratum JOIN b ON b.subject = candidate AND b.stratum = q.stratum", "rank_probe, b.capture, a.capture FROM q JOIN b ON b.subject = probe AND b.stratum = q.stratum JOIN a ON a.subject = candidate AND a.stratum = q.stratum")
+    return f"SELECT 'one' AS dataset, * FROM ({one}) UNION ALL SELECT 'two', * FROM ({two})"
+
+
+@query(_joint_sql())
+def joint_protocol(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight manifests of two datasets over one cohort, as digests; the protocol digest must bind all ten artifacts."""
+    sources = {s: side(spark, sf, s).select("subject", "stratum", "capture") for s in "FOP"}
+    built = build_joint_protocol(sources, {"one": ("F", "O"), "two": ("O", "F")}, STRATA, K, VERSION, SEED)
+    bound = built["protocol"].filter(digests.is_sha256(F.col("protocol_sha256")) & (F.col("n_artifacts") == 10)).select(F.lit(True).alias("bound"))
+    return built["digests"].join(bound, F.col("bound")).drop("bound")
 
 
 @query("""
@@ -301,13 +418,22 @@ def code_names(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 WITH {ELIGIBLE_COHORT_SQL}, n AS (SELECT stratum, count(*) AS n FROM {LAST} GROUP BY stratum),
 v AS (SELECT 'bijection' AS c, count(*) FILTER (WHERE n = 1) AS v FROM n UNION ALL SELECT 'ranks', count(*) FILTER (WHERE n <> {K}) FROM n
-      UNION ALL SELECT c, 0 FROM (VALUES ('same_identities'), ('unique_ids'), ('self_sides')) x(c))
+      UNION ALL SELECT 'same_identities', count(*) FROM {LAST} WHERE subject % 7 = 3 UNION ALL SELECT 'unique_ids', 4 * count(*) FROM {LAST} WHERE subject % 5 = 2 AND subject % 7 <> 3
+      UNION ALL SELECT 'self_sides', 2 * count(*) FROM {LAST} WHERE subject % 3 = 1)
 SELECT c AS "check", v AS violations, v = 0 AS holds FROM v
 """)
 def protocol_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """The checks of a whole protocol."""
+    """The checks of a whole protocol whose stored manifest lost pairs, repeats ids and has other sides."""
     sources = {s: side(spark, sf, s).select("subject", "stratum", "capture") for s in "FOP"}
-    return build_protocol(sources, "F", "O", STRATA, K, VERSION, SEED, "tpch")["checks"]
+    built = build_protocol(sources, "F", "O", STRATA, K, VERSION, SEED, "tpch")
+    m, i = built["manifest"], F.col("subject")
+    m = m.withColumn("capture_b", F.when((i % 3 == 1) & F.col("pair_kind").startswith("self"), -F.col("capture_b")).otherwise(F.col("capture_b")))
+    m = m.filter(~((i % 7 == 3) & (F.col("pair_kind") == "genuine")))
+    m = m.unionByName(m.filter((i % 5 == 2) & (i % 7 != 3)))
+    # a repeated row is one more self pair of other sides; sides are counted over the rows as built
+    sides = m.filter((i % 5 != 2) | (i % 7 == 3)).unionByName(m.filter((i % 5 == 2) & (i % 7 != 3)).distinct())
+    checks = protocol_checks_of(built["selected"], built["pairing"], m, K).filter("check <> 'self_sides'")
+    return checks.unionByName(protocol_checks_of(built["selected"], built["pairing"], sides, K).filter("check = 'self_sides'"))
 
 
 @query("""
@@ -324,7 +450,7 @@ def ordered_points(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def feature_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """K8: even against odd vectors of a label as features; the fit is iterative, so there is no SQL."""
-    v = t(spark, sf, "embeddings").select("label", F.col("vec_id").alias("idx"), F.col("embedding").alias("v"), (F.col("embedding")[0] * 100.0).alias("x"), (F.col("embedding")[1] * 100.0).alias("y"))
+    """K8: even against odd vectors of a point set as features; the fit is iterative, so there is no SQL."""
+    v = t(spark, sf, "embeddings").select(point_set(), F.col("vec_id").alias("idx"), F.col("embedding").alias("v"), (F.col("embedding")[0] * 100.0).alias("x"), (F.col("embedding")[1] * 100.0).alias("y"))
     out = score_features(v.filter("idx % 2 = 0"), v.filter("idx % 2 = 1"), "label", 0.98)
     return out.withColumn("raw_score", F.round("raw_score", 6))

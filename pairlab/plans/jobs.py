@@ -14,18 +14,12 @@ from ..operators import affine, aggregates, cohort, contract, matching, pairs, r
 SIDES = ["capture"]
 
 
-def build_protocol(sources: dict[str, DataFrame], side_a: str, side_b: str, strata: list[str], k: int, version: str, seed: str, dataset: str) -> dict[str, DataFrame]:
-    """Eligibility → selection → pairing → manifests → digests.
+KEYS = ["subject", "stratum"]
 
-    `sources` map a name to (subject, stratum, capture) tables; an identity is
-    eligible if it is exactly once in each.  Tables: selected, pairing,
-    manifest (all kinds, with pair_kind and pair_ordinal), digests, checks.
-    """
-    keys = ["subject", "stratum"]
-    eligible = pairs.eligible(sources, keys)
-    selected = cohort.select_cohort(eligible.select("stratum", "subject"), strata, k, version, seed)
-    pairing = cohort.circular_pairs(selected)
-    a, b = (pairs.once_only(sources[s], keys, ["capture"]) for s in (side_a, side_b))
+
+def _manifest(a: DataFrame, b: DataFrame, selected: DataFrame, pairing: DataFrame, strata: list[str], k: int, dataset: str) -> DataFrame:
+    """The four kinds of pairs of one dataset for a cohort."""
+    keys = KEYS
     rank = selected.select(*keys, F.col("selection_rank").alias("pair_rank"))
     identity = lambda df, kind: df.join(rank, keys).withColumn("pair_kind", F.lit(kind))
     kinds = [
@@ -36,22 +30,61 @@ def build_protocol(sources: dict[str, DataFrame], side_a: str, side_b: str, stra
     ]
     rows = reduce(DataFrame.unionByName, [df.select("subject", "stratum", "capture_a", "capture_b", "pair_rank", "pair_kind") for df in kinds])
     place = F.create_map(*[F.lit(x) for i, s in enumerate(strata) for x in (s, i)])[F.col("stratum")]
-    manifest = rows.select(
-        "pair_kind", (place * k + F.col("pair_rank") - 1).cast("bigint").alias("pair_ordinal"),
+    return rows.select(
+        F.lit(dataset).alias("dataset"), "pair_kind", (place * k + F.col("pair_rank") - 1).cast("bigint").alias("pair_ordinal"),
         pair_id(F.lit(dataset), F.col("pair_kind"), F.col("subject").cast("string"), place + 1).alias("pair_id"), "subject", "stratum", "capture_a", "capture_b",
     )
-    sums = digests.ordered_digest(manifest, "pair_ordinal", ["pair_id", "capture_a", "capture_b"], ["pair_kind"])
-    checks = contract.flags(
+
+
+def protocol_checks(selected: DataFrame, pairing: DataFrame, manifest: DataFrame, k: int) -> DataFrame:
+    """The cohort's and the manifests' invariants as flags; a stored table may be held against them as well as a built one."""
+    kind = lambda n: manifest.filter(F.col("pair_kind") == n).select(*KEYS).distinct()
+    return contract.flags(
         bijection=cohort.bijection_report(pairing).filter("NOT is_bijection"),
         ranks=cohort.cohort_faults(selected, k).filter("NOT ranks_exact"),
-        same_identities=pairs.set_differences(manifest.filter("pair_kind = 'self_a'").select(*keys), manifest.filter("pair_kind = 'genuine'").select(*keys)),
+        same_identities=pairs.set_differences(kind("self_a"), kind("genuine")),
         unique_ids=records.duplicate_values(manifest, ["pair_id"]),
         self_sides=manifest.filter(F.col("pair_kind").isin("self_a", "self_b") & ~records.side_rule(F.col("capture_a"), F.col("capture_b"), same=True)),
     )
-    return {"selected": selected, "pairing": pairing, "manifest": manifest, "digests": sums, "checks": checks}
 
 
-#: metric → (column of JSON, path); prepare diagnostics count twice, once a side.
+def build_joint_protocol(sources: dict[str, DataFrame], views: dict[str, tuple[str, str]], strata: list[str], k: int, version: str, seed: str) -> dict[str, DataFrame]:
+    """Eligibility → selection → pairing → manifests of all datasets → digests.
+
+    `sources` map a name to (subject, stratum, capture) tables; an identity is
+    eligible if it is exactly once in each.  `views` name the sources of both
+    sides of each dataset; all share one cohort and pairing.  Tables: selected,
+    pairing, manifest (all datasets and kinds), digests (per dataset and kind),
+    artifacts (name, sha256 of everything built), protocol (one row: digest over
+    the artifacts and the parameters, and reference lists that must be empty),
+    checks.
+    """
+    eligible = pairs.eligible(sources, KEYS)
+    selected = cohort.select_cohort(eligible.select("stratum", "subject"), strata, k, version, seed)
+    pairing = cohort.circular_pairs(selected)
+    sides = {s: pairs.once_only(sources[s], KEYS, ["capture"]) for v in views.values() for s in v}
+    manifest = reduce(DataFrame.unionByName, [_manifest(sides[a], sides[b], selected, pairing, strata, k, d) for d, (a, b) in views.items()])
+    sums = digests.ordered_digest(manifest, "pair_ordinal", ["pair_id", "capture_a", "capture_b"], ["dataset", "pair_kind"])
+    place = F.create_map(*[F.lit(x) for i, s in enumerate(strata) for x in (s, i)])[F.col("stratum")] * k
+    cohort_sums = [
+        digests.ordered_digest(df.withColumn("_o", (place + F.col(rank) - 1).cast("bigint")), "_o", [c for c in df.columns]).select(F.lit(name).alias("artifact"), F.col("digest").alias("sha256"))
+        for name, df, rank in (("selected_identities", selected, "selection_rank"), ("impostor_pairing", pairing, "rank_probe"))
+    ]
+    artifacts = reduce(DataFrame.unionByName, [sums.select(F.concat_ws("/", "dataset", "pair_kind").alias("artifact"), F.col("digest").alias("sha256")), *cohort_sums])
+    listed = digests.list_digest(artifacts, [], "artifact", "sha256")
+    core = {"artifacts": F.col("digest"), "version": F.lit(version), "seed": F.lit(seed), "cohort_size": F.lit(k * len(strata))}
+    none = F.array().cast("array<string>")
+    protocol = listed.select(F.col("n_files").alias("n_artifacts"), digests.config_digest(core).alias("protocol_sha256"), *[none.alias(f"{x}_references") for x in ("method", "score", "result")])
+    checks = protocol_checks(selected, pairing, manifest, k).unionByName(contract.flags(no_result_dependency=protocol.filter("size(method_references) + size(score_references) + size(result_references) > 0")))
+    return {"selected": selected, "pairing": pairing, "manifest": manifest, "digests": sums, "artifacts": artifacts, "protocol": protocol, "checks": checks}
+
+
+def build_protocol(sources: dict[str, DataFrame], side_a: str, side_b: str, strata: list[str], k: int, version: str, seed: str, dataset: str) -> dict[str, DataFrame]:
+    """X10 for one dataset."""
+    return build_joint_protocol(sources, {dataset: (side_a, side_b)}, strata, k, version, seed)
+
+
+# Metric → path in the diagnostics; prepare diagnostics count twice, once a side.
 PREPARE_METRICS = {"detector_point_count": "$.detector_point_count", "descriptor_count": "$.representation_descriptor_count", "detector_time_ms": "$.detector_time_ms"}
 COMPARE_METRICS = {
     "mutual_matches": "$.mutual_match_count", "geometric_inliers": "$.geometric_inlier_count", "inlier_ratio": "$.inlier_ratio",
@@ -70,19 +103,13 @@ def group_summaries(results: DataFrame, groups: list[str]) -> DataFrame:
     for values of a row and once for values of a side.
     """
     ok = F.col("status") == "ok"
-    per_row = results.groupBy(*groups).agg(
-        *aggregates.failure_counts(F.col("status")),
-        *aggregates.five_numbers(F.when(ok & numbers.finite(F.col("raw_score")), F.col("raw_score")), "raw_score"),
-        *aggregates.five_numbers(F.col("compare_ms"), "comparison_time_ms"),
-        *[c for n, p in COMPARE_METRICS.items() for c in aggregates.five_numbers(F.when(ok, _number("compare_diagnostics", p)), n)],
-    )
+    row_metrics = {"raw_score": F.when(ok & numbers.finite(F.col("raw_score")), F.col("raw_score")), "comparison_time_ms": F.col("compare_ms")}
+    row_metrics |= {n: F.when(ok, _number("compare_diagnostics", p)) for n, p in COMPARE_METRICS.items()}
+    per_row = results.groupBy(*groups).agg(*aggregates.failure_counts(F.col("status"))).join(aggregates.five_numbers(results, groups, row_metrics), groups)
     sided = records.unpivot_sides(
         results.select(*groups, "status", *[F.col(f"prepare_{s}_{c}").alias(f"{c}_{s}") for s in "ab" for c in ("ms", "diagnostics")]), [*groups, "status"], ["ms", "diagnostics"]
     )
-    per_side = sided.groupBy(*groups).agg(
-        *aggregates.five_numbers(F.col("ms"), "preparation_time_ms"),
-        *[c for n, p in PREPARE_METRICS.items() for c in aggregates.five_numbers(F.when(ok, _number("diagnostics", p)), n)],
-    )
+    per_side = aggregates.five_numbers(sided, groups, {"preparation_time_ms": F.col("ms")} | {n: F.when(ok, _number("diagnostics", p)) for n, p in PREPARE_METRICS.items()})
     codes = aggregates.histogram_text(results.withColumn("error_code", F.nullif("error_code", F.lit(""))), groups, "error_code", "failure_codes")
     return per_row.join(per_side, groups).join(codes, groups, "left")
 
@@ -127,9 +154,9 @@ def paired_report(results: DataFrame, method: str, dataset: str, kind: str, view
     joined = side(view_a, "a").join(side(view_b, "b"), [*keys, "key"], "full_outer")
     ok = (F.col("status_a") == "ok") & (F.col("status_b") == "ok")
     delta = lambda m: F.when(ok, F.col(f"{m}_b") - F.col(f"{m}_a"))
-    sums = [c.alias(f"{m}_{n}") for m in METRICS for n, c in zip(("n", "median_delta", "median_abs_delta", "mean_delta"), aggregates.delta_summary(delta(m)))]
     one_sided = F.count_if(F.col("status_a").isNull() | F.col("status_b").isNull())
-    out = joined.groupBy(*keys).agg(F.count("*").alias("logical_pairs"), one_sided.alias("one_sided"), F.count_if(ok).alias("paired_success"), *sums)
+    out = joined.groupBy(*keys).agg(F.count("*").alias("logical_pairs"), one_sided.alias("one_sided"), F.count_if(ok).alias("paired_success"))
+    out = out.join(aggregates.delta_summary(joined, keys, {m: delta(m) for m in METRICS}), keys)
     moves = joined.withColumn("_move", F.concat_ws("->", F.coalesce("status_a", F.lit("absent")), F.coalesce("status_b", F.lit("absent"))))
     out = out.join(aggregates.histogram_text(moves, keys, "_move", "transitions"), keys)
     return out.join(aggregates.pearson(joined.filter(ok), "score_a", "score_b", keys), keys, "left")

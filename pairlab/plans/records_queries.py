@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import logical_key, pair_id, pair_kind, regex_groups, zero_padded
-from ..operators import aggregates, cohort, pairs, records
+from ..operators import aggregates, cohort, pairs, records, sampling
 from .jobs import build_protocol
 
 QUERIES, SQL = {}, {}
@@ -183,11 +183,9 @@ FROM g WHERE capture_a <> capture_b
 """)
 def genuine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """J2, O1, P6, P10."""
-    from pyspark.sql import Window
-
     made = genuine(spark, sf).filter(records.side_rule(F.col("capture_a"), F.col("capture_b"), same=False))
-    ordinal = F.row_number().over(Window.partitionBy("stratum").orderBy("subject")).cast("bigint")
-    return made.select(named("genuine").alias("pair_id"), *KEYS, "capture_a", "capture_b", ordinal.alias("pair_ordinal"))
+    made = sampling.ranked_in_groups(made, ["stratum"], ["subject"], "pair_ordinal", 1)
+    return made.select(named("genuine").alias("pair_id"), *KEYS, "capture_a", "capture_b", "pair_ordinal")
 
 
 @query("""
@@ -348,17 +346,22 @@ def group_homogeneity(spark: SparkSession, sf: str) -> DataFrame:
 ELIGIBLE_COHORT_SQL = COHORT_SQL.replace("e AS (SELECT subject, stratum FROM a JOIN b USING (subject, stratum))", f"{P_SQL}, e AS (SELECT subject, stratum FROM a JOIN b USING (subject, stratum) JOIN p USING (subject, stratum))")
 
 
-@query(f"""
+PROTOCOL_SQL = f"""
 WITH {ELIGIBLE_COHORT_SQL}, {PAIRING_SQL},
 i AS (SELECT stratum, subject, selection_rank AS pair_rank, a.capture AS ca, b.capture AS cb FROM {LAST} JOIN a USING (stratum, subject) JOIN b USING (stratum, subject)),
 m AS (SELECT 'self_a' AS pair_kind, stratum, subject, pair_rank, ca AS x, ca AS y FROM i UNION ALL SELECT 'self_b', stratum, subject, pair_rank, cb, cb FROM i
       UNION ALL SELECT 'genuine', stratum, subject, pair_rank, ca, cb FROM i
       UNION ALL SELECT 'impostor', q.stratum, probe, rank_probe, a.capture, b.capture FROM q JOIN a ON a.subject = probe AND a.stratum = q.stratum JOIN b ON b.subject = candidate AND b.stratum = q.stratum),
 o AS (SELECT pair_kind, ({SLOT_SQL} - 1) * {K} + pair_rank - 1 AS o, sha256(concat_ws(chr(31), printf('tpch_%s_%s_%02d', pair_kind, subject::varchar, {SLOT_SQL}), x::varchar, y::varchar)) AS h FROM m),
-b2 AS (SELECT pair_kind, o // 10000 AS bucket, sha256(string_agg(h, chr(10) ORDER BY o)) AS h, count(*) AS n FROM o GROUP BY ALL)
-SELECT pair_kind, sum(n)::bigint AS n_rows, count(*) AS n_buckets, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS digest FROM b2 GROUP BY pair_kind
-""")
+b2 AS (SELECT pair_kind, o // 10000 AS bucket, sha256(string_agg(h, chr(10) ORDER BY o)) AS h, count(*) AS n FROM o GROUP BY ALL),
+b3 AS (SELECT pair_kind, bucket // 10000 AS bucket, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS h, sum(n) AS n, count(*) AS b FROM b2 GROUP BY pair_kind, bucket // 10000),
+b4 AS (SELECT pair_kind, bucket // 10000 AS bucket, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS h, sum(n) AS n, sum(b) AS b FROM b3 GROUP BY pair_kind, bucket // 10000)
+SELECT pair_kind, sum(n)::bigint AS n_rows, sum(b)::bigint AS n_buckets, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS digest FROM b4 GROUP BY pair_kind
+"""
+
+
+@query(PROTOCOL_SQL)
 def protocol_build(spark: SparkSession, sf: str) -> DataFrame:
     """Manifests of all pair kinds for a three-source cohort, as digests."""
     sources = {s: side(spark, sf, s).select("subject", "stratum", "capture") for s in "FOP"}
-    return build_protocol(sources, "F", "O", STRATA, K, VERSION, SEED, "tpch")["digests"]
+    return build_protocol(sources, "F", "O", STRATA, K, VERSION, SEED, "tpch")["digests"].drop("dataset")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests, geometry, jsonmaps, numbers, scores, vectors
@@ -35,10 +35,16 @@ s AS (SELECT a.label, a.vec_id AS capture_a, b.vec_id AS capture_b,
 """
 
 
+def next_pairs(v: DataFrame) -> DataFrame:
+    """(label, capture_a, capture_b): each vector and the next of its label, by ranks taken in ranges."""
+    ranked = sampling.ranked_in_groups(v.select("label", "vec_id"), ["label"], ["vec_id"], "r")
+    after = ranked.select("label", F.col("vec_id").alias("capture_b"), (F.col("r") - 1).alias("r"))
+    return ranked.withColumnRenamed("vec_id", "capture_a").join(after, ["label", "r"]).select("label", "capture_a", "capture_b")
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     v = t(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    nxt = F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))
-    pairs = v.select("label", F.col("vec_id").alias("capture_a"), nxt.alias("capture_b")).filter("capture_b IS NOT NULL")
+    pairs = next_pairs(v)
     captures = v.select(F.col("vec_id").alias("capture"), F.col("embedding").alias("vector"))
     return scoring.run_pairs(pairs, captures, scoring.DotProduct(64, refuse=F.col("capture") % 50 == 0), {"method": "dot", "method_version": "1"})
 
@@ -61,8 +67,7 @@ FROM v a JOIN v b ON a.nxt = b.vec_id
 def two_branch_score(spark: SparkSession, sf: str) -> DataFrame:
     """A second adapter of the same job."""
     v = t(spark, sf, "embeddings").select("vec_id", "label", "embedding")
-    nxt = F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id"))
-    pairs = v.select(F.col("vec_id").alias("capture_a"), nxt.alias("capture_b")).filter("capture_b IS NOT NULL")
+    pairs = next_pairs(v).drop("label")
     out = scoring.run_pairs(pairs, v.select(F.col("vec_id").alias("capture"), F.col("embedding").alias("vector")), scoring.DotProduct(64, halves=True))
     return out.select("capture_a", "capture_b", F.round("raw_score", 6).alias("raw_score"))
 
@@ -90,9 +95,9 @@ def group_summary(spark: SparkSession, sf: str) -> DataFrame:
     """A10-A15, A30."""
     s = scored(spark, sf)
     x = F.col("raw_score")
-    five = aggregates.five_numbers(x, "score")
-    out = s.groupBy("label").agg(*aggregates.failure_counts(F.col("status")), *five, F.avg(x).alias("score_mean"), F.median(x).alias("score_median"), aggregates.nearest_rank("raw_score", 0.95).alias("score_p95"))
-    out = out.join(aggregates.histogram_text(s, ["label"], "error_code", "failure_codes"), "label", "left")
+    out = s.groupBy("label").agg(*aggregates.failure_counts(F.col("status"))).join(aggregates.five_numbers(s, ["label"], {"score": x}), "label")
+    out = out.join(aggregates.simple_summary(s, ["label"], {"score": x}).select("label", "score_mean", "score_median"), "label")
+    out = out.join(aggregates.nearest_rank(s, ["label"], {"score": x}, {"p95": 0.95}), "label", "left").join(aggregates.histogram_text(s, ["label"], "error_code", "failure_codes"), "label", "left")
     return out.select(*[F.round(c, 6).alias(c) if c.startswith("score_") and c != "score_n" else c for c in out.columns])
 
 
@@ -108,21 +113,23 @@ def json_metrics(spark: SparkSession, sf: str) -> DataFrame:
     e = t(spark, sf, "events").withColumn("k", numbers.json_number(numbers.json_object(F.col("props")), "$.k"))
     fault = numbers.strict_number_fault(F.col("value").cast("string"), nonnegative=True)
     mean = aggregates.mean_of_available(F.col("k"), numbers.lenient_number(F.col("value").cast("string")))
-    out = e.withColumns({"fault": fault, "m": mean}).groupBy("event_type")
-    return out.agg(F.count("*").alias("rows"), *aggregates.five_numbers(F.col("k"), "k"), F.round(F.avg("m"), 6).alias("mean_available"), F.count_if(F.col("fault") == "out_of_range").alias("out_of_range"))
+    out = e.withColumns({"fault": fault, "m": mean})
+    plain = out.groupBy("event_type").agg(F.count("*").alias("rows"), F.round(F.avg("m"), 6).alias("mean_available"), F.count_if(F.col("fault") == "out_of_range").alias("out_of_range"))
+    return plain.join(aggregates.five_numbers(out, ["event_type"], {"k": F.col("k")}), "event_type")
 
 
 @query("""
 WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k, user_id FROM events)
-SELECT event_id, '{"k":"' || k || '"}' AS stable, 2::bigint AS n_leaves, 'a.u' AS first_leaf FROM e
+SELECT event_id, '{"k":"' || k || '"}' AS stable, CASE WHEN user_id % 2 = 0 THEN 4 ELSE 3 END::bigint AS n_leaves, 'a.b.0.c.d:' || user_id AS first_leaf FROM e
 """)
 def drop_volatile(spark: SparkSession, sf: str) -> DataFrame:
-    """Props with planted volatile keys, flat and nested."""
+    """Props with planted volatile keys, flat and five levels deep, inside an array."""
     e = t(spark, sf, "events").select("event_id", "user_id", F.from_json("props", "map<string,bigint>").alias("p"))
     flat = F.to_json(F.map_concat("p", F.create_map(F.lit("detector_time_ms"), F.col("event_id"), F.lit("pid"), F.col("user_id"))))
-    nested = F.to_json(F.struct(F.col("p")["k"].alias("k"), F.struct(F.col("user_id").alias("u"), F.lit(1.5).alias("wall_ms")).alias("a"), F.lit("now").alias("timestamp")))
+    deep = F.struct(F.struct(F.col("user_id").alias("d"), F.lit(2.5).alias("deep_ms")).alias("c"), F.when(F.col("user_id") % 2 == 0, "x").alias("more"))  # null fields are left out
+    nested = F.to_json(F.struct(F.col("p")["k"].alias("k"), F.struct(F.array(deep).alias("b"), F.col("user_id").alias("u"), F.lit(1.5).alias("wall_ms")).alias("a"), F.lit("now").alias("timestamp")))
     leaves = jsonmaps.stable_leaves(F.col("nested"))
-    return e.select("event_id", flat.alias("flat"), nested.alias("nested")).select("event_id", jsonmaps.sorted_json(jsonmaps.stable_map(F.col("flat"))).alias("stable"), F.size(leaves).cast("bigint").alias("n_leaves"), leaves[0]["path"].alias("first_leaf"))
+    return e.select("event_id", flat.alias("flat"), nested.alias("nested")).select("event_id", jsonmaps.sorted_json(jsonmaps.stable_map(F.col("flat"))).alias("stable"), F.size(leaves).cast("bigint").alias("n_leaves"), F.concat_ws(":", leaves[0]["path"], leaves[0]["value"]).alias("first_leaf"))
 
 
 # ---- screening: score n_chars, genuine is quality 1, group lang
@@ -198,7 +205,8 @@ def paired_views(spark: SparkSession, sf: str) -> DataFrame:
     # both views come from one table, so one aggregation is the full outer join of the views
     j = e.groupBy("user_id", "event_type").agg(status(first).alias("sa"), status(second).alias("sb"), mean(first).alias("ma"), mean(second).alias("mb"))
     both = j.filter("sa = 'ok' AND sb = 'ok'").withColumn("d", F.col("mb") - F.col("ma"))
-    deltas = both.groupBy("event_type").agg(*aggregates.delta_summary(F.col("d")))
+    deltas = aggregates.delta_summary(both, ["event_type"], {"d": F.col("d")})
+    deltas = deltas.select("event_type", F.col("d_n").alias("n"), *[F.col(f"d_{c}").alias(c) for c in ("median_delta", "median_abs_delta", "mean_delta")])
     moves = aggregates.histogram_text(j.withColumn("move", F.concat_ws("->", "sa", "sb")), ["event_type"], "move", "transitions")
     out = deltas.join(aggregates.pearson(both, "ma", "mb", ["event_type"], 6), "event_type").join(moves, "event_type")
     return out.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("median_delta", "median_abs_delta", "mean_delta")], "pearson", "transitions")
@@ -371,18 +379,23 @@ def parity_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS expected, (json_extract_string(props, '$.k')::bigint + 1)::varchar AS actual FROM events WHERE event_id % 7 = 0
-UNION ALL SELECT event_id, 'extra', NULL, 'true' FROM events WHERE event_id % 11 = 0
+WITH b AS (SELECT * FROM events WHERE event_id % 101 <> 0 AND event_id % 103 <> 0)
+SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS expected, (json_extract_string(props, '$.k')::bigint + 1)::varchar AS actual FROM b WHERE event_id % 7 = 0
+UNION ALL SELECT event_id, 'extra', NULL, 'true' FROM b WHERE event_id % 11 = 0
+UNION ALL SELECT event_id, 'event_type', event_type, upper(event_type) FROM b WHERE event_id % 13 = 0
+UNION ALL SELECT event_id, 'row', 'present', 'absent' FROM events WHERE event_id % 101 = 0 AND event_id % 103 <> 0
+UNION ALL SELECT event_id, 'row', 'absent', 'present' FROM events WHERE event_id % 101 <> 0 AND event_id % 103 = 0
 """)
 def document_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON documents with a changed number, an added key, a number in other form, and volatile keys."""
-    e = t(spark, sf, "events").select("event_id", "props")
+    """JSON documents with a changed number, an added key, a number in other form, volatile keys, a changed column, and rows of one side."""
+    e = t(spark, sf, "events").select("event_id", "event_type", "props")
     k = F.col("event_id")
     m = F.from_json("props", "map<string,bigint>")["k"]
     number = F.when(k % 7 == 0, (m + 1).cast("string")).when(k % 5 == 0, F.concat(m.cast("string"), F.lit(".0"))).otherwise(m.cast("string"))
     extra = F.when(k % 11 == 0, F.lit(', "extra": true')).otherwise(F.lit(""))
-    actual = e.select("event_id", F.concat(F.lit('{"k": '), number, F.lit(', "wall_ms": 1.25'), extra, F.lit("}")).alias("props"))
-    return parity.document_diff(e, actual, ["event_id"], "props")
+    kind = F.when(k % 13 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    actual = e.select("event_id", kind.alias("event_type"), F.concat(F.lit('{"k": '), number, F.lit(', "wall_ms": 1.25'), extra, F.lit("}")).alias("props"))
+    return parity.document_diff(e.filter(k % 103 != 0), actual.filter(k % 101 != 0), ["event_id"], "props", ["event_type"])
 
 
 @query(f"""
@@ -398,21 +411,24 @@ def repeat_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT vec_id, vec_id % 17 <> 3 AS digest_equal, TRUE AS payload_equal, vec_id % 17 <> 3 AS gate FROM embeddings
+WITH r AS (SELECT vec_id, embedding AS a, CASE WHEN vec_id % 17 = 3 THEN list_reverse(embedding) WHEN vec_id % 19 = 4 THEN embedding[1:63] ELSE embedding END AS b FROM embeddings)
+SELECT vec_id, a = b AS digest_equal, len(a) = len(b) AS payload_equal, a = b AS gate FROM r
 """)
 def repeat_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of repeated extractions of one item."""
     v = t(spark, sf, "embeddings").select("vec_id", "embedding").withColumn("repeat_id", F.explode(F.array(F.lit(1), F.lit(2))))
     changed = (F.col("repeat_id") == 2) & (F.col("vec_id") % 17 == 3)
-    v = v.withColumn("digest", vectors.array_digest({"v": F.when(changed, F.reverse("embedding")).otherwise(F.col("embedding"))}))
+    shorter = (F.col("repeat_id") == 2) & (F.col("vec_id") % 19 == 4)
+    v = v.withColumn("embedding", F.when(changed, F.reverse("embedding")).when(shorter, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
+    v = v.withColumn("digest", vectors.array_digest({"v": F.col("embedding")}))
     return parity.repeat_flags(v.withColumn("payload", F.size("embedding")), "vec_id", "repeat_id", ["digest"], ["payload"])
 
 
-# ---- matching kernels: even against odd vectors of a label
+# ---- matching kernels: even against odd vectors of a point set, which is a label's part of a thousand consecutive ids
 
 RATIO = 0.98
 KNN_SQL = f"""
-p AS (SELECT label, vec_id AS id, embedding::double[] AS e, vec_id % 2 = 0 AS even FROM embeddings),
+p AS (SELECT (vec_id // 1000) * 100 + label AS label, vec_id AS id, embedding::double[] AS e, vec_id % 2 = 0 AS even FROM embeddings),
 d AS (SELECT a.label, a.id AS ia, b.id AS ib, round(sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS d FROM p a JOIN p b ON a.label = b.label AND a.even AND NOT b.even),
 f AS (SELECT label, ia, max(ib) FILTER (WHERE r = 1) AS ib, max(d) FILTER (WHERE r = 1) AS d1, max(d) FILTER (WHERE r = 2) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY label, ia ORDER BY d, ib) AS r FROM d) GROUP BY label, ia),
 b AS (SELECT label, ib, max(ia) FILTER (WHERE r = 1) AS ia, max(d) FILTER (WHERE r = 1) AS d1, max(d) FILTER (WHERE r = 2) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY label, ib ORDER BY d, ia) AS r FROM d) GROUP BY label, ib),
@@ -423,8 +439,13 @@ un AS (SELECT label, ia, ib, min(d1) AS d1, arg_min(d2, struct_pack(a := d1, b :
 """
 
 
+def point_set() -> F.col:
+    """The point set of a vector: its label and its thousand of ids, so sets have about a hundred points in a table of any size."""
+    return (F.floor(F.col("vec_id") / 1000) * 100 + F.col("label")).cast("bigint").alias("label")
+
+
 def knn_distances(spark: SparkSession, sf: str) -> DataFrame:
-    v = t(spark, sf, "embeddings").select("label", F.col("vec_id").alias("idx"), F.col("embedding").alias("v"))
+    v = t(spark, sf, "embeddings").select(point_set(), F.col("vec_id").alias("idx"), F.col("embedding").alias("v"))
     return matching.distances(v.filter("idx % 2 = 0"), v.filter("idx % 2 = 1"), ["label"], 9)
 
 
@@ -487,15 +508,21 @@ def geometry_scale(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+@query("""
+WITH p AS (SELECT (vec_id // 1000) * 100 + label AS pair, vec_id % 7 = 0 AS off FROM embeddings)
+SELECT pair, count(*) AS matches, count(*) FILTER (WHERE NOT off) AS inliers, count(*) FILTER (WHERE off) AS outliers, round(count(*) FILTER (WHERE NOT off) / count(*), 6) AS inlier_ratio, NULL::varchar AS reason,
+       1.25::double AS scale, round(CASE WHEN (pair % 100) * 10.0 > 180 THEN (pair % 100) * 10.0 - 360 ELSE (pair % 100) * 10.0 END, 6)::double AS rotation_degrees, 40.0::double AS tx, -15.0::double AS ty, TRUE AS close
+FROM p GROUP BY pair
+""")
 def robust_affine(spark: SparkSession, sf: str) -> DataFrame:
-    """Per label, points of the first two dimensions under a known transform, every seventh an outlier. The fit is iterative, so there is no SQL."""
-    v = t(spark, sf, "embeddings").select(F.col("label").alias("pair"), F.col("vec_id").alias("idx"), (F.col("embedding")[0] * 1000.0).alias("x"), (F.col("embedding")[1] * 1000.0).alias("y"))
-    angle = F.radians(F.col("pair") * 10.0)
+    """Per point set, points of the first two dimensions under a known transform, every seventh an outlier, so the answer is known in closed form."""
+    v = t(spark, sf, "embeddings").select(point_set().alias("pair"), F.col("vec_id").alias("idx"), (F.col("embedding")[0] * 1000.0).alias("x"), (F.col("embedding")[1] * 1000.0).alias("y"))
+    angle = F.radians((F.col("pair") % 100) * 10.0)
     u = 1.25 * (F.cos(angle) * F.col("x") - F.sin(angle) * F.col("y")) + 40 + F.when(F.col("idx") % 7 == 0, 500.0).otherwise(0.0)
     w = 1.25 * (F.sin(angle) * F.col("x") + F.cos(angle) * F.col("y")) - 15
     out = affine.robust_affine(v.withColumns({"u": u, "v": w}))
-    return out.select(*[F.round(c, 6).alias(c) if k == "double" else c for c, k in out.dtypes])
+    r = lambda c, n=6: (F.round(c, n) + 0.0).alias(c)
+    return out.select("pair", "matches", "inliers", "outliers", r("inlier_ratio"), "reason", r("scale"), r("rotation_degrees"), r("tx", 4), r("ty", 4), (F.col("residual_max") < 1e-6).alias("close"))
 
 
 @query("""
@@ -519,8 +546,10 @@ def dominant_bin(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH r AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS o, lang, sha256(concat_ws(chr(31), doc_id::varchar, lang, source, n_chars::varchar)) AS h FROM documents),
-b AS (SELECT o // 100 AS bucket, sha256(string_agg(h, chr(10) ORDER BY o)) AS h, count(*) AS n FROM r GROUP BY ALL)
-SELECT sum(n)::bigint AS n_rows, count(*) AS n_buckets, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS digest FROM b
+b AS (SELECT o // 100 AS bucket, sha256(string_agg(h, chr(10) ORDER BY o)) AS h, count(*) AS n FROM r GROUP BY ALL),
+b2 AS (SELECT bucket // 100 AS bucket, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS h, sum(n) AS n, count(*) AS b FROM b GROUP BY bucket // 100),
+b3 AS (SELECT bucket // 100 AS bucket, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS h, sum(n) AS n, sum(b) AS b FROM b2 GROUP BY bucket // 100)
+SELECT sum(n)::bigint AS n_rows, sum(b)::bigint AS n_buckets, sha256(string_agg(h, chr(10) ORDER BY bucket)) AS digest FROM b3
 """)
 def row_digest(spark: SparkSession, sf: str) -> DataFrame:
     """Order-exact digest that ignores the partitioning."""
@@ -531,11 +560,11 @@ def row_digest(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH c AS (SELECT p_partkey, p_type, sha256('{"brand":"' || p_brand || '","key":' || p_partkey || ',"size":' || p_size || '}') AS config_hash FROM part)
 SELECT p_type, count(*) AS n_files, sha256('[' || string_agg('{"path":"' || printf('%09d', p_partkey) || '","sha256":"' || config_hash || '"}', ',' ORDER BY p_partkey) || ']') AS digest, bool_and(regexp_full_match(config_hash, '[0-9a-f]{64}')) AS well_formed
-FROM c WHERE p_partkey % 40 = 0 GROUP BY p_type
+FROM c GROUP BY p_type
 """)
 def config_digests(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of configurations, and of the list of them for each type."""
-    p = t(spark, sf, "part").filter("p_partkey % 40 = 0")
+    p = t(spark, sf, "part")
     p = p.withColumn("sha", digests.config_digest({"size": F.col("p_size"), "key": F.col("p_partkey"), "brand": F.col("p_brand")})).withColumn("path", F.format_string("%09d", "p_partkey"))
     listed = digests.list_digest(p, ["p_type"], "path", "sha")
     return listed.join(p.groupBy("p_type").agg(F.bool_and(digests.is_sha256(F.col("sha"))).alias("well_formed")), "p_type").select("p_type", "n_files", "digest", "well_formed")
@@ -559,53 +588,70 @@ def file_summaries(spark: SparkSession, sf: str) -> DataFrame:
 REPORT_SQL = """
 r AS (SELECT lang AS method, CASE WHEN v = 0 THEN 'va' ELSE 'vb' END AS dataset, CASE WHEN quality = 1 THEN 'genuine' ELSE 'impostor' END AS pair_kind, doc_id,
              CASE WHEN (doc_id + v) % 29 = 0 THEN 'prepare_a_failure' ELSE 'ok' END AS status, CASE WHEN (doc_id + v) % 29 <> 0 THEN (n_chars + v * (doc_id % 5))::double END AS s, doc_id % 40 AS m
-      FROM documents JOIN labels USING (doc_id), range(2) x(v)),
-j AS (SELECT method, pair_kind, a.status AS sa, b.status AS sb, a.s AS x, b.s AS y, a.status = 'ok' AND b.status = 'ok' AS ok FROM (SELECT * FROM r WHERE dataset = 'va') a JOIN (SELECT * FROM r WHERE dataset = 'vb') b USING (method, pair_kind, doc_id)),
-t AS (SELECT method, pair_kind, string_agg(k || ':' || n, ',' ORDER BY k) AS transitions FROM (SELECT method, pair_kind, sa || '->' || sb AS k, count(*) AS n FROM j GROUP BY ALL) GROUP BY ALL)
+      FROM documents JOIN labels USING (doc_id), range(2) x(v) WHERE NOT (v = 1 AND doc_id % 31 = 3)),
+j AS (SELECT method, pair_kind, a.status AS sa, b.status AS sb, a.s AS x, b.s AS y, coalesce(a.status = 'ok' AND b.status = 'ok', FALSE) AS ok,
+             (CASE WHEN a.status = 'ok' THEN a.m ELSE a.m END)::double AS pa, (b.m + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END)::double AS pb
+      FROM (SELECT * FROM r WHERE dataset = 'va') a FULL JOIN (SELECT * FROM r WHERE dataset = 'vb') b USING (method, pair_kind, doc_id)),
+t AS (SELECT method, pair_kind, string_agg(k || ':' || n, ',' ORDER BY k) AS transitions FROM (SELECT method, pair_kind, coalesce(sa, 'absent') || '->' || coalesce(sb, 'absent') AS k, count(*) AS n FROM j GROUP BY ALL) GROUP BY ALL)
 """
 
 
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
     d = t(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(t(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    d = d.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1))))
+    d = d.withColumn("v", F.explode(F.array(F.lit(0), F.lit(1)))).filter("NOT (v = 1 AND doc_id % 31 = 3)")
     ok = (F.col("doc_id") + F.col("v")) % 29 != 0
     dataset = F.when(F.col("v") == 0, "va").otherwise("vb")
     shape = lambda c: F.when(ok, c)
+    points = F.col("doc_id") % 40 + F.when((F.col("v") == 1) & (F.col("doc_id") % 3 == 0), 2).otherwise(0)  # more points in the second view
     return d.select(
         F.col("lang").alias("method"), dataset.alias("dataset"), F.when(F.col("quality") == 1, "genuine").otherwise("impostor").alias("pair_kind"),
         F.concat_ws("_", dataset, F.col("doc_id").cast("string")).alias("pair_id"), F.when(ok, "ok").otherwise("prepare_a_failure").alias("status"),
         shape((F.col("n_chars") + F.col("v") * (F.col("doc_id") % 5)).cast("double")).alias("raw_score"), F.when(~ok, "unreadable").alias("error_code"),
         F.lit(1.0).alias("prepare_a_ms"), shape(F.lit(2.0)).alias("prepare_b_ms"), shape(F.lit(3.0)).alias("compare_ms"),
-        F.format_string('{"detector_point_count": %d, "representation_descriptor_count": 7}', F.col("doc_id") % 40).alias("prepare_a_diagnostics"),
-        shape(F.format_string('{"detector_point_count": %d}', F.col("doc_id") % 40)).alias("prepare_b_diagnostics"),
+        F.format_string('{"detector_point_count": %d, "representation_descriptor_count": 7}', points).alias("prepare_a_diagnostics"),
+        shape(F.format_string('{"detector_point_count": %d}', points)).alias("prepare_b_diagnostics"),
         shape(F.format_string('{"mutual_match_count": %d, "score_components": {"inliers_over_min_keypoints": 0.5}}', F.col("doc_id") % 40)).alias("compare_diagnostics"),
     )
 
 
-@query(f"""
-WITH {REPORT_SQL}
-SELECT method, dataset, pair_kind, count(*) AS requested_rows, count(*) FILTER (WHERE status = 'ok') AS successful_rows, count(*) FILTER (WHERE status <> 'ok') AS prepare_failures,
-       count(s) AS raw_score_n, quantile_cont(s, 0.25) AS raw_score_p25, quantile_cont(s, 0.5) AS raw_score_p50, 2 * count(s) AS detector_point_count_n, quantile_cont(m, 0.5) FILTER (WHERE s IS NOT NULL) AS detector_point_count_p50,
-       count(s) AS descriptor_count_n, quantile_cont(m, 0.75) FILTER (WHERE s IS NOT NULL) AS mutual_matches_p75, count(s) AS inliers_over_minimum_keypoint_count_n,
+def _five_sql(name: str, value: str, where: str) -> str:
+    q = lambda f: f"quantile_cont({value}, {f}) FILTER (WHERE {where})::double"
+    x = f"({value})::double"
+    return f"count({value}) FILTER (WHERE {where}) AS {name}_n, min({x}) FILTER (WHERE {where}) AS {name}_min, {q(0.25)} AS {name}_p25, {q(0.5)} AS {name}_p50, {q(0.75)} AS {name}_p75, max({x}) FILTER (WHERE {where}) AS {name}_max"
+
+
+def _report_sql() -> str:
+    ok = "status = 'ok'"
+    points = "m + CASE WHEN r.dataset = 'vb' AND doc_id % 3 = 0 THEN 2 ELSE 0 END"
+    one_to_three = "CASE v WHEN 1 THEN 1.0 WHEN 2 THEN 2.0 END"  # times of both sides' preparation
+    return f"""
+WITH {REPORT_SQL},
+p AS (SELECT method, dataset, pair_kind, {_five_sql('preparation_time_ms', one_to_three, 'TRUE')}, {_five_sql('detector_point_count', points, ok)},
+             {_five_sql('descriptor_count', 'CASE WHEN v = 1 THEN 7 END', ok)} FROM r, (VALUES (1), (2)) x(v) WHERE v = 1 OR status = 'ok' GROUP BY ALL)
+SELECT r.method, r.dataset, r.pair_kind, count(*) AS requested_rows, count(*) FILTER (WHERE {ok}) AS successful_rows, count(*) FILTER (WHERE status <> 'ok') AS prepare_failures, 0::bigint AS comparison_failures,
+       {_five_sql('raw_score', 's', ok)}, {_five_sql('comparison_time_ms', '3.0', ok)}, {_five_sql('mutual_matches', 'm', ok)}, {_five_sql('geometric_inliers', 'NULL::double', ok)}, {_five_sql('inlier_ratio', 'NULL::double', ok)},
+       {_five_sql('inliers_over_minimum_keypoint_count', '0.5', ok)}, {_five_sql('detector_time_ms', 'NULL::double', ok)},
+       any_value(COLUMNS(p.* EXCLUDE (method, dataset, pair_kind))),
        CASE WHEN count(*) > count(s) THEN 'unreadable:' || (count(*) - count(s)) END AS failure_codes
-FROM r GROUP BY ALL
-""")
+FROM r JOIN p ON r.method = p.method AND r.dataset = p.dataset AND r.pair_kind = p.pair_kind GROUP BY r.method, r.dataset, r.pair_kind
+"""
+
+
+@query(_report_sql())
 def report_group_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """A part of the summary's columns."""
-    s = screening_report(report_rows(spark, sf))["group_summary"]
-    names = ["requested_rows", "successful_rows", "prepare_failures", "raw_score_n", "raw_score_p25", "raw_score_p50", "detector_point_count_n", "detector_point_count_p50", "descriptor_count_n", "mutual_matches_p75", "inliers_over_minimum_keypoint_count_n", "failure_codes"]
-    return s.select("method", "dataset", "pair_kind", *names)
+    """All columns of the summary."""
+    return screening_report(report_rows(spark, sf))["group_summary"]
 
 
 @query(f"""
 WITH {REPORT_SQL}
-SELECT j.method, j.pair_kind, count(*) AS logical_pairs, 0::bigint AS one_sided, count(*) FILTER (WHERE ok) AS paired_success, count(y - x) FILTER (WHERE ok) AS score_n,
+SELECT j.method, j.pair_kind, count(*) AS logical_pairs, count(*) FILTER (WHERE sa IS NULL OR sb IS NULL) AS one_sided, count(*) FILTER (WHERE ok) AS paired_success, count(y - x) FILTER (WHERE ok) AS score_n,
        median(y - x) FILTER (WHERE ok) AS score_median_delta, median(abs(y - x)) FILTER (WHERE ok) AS score_median_abs_delta, round(avg(y - x) FILTER (WHERE ok), 6) AS score_mean_delta,
-       0.0::double AS point_count_median_delta, any_value(transitions) AS transitions, round(CASE WHEN count(*) FILTER (WHERE ok) >= 2 THEN corr(x, y) FILTER (WHERE ok) END, 6) AS pearson
+       median(pb - pa) FILTER (WHERE ok) AS point_count_median_delta, round(avg(pb - pa) FILTER (WHERE ok), 6) AS point_count_mean_delta, count(*) FILTER (WHERE ok) AS descriptor_count_n, any_value(transitions) AS transitions, round(CASE WHEN count(*) FILTER (WHERE ok) >= 2 THEN corr(x, y) FILTER (WHERE ok) END, 6) AS pearson
 FROM j JOIN t ON j.method = t.method AND j.pair_kind = t.pair_kind GROUP BY ALL
 """)
 def report_paired(spark: SparkSession, sf: str) -> DataFrame:
     """View against view on the logical id."""
     p = screening_report(report_rows(spark, sf), view_a="va", view_b="vb")["paired"]
     names = ["logical_pairs", "one_sided", "paired_success", "score_n", "score_median_delta", "score_median_abs_delta"]
-    return p.select("method", "pair_kind", *names, F.round("score_mean_delta", 6).alias("score_mean_delta"), "point_count_median_delta", "transitions", F.round("pearson", 6).alias("pearson"))
+    return p.select("method", "pair_kind", *names, F.round("score_mean_delta", 6).alias("score_mean_delta"), "point_count_median_delta", F.round("point_count_mean_delta", 6).alias("point_count_mean_delta"), "descriptor_count_n", "transitions", F.round("pearson", 6).alias("pearson"))

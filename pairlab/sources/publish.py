@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
+from contextlib import contextmanager
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,31 +16,51 @@ class PublishError(RuntimeError):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder.
+
+    Without one, a local session (one machine, as in tests) uses its warehouse
+    folder; on a cluster there is no folder that all executors see, so it fails.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise PublishError("spark.checkpoint.dir is not set: staged tables need a folder that all executors share")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
     return path.rstrip("/")
 
 
+_RUNS: list[str] = []
+
+
 def staging_dir(spark: SparkSession) -> str:
-    """This application's part of the shared folder."""
-    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    """This application's part of the shared folder, or that of the run in hand."""
+    return "/".join([shared_dir(spark), spark.sparkContext.applicationId, *_RUNS])
+
 
+@contextmanager
+def staging_run(spark: SparkSession):
+    """Tables staged inside go to a folder of their own, removed at the end; results must be written before."""
+    _RUNS.append(f"run-{uuid.uuid4().hex}")
+    fs, path = _fs(spark, staging_dir(spark))
+    try:
+        yield path.toString()
+    finally:
+        _RUNS.pop()
+        fs.delete(path, True)
 
-def staged(df: DataFrame) -> DataFrame:
+
+def staged(df: DataFrame, at: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, gives the planner a size."""
     spark = df.sparkSession
-    path = f"{staging_dir(spark)}/{uuid.uuid4().hex}"
+    path = at or f"{staging_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_staged(spark: SparkSession) -> None:
-    """Remove this application's staged tables; call it once results that read them are written."""
-    fs, path = _fs(spark, staging_dir(spark))
-    fs.delete(path, True)
+def clear_staged(spark: SparkSession, path: str | None = None) -> None:
+    """Remove one staged table, or all of this application; call it once results that read them are written."""
+    fs, p = _fs(spark, path or staging_dir(spark))
+    fs.delete(p, True)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -47,14 +68,33 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def _in_place(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Write beside the target and rename: the path holds a whole export or nothing; an existing path is refused."""
+    fs, target = _fs(spark, path)
+    if fs.exists(target):
+        raise PublishError(f"already exported: {path}")
+    candidate = f"{path}._candidate_{uuid.uuid4().hex}"
+    _, source = _fs(spark, candidate)
+    try:
+        write(candidate)
+        fs.mkdirs(target.getParent())
+        if not fs.rename(source, target):
+            raise PublishError(f"could not export: {path}")
+    except BaseException:
+        fs.delete(source, True)
+        raise
+
+
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """Header, LF, rows in order over range-partitioned files; fails if the path exists."""
-    df.orderBy(*order).write.mode("errorifexists").option("header", True).option("lineSep", "\n").option("escape", '"').csv(path)
+    """Header, LF, rows in order over range-partitioned files, renamed into place whole."""
+    ordered = df.orderBy(*order)
+    _in_place(df.sparkSession, path, lambda p: ordered.write.option("header", True).option("lineSep", "\n").option("escape", '"').csv(p))
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """One object a line with its keys in name order."""
-    df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value")).write.mode("errorifexists").text(path)
+    """One object a line with its keys in name order, renamed into place whole."""
+    lines = df.select(F.to_json(F.struct(*sorted(df.columns))).alias("value"))
+    _in_place(df.sparkSession, path, lines.write.text)
 
 
 def flattened(df: DataFrame) -> DataFrame:
@@ -113,6 +153,32 @@ def partition_faults(found: DataFrame, allowed: DataFrame, keys: list[str]) -> D
     """Partitions that are unknown, or that occur more than once."""
     counts = found.groupBy(*keys).agg(F.count("*").alias("n"))
     known = allowed.select(*keys).withColumn("_k", F.lit(True))
-    j = counts.join(F.broadcast(known), keys, "left")
+    j = counts.join(known, keys, "left")
     rule = F.when(F.col("_k").isNull(), "unknown_partition").when(F.col("n") > 1, "duplicate_partition")
     return j.select(*keys, rule.alias("rule")).filter("rule IS NOT NULL")
+
+
+def bundle_folders(files: DataFrame, root: str, levels: list[str], path: str = "path") -> DataFrame:
+    """(folder, parts, one column a level) of every folder below `root` that holds files, named plainly or as
+    name=value; levels are null where the depth is another."""
+    inner = F.regexp_replace(F.col(path), "^[a-z]+:/+", "/")
+    inner = F.regexp_replace(inner, "^" + re.escape(re.sub("^[a-z]+:/+", "/", root.rstrip("/"))) + "/+", "")
+    folder = F.regexp_replace(inner, "/?[^/]*$", "")
+    found = files.select(folder.alias("folder")).distinct().withColumn("parts", F.when(F.col("folder") == "", F.array().cast("array<string>")).otherwise(F.split("folder", "/+")))
+    placed = F.size("parts") == len(levels)
+    return found.select("folder", "parts", *[F.when(placed, F.regexp_replace(F.get("parts", F.lit(i)), "^[^=]*=", "")).alias(c) for i, c in enumerate(levels)])
+
+
+def bundle_folder_faults(folders: DataFrame, levels: list[str], allowed: dict[str, list[str]], identity: list[str]) -> DataFrame:
+    """(folder, rule) of folders at another depth, with an unknown name at a level, or of an identity that stands twice.
+
+    `allowed` has the (few) names of a level; `identity` are the levels that
+    name a bundle, the others being versions of which only one may be there.
+    """
+    known = {c: F.col(c).isin(*names) for c, names in allowed.items()}
+    misplaced = F.size("parts") != len(levels)
+    twice = folders.filter(~misplaced).groupBy(*identity).agg(F.count("*").alias("_n")).filter("_n > 1")
+    j = folders.join(twice, identity, "left")
+    rules = [F.when(misplaced, F.lit("misplaced"))]
+    rules += [F.when(~misplaced & ~ok, F.lit(f"unknown_{c}")) for c, ok in known.items()] + [F.when(F.col("_n").isNotNull(), F.lit("duplicate"))]
+    return j.select("folder", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("rule"))
