@@ -120,6 +120,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
 
     Null and blank texts have fingerprint zero and link like any other; null
     ids get their component but never name one unless all its ids are null.
+    Repeated rows are one fingerprint; an empty table gives no rows; very long
+    texts are hashed whole; extra columns are ignored.
+
+    The first pass emits 131 variants of each of n distinct fingerprints, so two
+    unrelated ones meet in it by chance about n * 43 * 43 / 2^42 times each: a
+    tenth of all at 2e8 fingerprints.  Beyond some 1e9 most are suspects, and
+    the second pass takes the full ball of all, about a thousand variants for
+    each of odd parity; the links stay the same.
     """
     docs_fp = staged(fingerprints(docs, shingle, id_col, text_col))
     distinct = staged(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
@@ -202,13 +210,13 @@ def parities(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def _each_text(texts: DataFrame, columns: str, make):
-    """mapInArrow of make(doc_ids, words of each text) → list of arrays, over (doc_id, t)."""
+def _each_text(texts: DataFrame, columns: str, make, *others: int):
+    """mapInArrow of make(doc_ids, words of each text, other columns) → list of arrays, over (doc_id, t, …)."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def work(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays(make(b.column(0), [words_in(t) for t in b.column(1).cast(pa.binary()).to_pylist()]), names)
+            yield pa.RecordBatch.from_arrays(make(b.column(0), [words_in(t) for t in b.column(1).cast(pa.binary()).to_pylist()], *[b.column(i) for i in others]), names)
 
     return texts.mapInArrow(work, columns)
 
@@ -293,7 +301,10 @@ def _open_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row; links are all pairs of texts whose word shingles are that similar.
+    """(doc_id, h, component_id, stays) of every row; links are all pairs of texts whose word shingles are that similar.
+
+    h is Spark's xxhash64 of the text; `stays` marks the component's first row
+    (and its copies): the smallest doc_id, null last, then the smallest text key.
 
     No few bits of a SimHash express such a similarity, so candidates are texts
     that share a shingle of their prefixes, which no similar pair fails to do.
@@ -308,7 +319,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     its ids are null.  Repeated rows are one node; an empty table gives no rows;
     very long texts are sets as others are; extra columns are ignored.
     """
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("h"))
     common = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
 
     def described(ids, texts):
@@ -316,7 +328,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
         heads = [prefix(g, similarity, common.value) for g in sets]
         return [ids, pa.array(list(map(text_key, texts)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), _lists([parities(g) for g in sets]), _lists(heads)]
 
-    rows = staged(_each_text(texts, "doc_id bigint, k bigint", lambda ids, texts: [ids, pa.array(list(map(text_key, texts)), pa.int64())]))
+    keyed = lambda ids, texts, h: [ids, h, pa.array(list(map(text_key, texts)), pa.int64())]
+    rows = staged(_each_text(texts, "doc_id bigint, h bigint, k bigint", keyed, 2))
     told = _each_text(texts, "doc_id bigint, k bigint, n int, bits array<bigint>, vs array<bigint>", described)
     nodes = staged(told.groupBy("k").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("vs").alias("vs")))
     members, nodes = nodes.select("k", F.explode("vs").alias("v")), nodes.drop("vs")
@@ -331,9 +344,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     if not rest.isEmpty():
         roots = components(linked.union(staged(_alike(rest, texts, nodes, similarity, shingle))))
     named = nodes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_key = staged(named.select("k", "root").join(least, "root").select("k", "component_id"))
-    return rows.select("doc_id", "k").join(of_key, "k").select("doc_id", "component_id")
+    place = F.struct(F.col("least").isNull().alias("none"), "least", "k")
+    first = named.groupBy("root").agg(F.min(place).alias("first"))
+    of_key = staged(named.select("k", "root").join(first, "root").select("k", F.col("first.least").alias("component_id"), F.col("first.k").alias("_k")))
+    met = rows.join(of_key, "k")
+    return met.select("doc_id", "h", "component_id", (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("k") == F.col("_k"))).alias("stays"))
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

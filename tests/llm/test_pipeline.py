@@ -94,6 +94,27 @@ def test_run_equals_its_stages(spark, sf, stages):
     assert key(cp.run(spark, sf)) == key(stages[-1])
 
 
+def test_run_leaves_only_its_result(spark, sf):
+    """Inner tables and stages go as the next stage is written."""
+    from pairlab.sources import publish
+
+    with publish.staging_run(spark) as folder:
+        out = cp.run(spark, sf)
+        fs, path = publish._fs(spark, folder)
+        left = [s.getPath().getName() for s in fs.listStatus(path)]
+        assert len(left) == 1 and out.count() > 0 and all(left[0] in f for f in out.inputFiles())
+    assert not fs.exists(path)
+
+
+def test_near_dedup_of_rows_without_ids(spark):
+    """Rows without an id go if a row with one is alike, and stay once in a group of their own; -2^63 is an id as any."""
+    text = lambda t: " ".join(f"{t}{i}" for i in range(40))
+    rows = [(None, text("a")), (3, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (-(2**63), text("d")), (None, text("d")), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["text"]) for r in cp.near_dedup(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(3, text("a")), (None, text("b")), (None, text("c")), (-(2**63), text("d")), (None, "")], key=repr)
+
+
 def test_odd_documents(spark, odd, empty):
     docs = odd.select(*[c for c in odd.columns if c != "key"])
     for _, stage in cp.STAGES[:-1]:
