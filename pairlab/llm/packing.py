@@ -16,13 +16,13 @@ tokens.  Pieces over half of it open a sequence each.  Then every superstep
 
 A superstep finishes its band, and bands shrink by at least an eighth, below an
 eighth of the capacity by half, so there are at most some fifteen supersteps
-whatever the number of documents; the driver sees only whether rows are left,
-the largest size, and counts.
+whatever the number of documents.
 
-Sizes are at most `capacity` different numbers, so prefix sums are sums over a
-table of that many classes plus ranks inside a class.  Ranks are two-level: a
-class is dealt over as many salts as its count asks for, so no task sorts a
-third of all rows.  A depth holds at most two rows a size.
+Sizes are at most `capacity` different numbers, so a prefix sum is one over the
+counts of that many classes plus a rank inside the class.  The counts are all
+that the driver sees; matches, ranks and places are made in tasks.  Ranks are
+two-level: a large class is dealt over as many salts as its count asks for, so
+no task sorts a third of all rows.  A depth holds at most two rows a size.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import zlib
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
@@ -67,66 +67,84 @@ def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(work, PIECES)
 
 
-def _ranked(rows: DataFrame, by: list[str], n: int) -> DataFrame:
-    """`rows`, `n` at most, with r, their rank from 0 among those that agree in `by` (few classes), by id."""
-    if n <= RANKED:
+def _by_size(values: list[int]) -> Column:
+    """The entry of a row's size in a list over all sizes."""
+    return F.get(F.expr(f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)"), F.col("size").cast("int"))
+
+
+def _count(rows: DataFrame, capacity: int) -> tuple[list[int], list[int]]:
+    """Gaps and pieces of each size of (kind, size): at most twice `capacity` numbers."""
+    found = ([0] * (capacity + 1), [0] * (capacity + 1))
+    for r in rows.groupBy("kind", "size").count().collect():
+        found[r["kind"]][r["size"]] = r["count"]
+    return found
+
+
+def _ranked(rows: DataFrame, counts: list[int], by: list[str]) -> DataFrame:
+    """`rows` with r, their rank from 0 among those of their size (and kind), by id; no class has more rows than its entry in `counts`."""
+    if max(counts) <= RANKED:
         return rows.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("id")) - 1)
-    salts = rows.groupBy(*by).agg((F.floor(F.count("*") / RANKED) + 1).alias("salts"))  # one row a class
-    salted = rows.join(F.broadcast(salts), by).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))).drop("salts")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), _by_size([n // RANKED + 1 for n in counts])))
     before = Window.partitionBy(*by).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy(*by, "salt").agg(F.count("*").alias("n")).select(*by, "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy(*by, "salt").orderBy("id")) - 1
     return salted.withColumn("r", inside).join(starts.hint("merge"), [*by, "salt"]).withColumn("r", F.col("r") + F.col("before")).drop("salt", "before")
 
 
-def _before(value, *order):
-    """Sum of `value` over the classes before; class tables have at most two rows a size."""
-    return F.coalesce(F.sum(value).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def sweep(rows: DataFrame, gaps: list[int], pieces: list[int]) -> DataFrame:
+    """Successor sweep over (kind 0 gap or 1 piece, size, id): adds prev, the gap that a piece takes, and next = 1 to taken gaps.
 
-
-def sweep(pieces: DataFrame, gaps: DataFrame, n: int) -> DataFrame:
-    """Successor sweep: (kind 0 gap or 1 piece, size, id, prev) with prev the gap that a piece takes, and next = 1 for taken gaps."""
-    rows = gaps.select("size", F.lit(0).alias("kind"), "id").union(pieces.select("size", F.lit(1).alias("kind"), "id"))
-    order = (F.col("size").desc(), F.col("kind"))
-    depths = rows.groupBy("size", "kind").count().select("size", "kind", _before(F.when(F.col("kind") == 0, F.col("count")).otherwise(-F.col("count")), *order).alias("depth"))
-    level = F.when(F.col("kind") == 0, F.col("depth") + F.col("r") + 1).otherwise(F.col("depth") - F.col("r"))
-    at = Window.partitionBy("level").orderBy(*order)
-    placed = _ranked(rows, ["size", "kind"], n).join(F.broadcast(depths), ["size", "kind"]).withColumn("level", level)
+    `gaps` and `pieces` count the rows of each size.
+    """
+    depth, opening, closing = 0, [0] * len(gaps), [0] * len(gaps)
+    for size in range(len(gaps) - 1, -1, -1):
+        opening[size] = depth
+        depth += gaps[size]
+        closing[size] = depth
+        depth -= pieces[size]
+    level = F.when(F.col("kind") == 0, _by_size(opening) + F.col("r") + 1).otherwise(_by_size(closing) - F.col("r"))
+    at = Window.partitionBy("level").orderBy(F.col("size").desc(), "kind")
+    placed = _ranked(rows, [max(x) for x in zip(gaps, pieces)], ["size", "kind"]).withColumn("level", level)
     return placed.select("kind", "size", "id", F.lag(F.struct("size", "id")).over(at).alias("prev"), F.lead("kind").over(at).alias("next"))
 
 
-def fill(pieces: DataFrame, gaps: DataFrame, capacity: int, opened: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Place the largest band of pieces: (id, seq, offset, size, gap) of it, gaps left as they are, pieces left, sequences opened."""
-    top, n = pieces.agg(F.max("size"), F.count("*")).first()
+def fill(rows: DataFrame, gaps: list[int], pieces: list[int], opened: int) -> tuple[DataFrame, DataFrame, int]:
+    """Place the largest band of pieces: (id, seq, offset, size, gap) of it, rows left as they are, sequences opened."""
+    capacity = len(gaps) - 1
+    top = max(size for size, n in enumerate(pieces) if n)
     each = capacity // top
     low = capacity // (each + 1) if each < 8 else top // 2
-    band, rest = pieces.filter(F.col("size") > low), pieces.filter(F.col("size") <= low)
-    slots = F.floor(F.col("size") / top)
-    hosts = gaps.filter(F.col("size") >= top)
-    held, n_hosts = hosts.agg(F.coalesce(F.sum(slots), F.lit(0)), F.count("*")).first()
-    # classes of the band: their pieces' places, those after the hosted ones, and the new sequences of one size
-    classes = band.groupBy("size").agg(F.count("*").alias("n")).withColumn("first", _before("n", F.col("size").desc()))
-    classes = classes.withColumn("own", F.greatest("first", F.lit(held))).withColumn("m", F.greatest(F.col("first") + F.col("n") - F.col("own"), F.lit(0)))
-    classes = classes.withColumn("k", F.floor(F.lit(capacity) / F.col("size"))).withColumn("q", F.floor(F.col("m") / F.col("k")))
-    odd = F.col("m") - F.col("q") * F.col("k")
-    classes = classes.withColumns({"seqs": _before("q", F.col("size").desc()), "odds": _before(odd, F.col("size").desc())})
-    total = classes.agg(F.sum("q").alias("q"), F.sum(odd).alias("odd"), F.sum("n").alias("n")).first()
-    ranked = _ranked(band, ["size"], n).join(F.broadcast(classes), "size").withColumn("place", F.col("first") + F.col("r")).withColumn("j", F.col("place") - F.col("own"))
-    number = F.when(F.col("j") < F.col("q") * F.col("k"), F.col("seqs") + F.floor(F.col("j") / F.col("k"))).otherwise(
-        total["q"] + F.floor((F.col("odds") + F.col("j") - F.col("q") * F.col("k")) / each)
-    )
-    new = ranked.filter(F.col("place") >= held).select("id", "size", "place", (-1 - opened - number).cast("bigint").alias("seq"), F.lit(capacity).cast("bigint").alias("gap"))
-    untouched = gaps.select("id", "size")
+    # places of the gaps that hold such pieces, tightest gaps first
+    held, start = 0, [0] * (capacity + 1)
+    for size in range(top, capacity + 1):
+        start[size] = held
+        held += gaps[size] * (size // top)
+    # pieces by size: their first place, the first one after the hosted ones, full sequences of one size, and odd ones
+    place, new, odd = 0, 0, 0
+    first, own, full, seqs, odds = ([0] * (capacity + 1) for _ in range(5))
+    for size in range(top, low, -1):
+        first[size], own[size] = place, max(place, held)
+        place += pieces[size]
+        m, k = max(place - own[size], 0), capacity // size
+        full[size], seqs[size], odds[size] = m // k * k, new, odd
+        new, odd = new + m // k, odd + m % k
+    band = rows.filter((F.col("kind") == 1) & (F.col("size") > low)).select("id", "size")
+    ranked = _ranked(band, pieces, ["size"]).withColumn("place", _by_size(first) + F.col("r")).withColumn("j", F.col("place") - _by_size(own))
+    fits = F.floor(F.lit(capacity) / F.col("size"))
+    number = F.when(F.col("j") < _by_size(full), _by_size(seqs) + F.floor(F.col("j") / fits)).otherwise(new + F.floor((_by_size(odds) + F.col("j") - _by_size(full)) / each))
+    placed = ranked.filter(F.col("place") >= held).select("id", "size", "place", (-1 - opened - number).cast("bigint").alias("seq"), F.lit(capacity).cast("bigint").alias("gap"))
+    rest = rows.filter((F.col("kind") == 0) | (F.col("size") <= low))
     if held:
-        starts = hosts.groupBy("size").count().select("size", _before(F.col("count") * slots, "size").alias("start"))
-        hosts = _ranked(hosts, ["size"], n_hosts).join(F.broadcast(starts), "size").select("id", "size", (F.col("start") + F.col("r") * slots).alias("start"), slots.alias("slots"))
-        taken = hosts.filter(F.col("start") < total["n"]).select(F.col("id").alias("seq"), F.col("size").alias("gap"), F.explode(F.expr("sequence(start, start + slots - 1)")).alias("place"))
-        new = new.union(ranked.filter(F.col("place") < held).select("id", "size", "place").join(taken, "place").select("id", "size", "place", "seq", "gap"))
-        untouched = untouched.filter(F.col("size") < top).union(hosts.filter(F.col("start") >= total["n"]).select("id", "size"))
+        large = (F.col("kind") == 0) & (F.col("size") >= top)
+        hosts = _ranked(rows.filter(large).select("id", "size"), gaps, ["size"]).withColumn("slots", F.floor(F.col("size") / top))
+        hosts = hosts.select("id", "size", (_by_size(start) + F.col("r") * F.col("slots")).alias("start"), "slots")
+        taken = hosts.filter(F.col("start") < place).select(F.col("id").alias("seq"), F.col("size").alias("gap"), F.explode(F.expr("sequence(start, start + slots - 1)")).alias("place"))
+        placed = placed.union(ranked.filter(F.col("place") < held).select("id", "size", "place").join(taken, "place").select("id", "size", "place", "seq", "gap"))
+        rest = rest.filter(~large).union(hosts.filter(F.col("start") >= place).select(F.lit(0).alias("kind"), "size", "id"))
     inside = Window.partitionBy("seq").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # at most `capacity` rows
     used = F.coalesce(F.sum("size").over(inside), F.lit(0))
-    placed = new.select("id", "seq", (F.lit(capacity) - F.col("gap") + used).alias("offset"), "size", "gap")
-    return placed, untouched, rest, opened + total["q"] + -(-total["odd"] // each)
+    placed = placed.select("id", "seq", (F.lit(capacity) - F.col("gap") + used).alias("offset"), "size", "gap")
+    return placed, rest, opened + new + -(-odd // each)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -139,26 +157,28 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> Dat
     pieces = staged(tokenize_pieces(docs, capacity, end_id).withColumn("id", F.monotonically_increasing_id()))
     large = 2 * F.col("length") > capacity
     parts = [pieces.filter(large).select("id", F.col("id").alias("seq"), F.lit(0).cast("bigint").alias("offset"))]
-    gaps = pieces.filter(large & (F.col("length") < capacity)).select("id", (F.lit(capacity) - F.col("length")).alias("size"))
-    waiting, opened = pieces.filter(~large).select("id", F.col("length").alias("size")), 0
+    rows = pieces.filter("length < " + str(capacity)).select(F.when(large, 0).otherwise(1).alias("kind"), F.when(large, F.lit(capacity) - F.col("length")).otherwise(F.col("length")).alias("size"), "id")
+    opened = 0
     while True:
-        n = waiting.count()
-        if not n:
-            break
-        met = staged(sweep(waiting, gaps, n + gaps.count()))
-        matched = met.filter("kind = 1 AND prev IS NOT NULL")
-        parts.append(matched.select("id", F.col("prev.id").alias("seq"), (F.lit(capacity) - F.col("prev.size")).alias("offset")))
-        shrunk = matched.select(F.col("prev.id").alias("id"), (F.col("prev.size") - F.col("size")).alias("size")).filter("size > 0")
-        gaps = met.filter("kind = 0 AND next IS NULL").select("id", "size").union(shrunk)
-        waiting = met.filter("kind = 1 AND prev IS NULL").select("id", "size")
-        if waiting.isEmpty():
+        gaps, waiting = _count(rows, capacity)
+        if not any(waiting):
             break
-        placed, gaps, waiting, opened = fill(waiting, gaps, capacity, opened)
+        if any(gaps):
+            met = staged(sweep(rows, gaps, waiting))
+            matched = met.filter("kind = 1 AND prev IS NOT NULL")
+            parts.append(matched.select("id", F.col("prev.id").alias("seq"), (F.lit(capacity) - F.col("prev.size")).alias("offset")))
+            shrunk = matched.select(F.lit(0).alias("kind"), (F.col("prev.size") - F.col("size")).alias("size"), F.col("prev.id").alias("id")).filter("size > 0")
+            rows = met.filter("CASE WHEN kind = 0 THEN next ELSE prev.id END IS NULL").select("kind", "size", "id").union(shrunk)
+            gaps, waiting = _count(rows, capacity)
+            if not any(waiting):
+                break
+        placed, rest, opened = fill(rows, gaps, waiting, opened)
         placed = staged(placed)
         parts.append(placed.select("id", "seq", "offset"))
-        gaps = gaps.union(placed.groupBy("seq").agg((F.first("gap") - F.sum("size")).alias("size")).filter("size > 0").select(F.col("seq").alias("id"), "size"))
-    placed = reduce(DataFrame.union, parts)
-    return pieces.join(placed, "id").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")
+        made = placed.groupBy("seq").agg((F.first("gap") - F.sum("size")).alias("size")).filter("size > 0")
+        rows = rest.union(made.select(F.lit(0).alias("kind"), "size", F.col("seq").alias("id")))
+    places = reduce(DataFrame.union, parts)
+    return pieces.join(places, "id").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("seq").alias("sequence_id"), "offset")
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:

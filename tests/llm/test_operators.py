@@ -147,8 +147,11 @@ def test_successor_sweep(spark, monkeypatch, ranked):
     monkeypatch.setattr(packing, "RANKED", ranked)  # 3: classes are ranked in many salts
     random.seed(4)
     pieces, gaps = [random.randint(1, 40) for _ in range(150)], [random.randint(1, 60) for _ in range(120)]
-    table = lambda sizes: spark.createDataFrame(list(enumerate(sizes)), "id bigint, size bigint").repartition(3)
-    met = packing.sweep(table(pieces), table(gaps), 270).collect()
+    rows = [(0, g, i) for i, g in enumerate(gaps)] + [(1, x, i) for i, x in enumerate(pieces)]
+    df = spark.createDataFrame(rows, "kind int, size bigint, id bigint").repartition(3)
+    counts = packing._count(df, 64)
+    assert counts == tuple([Counter(x)[n] for n in range(65)] for x in (gaps, pieces))
+    met = packing.sweep(df, *counts).collect()
     took = [(r["size"], r["prev"]["size"], r["prev"]["id"]) for r in met if r["kind"] == 1 and r["prev"] is not None]
     assert Counter((a, b) for a, b, _ in took) == brute_sweep(pieces, gaps)
     assert len({i for _, _, i in took}) == len(took) == sum(r["kind"] == 0 and r["next"] == 1 for r in met) and all(gaps[i] == g for _, g, i in took)
