@@ -47,38 +47,47 @@ def _residual() -> Column:
     return F.sqrt(px * px + py * py)
 
 
-def robust_affine(matches: DataFrame, pair: str = "pair", model: str = "partial", threshold: float = 3.0, hypotheses: int = 200, least: int = 3) -> DataFrame:
-    """K3-K5: one row per pair of `matches` (pair, idx, x, y, u, v).
+def drawn_samples(sizes: DataFrame, size: int, hypotheses: int) -> DataFrame:
+    """(pair, k0 < k1 [< k2]) of `hypotheses` distinct samples of each pair's n matches, or of all there are; sizes are (pair, n).
 
-    Fewer than `least` matches, or only degenerate samples, is a valid zero with
-    a reason, not a failure.
+    The j-th draw of a pair names one of its C(n, size) samples: a start by the
+    pair's hash, then strides coprime to their number, so draws repeat only
+    after all samples; the number becomes indices by the combinatorial number
+    system.
     """
-    size = 2 if model == "partial" else 3
-    numbered = matches.select(F.col(pair).alias("pair"), "idx", *[F.col(c).cast("double").alias(c) for c in "xyuv"])
-    counts = numbered.groupBy("pair").agg(F.count("*").alias("n"))
-    enough = counts.filter(F.col("n") >= least).select("pair", "n")
-    points = numbered.join(enough.select("pair"), "pair")
-    # the j-th draw of a pair names one of its C(n, size) samples: a start by the pair's hash, then equal strides coprime to
-    # their number, so draws never repeat before all samples are used; ranks turn into ascending indices by the combinatorial number system
-    ranked = points.withColumn("k", F.row_number().over(Window.partitionBy("pair").orderBy("idx")) - 1)
     n = F.col("n").cast("bigint")
     every = F.floor(n * (n - 1) / 2) if size == 2 else F.floor(n * (n - 1) * (n - 2) / 6)
     hashed = lambda salt: F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("pair").cast("string"), F.lit(salt)), 256), 1, 7), 16, 10).cast("bigint")
-    tries = enough.withColumn("all", every.cast("bigint")).withColumns({"start": F.pmod(hashed("start"), F.col("all")), "stride": F.pmod(hashed("stride"), F.col("all"))})
+    tries = sizes.withColumn("all", every.cast("bigint")).withColumns({"start": F.pmod(hashed("start"), F.col("all")), "stride": F.pmod(hashed("stride"), F.col("all"))})
     gcd = "aggregate(sequence(1, 48), struct({a} AS a, {b} AS b), (s, _) -> if(s.b = 0, s, struct(s.b AS a, s.a % s.b AS b)), s -> s.a)"
-    prime = F.expr(f"filter(transform(sequence(0, 63), i -> stride + i), x -> x > 0 AND {gcd.format(a='`all`', b='x')} = 1)[0]")
+    prime = F.expr(f"get(filter(transform(sequence(0, 63), i -> stride + i), x -> x > 0 AND {gcd.format(a='`all`', b='x')} = 1), 0)")
     tries = tries.withColumn("stride", F.coalesce(prime, F.lit(1)))
     drawn = tries.select("pair", "all", "start", "stride", F.explode(F.expr(f"sequence(0L, least(`all`, {hypotheses}L) - 1)")).alias("h"))
     rank = F.pmod(F.col("start") + F.pmod(F.col("h") * F.col("stride"), F.col("all")), F.col("all")).alias("s")
     samples = drawn.select("pair", rank)
     if size == 3:  # the largest k2 with C(k2, 3) <= s; the root is off by one at most
         root = F.floor(F.cbrt(6.0 * F.col("s")) + 1).cast("bigint")
-        third = F.expr("filter(array(r + 2, r + 1, r, r - 1, r - 2, r - 3), x -> x >= 2 AND x * (x - 1) * (x - 2) div 6 <= s)[0]")
+        third = F.expr("get(filter(array(r + 2, r + 1, r, r - 1, r - 2, r - 3), x -> x >= 2 AND x * (x - 1) * (x - 2) div 6 <= s), 0)")
         samples = samples.withColumn("r", root).withColumn("k2", third).withColumn("s", F.expr("s - k2 * (k2 - 1) * (k2 - 2) div 6")).drop("r")
     root = F.floor(F.sqrt(2.0 * F.col("s")) + 1).cast("bigint")
-    second = F.expr("filter(array(r + 1, r, r - 1, r - 2), x -> x >= 1 AND x * (x - 1) div 2 <= s)[0]")
+    second = F.expr("get(filter(array(r + 1, r, r - 1, r - 2), x -> x >= 1 AND x * (x - 1) div 2 <= s), 0)")
     samples = samples.withColumn("r", root).withColumn("k1", second).withColumn("k0", F.expr("s - k1 * (k1 - 1) div 2"))
-    samples = samples.select("pair", *[F.col(f"k{i}").cast("int").alias(f"k{i}") for i in range(size)])
+    return samples.select("pair", *[F.col(f"k{i}").cast("int").alias(f"k{i}") for i in range(size)])
+
+
+def robust_affine(matches: DataFrame, pair: str = "pair", model: str = "partial", threshold: float = 3.0, hypotheses: int = 200, least: int = 3) -> DataFrame:
+    """K3-K5: one row per pair of `matches` (pair, idx, x, y, u, v).
+
+    Fewer than `least` matches, or only degenerate samples, is a valid zero with
+    a reason, not a failure.
+    """
+    size = 2 if model == "partial" else 3
+    numbered = matches.select(F.col(pair).alias("pair"), "idx", *[F.col(c).cast("double").alias(c) for c in "xyuv"])
+    counts = numbered.groupBy("pair").agg(F.count("*").alias("n"))
+    enough = counts.filter(F.col("n") >= least).select("pair", "n")
+    points = numbered.join(enough.select("pair"), "pair")
+    ranked = points.withColumn("k", F.row_number().over(Window.partitionBy("pair").orderBy("idx")) - 1)
+    samples = drawn_samples(enough, size, hypotheses)
     for i in range(size):
         side = ranked.select("pair", F.col("k").alias(f"k{i}"), *[F.col(c).alias(f"{c}{i}") for c in "xyuv"])
         samples = samples.join(side, ["pair", f"k{i}"])

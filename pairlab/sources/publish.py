@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from contextlib import contextmanager
 from collections.abc import Callable
@@ -18,14 +19,15 @@ class PublishError(RuntimeError):
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder.
 
-    Without one, a local session (one machine, as in tests) uses its warehouse
-    folder; on a cluster there is no folder that all executors see, so it fails.
+    Without one, a local session (one process, as in tests) takes a temporary
+    one; on a cluster there is no folder that all executors see, so it fails.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise PublishError("spark.checkpoint.dir is not set: staged tables need a folder that all executors share")
-        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
+        path = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 

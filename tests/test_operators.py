@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from pairlab.functions import jsonmaps
 from pairlab.operators import affine, aggregates, cohort, contract, matching, orientation, pairs, parity, records, sampling, scoring, screening
 
 from .helpers import rows_of
@@ -186,10 +187,12 @@ def test_constant_column_has_no_correlation(spark):
     assert dict(rows_of(aggregates.pearson(df, "x", "y", ["g"]), ["g", "pearson"])) == {"a": None, "b": None, "c": 1.0}
 
 
-@pytest.mark.parametrize("n", [1, 7, 19, 20, 21, 40, 100])
-def test_nearest_rank(spark, n):
-    df = frame(spark, [(float(i),) for i in range(n)], "x double")
-    assert df.agg(aggregates.nearest_rank("x", 0.95).alias("p")).first()["p"] == sorted(range(n))[min(n - 1, -(-95 * n // 100) - 1)]
+def test_nearest_rank(spark):
+    sizes = [1, 7, 19, 20, 21, 40, 100]
+    df = frame(spark, [(n, float(i)) for n in sizes for i in range(n)], "n int, x double")
+    got = {r["n"]: r["x_p"] for r in aggregates.nearest_rank(df, ["n"], {"x": F.col("x")}, {"p": 0.95}).collect()}
+    assert got == {n: sorted(range(n))[min(n - 1, -(-95 * n // 100) - 1)] for n in sizes}
+    assert aggregates.nearest_rank(df, [], {"x": F.col("x")}, {"p": 0.5}).first()["x_p"] is not None
 
 
 def test_sampling(spark):
@@ -209,7 +212,7 @@ def test_parity(spark):
     b = frame(spark, [(1, "x", '{"n": 2, "t_ms": 9}'), (2, None, "{}"), (4, "q", "{}")], "id int, v string, d string")
     oa, ob = (parity.outcome(x, ["id"], ["v"], ["d"]) for x in (a, b))
     assert sorted((r["id"], r["field"]) for r in parity.row_diff(oa, ob, ["id"], ["v", "d"]).collect()) == [(1, "d"), (2, "v"), (3, "row"), (4, "row")]
-    assert rows_of(parity.document_diff(a, b, ["id"], "d"), ["id", "field"]) == [(1, "n")]
+    assert rows_of(parity.document_diff(a, b, ["id"], "d"), ["id", "field"]) == [(1, "n"), (3, "row"), (4, "row")]
     assert parity.row_diff(oa, oa.repartition(3), ["id"], ["v", "d"]).count() == 0
 
 
@@ -227,3 +230,72 @@ def test_dominant_bin_matches_brute_force(spark):
             if d2 <= r * r:
                 h[int(math.degrees(math.atan2(gy, gx)) % 360 * 36 / 360) % 36] += math.exp(-d2 / (2 * sig * sig)) * math.hypot(gx, gy)
         assert got[i] == (h.index(max(h)) if any(h) else None)
+
+
+# ---- bundles, preflights, times, quantiles
+
+
+def test_bundle_rules_name_each_difference(spark):
+    res = frame(spark, [("k", "ok", "1"), ("k", "ok", "2"), ("j", "ok", "1"), ("i", "ok", "1")], "b string, status string, version string")
+    meta = frame(spark, [("k", 2, 2, "1", "d"), ("j", 1, 1, "9", "d"), ("i", 1, 1, "1", "old")], "b string, n_rows int, n_ok int, version string, digest string")
+    now = frame(spark, [("k", "d"), ("j", "d"), ("i", "d")], "b string, digest string")
+    found = contract.bundle_faults(res, meta, ["b"], ("version",), now)
+    assert rows_of(found, ["b", "rule"]) == [("i", "stale_digest"), ("j", "version_differs"), ("k", "version_varies")]
+
+
+def test_quantiles_are_exact_for_any_partitioning(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(1)
+    rows = [(g, float(rng.choice([1, 2, 5, rng.random()])), None if rng.random() < 0.2 else rng.random()) for g in "ab" for _ in range(rng.randint(50, 99))] + [("c", None, None)]
+    df = frame(spark, rows, "g string, x double, y double")
+    for parts in (1, 5):
+        out = aggregates.quantiles(df.repartition(parts), ["g"], {"x": F.col("x"), "y": F.col("y")}, {"p25": 0.25, "p50": 0.5}, {"p95": 0.95})
+        got = {r["g"]: r for r in out.collect()}
+        assert set(got) == {"a", "b"}
+        for g, r in got.items():
+            for i, c in ((1, "x"), (2, "y")):
+                v = sorted(row[i] for row in rows if row[0] == g and row[i] is not None)
+                assert r[f"{c}_p25"] == pytest.approx(np.quantile(v, 0.25)) and r[f"{c}_p50"] == pytest.approx(np.median(v)) and r[f"{c}_p95"] == v[-(-95 * len(v) // 100) - 1]
+    files = frame(spark, [("a", "f" * 64)], "g string, sha256 string")
+    summed = aggregates.file_summary(df.withColumns({"raw_score": F.col("x"), "status": F.lit("ok")}), "g", ["y"], ["ok"], files)
+    assert {r["g"]: r["sha256"] for r in summed.collect()} == {"a": "f" * 64, "b": None, "c": None}
+
+
+def test_histogram_text_bounds_free_text(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "MOST_CODES", 2)
+    df = frame(spark, [("g", c) for c in "aaabbcde"], "g string, code string")
+    assert aggregates.histogram_text(df, ["g"], "code", "t").first()["t"] == "a:3,b:2,other:3"
+
+
+@pytest.mark.parametrize("model, size", [("partial", 2), ("full", 3)])
+def test_as_many_hypotheses_are_tried_as_asked(spark, model, size):
+    """Draws are distinct samples in ascending order, as many as asked or there are."""
+    from math import comb
+
+    rows = [(p, i, float(i), float(i * i % 7), 2.0 * i, 1.0) for p, n in ((1, 5), (2, 40), (3, 3)) for i in range(n)]
+    df = frame(spark, rows, "pair int, idx int, x double, y double, u double, v double")
+    samples = affine.drawn_samples(df.groupBy("pair").agg(F.count("*").alias("n")), size, 200)
+    got = {}
+    for r in samples.collect():
+        got.setdefault(r["pair"], []).append(tuple(r[f"k{i}"] for i in range(size)))
+    for p, n in ((1, 5), (2, 40), (3, 3)):
+        assert len(got[p]) == len(set(got[p])) == min(200, comb(n, size))
+        assert all(list(s) == sorted(set(s)) and s[-1] < n and s[0] >= 0 for s in got[p])
+
+
+def test_short_strata_are_refused_on_demand(spark):
+    df = frame(spark, [("s", i) for i in range(3)], "stratum string, subject int")
+    assert cohort.select_cohort(df, ["s"], 5, "v", "1").count() == 3
+    with pytest.raises(ValueError):
+        cohort.select_cohort(df, ["s"], 5, "v", "1", whole=True)
+
+
+def test_leaf_paths_go_to_any_depth(spark):
+    deep = '{"a":' * 60 + '{"x": 1, "pid": 2}' + "}" * 60
+    df = frame(spark, [('{"b": [1, {"c": null, "t_ms": 3}], "a": {"d": {"e": {"f": {"g": 1.50}}}}}',), (deep,), ("[1",), (None,)], "j string")
+    got = [r[0] for r in df.select(jsonmaps.stable_leaves(F.col("j"))).collect()]
+    assert [tuple(x) for x in got[0]] == [("a.d.e.f.g", "1.50"), ("b.0", "1"), ("b.1.c", None)]
+    assert [tuple(x) for x in got[1]] == [("a." * 60 + "x", "1")] and got[2] is None and got[3] is None
