@@ -66,7 +66,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_CO
 
     Null texts have size 0; null sources form one source, null ids order first;
     repeated rows are sampled once each; an empty table gives no rows; a source
-    of size 0 has target 0.  Other columns may have any names.
+    of size 0 has target 0; a very long text counts with its whole size.  Other
+    columns may have any names.
     """
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),

@@ -131,7 +131,10 @@ def count_with_edits(docs: DataFrame, text_col: str = "text", edits_col: str = "
     """(doc_id, n_pretokens, n_tokens, n_tokens_edited, n_chars_edited, n_reencoded) of every row.
 
     `edits` is array<struct<at, remove, insert>>, applied in order; places past
-    the end mean the end; null edits are none; a null text is empty.
+    the end mean the end; null edits are none; a null text is empty; a null id
+    stays.  Repeated rows are counted each; an empty table gives no rows; a very
+    long text is one tree; extra columns are ignored.  Texts are plain: the
+    characters of a special token's name are counted as any others.
     """
     names = ["doc_id", "n_pretokens", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_reencoded"]
 
