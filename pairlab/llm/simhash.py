@@ -27,7 +27,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged, table
@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
 # ---- similarity joins: exact sets of shingle hashes, for thresholds beyond a few bits of 64
 
 #: Share of the hash space whose shingles are counted, the count from which one is common, and how many of the commonest are told to the tasks.
-COUNTED, COMMON, MOST_COMMON = 0.3, 8, 1 << 17
+COUNTED, COMMON, MOST_COMMON = 0.4, 8, 1 << 17
 _VOCABULARY = 1 << 20
 #: Size of the filter that keeps sets of unlinked texts out of the verification, as a power of two.
 _BITS = 23
@@ -291,13 +291,18 @@ def _alike(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: flo
     return sized.filter(F.col("m") / (F.col("n") - F.col("m")) >= similarity).select("a", "b")
 
 
-def _open_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs inside buckets whose members are not in one component yet."""
+def _of_size(n: str, m: str, similarity: float) -> Column:
+    """Whether sets of these sizes can be that similar."""
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+
+
+def _open_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs inside buckets whose members are not in one component yet, of sizes that can be similar."""
     labelled = shared.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     bucket = Window.partitionBy("v")
-    split = staged(labelled.select("v", "k", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).filter("lo <> hi").select("v", "k", "root"))
-    other = split.select("v", F.col("k").alias("b"), F.col("root").alias("other"))
-    return split.join(other, "v").filter("k < b AND root <> other").select(F.col("k").alias("a"), "b").distinct()
+    split = staged(labelled.select("v", "k", "n", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).filter("lo <> hi").select("v", "k", "n", "root"))
+    other = split.select("v", F.col("k").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    return split.join(other, "v").filter((F.col("k") < F.col("b")) & (F.col("root") != F.col("other")) & _of_size("n", "m", similarity)).select(F.col("k").alias("a"), "b").distinct()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,15 +337,15 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     rows = staged(_each_text(texts, "doc_id bigint, h bigint, k bigint", keyed, 2))
     told = _each_text(texts, "doc_id bigint, k bigint, n int, bits array<bigint>, vs array<bigint>", described)
     nodes = staged(told.groupBy("k").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("vs").alias("vs")))
-    members, nodes = nodes.select("k", F.explode("vs").alias("v")), nodes.drop("vs")
+    members, nodes = nodes.select("k", "n", F.explode("vs").alias("v")), nodes.drop("vs")
     bucket = Window.partitionBy("v")
-    centre = F.min(F.struct(F.xxhash64("k").alias("h"), "k")).over(bucket)["k"]
-    shared = staged(members.withColumns({"o": centre, "c": F.count("*").over(bucket)}).filter("c > 1").select("v", "k", "o"))
-    star = shared.filter("k <> o").select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
+    centre = F.min(F.struct(F.xxhash64("k").alias("h"), "k", "n")).over(bucket)
+    shared = staged(members.withColumns({"o": centre, "c": F.count("*").over(bucket)}).filter("c > 1").select("v", "k", "n", F.col("o.k").alias("o"), F.col("o.n").alias("m")))
+    star = shared.filter((F.col("k") != F.col("o")) & _of_size("n", "m", similarity)).select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
     likely = staged(_likely(star, nodes, similarity))
     linked = staged(_alike(likely, texts, nodes, similarity, shingle))
     roots = components(linked)
-    rest = staged(_likely(_open_pairs(shared.select("v", "k"), roots), nodes, similarity).join(likely, ["a", "b"], "left_anti"))
+    rest = staged(_likely(_open_pairs(shared.select("v", "k", "n"), roots, similarity), nodes, similarity).join(likely, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         roots = components(linked.union(staged(_alike(rest, texts, nodes, similarity, shingle))))
     named = nodes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
