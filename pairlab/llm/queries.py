@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import op5_chat_formatting
 from .language import op7_language_id
 from .linededup import OP1_SQL, op1_line_dedup
+from .manifest import OP13_SQL, op13_merkle_manifest
 from .mixing import OP4_SQL, op4_source_mixing
 from .packing import op2_best_fit_packing
 from .prefixhash import op8_document_fingerprints
@@ -26,6 +27,7 @@ QUERIES = {
         op8_document_fingerprints,
         op9_quality_rules,
         op10_token_counts,
+        op13_merkle_manifest,
     )
 }
-SQL = {"op1_line_dedup": OP1_SQL, "op4_source_mixing": OP4_SQL, "op9_quality_rules": OP9_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_source_mixing": OP4_SQL, "op9_quality_rules": OP9_SQL, "op13_merkle_manifest": OP13_SQL}
