@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .audit import OP11_SQL, op11_filter_audit
 from .chat import op5_chat_formatting
+from .extraction import OP12_SQL, op12_html_extraction
 from .language import op7_language_id
 from .linededup import OP1_SQL, op1_line_dedup
 from .manifest import OP13_SQL, op13_merkle_manifest
@@ -29,7 +30,8 @@ QUERIES = {
         op9_quality_rules,
         op10_token_counts,
         op11_filter_audit,
+        op12_html_extraction,
         op13_merkle_manifest,
     )
 }
-SQL = {"op1_line_dedup": OP1_SQL, "op4_source_mixing": OP4_SQL, "op9_quality_rules": OP9_SQL, "op11_filter_audit": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
+SQL = {"op1_line_dedup": OP1_SQL, "op4_source_mixing": OP4_SQL, "op9_quality_rules": OP9_SQL, "op11_filter_audit": OP11_SQL, "op12_html_extraction": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
