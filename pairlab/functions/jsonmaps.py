@@ -1,64 +1,30 @@
-"""JSON documents as maps."""
+"""JSON documents as maps of typed values (P18, O6); documents as rows of leaves are in `operators.documents`."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Keys that differ between equal runs.
 VOLATILE_SUFFIX, VOLATILE_KEYS = "_ms", ("timestamp", "created_at_utc", "temporary_path", "pid", "process_id")
 
 
-def flat_map(text: Column) -> Column:
-    return F.from_json(text, "map<string,string>")
+def fields_of(v: Column) -> Column:
+    """The fields of a variant object as map<string, variant>; null for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def stable_map(text: Column, suffix: str = VOLATILE_SUFFIX, keys: tuple[str, ...] = VOLATILE_KEYS) -> Column:
-    """The top-level fields without volatile ones; nested values stay as text."""
-    return F.map_filter(flat_map(text), lambda k, v: ~F.endswith(k, F.lit(suffix)) & ~k.isin(*keys))
-
-
-def _leaves():
-    """The walk as an Arrow-batched function: column functions have no recursion.  All its parts are nested, so workers need no import of this package."""
-
-    def walk(node, path, out):
-        if isinstance(node, dict | list):
-            for name, child in node.items() if isinstance(node, dict) else enumerate(node):
-                walk(child, f"{path}.{name}" if path else str(name), out)
-        else:
-            out.append((path, node if node is None or isinstance(node, str) else str(node).lower()))
-
-    def one(text):
-        import json
-
-        out: list[tuple[str, str | None]] = []
-        try:
-            walk(json.loads(text, parse_float=str, parse_int=str), "", out)
-        except (TypeError, ValueError, RecursionError):
-            return None
-        return [{"path": p, "value": v} for p, v in sorted(out, key=lambda x: x[0])]
+def is_stable(name: Column, suffix: str = VOLATILE_SUFFIX, keys: tuple[str, ...] = VOLATILE_KEYS) -> Column:
+    """Whether a field of that exact name is the same in equal runs."""
+    return ~F.endswith(name, F.lit(suffix)) & ~name.isin(*keys)
 
-    leaf = T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])
 
-    def leaves(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return F.pandas_udf(leaves, T.ArrayType(leaf))
-
-
-def leaf_paths(text: Column) -> Column:
-    """array<struct<path, value>> of every scalar leaf of nested objects and arrays at any depth, in path order; null for no JSON."""
-    return _leaves()(text)
-
-
-def stable_leaves(text: Column, suffix: str = VOLATILE_SUFFIX, keys: tuple[str, ...] = VOLATILE_KEYS) -> Column:
-    """Leaf paths none of whose names is volatile."""
-    names = "(^|\\.)(" + "|".join(keys) + ")(\\.|$)"
-    return F.filter(leaf_paths(text), lambda e: ~e["path"].rlike(names) & ~e["path"].rlike(suffix + "(\\.|$)"))
+def stable_map(text: Column, suffix: str = VOLATILE_SUFFIX, keys: tuple[str, ...] = VOLATILE_KEYS) -> Column:
+    """The top-level fields without volatile ones, values as variants: types, digits and nesting stay."""
+    return F.map_filter(fields_of(F.try_parse_json(text)), lambda k, v: is_stable(k, suffix, keys))
 
 
 def sorted_json(m: Column) -> Column:
-    """A map as JSON text with sorted keys."""
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+    """A map as JSON text with sorted keys, at every depth of variant values; null values are kept."""
+    keys = F.array_sort(F.map_keys(m))
+    return F.to_json(F.map_from_arrays(keys, F.transform(keys, lambda k: m[k])), {"ignoreNullFields": "false"})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.digests import is_sha256
+from ..functions.jsonmaps import fields_of
 from ..functions.numbers import finite, json_object
 from .records import under_root
 from .scoring import FAIL_A, FAIL_COMPARE, OK, STATUSES
@@ -146,11 +147,11 @@ def allowed_values(rows: DataFrame, allowed: DataFrame, keys: list[str]) -> Data
 
 def document_faults(items: DataFrame, key: str, exact: list[str], types: dict[str, str], truths: dict[str, Column], document: str = "document") -> DataFrame:
     """(key, rule) of JSON documents: exact keys, field types (SQL names as of schema_of_variant), derived truths."""
-    v = items.withColumn("_v", json_object(F.col(document))).withColumn("_k", F.json_object_keys(document))
+    v = items.withColumn("_v", json_object(F.col(document))).withColumns({"_k": F.json_object_keys(document), "_m": fields_of(F.col("_v"))})
     wanted = F.array(*[F.lit(k) for k in sorted(exact)])
     rules = {"not_an_object": F.col("_v").isNull(), "keys": ~F.array_sort("_k").eqNullSafe(wanted)}
     for name, kind in types.items():
-        rules[f"type:{name}"] = ~F.coalesce(F.schema_of_variant(F.try_variant_get("_v", f"$.{name}", "variant")).rlike(f"^{kind}"), F.lit(False))
+        rules[f"type:{name}"] = ~F.coalesce(F.schema_of_variant(F.col("_m")[name]).rlike(f"^{kind}"), F.lit(False))
     rules |= {f"truth:{n}": ~F.coalesce(t, F.lit(False)) for n, t in truths.items()}
     return row_faults(v, key, rules)
 

@@ -27,25 +27,6 @@ def row_diff(expected: DataFrame, actual: DataFrame, key: list[str], columns: li
     return j.select(*key, F.explode(F.filter(F.array(one, *cells), lambda x: x.isNotNull())).alias("d")).select(*key, "d.*")
 
 
-def document_diff(expected: DataFrame, actual: DataFrame, key: list[str], document: str, columns: list[str] = ()) -> DataFrame:
-    """(key, field, expected, actual): rows of one side alone (field `row`), differing identity and outcome
-    columns, and fields of the JSON documents over the union of their keys, volatile ones left out; numbers compare as numbers."""
-    side = lambda df, n: df.select(*key, F.lit(True).alias(f"{n}_in"), F.struct(F.lit(0), *columns).alias(n), stable_map(F.col(document)).alias(f"{n}_doc"))
-    j = side(expected, "_e").join(side(actual, "_a"), key, "full_outer")
-    both = F.col("_e_in").isNotNull() & F.col("_a_in").isNotNull()
-    there = lambda n: F.when(F.col(f"{n}_in").isNull(), "absent").otherwise("present")
-    cell = lambda field, e, a: F.struct(field.alias("field"), e.cast("string").alias("expected"), a.cast("string").alias("actual"))
-    rows = F.when(~both, F.array(cell(F.lit("row"), there("_e"), there("_a"))))
-    plain = F.filter(F.array(*[F.when(~F.col(f"_e.{c}").eqNullSafe(F.col(f"_a.{c}")), cell(F.lit(c), F.col(f"_e.{c}"), F.col(f"_a.{c}"))) for c in columns]), lambda x: x.isNotNull()) if columns else None
-    none = F.array().cast("array<string>")
-    names = F.array_union(F.coalesce(F.map_keys("_e_doc"), none), F.coalesce(F.map_keys("_a_doc"), none))
-    number = lambda c: c.try_cast("double")
-    same = lambda x: x["expected"].eqNullSafe(x["actual"]) | F.coalesce(number(x["expected"]) == number(x["actual"]), F.lit(False))
-    fields = F.filter(F.transform(names, lambda n: cell(n, F.col("_e_doc")[n], F.col("_a_doc")[n])), lambda x: ~same(x))
-    found = F.coalesce(rows, fields if plain is None else F.concat(plain, fields))
-    return j.select(*key, F.explode(found).alias("d")).select(*key, "d.*")
-
-
 def three_way(oracle: DataFrame, a: DataFrame, b: DataFrame, key: list[str], columns: list[str], declared: list[str] = ()) -> DataFrame:
     """D3: cells where oracle ≠ a, or a ≠ b; columns declared to differ count in the second comparison only."""
     first = row_diff(oracle, a, key, [c for c in columns if c not in declared]).withColumn("comparison", F.lit("oracle_a"))

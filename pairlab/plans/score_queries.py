@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import digests, geometry, jsonmaps, numbers, scores, vectors
-from ..operators import affine, aggregates, contract, matching, orientation, parity, sampling, scoring, screening
+from ..operators import affine, aggregates, contract, documents, matching, orientation, parity, sampling, scoring, screening
 from .jobs import screening_report
 from .records_queries import t
 
@@ -118,18 +118,29 @@ def json_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return plain.join(aggregates.five_numbers(out, ["event_type"], {"k": F.col("k")}), "event_type")
 
 
-@query("""
+_NESTED = ("CASE WHEN user_id % 2 = 0 THEN 'a.b[0].more=\"x\";' ELSE '' END", "'a.b[0].c.d=' || user_id || ';'")
+
+
+@query(f"""
 WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k, user_id FROM events)
-SELECT event_id, '{"k":"' || k || '"}' AS stable, CASE WHEN user_id % 2 = 0 THEN 4 ELSE 3 END::bigint AS n_leaves, 'a.b.0.c.d:' || user_id AS first_leaf FROM e
+SELECT event_id, '{{"big":' || (9007199254740993 + event_id) || ',"k":' || k || ',"s":"' || k || '"}}' AS stable,
+       '["c.d"]=1;["x.pid"]=7;' || {_NESTED[1]} || {_NESTED[0]} || 'a.u=' || user_id || ';big=' || (9007199254740993 + event_id) || ';c.d=2;e={{}};k=' || k || ';l=[];t={{}};y=true;z="true"' AS leaves FROM e
 """)
 def drop_volatile(spark: SparkSession, sf: str) -> DataFrame:
-    """Props with planted volatile keys, flat and five levels deep, inside an array."""
-    e = t(spark, sf, "events").select("event_id", "user_id", F.from_json("props", "map<string,bigint>").alias("p"))
-    flat = F.to_json(F.map_concat("p", F.create_map(F.lit("detector_time_ms"), F.col("event_id"), F.lit("pid"), F.col("user_id"))))
+    """Documents with planted volatile keys, flat and five levels deep, inside an array; keys with dots,
+    empty containers, integers beyond 2^53, and values that differ in type only."""
+    big = F.lit(9007199254740993) + F.col("event_id")
+    e = t(spark, sf, "events").select("event_id", "user_id", F.from_json("props", "map<string,bigint>")["k"].alias("k"), big.alias("big"))
+    flat = F.to_json(F.struct(F.col("k").cast("string").alias("s"), "k", "big", F.col("event_id").alias("detector_time_ms"), F.col("user_id").alias("pid")))
     deep = F.struct(F.struct(F.col("user_id").alias("d"), F.lit(2.5).alias("deep_ms")).alias("c"), F.when(F.col("user_id") % 2 == 0, "x").alias("more"))  # null fields are left out
-    nested = F.to_json(F.struct(F.col("p")["k"].alias("k"), F.struct(F.array(deep).alias("b"), F.col("user_id").alias("u"), F.lit(1.5).alias("wall_ms")).alias("a"), F.lit("now").alias("timestamp")))
-    leaves = jsonmaps.stable_leaves(F.col("nested"))
-    return e.select("event_id", flat.alias("flat"), nested.alias("nested")).select("event_id", jsonmaps.sorted_json(jsonmaps.stable_map(F.col("flat"))).alias("stable"), F.size(leaves).cast("bigint").alias("n_leaves"), F.concat_ws(":", leaves[0]["path"], leaves[0]["value"]).alias("first_leaf"))
+    inner = F.struct(F.array(deep).alias("b"), F.col("user_id").alias("u"), F.lit(1.5).alias("wall_ms"))
+    nested = F.to_json(F.struct("k", "big", inner.alias("a"), F.lit("now").alias("timestamp"), F.lit(7).alias("x.pid"), F.lit(1).alias("c.d"), F.struct(F.lit(2).alias("d")).alias("c"), F.lit(True).alias("y"), F.lit("true").alias("z")))
+    nested = F.concat(F.lit('{"e": {}, "l": [], "t": {"run_ms": 3, "pid": 4}, '), F.substring(nested, 2, 1 << 20))
+    e = e.select("event_id", flat.alias("flat"), nested.alias("nested"))
+    found = documents.leaves(e, ["event_id"], "nested")
+    text = F.concat_ws("=", documents.path_text(F.col("path")), "value")
+    leaves = found.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list(text)), ";").alias("leaves"))
+    return e.select("event_id", jsonmaps.sorted_json(jsonmaps.stable_map(F.col("flat"))).alias("stable")).join(leaves, "event_id")
 
 
 # ---- screening: score n_chars, genuine is quality 1, group lang
@@ -379,23 +390,32 @@ def parity_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT * FROM events WHERE event_id % 101 <> 0 AND event_id % 103 <> 0)
-SELECT event_id, 'k' AS field, json_extract_string(props, '$.k') AS expected, (json_extract_string(props, '$.k')::bigint + 1)::varchar AS actual FROM b WHERE event_id % 7 = 0
+WITH b AS (SELECT *, json_extract_string(props, '$.k') AS k FROM events WHERE event_id % 101 <> 0 AND event_id % 103 <> 0)
+SELECT event_id, 'k' AS field, k AS expected, (k::bigint + 1)::varchar AS actual FROM b WHERE event_id % 7 = 0
 UNION ALL SELECT event_id, 'extra', NULL, 'true' FROM b WHERE event_id % 11 = 0
 UNION ALL SELECT event_id, 'event_type', event_type, upper(event_type) FROM b WHERE event_id % 13 = 0
+UNION ALL SELECT event_id, 'big', '9007199254740993', '9007199254740992' FROM b WHERE event_id % 17 = 0
+UNION ALL SELECT event_id, 'in.t', 'true', '"true"' FROM b WHERE event_id % 19 = 0
+UNION ALL SELECT event_id, 'in.s[1]', '"1"', '1' FROM b WHERE event_id % 19 = 0
+UNION ALL SELECT event_id, '["in.t"]', '5', '6' FROM b WHERE event_id % 23 = 0
+UNION ALL SELECT event_id, 'in.e', '{}', '[]' FROM b WHERE event_id % 29 = 0
 UNION ALL SELECT event_id, 'row', 'present', 'absent' FROM events WHERE event_id % 101 = 0 AND event_id % 103 <> 0
 UNION ALL SELECT event_id, 'row', 'absent', 'present' FROM events WHERE event_id % 101 <> 0 AND event_id % 103 = 0
 """)
 def document_diff(spark: SparkSession, sf: str) -> DataFrame:
-    """JSON documents with a changed number, an added key, a number in other form, volatile keys, a changed column, and rows of one side."""
-    e = t(spark, sf, "events").select("event_id", "event_type", "props")
-    k = F.col("event_id")
-    m = F.from_json("props", "map<string,bigint>")["k"]
-    number = F.when(k % 7 == 0, (m + 1).cast("string")).when(k % 5 == 0, F.concat(m.cast("string"), F.lit(".0"))).otherwise(m.cast("string"))
-    extra = F.when(k % 11 == 0, F.lit(', "extra": true')).otherwise(F.lit(""))
-    kind = F.when(k % 13 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
-    actual = e.select("event_id", kind.alias("event_type"), F.concat(F.lit('{"k": '), number, F.lit(', "wall_ms": 1.25'), extra, F.lit("}")).alias("props"))
-    return parity.document_diff(e.filter(k % 103 != 0), actual.filter(k % 101 != 0), ["event_id"], "props", ["event_type"])
+    """JSON documents with a changed number, an added key, a number in other form, volatile keys, a changed column, rows of one
+    side, and, inside nested objects too, other types, integers beyond 2^53, keys with dots and empty containers."""
+    e = t(spark, sf, "events").select("event_id", "event_type", F.from_json("props", "map<string,bigint>")["k"].alias("k"))
+    i, k = F.col("event_id"), F.col("k")
+    number = F.when(i % 7 == 0, (k + 1).cast("string")).when(i % 5 == 0, F.concat(k.cast("string"), F.lit(".0"))).when(i % 3 == 0, F.concat(k.cast("string"), F.lit("e0"))).otherwise(k.cast("string"))
+    pick = lambda n, new, old: F.when(i % n == 0, new).otherwise(old)
+    kind = F.when(i % 13 == 0, F.upper("event_type")).otherwise(F.col("event_type"))
+    document = lambda n, big, t, s, dotted, empty, more: F.concat(F.lit('{"in": {"pid": '), i, F.lit(', "t": '), t, F.lit(', "e": '), empty, F.lit(', "s": [{"a_ms": '), i, F.lit("}, "), s, F.lit(']}, "in.t": '), dotted, F.lit(', "big": '), big, F.lit(', "k": '), n, more, F.lit("}"))
+    old = document(k.cast("string"), F.lit("9007199254740993"), F.lit("true"), F.lit('"1"'), F.lit("5"), F.lit("{}"), F.lit(""))
+    extra = F.when(i % 11 == 0, F.lit(', "extra": true')).otherwise(F.lit(""))
+    new = document(number, pick(17, "9007199254740992", "9007199254740993"), pick(19, '"true"', "true"), pick(19, "1", '"1"'), pick(23, "6", "5"), pick(29, "[]", "{}"), F.concat(F.lit(', "wall_ms": 1.25'), extra))
+    actual = e.select("event_id", kind.alias("event_type"), new.alias("props"))
+    return documents.document_diff(e.filter(i % 103 != 0).withColumn("props", old), actual.filter(i % 101 != 0), ["event_id"], "props", ["event_type"])
 
 
 @query(f"""

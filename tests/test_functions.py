@@ -37,8 +37,9 @@ def test_json(spark):
     r = one(spark, a=v('{"a": {"b": 2.5}}').isNotNull(), b=v("[1]").isNotNull(), c=v("{bad").isNotNull(), n=numbers.json_number(v('{"a": {"b": 2.5}}'), "$.a.b"), t=numbers.json_number(v('{"a": "2"}'), "$.a"), f=numbers.json_number(v('{"a": true}'), "$.a"))
     assert tuple(r) == (True, False, False, 2.5, None, None)
     doc = '{"b": 1, "a": {"x": 2, "run_ms": 3}, "wall_ms": 4, "pid": 5}'
-    r = one(spark, s=jsonmaps.sorted_json(jsonmaps.stable_map(F.lit(doc))), p=F.transform(jsonmaps.stable_leaves(F.lit(doc)), lambda e: e["path"]))
-    assert r["p"] == ["a.x", "b"] and "wall_ms" not in r["s"] and "pid" not in r["s"]
+    assert one(spark, s=jsonmaps.sorted_json(jsonmaps.stable_map(F.lit(doc))))["s"] == '{"a":{"run_ms":3,"x":2},"b":1}'
+    typed = '{"z": null, "t": true, "s": "1", "d": 1.50, "n": 9007199254740993, "e": {}, "x.pid": []}'
+    assert one(spark, s=jsonmaps.sorted_json(jsonmaps.stable_map(F.lit(typed))))["s"] == '{"d":1.5,"e":{},"n":9007199254740993,"s":"1","t":true,"x.pid":[],"z":null}'
 
 
 @pytest.mark.parametrize("x", [0.0, 1.0, 123.456, 1234567.891, 0.00012345, 2.5])

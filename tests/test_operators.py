@@ -5,8 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairlab.functions import jsonmaps
-from pairlab.operators import affine, aggregates, cohort, contract, matching, orientation, pairs, parity, records, sampling, scoring, screening
+from pairlab.operators import affine, aggregates, cohort, contract, documents, matching, orientation, pairs, parity, records, sampling, scoring, screening
 
 from .helpers import rows_of
 
@@ -212,7 +211,7 @@ def test_parity(spark):
     b = frame(spark, [(1, "x", '{"n": 2, "t_ms": 9}'), (2, None, "{}"), (4, "q", "{}")], "id int, v string, d string")
     oa, ob = (parity.outcome(x, ["id"], ["v"], ["d"]) for x in (a, b))
     assert sorted((r["id"], r["field"]) for r in parity.row_diff(oa, ob, ["id"], ["v", "d"]).collect()) == [(1, "d"), (2, "v"), (3, "row"), (4, "row")]
-    assert rows_of(parity.document_diff(a, b, ["id"], "d"), ["id", "field"]) == [(1, "n"), (3, "row"), (4, "row")]
+    assert rows_of(documents.document_diff(a, b, ["id"], "d"), ["id", "field"]) == [(1, "n"), (3, "row"), (4, "row")]
     assert parity.row_diff(oa, oa.repartition(3), ["id"], ["v", "d"]).count() == 0
 
 
@@ -293,9 +292,51 @@ def test_short_strata_are_refused_on_demand(spark):
         cohort.select_cohort(df, ["s"], 5, "v", "1", whole=True)
 
 
-def test_leaf_paths_go_to_any_depth(spark):
-    deep = '{"a":' * 60 + '{"x": 1, "pid": 2}' + "}" * 60
-    df = frame(spark, [('{"b": [1, {"c": null, "t_ms": 3}], "a": {"d": {"e": {"f": {"g": 1.50}}}}}',), (deep,), ("[1",), (None,)], "j string")
-    got = [r[0] for r in df.select(jsonmaps.stable_leaves(F.col("j"))).collect()]
-    assert [tuple(x) for x in got[0]] == [("a.d.e.f.g", "1.50"), ("b.0", "1"), ("b.1.c", None)]
-    assert [tuple(x) for x in got[1]] == [("a." * 60 + "x", "1")] and got[2] is None and got[3] is None
+def leaves_of(spark, *docs, **kw):
+    df = frame(spark, list(enumerate(docs)), "id int, j string")
+    out = {i: [] for i in range(len(docs))}
+    for r in documents.leaves(df, ["id"], "j", **kw).select("id", documents.path_text(F.col("path")).alias("p"), "value").collect():
+        out[r["id"]].append((r["p"], r["value"]))
+    return [sorted(x) for x in out.values()]
+
+
+def test_leaves_go_to_any_depth(spark):
+    deep = '{"a":' * 30 + '{"x": 1, "pid": 2}' + "}" * 30
+    got = leaves_of(spark, '{"b": [1, {"c": null, "t_ms": 3}], "a": {"d": {"e": {"f": {"g": 1.50}}}}}', deep, "[1", None, " ", "7", '[[], {"pid": 1}]')
+    assert got[0] == [("a.d.e.f.g", "1.5"), ("b[0]", "1"), ("b[1].c", "null")]
+    assert got[1] == [("a." * 30 + "x", "1")] and got[2] == [("", "malformed:[1")]
+    assert got[3] == got[4] == [("", "{}")] and got[5] == [("", "7")] and got[6] == [("[0]", "[]"), ("[1]", "{}")]
+
+
+def test_leaves_keep_types_digits_and_names(spark):
+    doc = r'{"k": 9007199254740993, "t": true, "s": "tr\"ue]", "c.d": 1, "c": {"d": 2, "0": [5]}, "x.pid": {"y": {}}, "": 1e2, "p": {"a_ms": 1}, "h": 1e-3, "i": 0.1}'
+    assert leaves_of(spark, doc)[0] == sorted(
+        [("k", "9007199254740993"), ("t", "true"), ("s", r'"tr\"ue]"'), ('["c.d"]', "1"), ("c.d", "2"), ('c["0"][0]', "5"), ('["x.pid"].y', "{}"), ('[""]', "100"), ("p", "{}"), ("h", "0.001"), ("i", "0.1")]
+    )
+
+
+def test_nesting_ignores_strings(spark):
+    texts = ['{"a": "[[[", "b\\"{": [1]}', "[]", "1", '"{"', "[" * 9 + "]" * 9]
+    assert [r[0] for r in frame(spark, [(x,) for x in texts], "t string").select(documents.nesting(F.col("t"))).collect()] == [2, 1, 0, 0, 9]
+
+
+def test_documents_differ_by_type_and_digit(spark):
+    """Every planted difference is found once, and equal numbers in other forms are none."""
+    a = frame(spark, [(1, '{"k":9007199254740993,"t":true,"s":"1"}', "x"), (2, '{"c.d":1,"c":{"d":2},"x.pid":1}', "x"), (3, '{"a":{},"b":[]}', "x"), (4, '{"n":[1,2.0,1e2]}', None)], "id int, d string, v string")
+    b = frame(spark, [(1, '{"k":9007199254740992,"t":"true","s":1}', "x"), (2, '{"c.d":2,"c":{"d":2},"x.pid":2}', "y"), (3, '{"b":{},"p_ms":1}', "x"), (4, '{"n":[1.0,2,100]}', None)], "id int, d string, v string")
+    got = documents.document_diff(a, b, ["id"], "d", ["v"]).collect()
+    assert sorted(((r["id"], r["field"], r["expected"], r["actual"]) for r in got), key=repr) == [
+        (1, "k", "9007199254740993", "9007199254740992"),
+        (1, "s", '"1"', "1"),
+        (1, "t", "true", '"true"'),
+        (2, '["c.d"]', "1", "2"),
+        (2, '["x.pid"]', "1", "2"),
+        (2, "v", "x", "y"),
+        (3, "a", "{}", None),
+        (3, "b", "[]", "{}"),
+    ]
+
+
+def test_documents_need_no_python(spark):
+    plan = documents.leaves(frame(spark, [(1, '{"a": [1]}')], "id int, j string"), ["id"], "j")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange") == 0
