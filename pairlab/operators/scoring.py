@@ -2,7 +2,7 @@
 
 A method is an adapter with two column functions: `prepare` describes a capture
 by a struct<payload, error, …>, `compare` scores two payloads by a
-struct<score, error>.  Captures are prepared once, whatever the number of pairs
+struct<score, error>; both may report messages, diagnostics and times.  Captures are prepared once, whatever the number of pairs
 they stand in; failures are rows with a stage, never exceptions.
 """
 
@@ -58,7 +58,7 @@ class DotProduct:
         if self.first:
             a, b = F.slice(a, 1, self.first), F.slice(b, 1, self.first)
         s = two_branch_score(a, b, self.length // 2) if self.halves else dot(a, b)
-        return F.struct(F.when(finite(s), s).alias("score"), F.when(~finite(s), "non_finite_score").alias("error"))
+        return F.struct(F.when(finite(s), s).alias("score"), F.when(~finite(s), "non_finite_raw_score").alias("error"))
 
 
 def authorised(prepared: DataFrame, method: Method) -> DataFrame:
@@ -68,43 +68,70 @@ def authorised(prepared: DataFrame, method: Method) -> DataFrame:
     return prepared.select("capture", F.when(error.isNull(), F.col("payload")).alias("payload"), error.alias("error"))
 
 
-def _timed(ms: Column) -> Column:
-    """A reported time that is not finite or is negative is an error of its stage."""
-    return F.when(ms.isNotNull() & (~F.coalesce(finite(ms), F.lit(False)) | (ms < 0)), "bad_timing")
+# Codes of failures that the job itself finds.
+BAD_TIMING, NON_FINITE, MISSING = "invalid_method_timing", "non_finite_raw_score", "missing_capture"
+MESSAGES = {BAD_TIMING: "a reported time is not finite or is negative", NON_FINITE: "the score is not finite", MISSING: "the capture is not in the table"}
+#: What a stage reports besides its result; every field is optional.
+REPORTED = {"message": "string", "diagnostics": "string", "ms": "double", "wall_ms": "double"}
+
+
+def _valid(ms: Column) -> Column:
+    return F.coalesce(finite(ms) & (ms >= 0), F.lit(False))
+
+
+def _stage(field, error: Column) -> Column:
+    """What a stage that ran leaves in a row.
+
+    A refused own time is not kept and fails the stage; the wall time is the one
+    reported, else the own one, else zero; diagnostics are an object, empty if
+    none are given.
+    """
+    ms, wall = field("ms"), field("wall_ms")
+    code = F.coalesce(error, F.when((ms.isNotNull() & ~_valid(ms)) | (wall.isNotNull() & ~_valid(wall)), BAD_TIMING))
+    own = F.when(_valid(ms), ms)
+    said = F.when(F.trim(field("message")) != "", field("message"))
+    message = F.coalesce(said, F.create_map(*[F.lit(x) for kv in MESSAGES.items() for x in kv])[code], code)
+    return F.struct(code.alias("code"), F.when(code.isNotNull(), message).alias("message"), F.coalesce(F.when(_valid(wall), wall), own, F.lit(0.0)).alias("wall"), own.alias("own"), F.coalesce(field("diagnostics"), F.lit("{}")).alias("diagnostics"))
 
 
 def run_pairs(pairs: DataFrame, captures: DataFrame, method: Method, constants: dict[str, str] | None = None) -> DataFrame:
-    """Pairs (…, capture_a, capture_b) → status, raw_score, error_code, times, and the run constants.
+    """Pairs (…, capture_a, capture_b) → result rows that hold the contract's row rules, and the run constants.
 
-    Times are those that the method reports (a column `ms` of `prepare`, a field
-    `ms` of `compare`), null for stages that did not run; total_ms is their sum.
+    `prepare` and `compare` may report a message, diagnostics (JSON text), the
+    method's own time `ms` and a `wall_ms` (columns of the one, fields of the
+    other).  A stage that did not run has neither times nor diagnostics;
+    total_ms is the sum of the stages that ran, each at the larger of its times.
     """
     prepared = method.prepare(captures)
-    if "ms" not in prepared.columns:
-        prepared = prepared.withColumn("ms", F.lit(None).cast("double"))
-    side = lambda s: prepared.select(F.col("capture").alias(f"capture_{s}"), F.col("payload").alias(f"_p{s}"), F.coalesce("error", _timed(F.col("ms"))).alias(f"_e{s}"), F.col("ms").alias(f"prepare_{s}_ms"), F.lit(True).alias(f"_k{s}"))
+    reported = lambda name: F.col(name) if name in prepared.columns else F.lit(None).cast(REPORTED[name])
+    described = prepared.select("capture", "payload", _stage(reported, F.col("error")).alias("s"))
+    side = lambda x: described.select(F.col("capture").alias(f"capture_{x}"), F.col("payload").alias(f"_p{x}"), F.col("s").alias(f"_{x}"))
     joined = pairs.join(side("a"), "capture_a", "left").join(side("b"), "capture_b", "left")
-    for s in "ab":
-        joined = joined.withColumn(f"_e{s}", F.when(F.col(f"_k{s}").isNull(), "missing_capture").otherwise(F.col(f"_e{s}")))
-    both = F.col("_ea").isNull() & F.col("_eb").isNull()
-    compared = joined.withColumn("_c", F.when(both, method.compare(F.col("_pa"), F.col("_pb"))))
-    times = "ms" in compared.schema["_c"].dataType.names
-    ms = F.col("_c.ms") if times else F.lit(None).cast("double")
-    compared = compared.withColumn("_c", F.when(both, F.struct("_c.score", F.coalesce("_c.error", _timed(ms)).alias("error"), ms.alias("ms"))))
-    status = F.when(F.col("_ea").isNotNull(), FAIL_A).when(F.col("_eb").isNotNull(), FAIL_B).when(F.col("_c.error").isNotNull() | F.col("_c.score").isNull(), FAIL_COMPARE).otherwise(OK)
-    out = compared.withColumn("status", status).withColumns({
-        "raw_score": F.when(F.col("status") == OK, F.col("_c.score")),
-        "error_code": F.coalesce("_ea", "_eb", "_c.error"),
-        "prepare_b_ms": F.when(F.col("status") != FAIL_A, F.col("prepare_b_ms")),
-        "compare_ms": F.when(both, F.col("_c.ms")),
-        "total_ms": reduce(lambda x, y: x + F.coalesce(y, F.lit(0.0)), [F.col("prepare_a_ms"), F.when(F.col("status") != FAIL_A, F.col("prepare_b_ms")), F.when(both, F.col("_c.ms"))], F.lit(0.0)),
-    }).drop("_pa", "_pb", "_ea", "_eb", "_ka", "_kb", "_c")
+    nothing = lambda name: F.lit(None).cast(REPORTED[name])
+    joined = joined.withColumns({f"_{x}": F.coalesce(f"_{x}", _stage(nothing, F.lit(MISSING))) for x in "ab"})
+    both = F.col("_a.code").isNull() & F.col("_b.code").isNull()
+    compared = joined.withColumn("_r", F.when(both, method.compare(F.col("_pa"), F.col("_pb"))))
+    given = compared.schema["_r"].dataType.names
+    field = lambda name: F.col(f"_r.{name}") if name in given else nothing(name)
+    score = F.col("_r.score")
+    error = F.coalesce(F.col("_r.error"), F.when(~F.coalesce(finite(score), F.lit(False)), NON_FINITE))
+    compared = compared.withColumn("_c", F.when(both, _stage(field, error)))
+    status = F.when(F.col("_a.code").isNotNull(), FAIL_A).when(F.col("_b.code").isNotNull(), FAIL_B).when(F.col("_c.code").isNotNull(), FAIL_COMPARE).otherwise(OK)
+    compared = compared.withColumn("status", status)
+    ran = {"a": F.lit(True), "b": F.col("status") != FAIL_A, "c": both}
+    names = {"a": "prepare_a", "b": "prepare_b", "c": "compare"}
+    of = lambda x, what: F.when(ran[x], F.col(f"_{x}.{what}"))
+    times = {f"{n}_ms": of(x, "wall") for x, n in names.items()} | {f"method_{n}_ms": of(x, "own") for x, n in names.items()} | {f"{n}_diagnostics": of(x, "diagnostics") for x, n in names.items()}
+    spent = [F.coalesce(F.when(ran[x], F.greatest(F.col(f"_{x}.wall"), F.col(f"_{x}.own"))), F.lit(0.0)) for x in names]
+    first = lambda what: F.coalesce(F.col(f"_a.{what}"), F.when(ran["b"], F.col(f"_b.{what}")), F.col(f"_c.{what}"))
+    out = compared.withColumns({"raw_score": F.when(F.col("status") == OK, score), **times, "total_ms": reduce(lambda x, y: x + y, spent), "error_code": first("code"), "error_message": first("message")})
+    out = out.drop("_pa", "_pb", "_a", "_b", "_c", "_r")
     return out.withColumns({k: F.lit(v) for k, v in (constants or {}).items()})
 
 
 @dataclass(frozen=True)
 class Timed:
-    """A method whose stages report times: `prepare_ms` over a capture's columns, `compare_ms` a constant or expression."""
+    """A method whose stages report own times: `prepare_ms` over a capture's columns, `compare_ms` a constant or expression."""
 
     method: Method
     prepare_ms: Column
@@ -113,9 +140,24 @@ class Timed:
     def prepare(self, captures: DataFrame) -> DataFrame:
         return self.method.prepare(captures).join(captures.select("capture", self.prepare_ms.cast("double").alias("ms")), "capture")
 
+    def compare(self, a: Column, b: Column) -> Column:
+        return self.method.compare(a, b).withField("ms", self.compare_ms.cast("double"))
+
+
+@dataclass(frozen=True)
+class Telling:
+    """A method that refuses some pairs (`refuse` gives a code over the pair's columns), with a message, and tells the payload's length."""
+
+    method: Method
+    refuse: Column
+
+    def prepare(self, captures: DataFrame) -> DataFrame:
+        return self.method.prepare(captures).withColumn("diagnostics", F.to_json(F.struct(F.size("payload").alias("length"))))
+
     def compare(self, a: Column, b: Column) -> Column:
         c = self.method.compare(a, b)
-        return F.struct(c["score"].alias("score"), c["error"].alias("error"), self.compare_ms.cast("double").alias("ms"))
+        error = F.coalesce(self.refuse, c["error"])
+        return F.struct(F.when(error.isNull(), c["score"]).alias("score"), error.alias("error"), F.concat(F.lit("method said: "), error).alias("message"), F.to_json(F.struct(F.size(a).alias("length"))).alias("diagnostics"))
 
 
 def run_filtered(pairs: DataFrame, captures: DataFrame, methods: dict[str, Method], wanted: DataFrame, manifest_faults: DataFrame, group: str) -> DataFrame:

@@ -183,22 +183,47 @@ def preflight_rules(spark: SparkSession, sf: str) -> DataFrame:
 _MS = "CASE WHEN {0} % 61 = 7 THEN -1.0 ELSE ({0} % 7) * 0.5 END::double"
 
 
-@query(f"""
+_TIMED_SQL = f"""
 WITH {PAIRS_SQL}, x AS (SELECT capture_a, capture_b, {_MS.format('capture_a')} AS ma, {_MS.format('capture_b')} AS mb FROM s),
-y AS (SELECT *, CASE WHEN ma < 0 THEN 'prepare_a_failure' WHEN mb < 0 THEN 'prepare_b_failure' WHEN capture_a % 41 = 3 THEN 'comparison_failure' ELSE 'ok' END AS status FROM x)
-SELECT capture_a, capture_b, status, CASE WHEN status <> 'ok' THEN 'bad_timing' END AS error_code, ma AS prepare_a_ms, CASE WHEN status <> 'prepare_a_failure' THEN mb END AS prepare_b_ms,
-       CASE WHEN status IN ('ok', 'comparison_failure') THEN CASE WHEN capture_a % 41 = 3 THEN 'infinity'::double ELSE 2.0 END END AS compare_ms,
-       ma + CASE WHEN status <> 'prepare_a_failure' THEN mb ELSE 0 END + CASE status WHEN 'ok' THEN 2.0 WHEN 'comparison_failure' THEN 'infinity'::double ELSE 0 END AS total_ms FROM y
-""")
-def timed_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Times of stages, null where a stage did not run; times that are not finite or negative fail their stage."""
+y AS (SELECT *, CASE WHEN ma < 0 THEN 'prepare_a_failure' WHEN mb < 0 THEN 'prepare_b_failure' WHEN capture_a % 41 = 3 OR capture_a % 37 = 5 THEN 'comparison_failure' ELSE 'ok' END AS status FROM x),
+z AS (SELECT capture_a, capture_b, status, CASE WHEN status = 'comparison_failure' AND capture_a % 37 = 5 THEN 'refused_pair' WHEN status <> 'ok' THEN 'invalid_method_timing' END AS error_code,
+      greatest(ma, 0) AS prepare_a_ms, CASE WHEN status <> 'prepare_a_failure' THEN greatest(mb, 0) END AS prepare_b_ms, CASE WHEN ma >= 0 THEN ma END AS method_prepare_a_ms,
+      CASE WHEN status <> 'prepare_a_failure' AND mb >= 0 THEN mb END AS method_prepare_b_ms, CASE WHEN status IN ('ok', 'comparison_failure') THEN CASE WHEN capture_a % 41 = 3 THEN 0.0 ELSE 2.0 END END AS compare_ms,
+      CASE WHEN status IN ('ok', 'comparison_failure') AND capture_a % 41 <> 3 THEN 2.0 END AS method_compare_ms FROM y)
+"""
+
+
+def timed_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Result rows of a method that reports times, some of them refused, refuses some pairs, and says how long vectors are."""
     v = t(spark, sf, "embeddings").select("vec_id", "label", "embedding")
     captures = v.select(F.col("vec_id").alias("capture"), F.col("embedding").alias("vector"))
-    c = F.col("capture")
+    c, a = F.col("capture"), F.col("capture_a")
     ms = F.when(c % 61 == 7, -1.0).otherwise((c % 7) * 0.5)
-    slow = F.when(F.col("capture_a") % 41 == 3, float("inf")).otherwise(2.0)
-    out = scoring.run_pairs(next_pairs(v), captures, scoring.Timed(scoring.DotProduct(64), ms, slow))
-    return out.select("capture_a", "capture_b", "status", "error_code", "prepare_a_ms", "prepare_b_ms", "compare_ms", "total_ms")
+    slow = F.when(a % 41 == 3, float("inf")).otherwise(2.0)
+    return scoring.run_pairs(next_pairs(v), captures, scoring.Timed(scoring.Telling(scoring.DotProduct(64), F.when(a % 37 == 5, "refused_pair")), ms, slow))
+
+
+@query(_TIMED_SQL + """
+SELECT capture_a, capture_b, status, error_code, prepare_a_ms, prepare_b_ms, method_prepare_a_ms, method_prepare_b_ms, compare_ms, method_compare_ms, prepare_a_ms + coalesce(prepare_b_ms, 0) + coalesce(compare_ms, 0) AS total_ms FROM z
+""")
+def timed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Times of stages, null where a stage did not run; times that are not finite or negative fail their stage and are not kept."""
+    stages = ("prepare_a", "prepare_b", "compare")
+    return timed_rows(spark, sf).select("capture_a", "capture_b", "status", "error_code", *[f"{p}{s}_ms" for s in stages for p in ("", "method_")], "total_ms")
+
+
+@query(_TIMED_SQL + """
+SELECT status, coalesce(error_code, '') AS error_code, CASE error_code WHEN 'refused_pair' THEN 'method said: refused_pair' WHEN 'invalid_method_timing' THEN 'a reported time is not finite or is negative' ELSE '' END AS error_message,
+       count(*) AS rows, count(method_compare_ms) AS compared, CASE WHEN status IN ('ok', 'comparison_failure') THEN '{"length":64}' ELSE '' END AS compare_diagnostics, 0::bigint AS faults, '' AS broken FROM z GROUP BY ALL
+""")
+def scored_run_holds(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of a scored run, by outcome, and the row rules that they break: none."""
+    rows = timed_rows(spark, sf)
+    faults = contract.row_faults(rows, "capture_a").groupBy("capture_a").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return rows.join(faults, "capture_a", "left").groupBy("status", text("error_code"), text("error_message"), text("compare_diagnostics")).agg(
+        F.count("*").alias("rows"), F.count("method_compare_ms").alias("compared"), F.coalesce(F.sum("n"), F.lit(0)).alias("faults"), F.coalesce(F.max("rules"), F.lit("")).alias("broken")
+    )
 
 
 @query(f"""

@@ -181,6 +181,24 @@ def test_scoring_stages(spark):
     assert scoring.run_matrix([frame(spark, [(1,), (2,)], "a int"), frame(spark, [("x",), ("y",)], "b string")], F.col("a") == 1).count() == 2
 
 
+def test_result_rows_hold_their_contract(spark):
+    """Every outcome, with and without reports: no row rule is broken, and what did not run leaves nothing."""
+    captures = frame(spark, [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0]), (4, [float("inf"), 1.0]), (5, [0.0, 1.0])], "capture int, vector array<double>")
+    p = frame(spark, [(1, 1, 2), (2, 3, 1), (3, 1, 3), (4, 1, 9), (5, 9, 1), (6, 4, 1), (7, 5, 1), (8, 2, 1)], "pair_id int, capture_a int, capture_b int")
+    a = F.col("capture_a")
+    plain = scoring.DotProduct(2)
+    told = scoring.Telling(plain, F.when(a == 5, "refused"))
+    for method in (plain, told, scoring.Timed(told, F.when(F.col("capture") == 2, -1.0).otherwise(0.25), F.lit(float("nan"))), scoring.Timed(plain, F.lit(0.5), F.lit(None))):
+        rows = scoring.run_pairs(p, captures, method)
+        assert contract.row_faults(rows, "pair_id").collect() == []
+        got = {r["pair_id"]: r for r in rows.collect()}
+        assert got[2]["prepare_b_ms"] is None and got[2]["compare_diagnostics"] is None and got[2]["error_message"]
+        assert got[5]["error_code"] == "missing_capture" and got[5]["prepare_a_diagnostics"] == "{}" or got[5]["status"] == "prepare_a_failure"
+    timed = {r["pair_id"]: r for r in scoring.run_pairs(p, captures, scoring.Timed(told, F.when(F.col("capture") == 2, -1.0).otherwise(0.25), F.lit(3.0))).collect()}
+    assert (timed[8]["status"], timed[8]["error_code"], timed[8]["method_prepare_a_ms"], timed[8]["total_ms"]) == ("prepare_a_failure", "invalid_method_timing", None, 0.0)
+    assert (timed[7]["status"], timed[7]["error_message"], timed[7]["total_ms"], timed[7]["compare_diagnostics"]) == ("comparison_failure", "method said: refused", 3.5, '{"length":2}')
+
+
 def test_constant_column_has_no_correlation(spark):
     df = frame(spark, [("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 1.0), ("c", 1.0, 2.0), ("c", 2.0, 4.0)], "g string, x double, y double")
     assert dict(rows_of(aggregates.pearson(df, "x", "y", ["g"]), ["g", "pearson"])) == {"a": None, "b": None, "c": 1.0}
