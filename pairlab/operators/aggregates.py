@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
-from .screening import range_prefix
+from .selection import summaries
 
-#: Codes that a histogram text lists by name.
+#: Codes that a histogram text lists at most.
 MOST_CODES = 1000
 
 
@@ -24,46 +24,19 @@ def totals(df: DataFrame, group: str, distinct: str) -> DataFrame:
     return sets.select(F.when(F.col("_g") == 1, "total").otherwise(F.col(group)).alias(group), "rows", "subjects")
 
 
-def quantiles(df: DataFrame, groups: list[str], metrics: dict[str, Column], interpolated: dict[str, float], ranked: dict[str, float] | None = None) -> DataFrame:
-    """Exact quantiles per group, columns `metric_suffix`: interpolated ones, and values at rank ceil(f·n).
-
-    Values become histograms per group and metric, which combine before the
-    shuffle, and ranks come from prefix sums over range partitions, so no task
-    holds a group's values.  Groups without any value have no row.
-    """
-    ranked = ranked or {}
-    cells = F.array(*[F.struct(F.lit(m).alias("_m"), x.cast("double").alias("_x")) for m, x in metrics.items()])
-    long = df.select(*groups, F.explode(cells).alias("_c")).select(*groups, "_c._m", "_c._x").filter("_x IS NOT NULL")
-    hist = long.groupBy(*groups, "_m", "_x").agg(F.count("*").alias("_n"))
-    keys = [*groups, "_m"]
-    sums = range_prefix(hist, keys, descending=False, key="_x", counts=("_n",))
-    met = sums.join(sums.groupBy(*keys).agg(F.max("_n_sum").alias("_all")), keys)
-    at = lambda rank: F.max(F.when((F.col("_n_sum") - F.col("_n") <= rank) & (rank < F.col("_n_sum")), F.col("_x")))
-    found = []
-    for i, f in enumerate(interpolated.values()):
-        h = F.lit(f) * (F.col("_all") - 1)
-        found += [at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}"), F.first(h - F.floor(h)).alias(f"_fr{i}")]
-    found += [at(F.greatest(F.ceil(F.lit(f) * F.col("_all") - 1e-9), F.lit(1)) - 1).alias(f"_at{i}") for i, f in enumerate(ranked.values())]
-    per = met.groupBy(*keys).agg(*found)
-    value = {s: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}") for i, s in enumerate(interpolated)} | {s: F.col(f"_at{i}") for i, s in enumerate(ranked)}
-    return per.groupBy(*groups).agg(*[F.max(F.when(F.col("_m") == m, v)).alias(f"{m}_{s}") for m in metrics for s, v in value.items()])
-
-
 def simple_summary(df: DataFrame, groups: list[str], metrics: dict[str, Column]) -> DataFrame:
     """Per group min, max, mean, median of each metric; null for no values."""
-    plain = [c for m, x in metrics.items() for c in (F.min(x).alias(f"{m}_min"), F.max(x).alias(f"{m}_max"), F.avg(x).alias(f"{m}_mean"))]
-    return df.groupBy(*groups).agg(*plain).join(quantiles(df, groups, metrics, {"median": 0.5}), groups, "left")
+    return summaries(df, groups, metrics, {"median": 0.5}, plain=("min", "max", "mean"))
 
 
 def nearest_rank(df: DataFrame, groups: list[str], metrics: dict[str, Column], fractions: dict[str, float]) -> DataFrame:
     """Per group the value at rank ceil(f·n) of each metric, exact."""
-    return quantiles(df, groups, metrics, {}, fractions)
+    return summaries(df, groups, metrics, {}, fractions, ())
 
 
-def five_numbers(df: DataFrame, groups: list[str], metrics: dict[str, Column]) -> DataFrame:
-    """Per group count, min, interpolated quartiles, max of each metric."""
-    plain = [c for m, x in metrics.items() for c in (F.count(x).alias(f"{m}_n"), F.min(x).alias(f"{m}_min"), F.max(x).alias(f"{m}_max"))]
-    return df.groupBy(*groups).agg(*plain).join(quantiles(df, groups, metrics, {"p25": 0.25, "p50": 0.5, "p75": 0.75}), groups, "left")
+def five_numbers(df: DataFrame, groups: list[str], metrics: dict[str, Column], interpolated: dict[str, float] | None = None, ranked: dict[str, float] | None = None, plain: tuple[str, ...] = ("n", "min", "max")) -> DataFrame:
+    """Per group count, min, interpolated quartiles, max of each metric, and whatever else is asked for."""
+    return summaries(df, groups, metrics, {"p25": 0.25, "p50": 0.5, "p75": 0.75} | (interpolated or {}), ranked, plain)
 
 
 def residual_summary(x: Column, prefix: str) -> list[Column]:
@@ -73,19 +46,28 @@ def residual_summary(x: Column, prefix: str) -> list[Column]:
 
 def delta_summary(df: DataFrame, groups: list[str], deltas: dict[str, Column]) -> DataFrame:
     """Per group count, median, median of absolute values and mean of each delta."""
-    plain = [c for m, d in deltas.items() for c in (F.count(d).alias(f"{m}_n"), F.avg(d).alias(f"{m}_mean_delta"))]
     both = {f"{m}_{n}": x for m, d in deltas.items() for n, x in (("median", d), ("median_abs", F.abs(d)))}
-    return df.groupBy(*groups).agg(*plain).join(quantiles(df, groups, both, {"delta": 0.5}), groups, "left")
+    found = summaries(df, groups, both, {"delta": 0.5}, plain=("n", "mean"))
+    columns = [c for m in deltas for c in (F.col(f"{m}_median_n").alias(f"{m}_n"), F.col(f"{m}_median_mean").alias(f"{m}_mean_delta"), F.col(f"{m}_median_delta"), F.col(f"{m}_median_abs_delta"))]
+    return found.select(*groups, *columns)
+
+
+def code_counts(df: DataFrame, groups: list[str], code: str, name: str = "n") -> DataFrame:
+    """(groups, code, n) of every code that occurs, null codes left out; exact whatever the vocabulary."""
+    return df.filter(F.col(code).isNotNull()).groupBy(*groups, code).agg(F.count("*").alias(name))
 
 
 def histogram_text(df: DataFrame, groups: list[str], code: str, name: str) -> DataFrame:
-    """`code:count` pairs in code order per group, null codes left out; codes beyond the
-    `MOST_CODES` most frequent of a group are counted together as `other`, so free text stays bounded."""
-    counts = df.filter(F.col(code).isNotNull()).groupBy(*groups, code).agg(F.count("*").alias("_n"))
-    ranked = counts.withColumn("_r", F.row_number().over(Window.partitionBy(*groups).orderBy(F.col("_n").desc(), code)))
-    counts = ranked.withColumn(code, F.when(F.col("_r") <= MOST_CODES, F.col(code)).otherwise("other")).groupBy(*groups, code).agg(F.sum("_n").alias("_n"))
+    """All `code:count` pairs in code order per group, for small vocabularies.
+
+    A group with more than `MOST_CODES` codes has no such text (null): its
+    counts are rows of `code_counts`.  Nothing is merged or left out.
+    """
+    counts = code_counts(df, groups, code, "_n")
+    first = F.row_number().over(Window.partitionBy(*groups).orderBy(code))
+    few = counts.withColumn("_r", first).filter(F.col("_r") <= MOST_CODES + 1)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(code, "_n"))), lambda s: F.concat_ws(":", s[code], s["_n"].cast("string"))), ",")
-    return counts.groupBy(*groups).agg(text.alias(name))
+    return few.groupBy(*groups).agg(F.when(F.count("*") <= MOST_CODES, text).alias(name))
 
 
 def failure_counts(status: Column) -> list[Column]:
@@ -131,6 +113,7 @@ def file_summary(df: DataFrame, file: str, timings: list[str], statuses: list[st
     """
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in statuses]
     score = F.when(finite(F.col("raw_score")), F.col("raw_score"))
-    times = quantiles(df, [file], {t: F.col(t) for t in timings}, {"median": 0.5}, {"p95": 0.95})
-    out = df.groupBy(file).agg(F.count("*").alias("rows"), *counts).join(simple_summary(df, [file], {"score": score}), file).join(times, file, "left")
+    found = summaries(df, [file], {"score": score} | {t: F.col(t) for t in timings}, {"median": 0.5}, {"p95": 0.95})
+    kept = [f"score_{c}" for c in ("min", "max", "mean", "median")] + [f"{t}_{c}" for t in timings for c in ("median", "p95")]
+    out = df.groupBy(file).agg(F.count("*").alias("rows"), *counts).join(found.select(file, *kept), file)
     return out if files is None else out.join(files.select(file, "sha256"), file, "left")

@@ -95,9 +95,9 @@ def group_summary(spark: SparkSession, sf: str) -> DataFrame:
     """A10-A15, A30."""
     s = scored(spark, sf)
     x = F.col("raw_score")
-    out = s.groupBy("label").agg(*aggregates.failure_counts(F.col("status"))).join(aggregates.five_numbers(s, ["label"], {"score": x}), "label")
-    out = out.join(aggregates.simple_summary(s, ["label"], {"score": x}).select("label", "score_mean", "score_median"), "label")
-    out = out.join(aggregates.nearest_rank(s, ["label"], {"score": x}, {"p95": 0.95}), "label", "left").join(aggregates.histogram_text(s, ["label"], "error_code", "failure_codes"), "label", "left")
+    found = aggregates.five_numbers(s, ["label"], {"score": x}, {"median": 0.5}, {"p95": 0.95}, ("n", "min", "max", "mean"))
+    out = s.groupBy("label").agg(*aggregates.failure_counts(F.col("status"))).join(found, "label")
+    out = out.join(aggregates.histogram_text(s, ["label"], "error_code", "failure_codes"), "label", "left")
     return out.select(*[F.round(c, 6).alias(c) if c.startswith("score_") and c != "score_n" else c for c in out.columns])
 
 

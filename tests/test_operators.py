@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pairlab.operators import affine, aggregates, cohort, contract, documents, matching, orientation, pairs, parity, records, sampling, scoring, screening
+from pairlab.operators import affine, aggregates, cohort, contract, documents, matching, orientation, pairs, parity, records, sampling, scoring, screening, selection
 
 from .helpers import rows_of
 
@@ -269,9 +269,9 @@ def test_quantiles_are_exact_for_any_partitioning(spark):
     rows = [(g, float(rng.choice([1, 2, 5, rng.random()])), None if rng.random() < 0.2 else rng.random()) for g in "ab" for _ in range(rng.randint(50, 99))] + [("c", None, None)]
     df = frame(spark, rows, "g string, x double, y double")
     for parts in (1, 5):
-        out = aggregates.quantiles(df.repartition(parts), ["g"], {"x": F.col("x"), "y": F.col("y")}, {"p25": 0.25, "p50": 0.5}, {"p95": 0.95})
+        out = selection.summaries(df.repartition(parts), ["g"], {"x": F.col("x"), "y": F.col("y")}, {"p25": 0.25, "p50": 0.5}, {"p95": 0.95}, ())
         got = {r["g"]: r for r in out.collect()}
-        assert set(got) == {"a", "b"}
+        assert set(got) == {"a", "b", "c"} and set(got.pop("c")[1:]) == {None}  # a group without values has nulls
         for g, r in got.items():
             for i, c in ((1, "x"), (2, "y")):
                 v = sorted(row[i] for row in rows if row[0] == g and row[i] is not None)
@@ -281,10 +281,43 @@ def test_quantiles_are_exact_for_any_partitioning(spark):
     assert {r["g"]: r["sha256"] for r in summed.collect()} == {"a": "f" * 64, "b": None, "c": None}
 
 
-def test_histogram_text_bounds_free_text(spark, monkeypatch):
+def test_histograms_are_exact_or_absent(spark, monkeypatch):
+    """A code named `other` is a code like any; a group with too many codes has no text, and its counts are rows."""
     monkeypatch.setattr(aggregates, "MOST_CODES", 2)
-    df = frame(spark, [("g", c) for c in "aaabbcde"], "g string, code string")
-    assert aggregates.histogram_text(df, ["g"], "code", "t").first()["t"] == "a:3,b:2,other:3"
+    df = frame(spark, [("g", c) for c in "aaabb"] + [("h", c) for c in ("a", "other", "other", "z", None)], "g string, code string")
+    assert rows_of(aggregates.histogram_text(df, ["g"], "code", "t"), ["g", "t"]) == [("g", "a:3,b:2"), ("h", None)]
+    assert rows_of(aggregates.code_counts(df, ["g"], "code"), ["g", "code", "n"]) == [("g", "a", 3), ("g", "b", 2), ("h", "a", 1), ("h", "other", 2), ("h", "z", 1)]
+
+
+@pytest.mark.parametrize("few", [1, 50, selection.FEW])
+def test_selection_of_hard_values(spark, few):
+    """Nearly equal values, huge ranges, both zeros, infinities, subnormals and ties: every rank as sorting gives it, whatever the number of passes."""
+    r = random.Random(8)
+    tiny = 5e-324
+    near = [1.0 + i * 2.0**-52 for i in r.sample(range(4000), 700)]
+    wide = [r.choice([-1, 1]) * 10.0 ** r.uniform(-300, 300) for _ in range(500)]
+    odd = [0.0, -0.0, tiny, -tiny, 2 * tiny, float("inf"), float("-inf"), 1.0, 1.0, 1.0]
+    groups = {"near": near, "wide": wide, "odd": odd, "ties": [7.0] * 40 + [7.5], None: [3.0, 1.0, 2.0], "one": [2.5], "skew": [1.0] * 90 + [1.0 + 2.0**-50] * 3 + [1.003]}
+    df = frame(spark, [(g, x) for g, xs in groups.items() for x in xs] + [("none", None), ("near", None)], "g string, x double").repartition(7)
+    fractions = {f"r{i}": i / 16 for i in range(17)}
+    got = {x["g"]: x for x in selection.summaries(df, ["g"], {"x": F.col("x")}, {"mid": 0.5, "q": 0.3}, fractions, few=few).collect()}
+    assert set(got) == {*groups, "none"} and got["none"]["x_mid"] is None and got["none"]["x_n"] == 0
+    for g, xs in groups.items():
+        xs = sorted(xs)
+        assert [got[g][f"x_{s}"] for s in fractions] == [xs[max(-(-i * len(xs) // 16), 1) - 1] for i in range(17)]
+        if g != "odd":
+            for s, f in (("mid", 0.5), ("q", 0.3)):
+                h = f * (len(xs) - 1)
+                assert got[g][f"x_{s}"] == pytest.approx(xs[int(h)] + (xs[min(int(h) + 1, len(xs) - 1)] - xs[int(h)]) * (h - int(h)), rel=1e-12)
+        assert (got[g]["x_n"], got[g]["x_min"], got[g]["x_max"]) == (len(xs), xs[0], xs[-1])
+
+
+def test_selection_counts_buckets_not_values(spark):
+    """The first pass leaves a bounded number of cells a group for the shuffle, and the second only values of the cells asked for."""
+    df = spark.range(200_000).selectExpr("'g' AS g", "double(id) * 0.37 + 1 AS x")
+    cells = df.groupBy("g", selection.coarse(F.col("x"))).agg(F.count("*").alias("n"), F.max("x").alias("hi"))
+    assert cells.count() < 4500 and cells.agg(F.max("n")).first()[0] < 700
+    assert selection.summaries(df, ["g"], {"x": F.col("x")}, {"m": 0.5}).first()["x_m"] == pytest.approx(99999.5 * 0.37 + 1)
 
 
 @pytest.mark.parametrize("model, size", [("partial", 2), ("full", 3)])
