@@ -167,8 +167,7 @@ def score_features(a: DataFrame, b: DataFrame, pair: str, ratio: float, matching
 
     A pair without enough matches is a valid zero with a reason (K5).
     """
-    dist = matching.distances(a, b, [pair])
-    matches = matching.match(dist, [pair], ratio).filter(F.col("mode") == matching_mode)
+    matches = matching.match(matching.both_ways(a, b, [pair]), [pair], ratio).filter(F.col("mode") == matching_mode)
     placed = (
         matches.join(a.select(pair, F.col("idx").alias("ia"), "x", "y"), [pair, "ia"])
         .join(b.select(pair, F.col("idx").alias("ib"), F.col("x").alias("u"), F.col("y").alias("v")), [pair, "ib"])

@@ -464,26 +464,39 @@ def point_set() -> F.col:
     return (F.floor(F.col("vec_id") / 1000) * 100 + F.col("label")).cast("bigint").alias("label")
 
 
-def knn_distances(spark: SparkSession, sf: str) -> DataFrame:
+def knn_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     v = t(spark, sf, "embeddings").select(point_set(), F.col("vec_id").alias("idx"), F.col("embedding").alias("v"))
-    return matching.distances(v.filter("idx % 2 = 0"), v.filter("idx % 2 = 1"), ["label"], 9)
+    return v.filter("idx % 2 = 0"), v.filter("idx % 2 = 1")
 
 
 @query(f"WITH {KNN_SQL} SELECT label, ia, ib, round(d1, 6) AS d1, round(d2, 6) AS d2, d2 IS NOT NULL AND d1 < {RATIO} * d2 AS kept FROM f")
 def knn_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """J15, W17."""
-    two = matching.nearest_two(knn_distances(spark, sf), ["label"], "ia", "ib")
+    two = matching.two_nearest(*knn_sides(spark, sf), ["label"], 9)
     kept = F.coalesce(F.col("d1") < F.lit(RATIO) * F.col("d2"), F.lit(False))
     return two.select("label", "ia", "ib", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"), kept.alias("kept"))
 
 
+@query("""
+WITH p AS (SELECT vec_id, embedding[1:4]::double[] AS e FROM embeddings),
+d AS (SELECT a.vec_id AS ia, b.vec_id AS ib, round(list_distance(a.e, b.e), 9) AS d FROM p a JOIN p b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY ia ORDER BY d, ib) AS k FROM d)
+SELECT ia, max(ib) FILTER (k = 1) AS ib, round(max(d) FILTER (k = 1), 6) AS d1, round(max(d) FILTER (k = 2), 6) AS d2 FROM r WHERE k <= 2 GROUP BY ia
+""")
+def knn_large_set(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole table as one point set, by pivots: every even vector's two nearest odd ones in four dimensions."""
+    v = t(spark, sf, "embeddings").select(F.lit(0).alias("all"), F.col("vec_id").alias("idx"), F.slice("embedding", 1, 4).cast("array<double>").alias("v"))
+    two = matching.two_nearest(v.filter("idx % 2 = 0"), v.filter("idx % 2 = 1"), ["all"], 9, few=64)
+    return two.select("ia", "ib", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"))
+
+
 @query(f"""
 WITH {KNN_SQL}, m AS (SELECT 'one_way' AS mode, * FROM fk UNION ALL SELECT 'mutual', * FROM mu UNION ALL SELECT 'bidirectional_union', * FROM un)
 SELECT mode, label, ia, ib, round(d1, 6) AS d1, round(d2, 6) AS d2 FROM m
 """)
 def mutual_union(spark: SparkSession, sf: str) -> DataFrame:
     """J16, U5, K1."""
-    m = matching.match(knn_distances(spark, sf), ["label"], RATIO)
+    m = matching.match(matching.both_ways(*knn_sides(spark, sf), ["label"], 9), ["label"], RATIO)
     return m.select("mode", "label", "ia", "ib", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"))
 
 
@@ -497,8 +510,8 @@ FROM c
 """)
 def score_modes(spark: SparkSession, sf: str) -> DataFrame:
     """Mutual matches as inliers of the one-way matches."""
-    dist = knn_distances(spark, sf)
-    counts = matching.match_counts(dist, matching.match(dist, ["label"], RATIO), ["label"], RATIO)
+    two = matching.both_ways(*knn_sides(spark, sf), ["label"], 9)
+    counts = matching.match_counts(two, matching.match(two, ["label"], RATIO), ["label"], RATIO)
     c = counts.withColumn("parts", scores.score_components(F.col("mutual"), F.col("ratio_a_to_b"), F.col("knn_a_to_b"), F.col("knn_b_to_a")))
     mode = F.when(F.col("label") % 3 == 0, scores.COUNT).when(F.col("label") % 3 == 1, scores.RATIO).otherwise("unknown")
     c = c.withColumn("s", scores.score_of_mode(F.col("parts"), mode))

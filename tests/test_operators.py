@@ -30,7 +30,7 @@ def test_mutual_matches(spark):
     unit = lambda i: [1.0 if j == i else 0.0 for j in range(5)]
     a = frame(spark, [(1, i, unit(k)) for i, k in enumerate((0, 1, 2))], "g int, idx int, v array<double>")
     b = frame(spark, [(1, i, unit(k)) for i, k in enumerate((0, 1, 3, 4))], "g int, idx int, v array<double>")
-    d = matching.distances(a, b, ["g"])
+    d = matching.both_ways(a, b, ["g"])
     m = matching.match(d, ["g"], 0.75)
     assert rows_of(m.filter("mode = 'mutual'"), ["ia", "ib"]) == [(0, 0), (1, 1)]
     c = matching.match_counts(d, m, ["g"], 0.75).first()
@@ -39,7 +39,7 @@ def test_mutual_matches(spark):
 
 def test_lone_neighbour_fails_the_ratio_test(spark):
     a = frame(spark, [(1, 0, [0.0])], "g int, idx int, v array<double>")
-    assert matching.ratio_kept(matching.nearest_two(matching.distances(a, a, ["g"]), ["g"], "ia", "ib"), 0.9).count() == 0
+    assert matching.ratio_kept(matching.two_nearest(a, a, ["g"]), 0.9).count() == 0
 
 
 def test_curve_against_brute_force(spark):
@@ -199,6 +199,35 @@ def test_result_rows_hold_their_contract(spark):
     assert (timed[7]["status"], timed[7]["error_message"], timed[7]["total_ms"], timed[7]["compare_diagnostics"]) == ("comparison_failure", "method said: refused", 3.5, '{"length":2}')
 
 
+@pytest.mark.parametrize("few", [1, 30])
+def test_pivots_find_the_two_nearest(spark, few):
+    """Clusters, ties, repeated points, tiny and empty sets: the same rows as comparing all, in any group."""
+    r = random.Random(few)
+    def points(g, n, side):  # noqa: E306
+        centres = [[r.uniform(0, 50) for _ in range(3)] for _ in range(6)]
+        kinds = {0: lambda: [r.gauss(c, 0.5) for c in r.choice(centres)], 1: lambda: [float(r.randint(0, 2)) for _ in range(3)], 2: lambda: [1.0, 2.0, 3.0]}
+        return [(g, i * 2 + side, kinds[g % 3]()) for i in range(n)]
+    sizes = [(150, 200), (120, 90), (60, 70), (5, 1), (3, 0), (0, 4), (40, 2)]
+    a = frame(spark, [p for g, (n, _) in enumerate(sizes) for p in points(g, n, 0)], "g int, idx int, v array<double>").repartition(3)
+    b = frame(spark, [p for g, (_, n) in enumerate(sizes) for p in points(g, n, 1)], "g int, idx int, v array<double>").repartition(4)
+    cols = ["g", "ia", "ib", "d1", "d2"]
+    want = rows_of(matching.nearest_two(matching.distances(a, b, ["g"], 6), ["g"], "ia", "ib"), cols)
+    assert rows_of(matching.two_nearest(a, b, ["g"], 6, few), cols) == want and len(want) == 150 + 120 + 60 + 5 + 40
+
+
+def test_pivots_spare_most_distances(spark):
+    """A set of 10,000 points: distances to pivots and to candidates together are a small part of all pairs, and cells are many."""
+    df = spark.range(10_000).selectExpr("1 AS g", "id AS idx", "array(double(xxhash64(id) % 1000) / 1000, double(xxhash64(id, 1) % 1000) / 1000, double(xxhash64(id, 2) % 1000) / 1000) AS v")
+    a, b = df.filter("idx % 2 = 0"), df.filter("idx % 2 = 1")
+    k = min(71, matching.PIVOTS)
+    pairs = matching.pruned_pairs(a, b, ["g"])
+    spread = matching._placed(b, matching.pivots_of(b, ["g"]), ["g"]).groupBy("cell").count()
+    # exact pairs of the own cells are counted whole, though only two of each are kept
+    inside = sum(r["n"] * r["m"] for r in matching._placed(a, matching.pivots_of(b, ["g"]), ["g"]).groupBy("cell").agg(F.count("*").alias("n")).join(spread.select("cell", F.col("count").alias("m")), "cell").collect())
+    evaluated = 10_000 * k + inside + pairs.count()
+    assert evaluated < 0.15 * 5_000 * 5_000 and spread.count() == k and spread.agg(F.max("count")).first()[0] < 5_000 / 8
+
+
 def test_constant_column_has_no_correlation(spark):
     df = frame(spark, [("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 1.0), ("c", 1.0, 2.0), ("c", 2.0, 4.0)], "g string, x double, y double")
     assert dict(rows_of(aggregates.pearson(df, "x", "y", ["g"]), ["g", "pearson"])) == {"a": None, "b": None, "c": 1.0}
