@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonmaps import sorted_json, stable_map
+from ..sources.reconcile import reconciled
 
 
 def outcome(df: DataFrame, key: list[str], plain: list[str], documents: list[str] = ()) -> DataFrame:
@@ -14,7 +15,12 @@ def outcome(df: DataFrame, key: list[str], plain: list[str], documents: list[str
 
 
 def row_diff(expected: DataFrame, actual: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
-    """(key, field, expected, actual) of every differing cell; rows of one side alone have field `row`."""
+    """(key, field, expected, actual) of every differing cell; rows of one side alone have field `row`.
+
+    Large tables are compared by digests of buckets first, and only rows of
+    buckets that differ are joined.
+    """
+    expected, actual = reconciled(expected, actual, key, columns)
     e = expected.select(*key, F.struct(*columns).alias("_e"))
     a = actual.select(*key, F.struct(*columns).alias("_a"))
     j = e.join(a, key, "full_outer")

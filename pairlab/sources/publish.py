@@ -146,8 +146,11 @@ def pending_runs(requested: DataFrame, published: DataFrame, keys: list[str]) ->
 
 
 def build_differences(rebuilt: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows that a rebuild has more or less than the stored table; empty for an idempotent build."""
+    """Rows that a rebuild has more or less than the stored table; empty for an idempotent build.  Only rows of buckets whose digests differ are compared."""
+    from .reconcile import reconciled  # it stages tables by this module
+
     columns = rebuilt.columns
+    rebuilt, stored = reconciled(rebuilt, stored, columns, [])
     return rebuilt.exceptAll(stored.select(columns)).withColumn("side", F.lit("rebuilt")).unionByName(stored.select(columns).exceptAll(rebuilt).withColumn("side", F.lit("stored")))
 
 

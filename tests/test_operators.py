@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pairlab.operators import affine, aggregates, cohort, contract, documents, matching, orientation, pairs, parity, records, sampling, scoring, screening, selection
 
+from pairlab.sources import publish, reconcile
+
 from .helpers import rows_of
 
 
@@ -228,6 +230,43 @@ def test_pivots_spare_most_distances(spark):
     assert evaluated < 0.15 * 5_000 * 5_000 and spread.count() == k and spread.agg(F.max("count")).first()[0] < 5_000 / 8
 
 
+def big_pair(spark, n=60_000):
+    a = spark.range(n).selectExpr("id", "id % 7 AS g", "CASE WHEN id % 11 > 0 THEN double(id) / 3 END AS x", "array(id, NULL) AS l", "named_struct('a', id % 5) AS s")
+    k = F.col("id")
+    b = a.filter("id <> 40321").withColumns({"x": F.when(k == 22, 1.0).when(k == 777, None).otherwise(F.col("x")), "g": F.when(k == 5000, 9).otherwise(F.col("g"))})
+    return a, b.unionByName(a.filter("id = 3").withColumn("id", F.lit(n + 5).cast("bigint"))).repartition(6)
+
+
+def test_reconciling_joins_only_what_differs(spark, monkeypatch):
+    """Six planted differences in 60,000 rows: the join sees a few leaves, and finds all of them."""
+    a, b = big_pair(spark)
+    cols = ["g", "x", "l", "s"]
+    want = rows_of(parity.row_diff(a, b, ["id"], cols), ["id", "field", "expected", "actual"])
+    assert [(r[0], r[1]) for r in want] == [(22, "x"), (40321, "row"), (5000, "g"), (60005, "row"), (777, "x")]
+    monkeypatch.setattr(reconcile, "LEAF", 64)
+    left, right = reconcile.reconciled(a, b, ["id"], cols, small=100)
+    assert left.count() < 60 * 5 and right.count() < 60 * 5 and left.columns == a.columns
+    monkeypatch.setattr(reconcile, "SMALL", 100)
+    assert rows_of(parity.row_diff(a, b, ["id"], cols), ["id", "field", "expected", "actual"]) == want
+    assert [x.count() for x in reconcile.reconciled(a, a.repartition(3), ["id"], cols)] == [0, 0]
+    found = publish.build_differences(a.select("id", "g", "x"), b.select("id", "g", "x"))
+    assert rows_of(found, ["side", "id"]) == sorted([("rebuilt", i) for i in (22, 777, 5000, 40321)] + [("stored", i) for i in (22, 777, 5000, 60005)], key=repr)
+
+
+def test_reconciling_repeated_rows_and_other_types(spark, monkeypatch):
+    monkeypatch.setattr(reconcile, "SMALL", 10)
+    monkeypatch.setattr(reconcile, "LEAF", 8)
+    a = spark.range(300).selectExpr("id % 100 AS k", "int(id % 100) AS v")
+    b = spark.range(300).selectExpr("id % 100 AS k", "bigint(id % 100) AS v").filter("k <> 4").unionByName(spark.range(2).selectExpr("4L AS k", "4L AS v"))
+    assert rows_of(publish.build_differences(a, b.selectExpr("k", "int(v) AS v")), ["side", "k"]) == [("rebuilt", 4)]
+    same, _ = reconcile.reconciled(a, a.selectExpr("k", "bigint(v) AS v"), ["k"], ["v"])
+    assert same.count() == 0
+    other, _ = reconcile.reconciled(a, a.selectExpr("string(k) AS k", "v"), ["k"], ["v"])
+    assert other.count() == 300
+    nulls = spark.sql("SELECT CAST(NULL AS bigint) AS k, CAST(NULL AS int) AS v FROM range(40)")
+    assert publish.build_differences(a.union(nulls), a.union(nulls).repartition(3)).count() == 0
+
+
 def test_constant_column_has_no_correlation(spark):
     df = frame(spark, [("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 1.0), ("c", 1.0, 2.0), ("c", 2.0, 4.0)], "g string, x double, y double")
     assert dict(rows_of(aggregates.pearson(df, "x", "y", ["g"]), ["g", "pearson"])) == {"a": None, "b": None, "c": 1.0}
