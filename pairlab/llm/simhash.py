@@ -25,6 +25,7 @@ from functools import partial
 from math import ceil
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -140,8 +141,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
 
 # ---- similarity joins: exact sets of shingle hashes, for thresholds beyond a few bits of 64
 
-#: Share of the hash space whose shingles are counted, the count from which one is common, and how many of the commonest are told to the tasks.
-COUNTED, COMMON, MOST_COMMON = 0.4, 8, 1 << 17
+#: The count from which a shingle is common, how many of the commonest are told to the tasks (five bytes each), and shingles of a part of the count.
+COMMON, MOST_COMMON, _COUNTED = 8, 1 << 22, 1 << 21
 _VOCABULARY = 1 << 20
 #: Size of the filter that keeps sets of unlinked texts out of the verification, as a power of two.
 _BITS = 23
@@ -188,15 +189,30 @@ def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def prefix(grams: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, common ones last: two sets this similar share one of them.
+class Commons:
+    """The commonest shingles by the upper half of their hash, with the power of two of their count."""
+
+    def __init__(self, keys: np.ndarray, powers: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.powers = keys[order], powers[order]
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """Power of each shingle's count, 0 for those that are not common; grams ascend."""
+        if not len(self.keys):
+            return np.zeros(len(grams), dtype=np.uint8)
+        high = (grams >> np.uint64(32)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.keys, high), len(self.keys) - 1)
+        return np.where(self.keys[at] == high, self.powers[at], 0).astype(np.uint8)
+
+
+def prefix(grams: np.ndarray, similarity: float, common: Commons) -> np.ndarray:
+    """The first shingles of a set, rare ones first and the commonest last: two sets this similar share one of them.
 
     Similar sets share at least similarity * n of a set's n shingles, so all but
     that many less one are enough, whatever the order, if all sets keep to it.
     """
-    at = np.minimum(np.searchsorted(common, grams), max(len(common) - 1, 0))
-    late = common[at] == grams if len(common) else np.zeros(len(grams), dtype=bool)
-    return np.concatenate([grams[~late], grams[late]])[: len(grams) - ceil(similarity * len(grams) - 1e-9) + 1]
+    order = np.argsort(common.of(grams), kind="stable")
+    return grams[order[: len(grams) - ceil(similarity * len(grams) - 1e-9) + 1]]
 
 
 def parities(grams: np.ndarray) -> np.ndarray:
@@ -230,28 +246,45 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(_joined(arrays)))
 
 
-def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+def _common(texts: DataFrame, shingle: int, words: int) -> Commons:
     """The commonest shingles of all texts, a bounded number; they only set the order of prefixes, never what is found.
 
-    Prefixes begin with the least hashes, so only those are counted.
+    Every batch counts its own shingles and sends them packed, four bytes each,
+    to a part of the hash space; parts have a like number of shingles, whatever
+    the table's, and a shingle that all texts have is there once a batch.
     """
-    limit = np.uint64(int(COUNTED * 2**64))
-
-    def low(ids, texts):
-        sets = [shingle_set(w, shingle) for w in texts]
-        return [pa.array(_joined([g[: np.searchsorted(g, limit)] for g in sets]))]
-
-    counts = _each_text(texts, "v bigint", low).repartition("v").groupBy("v").count().filter(F.col("count") >= COMMON)
-    counts = staged(counts)
-    sizes = counts.groupBy(F.floor(F.log2("count")).alias("power")).agg(F.count("*").alias("n")).orderBy(F.col("power").desc()).collect()  # one row a power of two
-    least, n = 64, 0
-    for r in sizes:
+    parts = 1 << max(6, ceil(words / _COUNTED).bit_length())
+    shift = np.uint32(32 - (parts.bit_length() - 1))
+
+    def packed(ids, texts):
+        high = [(shingle_set(w, shingle) >> np.uint64(32)).astype(np.uint32) for w in texts]
+        keys, counts = np.unique(np.concatenate(high) if high else np.array([], dtype=np.uint32), return_counts=True)
+        ends = np.searchsorted(keys >> shift, np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(ends))
+        cut = lambda x: [x[ends[i] : ends[i + 1]].tobytes() for i in full]
+        return [pa.array(full.astype(np.int32)), pa.array(cut(keys), pa.binary()), pa.array(cut(counts.astype(np.uint32)), pa.binary())]
+
+    def merged(part):
+        keys = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in part["keys"]])
+        counts = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in part["counts"]]).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, first = np.unique(keys[order], return_index=True)
+        powers = np.log2(np.add.reduceat(counts[order], first)).astype(np.int32)
+        found = [(int(p), keys[powers == p]) for p in np.unique(powers[powers >= COMMON.bit_length() - 1])]
+        return pd.DataFrame({"power": [p for p, _ in found], "n": [len(k) for _, k in found], "keys": [k.tobytes() for _, k in found]})
+
+    sent = _each_text(texts, "part int, keys binary, counts binary", packed)
+    counted = staged(sent.groupBy("part").applyInPandas(merged, "power int, n bigint, keys binary"))
+    least, n = 33, 0
+    for r in counted.groupBy("power").agg(F.sum("n").alias("n")).orderBy(F.col("power").desc()).collect():  # one row a power of two
         n += r["n"]
         if n > MOST_COMMON:
             break
         least = r["power"]
-    often = counts.filter(F.col("count") >= F.lit(2.0) ** least).select("v").collect()  # MOST_COMMON rows at most
-    return np.sort(np.array([r["v"] for r in often], dtype=np.int64).view(np.uint64))
+    often = counted.filter(F.col("power") >= least).select("power", "keys").collect()  # MOST_COMMON keys at most
+    keys = [np.frombuffer(r["keys"], dtype=np.uint32) for r in often]
+    powers = [np.full(len(k), r["power"], dtype=np.uint8) for k, r in zip(keys, often)]
+    return Commons(np.concatenate([np.array([], dtype=np.uint32), *keys]), np.concatenate([np.array([], dtype=np.uint8), *powers]))
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -296,13 +329,31 @@ def _of_size(n: str, m: str, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
+def _leads(similarity: float) -> Column:
+    """Whether a set's shingle stands early enough to bring a set of its size or a larger one (n, i: the set's size, the shingle's place).
+
+    Such sets share 2s / (1 + s) of the smaller one's shingles, so all but that
+    many less one are enough for the smaller set; the larger one needs its whole
+    prefix.
+    """
+    return F.col("i") < F.col("n") - F.ceil(F.lit(2 * similarity / (1 + similarity)) * F.col("n") - 1e-9) + 1
+
+
+def _can_be_alike(similarity: float, n: str = "n", i: str = "i", m: str = "m", j: str = "j") -> Column:
+    """Whether sets of sizes n and m can be that similar if the first shingle they share stands at places i and j."""
+    shared = F.least(F.col(n) - F.col(i), F.col(m) - F.col(j))
+    return _of_size(n, m, similarity) & (shared >= F.lit(similarity / (1 + similarity)) * (F.col(n) + F.col(m)) - 1e-6)
+
+
 def _open_pairs(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs inside buckets whose members are not in one component yet, of sizes that can be similar."""
+    """Pairs inside buckets whose members are not in one component yet: a leading shingle of the smaller set, any of the larger's prefix."""
     labelled = shared.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     bucket = Window.partitionBy("v")
-    split = staged(labelled.select("v", "k", "n", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).filter("lo <> hi").select("v", "k", "n", "root"))
-    other = split.select("v", F.col("k").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    return split.join(other, "v").filter((F.col("k") < F.col("b")) & (F.col("root") != F.col("other")) & _of_size("n", "m", similarity)).select(F.col("k").alias("a"), "b").distinct()
+    split = staged(labelled.select("v", "k", "n", "i", "leads", "root", F.min("root").over(bucket).alias("lo"), F.max("root").over(bucket).alias("hi")).filter("lo <> hi").select("v", "k", "n", "i", "leads", "root"))
+    other = split.select("v", F.col("k").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
+    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("k") < F.col("b")))
+    met = split.filter("leads").join(other, "v").filter(smaller & (F.col("root") != F.col("other")) & _can_be_alike(similarity))
+    return met.select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,35 +368,42 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     no similar pair, and then verified by the exact Jaccard similarity of their
     sets of (64-bit hashes of) shingles.  Texts of equal words are one node.
 
-    Each member of a prefix shingle's bucket first meets the bucket's first
-    member by a hash; then all members that the links found do not join yet meet
-    each other, so a family of near copies costs its size and nothing is left out.
+    Sets are ordered with their rarest shingles first, so a shingle that a
+    template puts on many pages is in few prefixes.  A pair meets in a shingle
+    among the first ninth of the smaller set and the first fifth of the larger,
+    and only if what follows it is enough for the similarity: pages that share
+    less than that of a template never meet.  Each member of a bucket first
+    meets the bucket's first leading member by a hash; then members that the
+    links found do not join yet meet each other, so a family of near copies
+    costs its size and nothing is left out.
     Null and blank texts form one component; null ids never name one unless all
     its ids are null.  Repeated rows are one node; an empty table gives no rows;
     very long texts are sets as others are; extra columns are ignored.
     """
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("h"))
-    common = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
+    keyed = lambda ids, texts, h: [ids, h, pa.array(list(map(text_key, texts)), pa.int64()), pa.array(list(map(len, texts)), pa.int64())]
+    rows = staged(_each_text(texts, "doc_id bigint, h bigint, k bigint, words bigint", keyed, 2))
+    words = rows.agg(F.sum("words")).first()[0] or 0
+    common = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle, words))
 
     def described(ids, texts):
         sets = [shingle_set(w, shingle) for w in texts]
         heads = [prefix(g, similarity, common.value) for g in sets]
         return [ids, pa.array(list(map(text_key, texts)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), _lists([parities(g) for g in sets]), _lists(heads)]
 
-    keyed = lambda ids, texts, h: [ids, h, pa.array(list(map(text_key, texts)), pa.int64())]
-    rows = staged(_each_text(texts, "doc_id bigint, h bigint, k bigint", keyed, 2))
     told = _each_text(texts, "doc_id bigint, k bigint, n int, bits array<bigint>, vs array<bigint>", described)
     nodes = staged(told.groupBy("k").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("vs").alias("vs")))
-    members, nodes = nodes.select("k", "n", F.explode("vs").alias("v")), nodes.drop("vs")
+    members, nodes = nodes.select("k", "n", F.posexplode("vs").alias("i", "v")).withColumn("leads", _leads(similarity)), nodes.drop("vs")
     bucket = Window.partitionBy("v")
-    centre = F.min(F.struct(F.xxhash64("k").alias("h"), "k", "n")).over(bucket)
-    shared = staged(members.withColumns({"o": centre, "c": F.count("*").over(bucket)}).filter("c > 1").select("v", "k", "n", F.col("o.k").alias("o"), F.col("o.n").alias("m")))
-    star = shared.filter((F.col("k") != F.col("o")) & _of_size("n", "m", similarity)).select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
+    centre = F.min(F.when(F.col("leads"), F.struct(F.xxhash64("k").alias("h"), "k", "n", "i"))).over(bucket)
+    found = members.withColumns({"o": centre, "c": F.count("*").over(bucket)}).filter("c > 1 AND o IS NOT NULL")
+    shared = staged(found.select("v", "k", "n", "i", "leads", F.col("o.k").alias("o"), F.col("o.n").alias("m"), F.col("o.i").alias("j")))
+    star = shared.filter((F.col("k") != F.col("o")) & _can_be_alike(similarity)).select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
     likely = staged(_likely(star, nodes, similarity))
     linked = staged(_alike(likely, texts, nodes, similarity, shingle))
     roots = components(linked)
-    rest = staged(_likely(_open_pairs(shared.select("v", "k", "n"), roots, similarity), nodes, similarity).join(likely, ["a", "b"], "left_anti"))
+    rest = staged(_likely(_open_pairs(shared.select("v", "k", "n", "i", "leads"), roots, similarity), nodes, similarity).join(likely, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         roots = components(linked.union(staged(_alike(rest, texts, nodes, similarity, shingle))))
     named = nodes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import pytest
 
+from pairlab.llm import simhash
 from pairlab.llm.simhash import near_copies
 
 from .test_pipeline import shingles
@@ -77,6 +78,38 @@ def test_templated_pages_link_all_near_copies(spark):
     assert found(spark, texts) == want
 
 
+def test_pages_of_a_template_do_not_meet(spark, monkeypatch):
+    """400 pages that share 85 % of their text and are 0.74 alike: hardly any pair is looked at, and the few near copies are found."""
+    rng, texts = random.Random(4), {}
+    common = words(rng, 340, "c")
+    for k in range(400):
+        texts[k] = " ".join(common + words(rng, 60, "w"))
+    texts[400] = texts[7] + " and a few words more"
+    listed, pairs = simhash._likely, []
+
+    def counting(found, *rest):
+        pairs.append(found.count())
+        return listed(found, *rest)
+
+    monkeypatch.setattr(simhash, "_likely", counting)
+    got = found(spark, texts)
+    assert got == {k: 7 if k == 400 else k for k in texts} and sum(pairs) < 20 * 400
+
+
+def test_leading_shingles_bring_all_sizes(spark):
+    """Pairs at the very limit, of equal and of the most different sizes, in a crowd that shares their common part."""
+    rng, texts = random.Random(6), {}
+    common = words(rng, 200, "c")
+    for k in range(30):
+        own = words(rng, 300, "w")
+        base = common + own
+        n = len(base) - 4
+        m = int(n * 0.8) + 5  # the smallest prefix that is alike
+        for j, t in enumerate((base, base[:m], base[: m - 2], base[-m:], base[:-30] + words(rng, 30, "x"), base[:-60] + words(rng, 60, "y"))):
+            texts[6 * k + j] = " ".join(t)
+    assert found(spark, texts) == brute_components(texts)
+
+
 def test_real_texts(spark, documents):
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     assert found(spark, texts) == brute_components(texts)

@@ -137,3 +137,15 @@ def test_near_copies(spark, documents, odd, empty):
     check_near(texts, {i: t for i, t in texts.items() if got[i] == i})
     found = {r["doc_id"]: r["component_id"] for r in near_copies(odd).collect()}
     assert found[2] == found[3] == found[6] == 2 and found[5] == 1 and near_copies(empty).count() == 0
+
+
+def test_stages_take_columns_of_any_name(spark, odd, sf):
+    """Names that stages use inside come back as they were."""
+    import corpus_pipeline as cp
+
+    names = ("_row", "_n_lines", "_n_dropped", "_nd_id", "_nd_hash", "_nd_none", "none", "id", "hash", "h", "k", "stays", "_ld_row", "_ld_masks", "component_id", "a.b")
+    docs = odd.select("*", *[F.lit(c).alias(c) for c in names])
+    for stage in (cp.quality_rules, cp.line_dedup, cp.near_dedup, cp.source_mixing):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        assert all(r[len(odd.columns) :] == names for r in map(tuple, out.collect()))
