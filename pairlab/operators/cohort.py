@@ -24,27 +24,41 @@ def hash_ranked(candidates: DataFrame, version: str, seed: str, stratum: str = "
     return ranked.filter(F.col("selection_rank") <= k)
 
 
+def proposals(left: DataFrame, k: int, stratum: str = "stratum", subject: str = "subject") -> DataFrame:
+    """The first k of each stratum among the candidates that are left, with their ranks."""
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy("selection_hash", subject)).cast("bigint")
+    return left.withColumn("selection_rank", rank).filter(F.col("selection_rank") <= k)
+
+
 def select_cohort(candidates: DataFrame, strata: list[str], k: int, version: str, seed: str, stratum: str = "stratum", subject: str = "subject", whole: bool = False) -> DataFrame:
     """The first k of each stratum in turn, a subject chosen once being excluded later.
 
-    `strata` is the short, ordered list of strata.  A stratum's choice only
-    needs its k + (subjects chosen before) best candidates, so one ranked pass
-    keeps at most k × strata rows of each, and the sequential part runs on that
-    bounded table.  With `whole`, a stratum of fewer than k is refused (W2's
-    failure); without, it is left short and `cohort_faults` names it.
+    All strata choose at once, in rounds of deferred acceptance: each proposes
+    its k best candidates that have not refused it, a subject keeps the earliest
+    stratum in `strata` that has ever proposed and refuses the others for good,
+    and rounds end when nobody refuses.  Strata that are earlier for all subjects
+    make this the choice in turn, the only stable one.  A stratum can be refused
+    by no more than k × (strata before it) subjects, so one ranked pass cuts the
+    candidates to k × strata each, before the shuffle, and rounds run on that.
+
+    With `whole`, a stratum of fewer than k is refused (W2's failure); without,
+    it is left short and `cohort_faults` names it.
     """
-    best = hash_ranked(candidates, version, seed, stratum, subject, k * len(strata)).select(stratum, subject, "selection_hash")
-    best = staged(best)
-    chosen = None
-    for name in strata:
-        left = best.filter(F.col(stratum) == name)
-        if chosen is not None:
-            left = left.join(chosen.select(subject), subject, "left_anti")
-        rank = F.row_number().over(Window.partitionBy(stratum).orderBy("selection_hash", subject)).cast("bigint")
-        now = left.withColumn("selection_rank", rank).filter(F.col("selection_rank") <= k).select(stratum, subject, "selection_hash", "selection_rank")
-        chosen = staged(now if chosen is None else chosen.unionByName(now))
-        if whole and (found := chosen.filter(F.col(stratum) == name).count()) < k:
-            raise ValueError(f"stratum {name} has {found} of {k} candidates")
+    best = hash_ranked(candidates.filter(F.col(stratum).isin(*strata)), version, seed, stratum, subject, k * len(strata))
+    turn = F.array_position(F.array(*map(F.lit, strata)), F.col(stratum).cast("string"))
+    left = staged(best.select(stratum, subject, "selection_hash", turn.alias("_turn")))
+    while True:
+        asked = staged(proposals(left, k, stratum, subject))
+        held = asked.groupBy(subject).agg(F.min("_turn").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select(subject, "_first")
+        if held.isEmpty():
+            break
+        left = staged(left.join(held, subject, "left").filter("_first IS NULL OR _turn <= _first").drop("_first"))
+    chosen = asked.drop("_turn")
+    if whole:
+        short = {r[0]: r[1] for r in chosen.groupBy(stratum).count().collect()}  # a row a stratum
+        for name in strata:
+            if short.get(name, 0) < k:
+                raise ValueError(f"stratum {name} has {short.get(name, 0)} of {k} candidates")
     return chosen
 
 

@@ -267,6 +267,26 @@ def test_reconciling_repeated_rows_and_other_types(spark, monkeypatch):
     assert publish.build_differences(a.union(nulls), a.union(nulls).repartition(3)).count() == 0
 
 
+@pytest.mark.parametrize("n, share, k", [(200, 40, 5), (6, 1, 9), (12, 3, 4)])
+def test_strata_choose_at_once_as_in_turn(spark, monkeypatch, n, share, k):
+    """As many rounds for 200 strata as for a few; the cohort is that of the sequential choice."""
+    import hashlib
+
+    r = random.Random(n)
+    names = [f"s{i:03d}" for i in range(n)]
+    rows = sorted({(s, r.randrange(n * k)) for s in names for _ in range(3 * k if share > 1 else n * k)})
+    taken, want = set(), []
+    for s in names:
+        ranked = sorted((hashlib.sha256(f"v\n1\n{s}\n{x}".encode()).hexdigest(), x) for t, x in rows if t == s and x not in taken)
+        want += [(s, x, i + 1) for i, (_, x) in enumerate(ranked[:k])]
+        taken |= {x for _, x in ranked[:k]}
+    rounds, ask = [], cohort.proposals
+    monkeypatch.setattr(cohort, "proposals", lambda *a: rounds.append(1) or ask(*a))
+    got = cohort.select_cohort(frame(spark, rows, "stratum string, subject int"), names, k, "v", "1")
+    assert rows_of(got, ["stratum", "subject", "selection_rank"]) == sorted(want, key=repr)
+    assert len(rounds) <= 12
+
+
 def test_constant_column_has_no_correlation(spark):
     df = frame(spark, [("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 1.0), ("c", 1.0, 2.0), ("c", 2.0, 4.0)], "g string, x double, y double")
     assert dict(rows_of(aggregates.pearson(df, "x", "y", ["g"]), ["g", "pearson"])) == {"a": None, "b": None, "c": 1.0}
