@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Files of a list that are one JSON text.
+MOST_LISTED = 100_000
+#: Stores whose addresses Arrow opens.
+OPENED = ("file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")
+
+
 def joined_sha256(*parts: Column) -> Column:
     """SHA-256 of the parts joined by newlines."""
     return F.sha2(F.concat_ws("\n", *parts), 256)
@@ -46,13 +52,55 @@ def ordered_digest(df: DataFrame, ordinal: str, columns: list[str], groups: list
     return buckets.groupBy(*groups).agg(F.sum("n").alias("n_rows"), F.sum("b").alias("n_buckets"), F.sha2(ordered("bucket"), 256).alias("digest"))
 
 
-def list_digest(df: DataFrame, groups: list[str], key: str, sha: str) -> DataFrame:
-    """Digest of a list of (path, sha) ordered by path, per group; one list is one JSON text (files of one artifact), long ones go to `ordered_digest`."""
+def list_digest(df: DataFrame, groups: list[str], key: str, sha: str, most: int = MOST_LISTED) -> DataFrame:
+    """Digest of a list of (path, sha) ordered by path, per group, as one JSON text, which is what makes it comparable elsewhere.
+
+    The text is one row, so a list longer than `most` has no such digest (null,
+    with its n_files): it is bound by `ordered_digest` over its ordinals, which
+    gathers no group.
+    """
+    sizes = df.groupBy(*groups).agg(F.count("*").alias("n_files"))
+    whole = df.join(sizes.filter(F.col("n_files") <= most), groups, "left_semi") if groups else df.crossJoin(sizes).filter(F.col("n_files") <= most)
     listed = F.to_json(F.array_sort(F.collect_list(F.struct(F.col(key).alias("path"), F.col(sha).alias("sha256")))))
-    return df.groupBy(*groups).agg(F.sha2(listed, 256).alias("digest"), F.count("*").alias("n_files"))
+    found = whole.groupBy(*groups).agg(F.sha2(listed, 256).alias("digest"), F.count("*").alias("_n"))
+    if groups:
+        return sizes.join(found.drop("_n"), groups, "left").select(*groups, "digest", "n_files")
+    return sizes.join(found, F.col("n_files") == F.col("_n"), "left").select("digest", "n_files")
+
 
+def file_digests(spark, path: str, chunk: int = 8 << 20) -> DataFrame:
+    """(path, length, sha256) of every file below a path, of any size.
 
-def file_digests(spark, path: str) -> DataFrame:
-    """(path, length, sha256) of every file below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    Files are listed by Spark and dealt over tasks by their own row; a task reads
+    each in ranges of `chunk` bytes, so it holds one range whatever the length.
+    An empty file has no row, as in every listing of Spark's.
+    Stores that Arrow cannot open by their address are read by Spark's own
+    reader, which takes files of up to 2 GB.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = listing.select("path", "length").withColumn("opens", F.lower(F.regexp_extract("path", "^([A-Za-z0-9+.-]+):", 1)).isin("", *OPENED))
+
+    def read(batches):  # all its parts are nested, so workers need no import of this package
+        import hashlib
+        import re
+        from urllib.parse import quote
+
+        import pandas as pd
+        from pyarrow import fs
+
+        for rows in batches:
+            digests = []
+            for name in rows["path"]:
+                address = re.sub("^s3a:", "s3:", re.sub("^file:/+", "file:///", name))
+                store, inner = fs.FileSystem.from_uri(quote(address, safe=":/@"))  # Spark lists names as they are
+                h = hashlib.sha256()
+                with store.open_input_file(inner) as f:
+                    while part := f.read(chunk):
+                        h.update(part)
+                digests.append(h.hexdigest())
+            yield pd.DataFrame({"path": rows["path"], "length": rows["length"], "sha256": digests})
+
+    if not files.filter("NOT opens").isEmpty():
+        return listing.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    dealt = files.select("path", "length").repartition(4 * spark.sparkContext.defaultParallelism, "path", "length")
+    return dealt.mapInPandas(read, "path string, length bigint, sha256 string")

@@ -379,13 +379,14 @@ def text_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return readers.text_csv(spark, path, ["event_id", "props", "note"])
 
 
-@query("SELECT s_suppkey AS id, s_nationkey AS n, 'supplier' AS tag FROM supplier UNION ALL SELECT c_custkey, c_nationkey, 'customer' FROM customer")
+@query("SELECT s_suppkey AS id, s_nationkey AS n, 'supplier' AS tag, TRUE AS bound FROM supplier UNION ALL SELECT c_custkey, c_nationkey, 'customer', TRUE FROM customer")
 def tagged_manifests(spark: SparkSession, sf: str) -> DataFrame:
-    """Several manifests in one read, each row with its file's tag."""
+    """Several manifests in one read, each row with its file's tag and digest."""
     base = scratch(spark)
     for name, key, nation in (("supplier", "s_suppkey", "s_nationkey"), ("customer", "c_custkey", "c_nationkey")):
         publish.write_csv(t(spark, sf, name).select(F.col(key).alias("id"), F.col(nation).alias("n")), f"{base}/{name}", ["id"])
-    return scan.load_tagged(spark, [f"{base}/supplier", f"{base}/customer"], "id bigint, n int", "/([a-z]+)/[^/]*$").select("id", "n", "tag")
+    rows = scan.load_tagged(spark, [f"{base}/supplier", f"{base}/customer"], "id bigint, n int", "/([a-z]+)/[^/]*$", digests=True)
+    return rows.select("id", "n", "tag", digests.is_sha256(F.col("sha256")).alias("bound"))
 
 
 @query("""

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.digests import file_digests
+
 
 def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, length, modified) below a root; contents are pruned, so nothing is read but the listing."""
@@ -33,8 +35,13 @@ def scan_all(spark: SparkSession, datasets: dict[str, dict[str, str]], pattern:
     return reduce(DataFrame.unionByName, [scan_dataset(spark, d, roots, pattern) for d, roots in datasets.items()])
 
 
-def load_tagged(spark: SparkSession, paths: list[str], schema: str, tag: str) -> DataFrame:
-    """One read of several CSV manifests; rows carry their file and the tag that the pattern finds in its path."""
+def load_tagged(spark: SparkSession, paths: list[str], schema: str, tag: str, digests: bool = False) -> DataFrame:
+    """One read of several CSV manifests; rows carry their file, the tag that the pattern finds in its path, and, with `digests`, the file's SHA-256."""
     rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(paths)
     file = F.col("_metadata.file_path")
-    return rows.select("*", file.alias("file"), F.regexp_extract(file, tag, 1).alias("tag"))
+    tagged = rows.select("*", file.alias("file"), F.regexp_extract(file, tag, 1).alias("tag"))
+    if not digests:
+        return tagged
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  the two listings write local paths differently
+    sums = reduce(DataFrame.unionByName, [file_digests(spark, p) for p in paths]).select(plain("path").alias("_f"), "sha256").distinct()
+    return tagged.withColumn("_f", plain("file")).join(sums, "_f", "left").drop("_f")

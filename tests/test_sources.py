@@ -73,3 +73,35 @@ def test_staged_tables_can_be_cleared(spark):
     publish.clear_staged(spark)
     with pytest.raises(Exception):
         spark.read.parquet(table.inputFiles()[0]).count()
+
+
+def test_digests_of_files_of_any_size(spark, tmp_path):
+    """A sparse file of 3 GB, which Spark's reader of whole files refuses, and one whose name needs escapes, in ranges of a megabyte."""
+    import hashlib
+
+    from pairlab.functions import digests
+
+    big, n = tmp_path / "big.bin", 3 * 1024**3
+    with open(big, "wb") as f:
+        f.truncate(n - 3)
+        f.seek(n - 3)
+        f.write(b"end")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b%20é.bin").write_bytes(b"xyz" * 1000)
+    want = hashlib.sha256()
+    zeros = bytes(1 << 20)
+    for _ in range((n - 3) // len(zeros)):
+        want.update(zeros)
+    want.update(bytes((n - 3) % len(zeros)) + b"end")
+    got = {r["path"].rsplit("/", 1)[1]: (r["length"], r["sha256"]) for r in digests.file_digests(spark, str(tmp_path), 1 << 20).collect()}
+    assert got.pop("big.bin") == (n, want.hexdigest())
+    assert list(got.values()) == [(3000, hashlib.sha256(b"xyz" * 1000).hexdigest())]
+
+
+def test_long_lists_have_no_single_text(spark):
+    from pairlab.functions import digests
+
+    df = spark.createDataFrame([("a", f"p{i}", "s") for i in range(5)] + [("b", "p", "s")], "g string, path string, sha string")
+    got = {r["g"]: r for r in digests.list_digest(df, ["g"], "path", "sha", most=3).collect()}
+    assert got["a"]["digest"] is None and got["a"]["n_files"] == 5 and got["b"]["digest"] and got["b"]["n_files"] == 1
+    assert digests.list_digest(df, [], "path", "sha", most=3).first()["digest"] is None and digests.list_digest(df, [], "path", "sha").first()["digest"]
