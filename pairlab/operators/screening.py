@@ -72,12 +72,26 @@ def operating_points(curve: DataFrame, groups: list[str], most_far: float = 0.01
 
 
 def operational(rows: DataFrame, points: DataFrame, groups: list[str], score: str, genuine: Column, ok: Column) -> DataFrame:
-    """Fail-closed rates at the chosen threshold: failed rows count in the denominator, never as accepted."""
+    """Fail-closed rates at the chosen threshold: failed rows count in the denominator, never as accepted.
+
+    A group without a successful genuine or impostor score has no curve and no
+    threshold: it stays, with its counts, no rates, and the `reason`.
+    """
     hit = F.coalesce(ok & (F.col(score) >= F.col("far_threshold")), F.lit(False))
-    joined = rows.join(points.select(*groups, "far_threshold"), groups)
-    return joined.groupBy(*groups).agg(
+    joined = rows.join(points.select(*groups, "far_threshold"), groups, "left")
+    found = joined.groupBy(*groups).agg(
         F.count_if(genuine).alias("genuine_requested"), F.count_if(genuine & ok).alias("genuine_successful"),
         F.count_if(~genuine).alias("impostor_requested"), F.count_if(~genuine & ok).alias("impostor_successful"),
-        F.try_divide(F.count_if(genuine & hit), F.count_if(genuine)).alias("operational_tar"),
-        F.try_divide(F.count_if(~genuine & hit), F.count_if(~genuine)).alias("operational_far"),
+        F.count_if(genuine & hit).alias("_g"), F.count_if(~genuine & hit).alias("_i"),
     )
+    reason = F.when(F.col("genuine_successful") == 0, "no_successful_genuine_score").when(F.col("impostor_successful") == 0, "no_successful_impostor_score")
+    rate = lambda n, of: F.when(F.col("reason").isNull(), F.try_divide(F.col(n), F.col(of)))
+    return found.withColumn("reason", reason).withColumns({"operational_tar": rate("_g", "genuine_requested"), "operational_far": rate("_i", "impostor_requested")}).drop("_g", "_i")
+
+
+def screened_summary(rows: DataFrame, groups: list[str], score: str, genuine: Column, ok: Column) -> DataFrame:
+    """AUC, operating points and fail-closed rates of every group, refused ones with their reason."""
+    hist = score_histogram(rows.filter(ok), groups, score, genuine)
+    points = operating_points(roc(hist, groups), groups)
+    rates = operational(rows, points, groups, score, genuine, ok)
+    return rates.join(auc(hist, groups), groups, "left").join(points, groups, "left")

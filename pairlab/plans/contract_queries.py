@@ -11,6 +11,7 @@ from ..functions import digests, keys, numbers
 from ..operators import cohort, contract, pairs, parity, records, sampling, scoring
 from ..sources import publish, readers, scan
 from .jobs import build_joint_protocol, build_protocol, score_features
+from .jobs import dataset_preflight as dataset_preflight_of
 from .jobs import protocol_checks as protocol_checks_of
 from .records_queries import A_SQL, B_SQL, ELIGIBLE_COHORT_SQL, GENUINE_SQL, HASH_SQL, LAST, PROTOCOL_SQL, SEED, STRATA, VERSION, K, genuine, side, t
 from .score_queries import PAIRS_SQL, next_pairs, point_set, scored
@@ -138,7 +139,7 @@ def bundle_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH d AS (SELECT DISTINCT o_orderstatus AS s, substring(o_orderpriority, 1, 1) AS k, 'm' || (o_custkey % 2) AS m, CASE WHEN substring(o_orderpriority, 1, 1) = '5' AND o_orderkey % 2 = 0 THEN 'c2' ELSE 'c1' END AS c FROM orders),
 f AS (SELECT *, 'dataset=' || s || '/kind=' || k || '/method=' || m || '/contract=v1/config=' || c AS folder, count(*) OVER (PARTITION BY s, k, m) AS n FROM d)
-SELECT folder, 'unknown_dataset' AS rule FROM f WHERE s = 'P' UNION ALL SELECT folder, 'unknown_kind' FROM f WHERE k = '4' UNION ALL SELECT folder, 'duplicate' FROM f WHERE n > 1 UNION ALL SELECT 'dataset=F/kind=1', 'misplaced'
+SELECT folder, 'unknown_dataset' AS rule FROM f WHERE s = 'P' UNION ALL SELECT folder, 'unknown_kind' FROM f WHERE k = '4' UNION ALL SELECT folder, 'duplicate' FROM f WHERE n > 1 UNION ALL SELECT 'dataset=F/kind=1', 'misplaced' UNION ALL SELECT 'dataset=F/kind=1/stray', 'misplaced'
 """)
 def bundle_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Bundles in a tree of five levels, and a walk of it that names misplaced, unknown and duplicate ones."""
@@ -150,7 +151,7 @@ def bundle_tree(spark: SparkSession, sf: str) -> DataFrame:
     publish.publish(o.repartition(*levels), path, lambda df: records.duplicate_values(df, ["o_orderkey"]), levels)
     o.filter("dataset = 'F'").limit(1).select("o_orderkey").write.parquet(f"{path}/dataset=F/kind=1/stray")
     spark.range(1).write.parquet(f"{path}/dataset=F/kind=1", mode="append")
-    folders = publish.bundle_folders(scan.scan_files(spark, path, "*.parquet"), path, levels).filter("folder <> 'dataset=F/kind=1/stray'")
+    folders = publish.bundle_folders(scan.scan_files(spark, path, "*.parquet"), path, levels)
     return publish.bundle_folder_faults(folders, levels, {"dataset": ["F", "O"], "kind": ["1", "2", "3", "5"]}, levels[:3])
 
 
@@ -445,7 +446,7 @@ def code_names(spark: SparkSession, sf: str) -> DataFrame:
 WITH {ELIGIBLE_COHORT_SQL}, n AS (SELECT stratum, count(*) AS n FROM {LAST} GROUP BY stratum),
 v AS (SELECT 'bijection' AS c, count(*) FILTER (WHERE n = 1) AS v FROM n UNION ALL SELECT 'ranks', count(*) FILTER (WHERE n <> {K}) FROM n
       UNION ALL SELECT 'same_identities', count(*) FROM {LAST} WHERE subject % 7 = 3 UNION ALL SELECT 'unique_ids', 4 * count(*) FROM {LAST} WHERE subject % 5 = 2 AND subject % 7 <> 3
-      UNION ALL SELECT 'self_sides', 2 * count(*) FROM {LAST} WHERE subject % 3 = 1)
+      UNION ALL SELECT 'self_sides', 2 * count(*) + 2 * count(*) FILTER (subject % 5 = 2 AND subject % 7 <> 3) FROM {LAST} WHERE subject % 3 = 1 UNION ALL SELECT 'no_result_dependency', 1)
 SELECT c AS "check", v AS violations, v = 0 AS holds FROM v
 """)
 def protocol_checks(spark: SparkSession, sf: str) -> DataFrame:
@@ -456,10 +457,51 @@ def protocol_checks(spark: SparkSession, sf: str) -> DataFrame:
     m = m.withColumn("capture_b", F.when((i % 3 == 1) & F.col("pair_kind").startswith("self"), -F.col("capture_b")).otherwise(F.col("capture_b")))
     m = m.filter(~((i % 7 == 3) & (F.col("pair_kind") == "genuine")))
     m = m.unionByName(m.filter((i % 5 == 2) & (i % 7 != 3)))
-    # a repeated row is one more self pair of other sides; sides are counted over the rows as built
-    sides = m.filter((i % 5 != 2) | (i % 7 == 3)).unionByName(m.filter((i % 5 == 2) & (i % 7 != 3)).distinct())
-    checks = protocol_checks_of(built["selected"], built["pairing"], m, K).filter("check <> 'self_sides'")
-    return checks.unionByName(protocol_checks_of(built["selected"], built["pairing"], sides, K).filter("check = 'self_sides'"))
+    known = built["protocol"].withColumn("method_references", F.array(F.lit("method-1")))
+    return protocol_checks_of(built["selected"], built["pairing"], m, K, known)
+
+
+@query(f"""
+WITH {ELIGIBLE_COHORT_SQL}, n AS (SELECT stratum, count(*) AS n FROM {LAST} GROUP BY stratum),
+v AS (SELECT 'bijection' AS c, count(*) FILTER (WHERE n = 1) AS v FROM n UNION ALL SELECT 'ranks', count(*) FILTER (WHERE n <> {K}) FROM n
+      UNION ALL SELECT unnest(['same_identities', 'unique_ids', 'self_sides', 'no_result_dependency', 'same_protocol']), 0)
+SELECT c AS "check", v AS violations, v = 0 AS holds, TRUE AS bound, 6::bigint AS n_artifacts FROM v
+""")
+def protocol_holds(spark: SparkSession, sf: str) -> DataFrame:
+    """The checks of a protocol as built, bound by its digest, which a second build repeats and another seed changes."""
+    sources = {s: side(spark, sf, s).select("subject", "stratum", "capture") for s in "FOP"}
+    one, two, other = (build_protocol(sources, "F", "O", STRATA, K, VERSION, seed, "tpch") for seed in (SEED, SEED, SEED + "x"))
+    sha = lambda b: b["protocol"].select("protocol_sha256", "n_artifacts")
+    found = sha(one).join(sha(two), ["protocol_sha256", "n_artifacts"]).join(sha(other).select("protocol_sha256"), "protocol_sha256", "left_anti")
+    bound = found.select(digests.is_sha256(F.col("protocol_sha256")).alias("bound"), "n_artifacts")
+    same = contract.flags(same_protocol=sha(one).exceptAll(found.select("protocol_sha256", "n_artifacts")))
+    return one["checks"].unionByName(same).crossJoin(bound)  # one row
+
+
+@query("""
+WITH o AS (SELECT 'base/' || o_orderstatus AS artifact, o_orderkey AS i FROM orders WHERE o_orderstatus <> 'P'), d AS (SELECT * FROM o WHERE i % 3 = 0),
+f AS (SELECT artifact, 'empty:path_b' AS rule, count(*) AS n FROM o WHERE i % 101 = 0 GROUP BY artifact
+UNION ALL SELECT artifact, 'repeated_id', count(*) FROM o WHERE i % 97 = 0 GROUP BY artifact
+UNION ALL SELECT 'base/O', 'digest_mismatch', 1 UNION ALL SELECT 'base/gone', 'extra_artifact', 1 UNION ALL SELECT 'base/F', 'outside_root', 1
+UNION ALL SELECT replace(artifact, 'base', 'derived'), 'outside_root', count(*) FROM d WHERE i % 53 = 0 GROUP BY ALL
+UNION ALL SELECT replace(artifact, 'base', 'derived'), 'missing_file', count(*) FILTER (WHERE i % 53 = 0 OR i % 59 = 0) FROM d GROUP BY ALL
+UNION ALL SELECT replace(artifact, 'base', 'derived'), 'not_in_base', count(*) FILTER (WHERE i % 53 = 0) FROM d GROUP BY ALL
+UNION ALL SELECT replace(artifact, 'base', 'derived'), 'empty_path', count(*) FROM d WHERE i % 101 = 0 GROUP BY ALL)
+SELECT artifact, rule, n AS violations FROM f WHERE n > 0
+""")
+def dataset_preflight(spark: SparkSession, sf: str) -> DataFrame:
+    """Base manifests, their stored digests and all derived paths against the files there are, with planted faults."""
+    i = F.col("o_orderkey")
+    o = t(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(i, F.concat(F.lit("base/"), "o_orderstatus").alias("artifact"))
+    path = lambda side: F.concat(F.lit("/data/"), "artifact", F.lit(f"/{side}"), i.cast("string"), F.lit(".png"))
+    base = o.select("artifact", i, i.cast("string").alias("pair_id"), path("a").alias("path_a"), F.when(i % 101 != 0, path("b")).alias("path_b"))
+    base = base.unionByName(base.filter(i % 97 == 0).withColumn("path_b", path("b")))
+    sums = digests.ordered_digest(base.dropDuplicates(["artifact", "o_orderkey"]), "o_orderkey", ["pair_id", "path_a"], ["artifact"]).select("artifact", F.col("digest").alias("sha256"))
+    held = sums.withColumns({"sha256": F.when(F.col("artifact") == "base/O", F.sha2("sha256", 256)).otherwise(F.col("sha256")), "path": F.concat(F.when(F.col("artifact") == "base/F", "/elsewhere/").otherwise("/data/"), "artifact")})
+    held = held.unionByName(spark.createDataFrame([("base/gone", "0" * 64, "/data/base/gone")], "artifact string, sha256 string, path string"))
+    derived = base.filter((i % 3 == 0)).dropDuplicates(["artifact", "o_orderkey"]).select(i, F.replace("artifact", F.lit("base"), F.lit("derived")).alias("artifact"), "pair_id", F.when(i % 53 == 0, "/data/../x.png").otherwise(F.col("path_a")).alias("path_a"), F.when(i % 101 != 0, path("b")).alias("path_b"))
+    files = o.select(F.explode(F.array(F.when(i % 59 != 0, path("a")), path("b"))).alias("path")).filter("path IS NOT NULL")
+    return dataset_preflight_of(base, held, sums, derived.drop("o_orderkey"), files, "/data", ["path_a", "path_b"])
 
 
 @query("""

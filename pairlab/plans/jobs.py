@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import digests, numbers, scores
 from ..functions.keys import logical_key, pair_id
 from ..operators import affine, aggregates, cohort, contract, matching, pairs, records, screening
+from ..sources import readers
 
 SIDES = ["capture"]
 
@@ -36,8 +37,8 @@ def _manifest(a: DataFrame, b: DataFrame, selected: DataFrame, pairing: DataFram
     )
 
 
-def protocol_checks(selected: DataFrame, pairing: DataFrame, manifest: DataFrame, k: int) -> DataFrame:
-    """The cohort's and the manifests' invariants as flags; a stored table may be held against them as well as a built one."""
+def protocol_checks(selected: DataFrame, pairing: DataFrame, manifest: DataFrame, k: int, protocol: DataFrame) -> DataFrame:
+    """The cohort's, the manifests' and the metadata's invariants as flags; stored tables may be held against them as well as built ones."""
     kind = lambda n: manifest.filter(F.col("pair_kind") == n).select(*KEYS).distinct()
     return contract.flags(
         bijection=cohort.bijection_report(pairing).filter("NOT is_bijection"),
@@ -45,9 +46,35 @@ def protocol_checks(selected: DataFrame, pairing: DataFrame, manifest: DataFrame
         same_identities=pairs.set_differences(kind("self_a"), kind("genuine")),
         unique_ids=records.duplicate_values(manifest, ["pair_id"]),
         self_sides=manifest.filter(F.col("pair_kind").isin("self_a", "self_b") & ~records.side_rule(F.col("capture_a"), F.col("capture_b"), same=True)),
+        no_result_dependency=protocol.filter("size(method_references) + size(score_references) + size(result_references) > 0"),
     )
 
 
+def dataset_preflight(base: DataFrame, stored: DataFrame, rebuilt: DataFrame, derived: DataFrame, files: DataFrame, root: str, columns: list[str]) -> DataFrame:
+    """(artifact, rule, violations) of every broken rule of a dataset, in one job; no row means that it may be run.
+
+    `base` are the rows of all base manifests (artifact, pair_id, `columns` with
+    path_a and path_b), `stored` what the protocol holds of them (artifact,
+    sha256, path), `rebuilt` their digests now, `derived` the rows of the derived
+    manifests (artifact, pair_id, path_a, path_b), `files` the paths that exist.
+    Base rows must have all cells and ids of their own, digests must hold, and a
+    derived path must lie under the root, exist, and be some base row's.
+    """
+    keyed = base.withColumn("_id", F.struct("artifact", "pair_id"))
+    rows = readers.manifest_faults(keyed, columns, "_id").select("_id.artifact", "rule")
+    sums = contract.preflight_faults(stored, rebuilt, F.lit(root))
+    sides = records.unpivot_sides(derived.select("artifact", "pair_id", "path_a", "path_b"), ["artifact", "pair_id"], ["path"])
+    known = records.unpivot_sides(base.select("artifact", "path_a", "path_b"), ["artifact"], ["path"]).select("path").distinct().withColumn("_base", F.lit(True))
+    there = files.select("path").distinct().withColumn("_file", F.lit(True))
+    met = sides.join(known, "path", "left").join(there, "path", "left")
+    rules = {
+        "empty_path": F.col("path").isNull(), "outside_root": F.col("path").isNotNull() & ~F.coalesce(records.under_root(F.col("path"), F.lit(root)), F.lit(False)),
+        "missing_file": F.col("path").isNotNull() & F.col("_file").isNull(), "not_in_base": F.col("path").isNotNull() & F.col("_base").isNull(),
+    }
+    paths = contract.row_faults(met, "artifact", rules)
+    return rows.unionByName(sums).unionByName(paths).groupBy("artifact", "rule").agg(F.count("*").alias("violations"))
+
+
 def build_joint_protocol(sources: dict[str, DataFrame], views: dict[str, tuple[str, str]], strata: list[str], k: int, version: str, seed: str) -> dict[str, DataFrame]:
     """Eligibility → selection → pairing → manifests of all datasets → digests.
 
@@ -75,7 +102,7 @@ def build_joint_protocol(sources: dict[str, DataFrame], views: dict[str, tuple[s
     core = {"artifacts": F.col("digest"), "version": F.lit(version), "seed": F.lit(seed), "cohort_size": F.lit(k * len(strata))}
     none = F.array().cast("array<string>")
     protocol = listed.select(F.col("n_files").alias("n_artifacts"), digests.config_digest(core).alias("protocol_sha256"), *[none.alias(f"{x}_references") for x in ("method", "score", "result")])
-    checks = protocol_checks(selected, pairing, manifest, k).unionByName(contract.flags(no_result_dependency=protocol.filter("size(method_references) + size(score_references) + size(result_references) > 0")))
+    checks = protocol_checks(selected, pairing, manifest, k, protocol)
     return {"selected": selected, "pairing": pairing, "manifest": manifest, "digests": sums, "artifacts": artifacts, "protocol": protocol, "checks": checks}
 
 
@@ -117,16 +144,15 @@ def group_summaries(results: DataFrame, groups: list[str]) -> DataFrame:
 def screening_report(results: DataFrame, method: str = "method", dataset: str = "dataset", kind: str = "pair_kind", view_a: str = "", view_b: str = "") -> dict[str, DataFrame]:
     """X11: group_summary, roc, screening and paired tables of result rows with a `pair_kind`.
 
-    `genuine` and `impostor` kinds are screened; `view_a` and `view_b` are the
+    `genuine` and `impostor` kinds are screened; a group without a successful
+    score of both is in the summary with its `reason` and has no curve; `view_a` and `view_b` are the
     dataset names compared pair by pair on the logical id.
     """
     groups = [method, dataset]
     rows = results.filter(F.col(kind).isin("genuine", "impostor")).withColumns({"_g": F.col(kind) == "genuine", "_ok": F.col("status") == "ok"})
     hist = screening.score_histogram(rows.filter("_ok"), groups, "raw_score", F.col("_g"))
     curve = screening.roc(hist, groups)
-    points = screening.operating_points(curve, groups)
-    rates = screening.operational(rows, points, groups, "raw_score", F.col("_g"), F.col("_ok"))
-    summary = screening.auc(hist, groups).join(points, groups).join(rates, groups)
+    summary = screening.screened_summary(rows, groups, "raw_score", F.col("_g"), F.col("_ok"))
     failed = lambda p: 1 - F.try_divide(F.col(f"{p}_successful"), F.col(f"{p}_requested"))
     summary = summary.withColumns({"genuine_failure_rate": failed("genuine"), "impostor_failure_rate": failed("impostor")})
     out = {"group_summary": group_summaries(results, [method, dataset, kind]), "roc": curve, "screening": summary}

@@ -146,7 +146,8 @@ def drop_volatile(spark: SparkSession, sf: str) -> DataFrame:
 # ---- screening: score n_chars, genuine is quality 1, group lang
 
 SCREEN_SQL = """
-r AS (SELECT lang, n_chars::double AS score, quality = 1 AS genuine, doc_id % 29 <> 0 AS ok FROM documents JOIN labels USING (doc_id)),
+l AS (SELECT doc_id, lang, n_chars::double AS score, quality = 1 AS genuine, doc_id % 29 <> 0 AS ok FROM documents JOIN labels USING (doc_id)),
+r AS (SELECT lang, score, genuine, ok FROM l UNION ALL SELECT 'genuine only', score, genuine, ok FROM l WHERE genuine UNION ALL SELECT 'all failed', score, genuine, FALSE FROM l),
 h AS (SELECT lang, score, count(*) FILTER (WHERE genuine) AS g, count(*) FILTER (WHERE NOT genuine) AS i FROM r WHERE ok GROUP BY ALL),
 n AS (SELECT lang, sum(g) AS ng, sum(i) AS ni, max(score) AS top FROM h GROUP BY lang HAVING sum(g) > 0 AND sum(i) > 0),
 c AS (SELECT lang, score AS threshold, (sum(i) OVER w / ni)::double AS far, (sum(g) OVER w / ng)::double AS tar FROM h JOIN n USING (lang) WINDOW w AS (PARTITION BY lang ORDER BY score DESC)
@@ -157,7 +158,9 @@ c AS (SELECT lang, score AS threshold, (sum(i) OVER w / ni)::double AS far, (sum
 def screened(spark: SparkSession, sf: str) -> DataFrame:
     d = t(spark, sf, "documents").select("doc_id", "lang", F.col("n_chars").cast("double").alias("score"))
     rows = d.join(t(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    return rows.select("lang", "score", (F.col("quality") == 1).alias("genuine"), (F.col("doc_id") % 29 != 0).alias("ok"))
+    rows = rows.select("lang", "score", (F.col("quality") == 1).alias("genuine"), (F.col("doc_id") % 29 != 0).alias("ok"))
+    refused = [rows.filter("genuine").withColumn("lang", F.lit("genuine only")), rows.withColumns({"lang": F.lit("all failed"), "ok": F.lit(False)})]
+    return rows.unionByName(refused[0]).unionByName(refused[1])
 
 
 @query(f"WITH {SCREEN_SQL} SELECT lang, threshold, round(far, 9) AS far, round(tar, 9) AS tar FROM c")
@@ -174,19 +177,16 @@ e AS (SELECT lang, (far + 1 - tar) / 2 AS eer, threshold AS eer_threshold FROM (
 b AS (SELECT lang, tar AS tar_at_far, far AS actual_far, threshold AS far_threshold FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY tar DESC, far DESC, threshold) AS k FROM c WHERE far <= 0.01) WHERE k = 1),
 o AS (SELECT lang, count(*) FILTER (WHERE genuine) AS genuine_requested, count(*) FILTER (WHERE genuine AND ok) AS genuine_successful, count(*) FILTER (WHERE NOT genuine) AS impostor_requested,
       count(*) FILTER (WHERE NOT genuine AND ok) AS impostor_successful, count(*) FILTER (WHERE genuine AND ok AND score >= far_threshold) / count(*) FILTER (WHERE genuine) AS operational_tar,
-      count(*) FILTER (WHERE NOT genuine AND ok AND score >= far_threshold) / count(*) FILTER (WHERE NOT genuine) AS operational_far FROM r JOIN b USING (lang) GROUP BY lang)
+      CASE WHEN count(*) FILTER (WHERE NOT genuine) > 0 THEN count(*) FILTER (WHERE NOT genuine AND ok AND score >= far_threshold) / count(*) FILTER (WHERE NOT genuine) END AS operational_far FROM r LEFT JOIN b USING (lang) GROUP BY lang),
+q AS (SELECT lang, CASE WHEN genuine_successful = 0 THEN 'no_successful_genuine_score' WHEN impostor_successful = 0 THEN 'no_successful_impostor_score' END AS reason FROM o)
 SELECT lang, round(auc, 9)::double AS auc, round(eer, 9)::double AS eer, eer_threshold, round(tar_at_far, 9)::double AS tar_at_far, round(actual_far, 9)::double AS actual_far, far_threshold,
-       genuine_requested, genuine_successful, impostor_requested, impostor_successful, round(operational_tar, 9)::double AS operational_tar, round(operational_far, 9)::double AS operational_far
-FROM a JOIN e USING (lang) JOIN b USING (lang) JOIN o USING (lang)
+       genuine_requested, genuine_successful, impostor_requested, impostor_successful, CASE WHEN reason IS NULL THEN round(operational_tar, 9)::double END AS operational_tar, CASE WHEN reason IS NULL THEN round(operational_far, 9)::double END AS operational_far, reason
+FROM o JOIN q USING (lang) LEFT JOIN (SELECT a.* FROM a JOIN n USING (lang)) a USING (lang) LEFT JOIN e USING (lang) LEFT JOIN b USING (lang)
 """)
 def screening_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """A19, W12, W13, W14."""
-    rows = screened(spark, sf)
-    hist = screening.score_histogram(rows.filter("ok"), ["lang"], "score", F.col("genuine"))
-    points = screening.operating_points(screening.roc(hist, ["lang"]), ["lang"])
-    rates = screening.operational(rows, points, ["lang"], "score", F.col("genuine"), F.col("ok"))
-    out = screening.auc(hist, ["lang"]).join(points, "lang").join(rates, "lang")
-    exact = {"lang", "eer_threshold", "far_threshold", "genuine_requested", "genuine_successful", "impostor_requested", "impostor_successful"}
+    """With a group of genuine rows alone and one where all failed, which keep their counts and a reason."""
+    out = screening.screened_summary(screened(spark, sf), ["lang"], "score", F.col("genuine"), F.col("ok"))
+    exact = {"lang", "eer_threshold", "far_threshold", "genuine_requested", "genuine_successful", "impostor_requested", "impostor_successful", "reason"}
     return out.select(*[c if c in exact else F.round(c, 9).alias(c) for c in out.columns])
 
 
