@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import finite
+from ..sources.publish import staged
 from .selection import summaries
 
 #: Codes that a histogram text lists at most.
@@ -18,10 +19,29 @@ def zero_filled(df: DataFrame, domain: DataFrame, keys: list[str], name: str = "
     return domain.join(counts, keys, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+def distinct_bits(df: DataFrame, groups: list[str], column: str) -> DataFrame:
+    """(groups, bucket, bits, rows): the distinct integers of a column as bitmaps of 32,768, which merge over any coarser grouping."""
+    x = F.col(column).cast("bigint")
+    return df.groupBy(*groups, F.bitmap_bucket_number(x).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits"), F.count("*").alias("rows"))
+
+
 def totals(df: DataFrame, group: str, distinct: str) -> DataFrame:
-    """A4: per group and grand total; distinct values are counted anew for the total, not summed."""
-    sets = df.groupingSets([[F.col(group)], []], group).agg(F.count("*").alias("rows"), F.count_distinct(distinct).alias("subjects"), F.grouping(group).alias("_g"))
-    return sets.select(F.when(F.col("_g") == 1, "total").otherwise(F.col(group)).alias(group), "rows", "subjects")
+    """A4: per group and grand total; distinct values are counted anew for the total, not summed.
+
+    Integers are counted by bitmaps, made once per group and merged for the
+    total; other values once per group and value.
+    """
+    whole = F.lit("total").alias(group)
+    name = F.col(group).cast("string").alias(group)
+    if dict(df.dtypes)[distinct] in ("tinyint", "smallint", "int", "bigint"):
+        bits = staged(distinct_bits(df, [group], distinct))
+        counted = lambda x, *by: x.groupBy(*by).agg(F.sum("rows").alias("rows"), F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("subjects"))
+        merged = bits.groupBy("bucket").agg(F.sum("rows").alias("rows"), F.bitmap_or_agg("bits").alias("bits"))
+        return counted(bits, group).select(name, "rows", "subjects").unionByName(counted(merged).select(whole, F.coalesce("rows", F.lit(0)).alias("rows"), "subjects"))
+    pairs = staged(df.groupBy(group, distinct).agg(F.count("*").alias("rows")))
+    counted = lambda x, *by: x.groupBy(*by).agg(F.sum("rows").alias("rows"), F.count(distinct).alias("subjects"))
+    values = pairs.groupBy(distinct).agg(F.sum("rows").alias("rows"))
+    return counted(pairs, group).select(name, "rows", "subjects").unionByName(counted(values).select(whole, F.coalesce("rows", F.lit(0)).alias("rows"), "subjects"))
 
 
 def simple_summary(df: DataFrame, groups: list[str], metrics: dict[str, Column]) -> DataFrame:

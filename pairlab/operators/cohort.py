@@ -84,6 +84,9 @@ def bijection_report(pairing: DataFrame, stratum: str = "stratum") -> DataFrame:
 
 def cohort_faults(cohort: DataFrame, k: int, stratum: str = "stratum", subject: str = "subject") -> DataFrame:
     """Per stratum size, distinct subjects, and whether the ranks are exactly 1..k."""
-    n = F.count_distinct("selection_rank")
-    exact = (F.min("selection_rank") == 1) & (F.max("selection_rank") == k) & (n == k) & (F.count("*") == k)
-    return cohort.groupBy(stratum).agg(F.count("*").alias("rows"), F.count_distinct(subject).alias("subjects"), exact.alias("ranks_exact"))
+    rank = F.col("selection_rank").cast("bigint")
+    bits = cohort.groupBy(stratum, F.bitmap_bucket_number(rank).alias("_b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(rank)).alias("_m"), F.min(rank).alias("_lo"), F.max(rank).alias("_hi"), F.count("*").alias("_n"))
+    exact = (F.min("_lo") == 1) & (F.max("_hi") == k) & (F.sum(F.bitmap_count("_m")) == k) & (F.sum("_n") == k)
+    ranks = bits.groupBy(stratum).agg(F.sum("_n").alias("rows"), exact.alias("ranks_exact"))
+    subjects = cohort.groupBy(stratum, subject).agg(F.lit(1)).groupBy(stratum).agg(F.count(subject).alias("subjects"))
+    return ranks.join(subjects, stratum).select(stratum, "rows", "subjects", "ranks_exact")

@@ -287,6 +287,17 @@ def test_strata_choose_at_once_as_in_turn(spark, monkeypatch, n, share, k):
     assert len(rounds) <= 12
 
 
+def test_distinct_totals_by_bitmaps(spark):
+    """Negative, large and repeated integers, null ones and texts; no row is multiplied for the total."""
+    rows = [("a", 1), ("a", 1), ("a", 32768), ("b", 32769), ("b", -5), ("b", 5), ("b", 1), ("c", None), (None, 10**12)]
+    df = frame(spark, rows, "g string, s bigint")
+    want = [("a", 3, 2), ("b", 4, 4), ("c", 1, 0), ("total", 9, 6), (None, 1, 1)]
+    for d in (df, df.withColumn("s", F.col("s").cast("string"))):
+        out = aggregates.totals(d, "g", "s")
+        assert rows_of(out, ["g", "rows", "subjects"]) == sorted(want, key=repr)
+        assert "Expand" not in out._jdf.queryExecution().toString()
+
+
 def test_constant_column_has_no_correlation(spark):
     df = frame(spark, [("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 1.0), ("c", 1.0, 2.0), ("c", 2.0, 4.0)], "g string, x double, y double")
     assert dict(rows_of(aggregates.pearson(df, "x", "y", ["g"]), ["g", "pearson"])) == {"a": None, "b": None, "c": 1.0}

@@ -105,3 +105,31 @@ def test_long_lists_have_no_single_text(spark):
     got = {r["g"]: r for r in digests.list_digest(df, ["g"], "path", "sha", most=3).collect()}
     assert got["a"]["digest"] is None and got["a"]["n_files"] == 5 and got["b"]["digest"] and got["b"]["n_files"] == 1
     assert digests.list_digest(df, [], "path", "sha", most=3).first()["digest"] is None and digests.list_digest(df, [], "path", "sha").first()["digest"]
+
+
+def test_quoted_csv_in_splits(spark, tmp_path):
+    """Splits cut records anywhere, in and before quoted newlines and quotes: the same rows as the whole file, by several tasks."""
+    import csv
+    import random
+
+    r = random.Random(4)
+    cells = ["plain", "a,b", 'say "hi"', "two\nlines", "\n\n", '"\n"', ",\n,", "é" * 30, "x" * 300, '""', "end\n"]
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    rows = [(str(i), r.choice(cells), r.choice(cells)) for i in range(900)]
+    for k, end in enumerate(("\n", "\r\n")):
+        with open(folder / f"part{k}.csv", "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator=end)
+            w.writerows([("id", "a", "b"), *rows[450 * k : 450 * (k + 1)]])
+    (folder / "none.csv").write_text("id,a,b\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert readers.quoted_records(spark, str(folder)).select("block").distinct().count() > 20
+        got = readers.text_csv(spark, str(folder), ["id", "a", "b"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(map(tuple, got), key=lambda x: int(x[0])) == rows
+    with pytest.raises(ValueError):
+        readers.text_csv(spark, str(folder), ["id", "b", "a"])
