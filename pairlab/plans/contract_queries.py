@@ -53,6 +53,21 @@ def json_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("p_partkey", "p_brand", "p_size", F.size(F.from_json("tags", "array<string>")).alias("n_tags"))
 
 
+@query("SELECT o_orderstatus, count(*) AS rows, sum(o_custkey)::bigint AS keys, 2::bigint AS refused FROM orders GROUP BY o_orderstatus")
+def committed_table(spark: SparkSession, sf: str) -> DataFrame:
+    """S9-S11 without renames: a table beside the files of a killed writer, and two further writers that are refused, one for a broken rule."""
+    o = t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    path, unique = scratch(spark), lambda df: records.duplicate_values(df, ["o_orderkey"])
+    o.limit(5).write.parquet(f"{path}/data-killed")
+    refused = 0
+    for df in (o.unionByName(o.limit(1)), o, o.limit(3)):
+        try:
+            publish.commit_table(df, path, unique)
+        except publish.PublishError:
+            refused += 1
+    return publish.live_table(spark, path).groupBy("o_orderstatus").agg(F.count("*").alias("rows"), F.sum("o_custkey").alias("keys")).withColumn("refused", F.lit(refused).cast("bigint"))
+
+
 @query("""
 SELECT o_orderstatus, count(*) AS rows, count(*) FILTER (WHERE o_orderkey % 89 <> 0) AS rebuilt,
        count(*) FILTER (WHERE o_orderkey % 89 = 0) + 2 * count(*) FILTER (WHERE o_orderkey % 89 <> 0 AND o_orderkey % 97 = 0) AS differences FROM orders GROUP BY o_orderstatus

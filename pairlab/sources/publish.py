@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 class PublishError(RuntimeError):
@@ -31,23 +35,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_RUNS: list[str] = []
+class _Runs(threading.local):
+    """The runs that this thread is in: jobs in other threads stage elsewhere."""
+
+    def __init__(self):
+        self.names: list[str] = []
+
+
+_RUNS = _Runs()
 
 
 def staging_dir(spark: SparkSession) -> str:
     """This application's part of the shared folder, or that of the run in hand."""
-    return "/".join([shared_dir(spark), spark.sparkContext.applicationId, *_RUNS])
+    return "/".join([shared_dir(spark), spark.sparkContext.applicationId, *_RUNS.names])
 
 
 @contextmanager
 def staging_run(spark: SparkSession):
     """Tables staged inside go to a folder of their own, removed at the end; results must be written before."""
-    _RUNS.append(f"run-{uuid.uuid4().hex}")
+    _RUNS.names.append(f"run-{uuid.uuid4().hex}")
     fs, path = _fs(spark, staging_dir(spark))
     try:
         yield path.toString()
     finally:
-        _RUNS.pop()
+        _RUNS.names.pop()
         fs.delete(path, True)
 
 
@@ -140,6 +151,68 @@ def publish_or_reuse(df: DataFrame, path: str, checks: Callable[[DataFrame], Dat
     return stored
 
 
+_LIVE = "live.json"
+
+
+def commit_table(df: DataFrame, path: str, checks: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """S9-S11 for stores that do not rename atomically: nothing moves, a manifest names the files that live.
+
+    Data go to a folder of their own below `path`, are read back and checked,
+    and one small file, created only if there is none, makes them the table.  A
+    writer that is killed leaves files that no manifest names; of writers that
+    race one creates the manifest, and the others take their own files away.
+    """
+    spark = df.sparkSession
+    fs, live = _fs(spark, f"{path}/{_LIVE}")
+    if fs.exists(live):
+        raise PublishError(f"already published: {path}")
+    folder = f"{path}/data-{uuid.uuid4().hex}"
+    _, own = _fs(spark, folder)
+    try:
+        df.write.parquet(folder)
+        faults = checks(spark.read.schema(df.schema).parquet(folder)).limit(5).collect()  # five rows for the message
+        if faults:
+            raise PublishError(f"candidate broke rules: {[r.asDict() for r in faults]}")
+        files = sorted((f.getPath().getName(), f.getLen()) for f in fs.listStatus(own) if f.getPath().getName().startswith("part-"))
+        named = {"folder": own.getName(), "schema": df.schema.jsonValue(), "files": [{"name": n, "length": k} for n, k in files]}
+        _create(fs, live, json.dumps(named), path)
+    except BaseException:
+        fs.delete(own, True)
+        raise
+    return live_table(spark, path)
+
+
+def _create(fs, target, text: str, path: str) -> None:
+    """A file that must not be there yet."""
+    try:
+        out = fs.create(target, False)
+    except Py4JJavaError as e:
+        if fs.exists(target):
+            raise PublishError(f"already published: {path}") from e
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def live_table(spark: SparkSession, path: str) -> DataFrame:
+    """What `commit_table` published: exactly the files that the manifest names, each of its length."""
+    fs, live = _fs(spark, f"{path}/{_LIVE}")
+    if not fs.exists(live):
+        raise PublishError(f"nothing is published: {path}")
+    text = "\n".join(r[0] for r in spark.read.option("wholetext", True).text(live.toString()).collect())  # one small file
+    try:
+        named = json.loads(text)
+    except ValueError as e:
+        raise PublishError(f"the manifest is not whole: {path}") from e
+    schema = StructType.fromJson(named["schema"])
+    _, own = _fs(spark, f"{path}/{named['folder']}")
+    there = {f.getPath().getName(): f.getLen() for f in fs.listStatus(own)}
+    lost = [f["name"] for f in named["files"] if there.get(f["name"]) != f["length"]]
+    if lost:
+        raise PublishError(f"files of {path} are missing or changed: {lost[:5]}")
+    return spark.read.schema(schema).parquet(*[f"{own.toString()}/{f['name']}" for f in named["files"]]) if named["files"] else spark.createDataFrame([], schema)
+
+
 def pending_runs(requested: DataFrame, published: DataFrame, keys: list[str]) -> DataFrame:
     """Requested runs that are not published."""
     return requested.join(published.select(*keys).distinct(), keys, "left_anti")

@@ -133,3 +133,62 @@ def test_quoted_csv_in_splits(spark, tmp_path):
     assert sorted(map(tuple, got), key=lambda x: int(x[0])) == rows
     with pytest.raises(ValueError):
         readers.text_csv(spark, str(folder), ["id", "b", "a"])
+
+
+def test_commits_need_no_rename(spark, tmp_path):
+    """A killed writer leaves nothing that is read; of two that race one whole table is left; lost files are named."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    fine = lambda df: df.limit(0)
+    path = str(tmp_path / "t")
+    with pytest.raises(RuntimeError, match="killed"):
+
+        def killed(df):
+            raise RuntimeError("killed")
+
+        publish.commit_table(spark.range(5), path, killed)
+    spark.range(7).write.parquet(f"{path}/data-dead")  # as a writer leaves it that could not clean up
+    with pytest.raises(publish.PublishError, match="nothing"):
+        publish.live_table(spark, path)
+    gate = Barrier(2)
+
+    def race(k):
+        def wait(df):
+            gate.wait(60)
+            return df.limit(0)
+
+        try:
+            return publish.commit_table(spark.range(1000 * k, 1000 * k + 100), path, wait).count()
+        except publish.PublishError as e:
+            return str(e)
+
+    with ThreadPoolExecutor(2) as pool:
+        got = list(pool.map(race, (1, 2)))
+    assert sorted(map(str, got))[0] == "100" and sum("already" in str(x) for x in got) == 1
+    rows = sorted(r[0] for r in publish.live_table(spark, path).collect())
+    assert rows in ([*range(1000, 1100)], [*range(2000, 2100)])
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("data-") and p.name != "data-dead"]) == 1
+    assert publish.commit_table(spark.range(0), str(tmp_path / "e"), fine).count() == 0
+    part = next((tmp_path / "t").glob("data-[!d]*/part-*"))
+    part.unlink()
+    with pytest.raises(publish.PublishError, match="missing"):
+        publish.live_table(spark, path)
+
+
+def test_runs_of_threads_stage_apart(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    gate = Barrier(2)
+
+    def run(_):
+        with publish.staging_run(spark) as own:
+            gate.wait(60)
+            found = publish.staged(spark.range(3)).inputFiles()[0]
+            gate.wait(60)
+            return own, found
+
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(run, range(2))
+    assert one[0] != two[0] and one[0].rsplit("/", 1)[1] in one[1] and two[0].rsplit("/", 1)[1] in two[1]
