@@ -4,9 +4,10 @@ Hypotheses are 2-point (partial, four degrees of freedom) or 3-point (full)
 samples of a pair's matches.  Samples are drawn by a hash of the pair and the
 draw's number, as many distinct ones as are asked for or there are, so runs
 agree for any partitioning; degenerate ones are dropped.
-Every hypothesis is joined to its pair's matches, inliers are counted, the best
-hypothesis (most inliers, then least residual sum) is refined by least squares
-over its inliers from sums alone.
+Hypotheses are joined to their pair's matches and inliers are counted.  A pair
+of many matches tries all of them on a part of its matches, drawn by a hash, and
+only those that do best there on all.  The best hypothesis (most inliers, then
+least residual sum) is refined by least squares over its inliers from sums alone.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.publish import staged
 from .aggregates import residual_summary
 
 MODEL = ["a", "b", "tx", "c", "d", "ty"]
+#: Matches from which a pair tries hypotheses on a part first, the part's share, and the hypotheses that go on (and those that tie with the last).
+MANY, PART, GO_ON = 2048, 32, 8
 
 
 def _partial(p: list[Column]) -> list[Column]:
@@ -75,6 +79,24 @@ def drawn_samples(sizes: DataFrame, size: int, hypotheses: int) -> DataFrame:
     return samples.select("pair", *[F.col(f"k{i}").cast("int").alias(f"k{i}") for i in range(size)])
 
 
+def tried(fits: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
+    """(pair, h, model, hits, sum_r) of every hypothesis over the points that are given."""
+    near = F.when(F.col("r") <= threshold, F.col("r"))
+    judged = fits.join(points, "pair", "left").withColumn("r", _residual())
+    return judged.groupBy("pair", "h", *MODEL).agg(F.count(near).alias("hits"), F.coalesce(F.sum(near), F.lit(0.0)).alias("sum_r"))
+
+
+def part_of(points: DataFrame) -> DataFrame:
+    """The points (pair, idx, n, …) that hypotheses are tried on first: all of a small pair's."""
+    return points.filter((F.col("n") < MANY) | (F.pmod(F.xxhash64("pair", "idx"), F.lit(PART)) == 0))
+
+
+def going_on(first: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The hypotheses of large pairs that did best on the part."""
+    best = F.rank().over(Window.partitionBy("pair").orderBy(F.desc("hits")))
+    return first.join(sizes.filter(F.col("n") >= MANY).select("pair"), "pair", "left_semi").withColumn("_r", best).filter(F.col("_r") <= GO_ON).select("pair", "h", *MODEL)
+
+
 def robust_affine(matches: DataFrame, pair: str = "pair", model: str = "partial", threshold: float = 3.0, hypotheses: int = 200, least: int = 3) -> DataFrame:
     """K3-K5: one row per pair of `matches` (pair, idx, x, y, u, v).
 
@@ -85,8 +107,8 @@ def robust_affine(matches: DataFrame, pair: str = "pair", model: str = "partial"
     numbered = matches.select(F.col(pair).alias("pair"), "idx", *[F.col(c).cast("double").alias(c) for c in "xyuv"])
     counts = numbered.groupBy("pair").agg(F.count("*").alias("n"))
     enough = counts.filter(F.col("n") >= least).select("pair", "n")
-    points = numbered.join(enough.select("pair"), "pair")
-    ranked = points.withColumn("k", F.row_number().over(Window.partitionBy("pair").orderBy("idx")) - 1)
+    points = numbered.join(enough, "pair")
+    ranked = points.drop("n").withColumn("k", F.row_number().over(Window.partitionBy("pair").orderBy("idx")) - 1)
     samples = drawn_samples(enough, size, hypotheses)
     for i in range(size):
         side = ranked.select("pair", F.col("k").alias(f"k{i}"), *[F.col(c).alias(f"{c}{i}") for c in "xyuv"])
@@ -94,9 +116,12 @@ def robust_affine(matches: DataFrame, pair: str = "pair", model: str = "partial"
     p = [F.col(f"{c}{i}") for i in range(size) for c in "xyuv"]
     made = (_partial if size == 2 else _full)(p)
     fits = samples.select("pair", F.concat_ws("-", *[f"k{i}" for i in range(size)]).alias("h"), *[c.alias(m) for c, m in zip(made, MODEL)]).filter(F.col("a").isNotNull())
-    judged = fits.join(points, "pair").withColumn("r", _residual())
-    near = F.when(F.col("r") <= threshold, F.col("r"))
-    scored = judged.groupBy("pair", "h", *MODEL).agg(F.count(near).alias("hits"), F.coalesce(F.sum(near), F.lit(0.0)).alias("sum_r"))
+    first = tried(fits, part_of(points), threshold)
+    if not enough.filter(F.col("n") >= MANY).isEmpty():
+        first = staged(first)
+        small = first.join(enough.filter(F.col("n") < MANY).select("pair"), "pair", "left_semi")
+        first = small.unionByName(tried(going_on(first, enough), points, threshold))
+    scored = first
     best = scored.groupBy("pair").agg(F.max_by(F.struct(*MODEL), F.struct("hits", -F.col("sum_r"), "h")).alias("m")).select("pair", "m.*")
     inliers = points.join(best, "pair").withColumn("r", _residual()).filter(F.col("r") <= threshold)
     refined = _refit(inliers, size == 2).select("pair", *[F.col(f"_{m}").alias(m) for m in MODEL])

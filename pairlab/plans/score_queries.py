@@ -603,16 +603,25 @@ def config_digests(spark: SparkSession, sf: str) -> DataFrame:
     return listed.join(p.groupBy("p_type").agg(F.bool_and(digests.is_sha256(F.col("sha"))).alias("well_formed")), "p_type").select("p_type", "n_files", "digest", "well_formed")
 
 
+@query("SELECT o_orderstatus, CASE WHEN o_custkey % 50 = 3 THEN 'other' ELSE 'c' || o_custkey END AS code, count(*) AS n FROM orders GROUP BY ALL")
+def code_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Every code of large vocabularies, with one that is named `other`."""
+    o = t(spark, sf, "orders").withColumn("code", F.when(F.col("o_custkey") % 50 == 3, "other").otherwise(F.concat(F.lit("c"), F.col("o_custkey").cast("string"))))
+    return aggregates.code_counts(o, ["o_orderstatus"], "code")
+
+
 @query("""
 SELECT l_returnflag AS file, count(*) AS rows, count(*) FILTER (WHERE l_linestatus = 'F') AS "n_F", count(*) FILTER (WHERE l_linestatus = 'O') AS "n_O",
        min(l_extendedprice) AS score_min, max(l_extendedprice) AS score_max, round(avg(l_extendedprice), 6) AS score_mean, round(median(l_extendedprice), 6) AS score_median,
-       median(l_quantity) AS l_quantity_median, quantile_disc(l_quantity, 0.95) AS l_quantity_p95, round(median(l_discount), 6) AS l_discount_median, quantile_disc(l_discount, 0.95) AS l_discount_p95
+       median(l_quantity) AS l_quantity_median, quantile_disc(l_quantity, 0.95) AS l_quantity_p95, round(median(l_discount), 6) AS l_discount_median, quantile_disc(l_discount, 0.95) AS l_discount_p95,
+       CASE WHEN l_returnflag <> 'N' THEN sha256('result ' || l_returnflag) END AS sha256
 FROM lineitem GROUP BY l_returnflag
 """)
 def file_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    """Score and timing summaries in one pass, one row a file."""
+    """Score and timing summaries and digests, one row a file; one file has no digest."""
     li = t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("file"), F.col("l_linestatus").alias("status"), F.col("l_extendedprice").alias("raw_score"), "l_quantity", "l_discount")
-    out = aggregates.file_summary(li, "file", ["l_quantity", "l_discount"], ["F", "O"])
+    files = li.select("file").distinct().filter("file <> 'N'").withColumn("sha256", F.sha2(F.concat(F.lit("result "), "file"), 256))
+    out = aggregates.file_summary(li, "file", ["l_quantity", "l_discount"], ["F", "O"], files)
     return out.withColumns({c: F.round(c, 6) for c in ("score_mean", "score_median", "l_discount_median")})
 
 

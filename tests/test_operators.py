@@ -298,6 +298,30 @@ def test_distinct_totals_by_bitmaps(spark):
         assert "Expand" not in out._jdf.queryExecution().toString()
 
 
+def test_large_pairs_try_a_part_first(spark):
+    """4,000 matches, a third of them outliers: the transform is found, and a tenth of the tests are made; a small pair beside it is as before."""
+    r = random.Random(9)
+    true = (1.02, -0.2, 11.0, 0.2, 1.02, -7.0)
+    rows = []
+    for pair, n in (("big", 4000), ("small", 60)):
+        for i in range(n):
+            x, y = r.uniform(0, 400), r.uniform(0, 400)
+            u, v = true[0] * x + true[1] * y + true[2] + r.gauss(0, 0.3), true[3] * x + true[4] * y + true[5] + r.gauss(0, 0.3)
+            rows.append((pair, i, x, y, *((u, v) if i % 3 else (r.uniform(0, 400), r.uniform(0, 400)))))
+    df = frame(spark, rows, "pair string, idx int, x double, y double, u double, v double").repartition(3)
+    got = {g["pair"]: g for g in affine.robust_affine(df).collect()}
+    for pair, n in (("big", 4000), ("small", 60)):
+        assert abs(got[pair]["inliers"] - n * 2 / 3) < 0.02 * n + 2
+        assert all(abs(got[pair][m] - t) < e for m, t, e in zip(affine.MODEL, true, (0.01, 0.01, 1, 0.01, 0.01, 1)))
+    sizes = df.groupBy("pair").agg(F.count("*").alias("n"))
+    part = affine.part_of(df.join(sizes, "pair")).groupBy("pair").count().collect()
+    part = {p["pair"]: p["count"] for p in part}
+    hypotheses = df.select("pair").distinct().crossJoin(spark.range(200).selectExpr("string(id) AS h", "id AS hits")).selectExpr("pair", "h", *[f"0.0 AS {m}" for m in affine.MODEL], "hits")
+    rest = affine.going_on(hypotheses, sizes).groupBy("pair").count().collect()
+    assert part["small"] == 60 and [(p["pair"], p["count"]) for p in rest] == [("big", affine.GO_ON)]
+    assert 200 * part["big"] + affine.GO_ON * 4000 < 200 * 4000 / 10
+
+
 def test_constant_column_has_no_correlation(spark):
     df = frame(spark, [("a", 1.0, 2.0), ("a", 1.0, 3.0), ("b", 1.0, 1.0), ("c", 1.0, 2.0), ("c", 2.0, 4.0)], "g string, x double, y double")
     assert dict(rows_of(aggregates.pearson(df, "x", "y", ["g"]), ["g", "pearson"])) == {"a": None, "b": None, "c": 1.0}
