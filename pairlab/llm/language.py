@@ -69,14 +69,23 @@ def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 100)
 
 
 def families(means: dict[str, np.ndarray]) -> list[list[str]]:
-    """Languages in about √n groups: the two groups of the nearest means (by their average cosine) join first."""
+    """Languages in about √n groups: the two groups of the nearest means (by their average cosine) join first.
+
+    No group grows beyond 2·√n languages, so there are at most some n^1.5 pairs
+    to tell apart, however the means lie; groups that may not join stay apart.
+    """
     groups = [[s] for s in sorted(means)]
     unit = {s: v / (np.linalg.norm(v) or 1.0) for s, v in means.items()}
-    while len(groups) > ceil(len(means) ** 0.5):
+    root = ceil(len(means) ** 0.5)
+    while len(groups) > root:
         centre = np.array([np.mean([unit[s] for s in g], axis=0) for g in groups])
         near = centre @ centre.T
+        sizes = np.array([len(g) for g in groups])
+        near[sizes[:, None] + sizes[None, :] > 2 * root] = -2.0
         np.fill_diagonal(near, -2.0)
         i, j = sorted(np.unravel_index(int(np.argmax(near)), near.shape))
+        if near[i, j] == -2.0:
+            break
         groups[i] += groups.pop(j)
     return groups
 

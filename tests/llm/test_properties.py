@@ -60,3 +60,19 @@ def test_majority_counts_bits(hashes):
 
     got = int(simhash.majority(np.array(hashes, dtype=np.uint64).reshape(-1, 1))[0])
     assert got == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_families_stay_bounded():
+    """100 and 200 languages whose means chain: no family has more than twice the root of all, and none is lost."""
+    from math import ceil
+
+    import numpy as np
+
+    from pairlab.llm import language
+
+    for n in (1, 2, 4, 5, 100, 200):
+        rng = np.random.default_rng(n)
+        means = {f"l{i:03d}": np.ones(64) * 2 + rng.normal(size=64) * (0.1 + i / n) for i in range(n)}
+        found = language.families(means)
+        assert sorted(s for g in found for s in g) == sorted(means) and max(map(len, found)) <= 2 * ceil(n**0.5)
+        assert sum(len(g) * (len(g) - 1) // 2 for g in found) <= 2 * n**1.5 + 2
