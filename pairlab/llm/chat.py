@@ -119,8 +119,8 @@ def format_chats(rows: DataFrame, trained: str = TRAINED) -> DataFrame:
     partition and streamed; memory holds one conversation, which is one row of
     the result, however long, and a batch of finished ones bounded by its size.
     Null roles and texts are empty; null turns come first; rows of a null
-    conv_id form one conversation; repeated rows stay; an empty table gives no
-    rows; extra columns are ignored.
+    conv_id form one conversation; rows of one turn stand by role, then text;
+    repeated rows stay; an empty table gives no rows; extra columns are ignored.
     """
     schema = "conv_id bigint, formatted string, ids array<int>, loss_mask array<boolean>"
 

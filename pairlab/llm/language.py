@@ -164,8 +164,9 @@ def fit(labelled: DataFrame, per_lang: int = PER_LANG, total: int = TOTAL) -> Mo
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(_row struct, lang_pred, score) of every row, from the text alone; `und` and 0 for no letter or a null text.
 
-    Repeated rows are predicted alike; an empty table gives no rows; a very long
-    text is read whole; the other columns, of any names, are in `_row`.
+    Of languages with equal votes and margins, and of families with equal margins,
+    the first by name is taken.  Repeated rows are predicted alike; an empty table
+    gives no rows; a very long text is read whole; the other columns, of any names, are in `_row`.
     """
 
     def work(batches):

@@ -94,7 +94,8 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", keep:
 
     A null text has no words and fails the base rules.  Documents of a null
     `lang` share one reference.  Repeated rows are judged alike; an empty table
-    gives no rows; other columns may have any names.
+    gives no rows; very long texts are judged whole; other columns may have any
+    names.
     """
     lang = F.col(lang_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("_row"), F.col(text_col).cast("string").alias("_text"), F.coalesce(lang, F.lit("")).alias("_lk"), lang.isNull().alias("_ln"))

@@ -130,7 +130,8 @@ class TokenTree:
 def count_with_edits(docs: DataFrame, text_col: str = "text", edits_col: str = "edits") -> DataFrame:
     """(doc_id, n_pretokens, n_tokens, n_tokens_edited, n_chars_edited, n_reencoded) of every row.
 
-    `edits` is array<struct<at, remove, insert>>, applied in order; places past
+    `edits` is array<struct<at, remove, insert>>, applied in order, each to
+    the text as the ones before it left it, so edits may overlap; places past
     the end mean the end; null edits are none; a null text is empty; a null id
     stays.  Repeated rows are counted each; an empty table gives no rows; a very
     long text is one tree; extra columns are ignored.  Texts are plain: the
