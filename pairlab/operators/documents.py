@@ -12,14 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.jsonmaps import VOLATILE_KEYS, VOLATILE_SUFFIX, fields_of, is_stable
+from ..sources.publish import staged
 
 #: A step of a path: a name, or a place in an array.
 _STEP = "struct<name:string,at:int>"
 
 
-def nesting(text: Column) -> Column:
-    """How deep a JSON text's containers nest; strings do not count."""
-    brackets = F.regexp_replace(text, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{}]', "")
+def brackets_of(text: Column) -> Column:
+    """The brackets of a JSON text outside of strings."""
+    return F.regexp_replace(text, r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{}"]++', "")
+
+
+def nesting(brackets: Column) -> Column:
+    """How deep brackets nest."""
     step = lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most"))
     return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"])
 
@@ -39,20 +44,27 @@ def leaves(df: DataFrame, key: list[str], document: str, suffix: str = VOLATILE_
     most).  An object left without fields is `{}`.  A null or blank document is
     `{}`; a text that is no JSON is one leaf, its own text after `malformed:`.
     """
-    text = F.col(document).cast("string")
-    given = F.when(F.coalesce(F.trim(text), F.lit("")) == "", "{}").otherwise(text)
+    df = df.select(*key, F.col(document).cast("string").alias("_x"))
+    df = df.select(*key, F.when(F.coalesce(F.trim("_x"), F.lit("")) == "", "{}").otherwise(F.col("_x")).alias("_x"))
+    if levels is None:  # read twice
+        df = staged(df)
+    given = F.col("_x")
     if levels is None:
-        levels = df.agg(F.max(nesting(given)).alias("n")).first()["n"] or 0
+        shapes = df.select(brackets_of(given).alias("b")).distinct()  # far fewer than documents
+        levels = shapes.agg(F.max(nesting(F.col("b"))).alias("n")).first()["n"] or 0
     none = F.array().cast(f"array<{_STEP}>")
-    rows = df.select(*key, F.struct(none.alias("path"), F.try_parse_json(given).alias("v"), F.lit(False).alias("bare"), given.alias("t")).alias("_n"))
+    rows = df.select(*key, F.struct(none.alias("path"), F.try_parse_json(given).alias("v"), F.lit(False).alias("bare"), F.lit(False).alias("done"), given.alias("t")).alias("_n"))
+    null = lambda kind: F.lit(None).cast(kind)
     for _ in range(levels):
-        v, path = F.col("_n.v"), F.col("_n.path")
-        child = lambda name, at, x: F.struct(F.concat(F.col("_n.path"), F.array(F.struct(name.alias("name"), at.alias("at")))).alias("path"), x.alias("v"), F.lit(False).alias("bare"), F.lit(None).cast("string").alias("t"))
-        fields = F.transform(F.filter(F.map_entries(fields_of(v)), lambda e: is_stable(e["key"], suffix, keys)), lambda e: child(e["key"], F.lit(None).cast("int"), e["value"]))
-        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: child(F.lit(None).cast("string"), i, x))
-        kids = F.coalesce(fields, items)
-        self = F.array(F.struct(path.alias("path"), v.alias("v"), (F.col("_n.bare") | F.coalesce(F.size(fields) == 0, F.lit(False))).alias("bare"), F.col("_n.t").alias("t")))
-        rows = rows.select(*key, F.explode(F.when(~F.col("_n.bare") & (F.size(kids) > 0), kids).otherwise(self)).alias("_n"))
+        # one step a select: what is used twice is computed once
+        child = lambda name, at, x: F.struct(F.concat(F.col("_n.path"), F.array(F.struct(name.alias("name"), at.alias("at")))).alias("path"), x.alias("v"), F.lit(False).alias("bare"), F.lit(False).alias("done"), null("string").alias("t"))
+        opened = rows.select(*key, "_n", F.when(~F.col("_n.done"), fields_of(F.col("_n.v"))).alias("_m"))
+        listed = opened.select(*key, "_n", F.map_filter("_m", lambda k, v: is_stable(k, suffix, keys)).alias("_m"), F.when(F.col("_m").isNull() & ~F.col("_n.done"), F.try_variant_get("_n.v", "$", "array<variant>")).alias("_a"))
+        fields = F.transform(F.map_entries("_m"), lambda e: child(e["key"], null("int"), e["value"]))
+        items = F.transform("_a", lambda x, i: child(null("string"), i, x))
+        kids = listed.select(*key, "_n", F.coalesce(F.size("_m") == 0, F.lit(False)).alias("_bare"), F.coalesce(fields, items).alias("_k"))
+        self = F.struct(F.col("_n.path").alias("path"), F.col("_n.v").alias("v"), (F.col("_n.bare") | F.col("_bare")).alias("bare"), F.lit(True).alias("done"), F.col("_n.t").alias("t"))
+        rows = kids.select(*key, F.explode(F.when(F.size("_k") > 0, F.col("_k")).otherwise(F.array(self))).alias("_n"))
     value = F.when(F.col("_n.v").isNull(), F.concat(F.lit("malformed:"), F.col("_n.t"))).when(F.col("_n.bare"), "{}").otherwise(_scalar(F.col("_n.v")))
     return rows.select(*key, F.col("_n.path").alias("path"), value.alias("value"))
 

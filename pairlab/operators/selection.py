@@ -71,8 +71,11 @@ def order_statistics(values: DataFrame, groups: list[str], metrics: list[str], i
     asked = first.withColumn("_a", F.explode(_targets(F.col("_all"), list(interpolated.values()), list(ranked.values())))).select("*", "_a.*")
     hits = asked.filter("_before <= _rank AND _rank < _before + _n").select("_g", "_m", "_t", "_w", (F.col("_rank") - F.col("_before")).alias("_rank"), "_lo", "_hi", "_n")
     hits = staged(hits)
-    while not hits.filter("NOT _lo <=> _hi").isEmpty():
-        hits = staged(_narrowed(long, hits, few))
+    while (largest := hits.filter("NOT _lo <=> _hi").agg(F.max("_n")).first()[0]) is not None:
+        hits = _narrowed(long, hits, few)
+        if largest <= few:  # counted value by value: nothing is open any more
+            break
+        hits = staged(hits)
     at = lambda m, t: F.max(F.when((F.col("_m") == m) & (F.col("_t") == t), F.col("_lo")))
     weight = lambda m, t: F.max(F.when((F.col("_m") == m) & (F.col("_t") == t), F.col("_w")))
     out = []

@@ -491,7 +491,7 @@ def test_leaves_keep_types_digits_and_names(spark):
 
 def test_nesting_ignores_strings(spark):
     texts = ['{"a": "[[[", "b\\"{": [1]}', "[]", "1", '"{"', "[" * 9 + "]" * 9]
-    assert [r[0] for r in frame(spark, [(x,) for x in texts], "t string").select(documents.nesting(F.col("t"))).collect()] == [2, 1, 0, 0, 9]
+    assert [r[0] for r in frame(spark, [(x,) for x in texts], "t string").select(documents.nesting(documents.brackets_of(F.col("t")))).collect()] == [2, 1, 0, 0, 9]
 
 
 def test_documents_differ_by_type_and_digit(spark):
