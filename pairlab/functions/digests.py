@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-
-#: Files of a list that are one JSON text.
-MOST_LISTED = 100_000
+#: Files of a piece of a list's text; a batch of 10,000 pieces is some 30 MB.
+LISTED = 32
 #: Stores whose addresses Arrow opens.
 OPENED = ("file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")
 
@@ -52,20 +52,57 @@ def ordered_digest(df: DataFrame, ordinal: str, columns: list[str], groups: list
     return buckets.groupBy(*groups).agg(F.sum("n").alias("n_rows"), F.sum("b").alias("n_buckets"), F.sha2(ordered("bucket"), 256).alias("digest"))
 
 
-def list_digest(df: DataFrame, groups: list[str], key: str, sha: str, most: int = MOST_LISTED) -> DataFrame:
+def list_digest(df: DataFrame, groups: list[str], key: str, sha: str, most: int | None = None) -> DataFrame:
     """Digest of a list of (path, sha) ordered by path, per group, as one JSON text, which is what makes it comparable elsewhere.
 
-    The text is one row, so a list longer than `most` has no such digest (null,
-    with its n_files): it is bound by `ordered_digest` over its ordinals, which
-    gathers no group.
+    Lists may have any length: rows are sorted and written as text in ranges by
+    many tasks, `LISTED` files a piece.  SHA-256 is one chain, so the pieces of a
+    group come in order to one task, which hashes them as a stream and never
+    holds the text.  Groups with more than `most` files, if given, have no digest.
     """
-    sizes = df.groupBy(*groups).agg(F.count("*").alias("n_files"))
-    whole = df.join(sizes.filter(F.col("n_files") <= most), groups, "left_semi") if groups else df.crossJoin(sizes).filter(F.col("n_files") <= most)
-    listed = F.to_json(F.array_sort(F.collect_list(F.struct(F.col(key).alias("path"), F.col(sha).alias("sha256")))))
-    found = whole.groupBy(*groups).agg(F.sha2(listed, 256).alias("digest"), F.count("*").alias("_n"))
-    if groups:
-        return sizes.join(found.drop("_n"), groups, "left").select(*groups, "digest", "n_files")
-    return sizes.join(found, F.col("n_files") == F.col("_n"), "left").select("digest", "n_files")
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = [f"_g{i}" for i in range(len(groups))]
+    rows = df.select(*[F.col(g).alias(n) for g, n in zip(groups, named)], F.col(key).alias("path"), F.col(sha).alias("sha256"))
+    dealt = rows.repartitionByRange(parts, *named, "path", "sha256").withColumn("_p", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy(*named, "_p").orderBy("path", "sha256")) - 1
+    files = dealt.select(*named, "_p", place.alias("_r"), F.to_json(F.struct("path", "sha256")).alias("file"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_r", "file"))), lambda s: s["file"])
+    pieces = files.groupBy(*named, "_p", F.floor(F.col("_r") / LISTED).alias("_b")).agg(F.count("*").alias("n"), F.array_join(ordered, ",").alias("text"))
+    of_group = F.row_number().over(Window.partitionBy(*named).orderBy("_p", "_b"))
+    chain = pieces.select(*named, of_group.alias("at"), "n", "text")
+    width = len(groups)
+
+    def hashed(batches):  # all its parts are nested, so workers need no import of this package
+        import hashlib
+
+        import pyarrow as pa
+
+        h, files, group = None, 0, []
+
+        def done():
+            h.update(b"]")
+            return pa.RecordBatch.from_arrays([*group, pa.array([h.hexdigest()]), pa.array([files], pa.int64())], [*named, "digest", "n_files"])
+
+        for b in batches:
+            for i, (at, n, text) in enumerate(zip(*[b.column(width + j).to_pylist() for j in range(3)])):
+                if at == 1 and h:
+                    yield done()
+                if at == 1:
+                    h, files, group = hashlib.sha256(b"["), 0, [b.column(j).slice(i, 1) for j in range(width)]
+                else:
+                    h.update(b",")
+                h.update(text.encode())
+                files += n
+        if h:
+            yield done()
+
+    schema = StructType([*rows.select(*named).schema.fields, StructField("digest", StringType()), StructField("n_files", LongType())])
+    found = chain.mapInArrow(hashed, schema)
+    if not groups:  # an empty list has a digest too
+        found = found.agg(F.coalesce(F.max("digest"), F.sha2(F.lit("[]"), 256)).alias("digest"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("n_files"))
+    digest = F.col("digest") if most is None else F.when(F.col("n_files") <= most, F.col("digest"))
+    return found.select(*[F.col(n).alias(g) for n, g in zip(named, groups)], digest.alias("digest"), "n_files")
 
 
 def file_digests(spark, path: str, chunk: int = 8 << 20) -> DataFrame:

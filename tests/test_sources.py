@@ -107,6 +107,25 @@ def test_long_lists_have_no_single_text(spark):
     assert digests.list_digest(df, [], "path", "sha", most=3).first()["digest"] is None and digests.list_digest(df, [], "path", "sha").first()["digest"]
 
 
+def test_lists_of_any_length_have_their_whole_digest(spark):
+    """Beyond 100,000 files, with null and repeated paths, groups of any key, and no file at all."""
+    import hashlib
+    import json
+
+    from pairlab.functions import digests
+
+    listed = lambda rows: json.dumps([{k: v for k, v in zip(("path", "sha256"), x) if v is not None} for x in rows], separators=(",", ":"), ensure_ascii=False)
+    of = lambda rows: (hashlib.sha256(listed(rows).encode()).hexdigest(), len(rows))
+    long = spark.range(100_033).selectExpr("'a' AS g", "1.5D AS `_g0`", "format_string('%09d', id) AS path", "sha2(string(id), 256) AS sha")
+    odd = [(None, float("nan"), "q\"ü", "s"), (None, float("nan"), None, "s"), (None, float("nan"), "q", "t"), (None, float("nan"), "q", "s"), ("b", None, "p", None)]
+    df = long.union(spark.createDataFrame(odd, "g string, `_g0` double, path string, sha string")).repartition(5)
+    got = {r["g"]: (r["digest"], r["n_files"]) for r in digests.list_digest(df, ["g", "_g0"], "path", "sha").collect()}
+    want = {"a": [(f"{i:09d}", hashlib.sha256(str(i).encode()).hexdigest()) for i in range(100_033)], None: [(None, "s"), ("q", "s"), ("q", "t"), ("q\"ü", "s")], "b": [("p", None)]}
+    assert got == {g: of(rows) for g, rows in want.items()}
+    assert tuple(digests.list_digest(df.filter("g = 'a'"), [], "path", "sha").first()) == of(want["a"])
+    assert tuple(digests.list_digest(df.limit(0), [], "path", "sha").first()) == of([])
+
+
 def test_quoted_csv_in_splits(spark, tmp_path):
     """Splits cut records anywhere, in and before quoted newlines and quotes: the same rows as the whole file, by several tasks."""
     import csv
