@@ -50,6 +50,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id, once; a row without a doc_id only if none has one.
 
+    Groups are joined by SimHash, the fingerprints and balls of operator 6, with
+    each link checked by the texts' shingles; near copies of the stated
+    similarity that are more than its 3 bits apart are joined by the shingles.
+
     Rows of one doc_id with different texts in different groups all stay, as do
     those without a doc_id.  Null and blank texts are one group; repeated rows
     stay once; an empty table gives no rows; texts are taken whole, and any
@@ -84,7 +88,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_dedup),
-    ("near-dedup by shingle sets", near_dedup),
+    ("SimHash near-dedup", near_dedup),
     ("source mixing", source_mixing),
     ("best-fit packing", best_fit_packing),
 ]

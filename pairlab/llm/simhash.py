@@ -14,14 +14,18 @@ A member within 1 bit of a variant is within 3 bits of every other member of
 that variant's bucket, so linking all members to the smallest such member
 gives every link's connection and only true links: no pairs inside a bucket,
 no matter how large, and nothing left to verify.  To spare fingerprints that
-have no partner the wide ball, a first pass takes away one of three bit blocks
-(a nonzero difference of at most 3 bits leaves at most 2 for some block), emits
-radius-1 balls of the other bits, and keeps fingerprints that share a bucket.
+have no partner the wide ball, a first pass takes away three of seven bit blocks
+(3 differing bits lie in at most three), 35 ways, and keeps fingerprints that
+share the other bits with another one.
+
+The pipeline's stage, `near_copies`, holds the links of the balls against the
+texts' sets of shingles, and finds what is alike beyond 3 bits by the sets.
 """
 
 from __future__ import annotations
 
 from functools import partial
+from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -35,8 +39,8 @@ from .common import staged, table
 from .components import components
 
 SHINGLE, RADIUS = 3, 3
-#: First bit and width of the blocks taken away in the first pass.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+#: First bit and width of the blocks of which the first pass takes away as many as bits may differ.
+BLOCKS = ((0, 9), (9, 9), (18, 9), (27, 10), (37, 9), (46, 9), (55, 9))
 
 
 def _lanes() -> np.ndarray:
@@ -59,7 +63,11 @@ def majority(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """64-bit SimHash, unsigned: bit i is set in more than half of the shingle hashes."""
-    words = text.lower().split()  # bytes: A-Z only, and exactly the ASCII white space
+    return fingerprint_of(words_in(text), shingle)
+
+
+def fingerprint_of(words: list[bytes], shingle: int = SHINGLE) -> int:
+    """`fingerprint` of a text's words."""
     if not words:
         return 0
     hashed = partial(xxhash.xxh64_intdigest, seed=42)
@@ -80,22 +88,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id"
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(work, "doc_id bigint, fp bigint")
 
 
-def _flip(i: str) -> str:
-    return f"shiftleft(1L, {i})"
-
-
 def _suspects(fps: DataFrame) -> DataFrame:
-    """Fingerprints that share a radius-1 variant of the bits outside one block with another fingerprint."""
-    balls = []
-    for n, (first, width) in enumerate(BLOCKS):
-        away = ((1 << width) - 1) << first
-        keep = ~away & ((1 << 64) - 1)
-        bits = [i for i in range(64) if not first <= i < first + width]
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        tag = f"{n}L << {first}"  # the block's own bits name the block, so one column is the key
-        flips = "array(0L, " + ", ".join(_flip(str(i)) for i in bits) + ")"
-        balls.append(f"transform({flips}, x -> ((fp & {signed(keep)}L) ^ x) | shiftleft({n}L, {first}))")
-    variants = fps.select("fp", F.explode(F.expr("concat(" + ", ".join(balls) + ")")).alias("v"))
+    """Fingerprints that share the bits outside some three blocks with another fingerprint."""
+    kept = []
+    for n, away in enumerate(combinations(BLOCKS, RADIUS)):
+        keep = ((1 << 64) - 1) & ~sum(((1 << width) - 1) << first for first, width in away)
+        signed = keep - (1 << 64) if keep >> 63 else keep
+        kept.append(f"(fp & {signed}L) | shiftleft({n}L, {away[0][0]})")  # bits of a block that is away name the blocks, so one column is the key
+    variants = fps.select("fp", F.explode(F.expr("array(" + ", ".join(kept) + ")")).alias("v"))
     shared = variants.withColumn("n", F.count("*").over(Window.partitionBy("v"))).filter("n > 1")
     return shared.select("fp").distinct()
 
@@ -124,9 +124,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_
     Repeated rows are one fingerprint; an empty table gives no rows; very long
     texts are hashed whole; extra columns are ignored.
 
-    The first pass emits 131 variants of each of n distinct fingerprints, so two
-    unrelated ones meet in it by chance about n * 43 * 43 / 2^42 times each: a
-    tenth of all at 2e8 fingerprints.  Beyond some 1e9 most are suspects, and
+    The first pass emits 35 keys of each of n distinct fingerprints, so unrelated
+    ones meet in it by chance about n * 25 / 2^36 times each: a tenth of all at
+    some 3e8 fingerprints.  Beyond some 2e9 most are suspects, and
     the second pass takes the full ball of all, about a thousand variants for
     each of odd parity; the links stay the same.
     """
@@ -168,7 +168,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def words_in(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+    return (text or b"").lower().split()  # bytes: A-Z only, and exactly the ASCII white space
 
 
 def text_key(words: list[bytes]) -> int:
@@ -307,23 +307,40 @@ def _alike(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: flo
     wanted = staged(pairs.select(F.col("b").alias("k"), "a", "b").union(pairs.select(F.col("a").alias("k"), "a", F.lit(None).cast("bigint").alias("b")).distinct()))
     named = wanted.select("k").distinct().join(nodes, "k").select(F.coalesce("least", F.lit(0)).bitwiseAND(F.lit((1 << _BITS) - 1)).alias("x"))
     bits = named.groupBy(F.shiftright("x", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("m"))
-    words = np.zeros(1 << (_BITS - 6), dtype=np.int64)
+    marks = np.zeros(1 << (_BITS - 6), dtype=np.int64)
     for r in bits.collect():  # 2^17 rows at most
-        words[r["w"]] = r["m"]
-    known = texts.sparkSession.sparkContext.broadcast(words)
+        marks[r["w"]] = r["m"]
+    known = texts.sparkSession.sparkContext.broadcast(marks)
 
-    def some(ids, texts):
-        x = ids.fill_null(0).to_numpy(zero_copy_only=False) & ((1 << _BITS) - 1)
-        keep = [texts[i] for i in np.flatnonzero((known.value[x >> 6] >> (x & 63)) & 1).tolist()]
-        return [pa.array(list(map(text_key, keep)), pa.int64()), _lists([shingle_set(w, shingle) for w in keep])]
+    def some(batches):
+        for b in batches:
+            x = b.column(0).fill_null(0).to_numpy(zero_copy_only=False) & ((1 << _BITS) - 1)
+            keep = b.column(1).take(pa.array(np.flatnonzero((known.value[x >> 6] >> (x & 63)) & 1)))
+            words = [words_in(t) for t in keep.cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(text_key, words)), pa.int64()), _lists([shingle_set(w, shingle) for w in words])], ["k", "s"])
 
-    sets = _each_text(texts, "k bigint, s array<bigint>", some).join(wanted.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("s").alias("s"))
+    sets = texts.mapInArrow(some, "k bigint, s array<bigint>").join(wanted.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.first("s").alias("s"))
     sides = staged(sets.join(wanted, "k").select("a", "b", "s"))
     met = sides.filter("b IS NOT NULL").withColumnRenamed("s", "sb").join(sides.filter("b IS NULL").select("a", F.col("s").alias("sa")), "a")
     sized = met.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("m"), (F.size("sa") + F.size("sb")).alias("n"))
     return sized.filter(F.col("m") / (F.col("n") - F.col("m")) >= similarity).select("a", "b")
 
 
+def _ball_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of text keys that SimHash links, of rows (k, fp): the first text of each fingerprint with the others, and with those that the balls link."""
+    firsts = staged(rows.groupBy("fp").agg(F.min("k").alias("first")))
+    same = rows.select("fp", "k").distinct().join(firsts, "fp").select(F.col("first").alias("a"), F.col("k").alias("b"))
+    side = lambda x: firsts.select(F.col("fp").alias(x), F.col("first").alias(f"k{x}"))
+    near = links(firsts.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    return same.union(near).filter("a <> b").distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one component yet."""
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}"))
+    return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def _of_size(n: str, m: str, similarity: float) -> Column:
     """Whether sets of these sizes can be that similar."""
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
@@ -362,9 +379,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     h is Spark's xxhash64 of the text; `stays` marks the component's first row
     (and its copies): the smallest doc_id, null last, then the smallest text key.
 
-    No few bits of a SimHash express such a similarity, so candidates are texts
-    that share a shingle of their prefixes, which no similar pair fails to do.
-    Candidates are held against a parity sketch of their sets, which rules out
+    SimHash comes first: the links of operator 6, its fingerprints and balls,
+    are verified by the sets of shingles and join texts into components.  No few
+    bits express such a similarity, though, so texts that these components do
+    not join are candidates too if they share a shingle of their prefixes,
+    which no similar pair fails to do.  All candidates are held against a parity sketch of their sets, which rules out
     no similar pair, and then verified by the exact Jaccard similarity of their
     sets of (64-bit hashes of) shingles.  Texts of equal words are one node.
 
@@ -373,8 +392,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     among the first ninth of the smaller set and the first fifth of the larger,
     and only if what follows it is enough for the similarity: pages that share
     less than that of a template never meet.  Each member of a bucket first
-    meets the bucket's first leading member by a hash; then members that the
-    links found do not join yet meet each other, so a family of near copies
+    meets the bucket's first leading member by a hash, if SimHash has not joined
+    them; then members that the links found do not join yet meet each other, so a family of near copies
     costs its size and nothing is left out.
     Null and blank texts form one component; null ids never name one unless all
     its ids are null.  Repeated rows are one node; an empty table gives no rows;
@@ -382,8 +401,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     """
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("h"))
-    keyed = lambda ids, texts, h: [ids, h, pa.array(list(map(text_key, texts)), pa.int64()), pa.array(list(map(len, texts)), pa.int64())]
-    rows = staged(_each_text(texts, "doc_id bigint, h bigint, k bigint, words bigint", keyed, 2))
+    fps = lambda texts: pa.array(np.array(list(map(fingerprint_of, texts)), dtype=np.uint64).view(np.int64))
+    keyed = lambda ids, texts, h: [ids, h, pa.array(list(map(text_key, texts)), pa.int64()), fps(texts), pa.array(list(map(len, texts)), pa.int64())]
+    rows = staged(_each_text(texts, "doc_id bigint, h bigint, k bigint, fp bigint, words bigint", keyed, 2))
+    balls = staged(_ball_pairs(rows))
     words = rows.agg(F.sum("words")).first()[0] or 0
     common = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle, words))
 
@@ -399,13 +420,16 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_c
     centre = F.min(F.when(F.col("leads"), F.struct(F.xxhash64("k").alias("h"), "k", "n", "i"))).over(bucket)
     found = members.withColumns({"o": centre, "c": F.count("*").over(bucket)}).filter("c > 1 AND o IS NOT NULL")
     shared = staged(found.select("v", "k", "n", "i", "leads", F.col("o.k").alias("o"), F.col("o.n").alias("m"), F.col("o.i").alias("j")))
-    star = shared.filter((F.col("k") != F.col("o")) & _can_be_alike(similarity)).select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
-    likely = staged(_likely(star, nodes, similarity))
-    linked = staged(_alike(likely, texts, nodes, similarity, shingle))
+    alike = lambda pairs: staged(_alike(pairs, texts, nodes, similarity, shingle))
+    seen = staged(_likely(balls, nodes, similarity))
+    linked = alike(seen)
     roots = components(linked)
-    rest = staged(_likely(_open_pairs(shared.select("v", "k", "n", "i", "leads"), roots, similarity), nodes, similarity).join(likely, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        roots = components(linked.union(staged(_alike(rest, texts, nodes, similarity, shingle))))
+    star = shared.filter((F.col("k") != F.col("o")) & _can_be_alike(similarity)).select(F.least("k", "o").alias("a"), F.greatest("k", "o").alias("b")).distinct()
+    for pairs in (lambda: _apart(star, roots), lambda: _open_pairs(shared.select("v", "k", "n", "i", "leads"), roots, similarity)):
+        likely = staged(_likely(pairs(), nodes, similarity).join(seen, ["a", "b"], "left_anti"))
+        if not likely.isEmpty():
+            seen, linked = seen.union(likely), linked.union(alike(likely))
+            roots = components(linked)
     named = nodes.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
     place = F.struct(F.col("least").isNull().alias("none"), "least", "k")
     first = named.groupBy("root").agg(F.min(place).alias("first"))

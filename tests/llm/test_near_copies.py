@@ -123,3 +123,42 @@ def test_small_sets(spark):
             w[rng.randrange(len(w))] = "z"
         texts[i] = " ".join(w)
     assert found(spark, texts) == brute_components(texts)
+
+
+def test_simhash_balls_find_their_links_themselves(spark, monkeypatch):
+    """Without any shingle bucket, texts within 3 bits are still joined, by the links of operator 6; fingerprints alone link nothing."""
+    from pyspark.sql import functions as F
+
+    rng, texts = random.Random(8), {}
+    for k in range(30):
+        w = words(rng, 600, "w")
+        texts[3 * k], texts[3 * k + 1] = " ".join(w), " ".join(w[:-1])
+        texts[3 * k + 2] = " ".join(w[:300] + words(rng, 60, "x") + w[360:])  # alike, but not within 3 bits
+    often = "a b c " * 500  # sets the fingerprint, not the set of shingles
+    texts[900], texts[901] = often + " ".join(words(rng, 40, "y")), often + " ".join(words(rng, 40, "z"))
+    fp = {i: simhash.fingerprint(t.encode()) for i, t in texts.items()}
+    near = [i for i in range(0, 90, 3) if bin(fp[i] ^ fp[i + 1]).count("1") <= 3]
+    far = [i for i in range(0, 90, 3) if all(bin(fp[i + 2] ^ fp[j]).count("1") > 3 for j in (i, i + 1))]
+    assert len(near) > 20 and len(far) > 20 and bin(fp[900] ^ fp[901]).count("1") <= 3
+    whole = found(spark, texts)
+    assert whole == brute_components(texts) and whole[901] == 901 and all(whole[i + 2] == i for i in far)
+    monkeypatch.setattr(simhash, "_leads", lambda similarity: F.lit(False))
+    got = found(spark, texts)
+    assert all(got[i + 1] == i for i in near) and all(got[i + 2] == i + 2 for i in far) and got[901] == 901
+
+
+def test_buckets_leave_out_what_simhash_joined(spark, monkeypatch):
+    """A family within 3 bits is verified by its SimHash links; no bucket brings its pairs again."""
+    rng, seen, likely = random.Random(9), [], simhash._likely
+    w = words(rng, 900, "w")
+    texts = {k: " ".join(w[: 900 - k]) for k in range(6)}
+    fp = [simhash.fingerprint(t.encode()) for t in texts.values()]
+    assert all(bin(a ^ b).count("1") <= 3 for a, b in zip(fp, fp[1:]))
+
+    def counting(pairs, *rest):
+        seen.append(pairs.count())
+        return likely(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_likely", counting)
+    assert set(found(spark, texts).values()) == {0}
+    assert seen[0] >= 5 and seen[1:] == [0, 0]
